@@ -63,60 +63,55 @@ def targets(sizes: DataFrame, settings: MixSettings = MixSettings()) -> DataFram
     )
 
 
-def plan_mix(docs: DataFrame, settings: MixSettings = MixSettings(), size: Column | None = None) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken, copies``: one row per row of ``docs``.
+def _range(settings: MixSettings) -> Column:
+    return F.substring("__key", 1, settings.prefix)
 
-    ``taken`` counts words, repeats included, and sums to the whole part of the target in each
-    source: the row at the cut is taken in part. ``copies`` is the same cut in whole rows, where
-    the row at the cut counts if most of it lies before the cut.
 
-    Order within a source: key of doc_id, doc_id, size. Repeated rows are taken one by one; rows
-    alike in all three are interchangeable. A null source is a source of its own, ranked last;
-    a null text has size 0 and is never taken; a null doc_id is a key like any other. An empty
-    table gives no rows.
-    """
-    size = F.size(words(body())).cast("bigint") if size is None else size
-    rows = cut(docs.select("doc_id", "source", size.alias("size"), stable_key(F.col("doc_id")).alias("__key")))
-    rows = rows.withColumn("__source", source_key(F.col("source"))).withColumn("__range", F.substring("__key", 1, settings.prefix))
+def _starts(rows: DataFrame, settings: MixSettings) -> DataFrame:
+    """Where each range of each source starts, with the source's size and target."""
     ranges = rows.groupBy("__source", "__range").agg(F.sum("size").alias("__size"))
     goals = targets(ranges.groupBy("__source").agg(F.sum("__size").alias("source_size")), settings)
     along = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = ranges.withColumn("__start", F.sum("__size").over(along) - F.col("__size")).join(goals, "__source").drop("__size")
+    return ranges.withColumn("__start", F.sum("__size").over(along) - F.col("__size")).join(goals, "__source").drop("__size")
+
 
+def _placed(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows with ``source_size, target, taken, copies``; rows are dealt by source and range, once."""
     inside = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("__ahead", F.sum("size").over(inside) - F.col("size")).join(starts, ["__source", "__range"])
-    at = F.col("__start") + F.col("__ahead")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    left = F.least(F.greatest(budget - F.col("__epochs") * F.col("source_size") - at, F.lit(0)), F.col("size"))
-    return (
-        placed.withColumn("__epochs", epochs)
-        .withColumn("__left", left)
-        .select(
-            "doc_id",
-            "source",
-            "size",
-            "source_size",
-            "target",
-            (F.col("__epochs") * F.col("size") + F.col("__left")).alias("taken"),
-            F.when(F.col("size") > 0, F.col("__epochs") + (F.col("__left") * 2 > F.col("size")).cast("bigint")).otherwise(0).cast("int").alias("copies"),
-        )
+    left = F.least(F.greatest(budget - F.col("__epochs") * F.col("source_size") - F.col("__start") - F.col("__ahead"), F.lit(0)), F.col("size"))
+    counted = placed.withColumn("__epochs", epochs).withColumn("__left", left)
+    return counted.withColumn("taken", F.col("__epochs") * F.col("size") + F.col("__left")).withColumn(
+        "copies", F.when(F.col("size") > 0, F.col("__epochs") + (F.col("__left") * 2 > F.col("size")).cast("bigint")).otherwise(0).cast("int")
     )
 
 
-def mix(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
-    """The mixture itself: rows of ``docs``, each as often as its ``copies`` say.
+def _keyed(docs: DataFrame, settings: MixSettings, *carried: Column) -> DataFrame:
+    size = F.size(words(body())).cast("bigint")
+    rows = docs.select("doc_id", "source", size.alias("size"), stable_key(F.col("doc_id")).alias("__key"), *carried)
+    return rows.withColumn("__source", source_key(F.col("source"))).withColumn("__range", _range(settings))
+
+
+def plan_mix(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, copies``: one row per row of ``docs``.
 
-    The plan is joined back by doc_id and size; rows alike in both (repeated rows) are matched
-    by their number among their likes, so none is multiplied.
+    ``taken`` counts words, repeats included, and sums to the whole part of the target in each
+    source: the row at the cut is taken in part. ``copies`` is the same cut in whole rows, where
+    the row at the cut counts if most of it lies before the cut.
+
+    Order within a source: key of doc_id, doc_id, size. Repeated rows are taken one by one; rows
+    alike in all three are interchangeable. A null source is a source of its own, ranked last;
+    a null text has size 0 and is never taken; a null doc_id is a key like any other. An empty
+    table gives no rows.
     """
-    like = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    plan = plan_mix(docs, settings).where("copies > 0")
-    plan = plan.withColumn("__n", F.row_number().over(like)).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__sz"), "__n", "copies"
-    )
-    sized = docs.withColumn("size", F.size(words(body())).cast("bigint")).withColumn("__m", F.row_number().over(like))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src"))
-    same = same & (F.col("size") == F.col("__sz")) & (F.col("__m") == F.col("__n"))
-    joined = sized.join(plan, same)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = cut(_keyed(docs, settings))
+    return _placed(rows, _starts(rows, settings)).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+
+
+def mix(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
+    """The mixture itself: rows of ``docs``, each as often as its ``copies`` say."""
+    starts = _starts(cut(_keyed(docs, settings).select("__source", "__range", "size")), settings)
+    rows = _placed(_keyed(docs, settings, F.struct("*").alias("__row")), starts).where("copies > 0")
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import decontam, langid, lengths, lines, mixing, quality, secretscan, sharding, simhash, toxicity
 from .base import table
 
 
@@ -24,8 +24,56 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secretscan.scan_documents(docs, secretscan.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_crf")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op9_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.length_histogram(lengths.token_counts(table(spark, sf_dir, "documents")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_shards": op2_shards,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
+    "op5_boilerplate": op5_boilerplate,
+    "op6_leaks": op6_leaks,
+    "op7_language": op7_language,
     "op8_mixture": op8_mixture,
+    "op9_lengths": op9_lengths,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
