@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import ingest, records
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (ingest, records):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
