@@ -55,7 +55,7 @@ def remove_boilerplate(docs: DataFrame, settings: LineSettings = LineSettings(),
     without words stay. A null site is a site of its own; a null text stays null. Repeated rows
     are cleaned alike. An empty table gives no rows.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__row")]
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     cut_lines = F.filter(F.transform(F.split(body(), "\n"), line_hash), lambda h: h.isNotNull())
     lines = docs.select(F.xxhash64(F.coalesce(F.concat(F.lit("+"), F.col(site)), F.lit(""))).alias("site"), F.explode(cut_lines).alias("line"))
     found = cut(boilerplate(lines, settings))
@@ -63,14 +63,14 @@ def remove_boilerplate(docs: DataFrame, settings: LineSettings = LineSettings(),
     dealt = docs.select("doc_id", row_hash().alias("__row"), F.explode(F.array_distinct(cut_lines)).alias("line"))
     hits = dealt.join(F.broadcast(found) if few else found, "line", "left_semi")
     by_row = hits.groupBy("__row", F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    rows = docs.select(*own, row_hash().alias("__row"))
+    rows = docs.select(F.struct(*[c for c in own if c != "text"]).alias("__doc"), "doc_id", "text", row_hash().alias("__row"))
     joined = rows.join(by_row.withColumnRenamed("__row", "__r"), (F.col("__row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     gone = F.coalesce("__gone", F.array().cast("array<bigint>"))
     keep = lambda x: F.coalesce(~F.array_contains(F.col("__g"), line_hash(x)), F.lit(True))
     parts = joined.withColumn("__g", gone).withColumn("__lines", F.split("text", "\n")).withColumn("__kept", F.filter("__lines", keep))
     spoken = lambda c: F.coalesce(F.size(F.filter(c, lambda x: line_hash(x).isNotNull())), F.lit(0)).cast("bigint")
     return parts.select(
-        *[c for c in own if c != "text"],
+        *[F.col(f"__doc.`{c}`").alias(c) for c in own if c != "text"],
         F.when(F.size("__g") == 0, F.col("text")).otherwise(F.array_join("__kept", "\n")).alias("text"),
         spoken("__lines").alias("n_lines"),
         F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("bigint").alias("n_removed"),

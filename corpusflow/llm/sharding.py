@@ -60,8 +60,7 @@ def shard_rows(docs: DataFrame, settings: ShardSettings = ShardSettings(), key:
     empty table gives no rows. Columns of ``docs`` with the names of added ones are replaced.
     """
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    clash = [c for c in docs.columns if c in added or c.startswith("__")]
-    docs = docs.drop(*clash)
+    own = [c for c in docs.columns if c not in added]
     digest = stable_key(F.col(key))
     group = F.coalesce(F.shiftright(F.conv(F.substring("__digest", 1, 3), 16, 10).cast("int") * F.lit(settings.slot_groups), 12), F.lit(0))
 
@@ -73,7 +72,7 @@ def shard_rows(docs: DataFrame, settings: ShardSettings = ShardSettings(), key:
     ahead = Window.partitionBy("__s").orderBy("__g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = counts.select("__s", "__g", (F.sum("__n").over(ahead) - F.col("__n")).alias("__start"))
 
-    rows = placed(docs).select(
+    rows = placed(docs.select(F.struct(*own).alias("__doc"), key, text)).select(
         "*",
         (F.octet_length(body(text)).cast("bigint") + F.lit(settings.overhead)).alias("size"),
         F.crc32(body(text).cast("binary")).alias("text_crc32"),
@@ -82,7 +81,7 @@ def shard_rows(docs: DataFrame, settings: ShardSettings = ShardSettings(), key:
     numbered = rows.withColumn("__row", F.row_number().over(within).cast("bigint") - 1)
     out = numbered.join(F.broadcast(starts), (F.col("__shard") == F.col("__s")) & (F.col("__group") == F.col("__g")))
     return out.select(
-        *docs.columns,
+        *[F.col(f"__doc.`{c}`").alias(c) for c in own],
         "size",
         "text_crc32",
         F.lit("key").alias("law"),

@@ -203,10 +203,10 @@ def keep_first(docs: DataFrame, settings: SimilarSettings = SimilarSettings()) -
     Of rows that share a doc_id, the one whose text has the smallest hash stays. Rows without a
     doc_id can't be named by a component and all stay.
     """
-    own = docs.columns
     groups = similar_groups(docs, settings)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    ranked = docs.where("doc_id is not null").withColumn("__first", F.row_number().over(order)).where("__first = 1")
-    first = ranked.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").select(*own)
+    rows = docs.where("doc_id is not null").select(F.struct("*").alias("__doc"), "doc_id", "text")
+    ranked = rows.withColumn("__first", F.row_number().over(order)).where("__first = 1")
+    first = ranked.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").select("__doc.*")
     return first.unionByName(docs.where("doc_id is null"))
