@@ -1,7 +1,14 @@
-"""DuckDB SQL for the queries of ``queries.py`` that SQL can express."""
+"""DuckDB SQL for the queries of ``queries.py`` that SQL can express.
+
+The other queries (1, 3, 6, 7, 9, 10 and the pipeline) rest on fitted models, XXH64 or a tokenizer;
+tests/llm holds them against brute force and held-out accuracy.
+"""
 
 from __future__ import annotations
 
+from .lines import LineSettings
+from .quality import QualitySettings
+
 WORDS = r"CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END"
 
 OP2 = r"""
@@ -10,10 +17,10 @@ WITH RECURSIVE crc_table AS (
     SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
     FROM range(256) r(i))
 ), d AS (
-  SELECT doc_id, encode(coalesce(text, '')) AS b, md5(coalesce('k' || doc_id, '')) AS digest FROM documents
+  SELECT doc_id, encode(coalesce(text, '')) AS b, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h, md5(coalesce('k' || doc_id, '')) AS digest FROM documents
 ), sums AS (
   SELECT doc_id, digest, octet_length(b) + 16 AS size,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(b)), lambda i: ('0x' || substr(hex(b), (2 * i + 1)::BIGINT, 2))::BIGINT)),
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(h, lambda x: ('0x' || x)::BIGINT)),
       lambda c, x: xor(c // 256, t[(xor(c % 256, x) + 1)::INT])), 4294967295) AS text_crc32
   FROM d, crc_table
 ), jumps AS (
@@ -55,4 +62,49 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM c
 """
 
-ORACLES = {"op2_shards": OP2, "op8_mixture": OP8}
+
+
+def _op4(q: QualitySettings = QualitySettings()) -> str:
+    fails = "CASE " + " ".join(
+        "WHEN " + " OR ".join(f"{name} > {cutoffs[t]!r}::DOUBLE" for name, cutoffs in q.rules.items()) + f" THEN {t}" for t in range(len(q.symbols_per_word))
+    ) + " END"
+    levels = range(len(q.symbols_per_word))
+    tail = lambda k: f"CASE WHEN {k} >= n * {q.risk}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range({k} + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.risk}::DOUBLE) + (n - i) * ln(1 - {q.risk}::DOUBLE)))) END"
+    strictest = "-1"
+    for t in levels:
+        strictest = f"CASE WHEN {tail(f'k{t}')} <= {q.error}::DOUBLE / s THEN {t} ELSE {strictest} END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, unnest(range(len(w) - 2)) AS i, unnest(list_transform(range(len(w) - 2), lambda i: [w[i + 1], w[i + 2], w[i + 3]])) AS g FROM d WHERE len(w) >= 3),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM x),
+p AS (SELECT r, count(DISTINCT i + o) AS n FROM c, (SELECT unnest([0, 1, 2]) AS o) WHERE c.n > 1 GROUP BY r),
+l AS (SELECT d.*, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM d),
+m AS (SELECT l.r, doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '!')) AS n_bangs FROM l LEFT JOIN p ON p.r = l.r),
+f AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END AS symbols_per_word, CASE WHEN n_words > 0 THEN n_bangs::DOUBLE / n_words ELSE 0 END AS bangs_per_word,
+  CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_share, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_share FROM m),
+v AS (SELECT *, {fails} AS lev FROM f),
+g AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+h AS (SELECT lang, count(*) AS n, {", ".join(f"count(*) FILTER (lev <= {t}) AS k{t}" for t in levels)} FROM v JOIN g USING (doc_id) GROUP BY lang),
+o AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY n DESC, lang NULLS FIRST) <= {q.strata} AND lang IS NOT NULL THEN '=' || lang ELSE '' END AS stratum FROM h),
+z AS (SELECT stratum, sum(n)::BIGINT AS n, {", ".join(f"sum(k{t})::BIGINT AS k{t}" for t in levels)} FROM o GROUP BY stratum),
+u AS (SELECT stratum, {strictest} AS strictest FROM (SELECT *, count(*) OVER () AS s FROM z)),
+b AS (SELECT v.*, coalesce(o.stratum, '') AS st, n_words < {q.min_words} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v LEFT JOIN o ON o.lang = v.lang AND o.stratum <> '')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(lev <= u.strictest, false) AS kept FROM b LEFT JOIN u ON u.stratum = b.st
+"""
+
+
+def _op5(q: LineSettings = LineSettings()) -> str:
+    bare = "trim({0}, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('+' || source, '') AS site, text FROM documents),
+l AS (SELECT r, site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+b AS (SELECT *, {bare.format("line")} AS t FROM l),
+g AS (SELECT t FROM b WHERE t <> '' GROUP BY t HAVING count(DISTINCT site) >= {q.min_sites}),
+a AS (SELECT r, count(*) FILTER (b.t <> '') AS n_lines, count(*) FILTER (g.t IS NOT NULL) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (g.t IS NULL) AS body FROM b LEFT JOIN g ON g.t = b.t GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN length(coalesce(body, '')) END AS kept_chars, CASE WHEN text IS NOT NULL THEN md5(coalesce(body, '')) END AS kept_md5
+FROM d LEFT JOIN a ON a.r = d.r
+"""
+
+
+ORACLES = {"op2_shards": OP2, "op4_quality": _op4(), "op5_boilerplate": _op5(), "op8_mixture": OP8}
