@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import ingest, records
+from . import ingest, records, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (ingest, records):
+for _part in (ingest, records, texts):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

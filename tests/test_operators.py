@@ -1,0 +1,148 @@
+"""Cases of single operators, and plain-Python twins of helpers."""
+
+import itertools
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusflow.functions import ids, text
+from corpusflow.operators import answers, chunking, evaluate, glossary, graph, privacy, search
+from corpusflow.settings import ChunkSettings, WalkSettings
+
+
+def one(spark, value, column):
+    return spark.createDataFrame([(value,)], "v string").select(column(F.col("v")).alias("r")).first()["r"]
+
+
+@pytest.mark.parametrize("value, want", [("1.1. Текст", "1.1"), ("1) текст", "1"), ("2 текст", None), ("26 702 руб", None), ("04.09.2026 г", None), ("2026. год", None), ("1.", None), ("", None)])
+def test_clause_numbers(spark, value, want):
+    assert one(spark, value, text.clause_number) == want
+    assert chunking.number_in(value) == want
+
+
+def test_text_functions(spark):
+    assert one(spark, "  x y ", text.strip) == "x y"
+    assert one(spark, "Первое. Второе; третье! 4 четвёртое\nпятое", text.sentences) == ["Первое.", "Второе; третье!", "4 четвёртое", "пятое"]
+    assert one(spark, " «ЁЖ;» ", text.normalize_term) == "еж" and one(spark, "Раздел 2. Термины", text.normalize_heading) == "термины"
+    assert one(spark, "[S1] 12:45 и 26,7 [2]", text.numbers_in) == ["12:45", "26,7"]
+    assert one(spark, "12:45 (уход) + 45 минут = 13:30; 1:00 + 5 мин = 1:06", text.computed_times) == ["13:30"]
+    assert one(spark, "true", text.int_or_null) is None and one(spark, " 7 ", text.int_or_null) == 7
+    assert str(one(spark, "2024-02-03T10:00:00Z", text.date_or_null)) == "2024-02-03" and one(spark, "2024-02-99", text.date_or_null) is None
+
+
+def test_ids(spark):
+    for name in ("a", "привет:3", ""):
+        assert one(spark, name, ids.uuid5) == str(uuid.uuid5(uuid.NAMESPACE_URL, name))
+
+
+def test_split_text_windows():
+    words = [f"w{i}" for i in range(300)]
+    sentences = [" ".join(words[i : i + 7]).capitalize() + "." for i in range(0, 300, 7)]
+    windows = chunking.split_text(" ".join(sentences), 40, 10)
+    assert all(len(w.split()) <= 40 for w in windows)
+    assert [s for s in sentences if not any(s in w for w in windows)] == []
+    for a, b in itertools.pairwise(windows):
+        shared = [s for s in sentences if s in a and s in b]
+        assert 10 <= sum(len(s.split()) for s in shared) < 20
+    assert chunking.split_text("short", 40, 10) == ["short"]
+    assert [len(w.split()) for w in chunking.split_text("x " * 100, 40, 10)][0] <= 40
+
+
+def test_split_table():
+    table = "| a | b |\n|---|---|\n" + "\n".join(f"| {i} | value number {i} |" for i in range(20)) + "\n| 99 | " + "long " * 60 + "|"
+    parts = chunking.split_table(table, 40)
+    assert all(len(p.split()) <= 40 for p in parts) and all(p.startswith(("| a | b |", "a: 99", "b: long", "long")) for p in parts)
+    assert any(p.startswith("a: 99") for p in parts) and any("b: long" in p for p in parts)
+
+
+def item(n, text, label="text", **more):
+    return {"seq": n, "depth": 1, "label": label, "text": text, "header_level": 1, "marker": None, "enumerated": False, "page_no": 1, "self_ref": f"#{n}"} | more
+
+
+def test_structural_chunks():
+    s = ChunkSettings(min_tokens=3)
+    items = [
+        item(0, "Правила", "title"), item(1, "1. Общие положения", "section_header", header_level=2), item(2, "1.1. Первый пункт правил здесь."), item(3, "1.2. Перечень:"), item(4, "первое;", "list_item"),
+        item(5, "второе.", "list_item"), item(6, "2. Контроль"), item(7, "Текст раздела."), item(8, "6. Режим\t14"), item(9, "Приложение № 1"), item(10, "Лист оповещения"), item(11, "1. Мастер смены"), item(12, "2. Инженер"),
+        item(13, "| a |\n|---|\n| 1 |", "table"),
+    ]
+    chunks = chunking.chunk_file(items, "sha", ("Файл",), s)
+    got = [(c["breadcrumbs"], c["clause"], c["body"]) for c in chunks]
+    # the only heading of the top level that starts the file is its title
+    assert got[0] == (["Файл", "Раздел 1. Общие положения", "п. 1.1"], "1.1", "1.1. Первый пункт правил здесь.")
+    assert got[1] == (["Файл", "Раздел 1. Общие положения", "п. 1.2"], "1.2", "1.2. Перечень:\nпервое;\nвторое.")
+    assert got[2][0] == ["Файл", "Раздел 1. Общие положения", "Раздел 2. Контроль"] and got[2][2] == "Текст раздела."
+    assert got[-1][2].startswith("| a |") and chunks[-1]["kind"] == "table" and "Приложение № 1. Лист оповещения" in got[-1][0][1]
+    parents = chunking.parents_of(chunks, "sha", s)
+    assert sorted(i for p in parents for i in p["item_refs"]) == sorted(c["chunk_id"] for c in chunks)
+    assert all(c["parent_id"] for c in chunks)
+    plain = chunking.chunk_file([item(0, "просто текст"), item(1, "ещё текст")], "sha", (), s)
+    assert [c["strategy"] for c in plain] == ["fixed"] and plain[0]["body"] == "просто текст\nещё текст"
+
+
+def test_parents_keep_the_budget():
+    chunks = [{"breadcrumbs": ["s"], "clause": None, "body": "w " * 400, "chunk_id": str(i), "section_key": "s", "heading": "s", "page_no": 1} for i in range(12)]
+    parents = chunking.parents_of(chunks, "sha", ChunkSettings(parent_max_tokens=1000))
+    assert len(parents) == 6 and [(p["part"], p["parts"]) for p in parents] == [(i + 1, 6) for i in range(6)]
+
+
+def test_walk_of_a_cycle(spark):
+    links = [("A", "B", 1), ("A", "C", 2), ("B", "A", 1), ("C", "D", 1), ("D", "E", 1), ("A", "A", 3), ("G", "E", 1), ("B", "X", 2)]
+    rows = spark.createDataFrame([(a, b, "outgoing", None, p) for a, b, p in links], "card_id string, other_id string, direction string, ref_type string, pos int")
+    cards = spark.createDataFrame([(c, "T") for c in "ABCDEG"], "card_id string, type_name string")
+    seeds = spark.createDataFrame([("A", 0), ("G", 1), ("A", 2)], "card_id string, pos int")
+    found = graph.walk(seeds, rows, cards, WalkSettings(max_depth=2, max_docs=100, directions=("outgoing",)))
+    assert {(r["card_id"], r["depth"], r["status"]) for r in found["nodes"].collect()} == {("A", 0, "card"), ("G", 0, "card"), ("B", 1, "card"), ("C", 1, "card"), ("E", 1, "card"), ("D", 2, "card"), ("X", 2, "error")}
+    assert {(r["card_id"], r["via_id"]) for r in found["entry_paths"].where("kind = 'link'").collect()} == {("B", "A"), ("C", "A"), ("A", "B"), ("D", "C"), ("E", "D"), ("E", "G"), ("X", "B")}
+    few = graph.walk(seeds, rows, cards, WalkSettings(max_depth=2, max_docs=3, directions=("outgoing",)))
+    assert [r["card_id"] for r in few["nodes"].orderBy("seq").collect()] == ["A", "G", "B"]
+    assert {(r["other_id"], r["reason"]) for r in few["skipped_links"].collect()} == {("C", "max_docs"), ("E", "max_docs"), ("X", "max_docs")}
+
+
+def test_percentile_and_verdicts(spark):
+    rows = spark.createDataFrame([("k", 1.0), ("k", 2.0), ("k", 3.0), ("k", 10.0), ("j", None)], "c string, v double")
+    assert [(r["n"], r["value"]) for r in evaluate.percentile_by(rows, ["c"], "v", 0.95).collect()] == [(4, 10.0)]
+    assert rows.agg(evaluate.nearest_rank(F.collect_list("v"), 0.5).alias("p")).first()["p"] == 2.0  # 2.5 rounds to the even rank
+    assert answers.judge_verdict('x {"correctness": 9, "statements": -1, "refusal": true} y') == (5, 0, 0, 0, 0, True, False, True)
+    assert answers.judge_verdict("nothing")[-1] is False and answers.first_object('{"a": "line\nbreak"} {"b": 1}') == {"a": "line\nbreak"}
+
+
+def test_claims_and_citations():
+    draft = "Отпуск длится 28 дней [S1]. Директор живёт в Москве [S2]. Уход в 12:45 + 45 минут = 13:30 [S3]."
+    done, corrected, emptied, actions = answers.remove_claims(draft, ["Директор живёт в Москве", "Уход в 12:45 + 45 минут = 13:30", "Совсем другое замечание про погоду и море"], 0.8, "ушёл в 12:45")
+    assert corrected and not emptied and actions == ["removed", "kept", "unmatched"] and "Москве" not in done and "28 дней" in done
+    assert answers.remove_claims("Только это предложение [S1].", ["Только это предложение"], 0.8)[1:] == (False, True, ["kept"])
+    assert answers.cite_text("Да [S1, D2], нет [S9]. D1 тут.\nСсылки:\n[S1] x", {"S1": "1", "D2": "2"}, {"D1": "Приказ №1"}) == "Да [1][2], нет . Приказ №1 тут."
+    assert answers.drop_empty_sections("Прямой ответ:\n\nДетали:\nтекст\n-\n") == "Детали:\nтекст"
+
+
+def test_glossary(spark):
+    body = "1) ПВТР — правила внутреннего распорядка;\nинформационно - справочные документы общества\n| ТН | транспортная накладная общества |\nВводка: нет\nсловосочетание из очень многих слов тут и там — определение длинное"
+    chunk = spark.createDataFrame([("c", body)], "chunk_id string, body string")
+    got = [(r["term_key"], r["definition"]) for r in glossary.candidates(chunk).orderBy("pos").collect()]
+    assert got == [("пвтр", "правила внутреннего распорядка"), ("тн", "транспортная накладная общества")]
+    assert glossary.like("документы", "документ", 0.75) and not glossary.like("лпу", "пу", 0.75) and glossary.like("средства защиты", "средства защиты работника", 0.75)
+    assert glossary.restored("что такое ПВТР и КОЭ", "что такое пвтр") == "что такое ПВТР КОЭ"
+
+
+def test_names(spark):
+    rows = spark.createDataFrame([(1, "Иванов И.И. и И.И. Иванов, Петрова А.Б."), (2, "Сидоров С.С."), (3, None)], "k int, t string")
+    got = {r["k"]: r["t"] for r in privacy.anonymize(rows, "k", "t").collect()}
+    assert got == {1: "Person 1 и Person 1, Person 2", 2: "Person 1", 3: None}
+
+
+def test_dense_search_is_exact(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(200)] + [(200, [0.0] * 5)]
+    table = spark.createDataFrame(rows, "chunk_id bigint, dense array<double>").repartition(5)
+    asked = table.where("chunk_id < 4").withColumnRenamed("chunk_id", "query_id")
+    norm = lambda v: sum(x * x for x in v) ** 0.5 or 1
+    score = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / norm(a) / norm(b), 6)
+    want = {(q, k) for q, v in rows[:4] for k in [k for _, k in sorted((-score(v, w), k) for k, w in rows)[:7]]}
+    assert {(r["query_id"], r["chunk_id"]) for r in search.dense_top(table, asked, 7).collect()} == want
+    from corpusflow.settings import SearchSettings
+
+    assert {(r["query_id"], r["chunk_id"]) for r in search.dense_top(table, asked, 7, SearchSettings(broadcast_queries=1)).collect()} == want
