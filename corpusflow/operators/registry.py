@@ -38,7 +38,7 @@ def vanished(plan: DataFrame, registry: DataFrame) -> DataFrame:
 
 def work_plan(classified: DataFrame, routes: DataFrame) -> DataFrame:
     """One row ``files_total, to_parse, model_files, unchanged, skipped``."""
-    met = classified.where("action <> 'vanished'").join(routes.select(*KEY, "route"), KEY, "left")
+    met = classified.where("action <> 'vanished'").join(routes.select(*KEY, "route").dropDuplicates(KEY), KEY, "left")
     parse = F.col("action") == "parse"
     return met.agg(
         F.count(F.lit(1)).alias("files_total"), F.count_if(parse).alias("to_parse"), F.count_if(parse & (F.col("route") == "model")).alias("model_files"),
