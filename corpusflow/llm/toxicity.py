@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import cut
+
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -91,7 +93,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: ToxicitySettin
     share = min(1.0, settings.sample_docs / max(1, known.count()))
     ring = 1 << 30
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(ring)) < math.ceil(share * ring))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
+    # the sample's size is bounded by its rate, so its ids may go to every task and no text is moved to meet them
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def select_words(sample: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> list[str]:
@@ -154,7 +157,7 @@ def fit(examples: list[tuple[list[int], int, list[list[int]]]], words: list[str]
 
 def train(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> ToxicityModel:
     """The model of a table. Only word numbers of the sampled documents reach the driver."""
-    sample = labelled_sample(docs, labels, settings)
+    sample = cut(labelled_sample(docs, labels, settings))
     words = select_words(sample, settings)
     number, swaps = {w: i for i, w in enumerate(words)}, settings.swaps
 
