@@ -180,8 +180,10 @@ def judge(measured: DataFrame, own: DataFrame, strictest: DataFrame, settings: Q
     named = measured.join(F.broadcast(own.withColumnRenamed("lang", "__lang")), F.col("lang") == F.col("__lang"), "left")
     named = named.withColumn("__stratum", F.coalesce("stratum", F.lit(""))).drop("stratum", "__lang")
     found = named.join(F.broadcast(strictest), F.col("__stratum") == F.col("stratum"), "left")
-    rejected = F.coalesce(F.col("level") <= F.col("strictest"), F.lit(False))
-    return found.withColumn("base_failed", base_failed(settings)).withColumn("kept", ~F.col("base_failed") & ~rejected).drop("stratum", "__stratum", "strictest")
+    # one comparison for both verdicts: a conjunction would be split and its first part measured again at the scan
+    rank = F.when(F.col("base_failed"), F.lit(-1)).otherwise(F.coalesce("level", F.lit(len(settings.symbols_per_word))))
+    kept = rank > F.coalesce("strictest", F.lit(-1))
+    return found.withColumn("base_failed", base_failed(settings)).withColumn("kept", kept).drop("stratum", "__stratum", "strictest")
 
 
 def assess(docs: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
