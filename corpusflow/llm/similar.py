@@ -83,22 +83,20 @@ def planes_of(prints: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def close_pairs(prints: np.ndarray, planes: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of (query, value) at most ``radius`` bits apart.
+def close_pairs(prints: np.ndarray, valid: np.ndarray, query: np.ndarray, lane: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``(query, value)`` at most ``radius`` bits apart, for given (query place, lane) blocks.
 
+    ``prints`` fills whole lanes of 64; ``valid`` has a bit for each place that holds a value.
     Counters of 64 values advance together as words, starting so that a carry out of the top
-    means "beyond the radius"; a (query, lane) block is abandoned once all its values are beyond.
+    means "beyond the radius"; a block is abandoned once all its values are beyond.
     """
+    planes = planes_of(prints)
     width = int(radius + 1).bit_length()
     start = (1 << width) - 1 - radius
-    lanes = planes.shape[1]
-    q, lane = (x.ravel() for x in np.meshgrid(np.arange(len(queries)), np.arange(lanes), indexing="ij"))
-    counters = [np.full(len(q), FULL if start >> i & 1 else 0, np.uint64) for i in range(width)]
-    beyond = np.zeros(len(q), np.uint64)
-    if len(prints) % 64:
-        beyond[lane == lanes - 1] = FULL << np.uint64(len(prints) % 64)
+    counters = [np.full(len(query), FULL if start >> i & 1 else 0, np.uint64) for i in range(width)]
+    beyond = ~valid[lane]
     for b in range(planes.shape[0]):
-        flip = np.uint64(0) - ((queries[q, b // 64] >> np.uint64(b % 64)) & np.uint64(1))
+        flip = np.uint64(0) - ((prints[query, b // 64] >> np.uint64(b % 64)) & np.uint64(1))
         carry = planes[b, lane] ^ flip
         for i in range(width):
             counters[i], carry = counters[i] ^ carry, counters[i] & carry
@@ -106,32 +104,57 @@ def close_pairs(prints: np.ndarray, planes: np.ndarray, queries: np.ndarray, rad
         if b % 16 == 15:
             alive = beyond != FULL
             if not alive.all():
-                q, lane, beyond, counters = q[alive], lane[alive], beyond[alive], [c[alive] for c in counters]
-                if not len(q):
+                query, lane, beyond, counters = query[alive], lane[alive], beyond[alive], [c[alive] for c in counters]
+                if not len(query):
                     break
     hits = np.unpackbits((~beyond).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     block, offset = np.nonzero(hits)
-    return q[block], lane[block] * 64 + offset
+    return query[block], lane[block] * 64 + offset
 
 
-def spanning_links(nodes: np.ndarray, prints: np.ndarray, radius: int, step: int = 128) -> list[tuple[int, int]]:
-    """Links ``(node, smallest node of its component here)`` that span the close pairs of one block."""
-    order = np.argsort(nodes, kind="stable")
-    nodes, prints = nodes[order], prints[order]
-    planes, parent = planes_of(prints), list(range(len(nodes)))
+def spanning_links(buckets: list[tuple[np.ndarray, np.ndarray]], radius: int, step: int = 100_000) -> list[tuple[int, int]]:
+    """Links ``(node, smallest node of its component here)`` that span the close pairs of some buckets ``(nodes, prints)``.
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for first in range(0, len(nodes), step):
-        a, b = close_pairs(prints, planes, prints[first : first + step], radius)
-        for x, y in zip((a + first).tolist(), b.tolist()):
-            if x < y and (x := root(x)) != (y := root(y)):
+    Buckets are laid out side by side: one of up to 64 prints lies in a single lane, which it may
+    share with others, so that many small buckets are compared in one pass over the planes. A
+    pair from two buckets that happen to share a lane is as close as any other.
+    """
+    places, at = [], 0
+    for nodes, _ in buckets:
+        n = len(nodes)
+        at = at if at % 64 + n <= 64 else -(-at // 64) * 64
+        places.append(at)
+        at += n
+    lanes = -(-at // 64)
+    words = buckets[0][1].shape[1]
+    prints, own = np.zeros((lanes * 64, words), np.uint64), np.zeros(lanes * 64, np.int64)
+    filled = np.zeros(lanes * 64, np.uint8)
+    query, lane = [], []
+    for (nodes, values), p in zip(buckets, places):
+        n = len(nodes)
+        prints[p : p + n], own[p : p + n], filled[p : p + n] = values, nodes, 1
+        first, last = p // 64, (p + n - 1) // 64
+        mine = np.arange(p, p + n)
+        for one in range(first, last + 1):
+            before = mine[mine < (one + 1) * 64]  # each pair once, from its earlier lane
+            query.append(before)
+            lane.append(np.full(len(before), one))
+    valid = np.packbits(filled.reshape(-1, 8), axis=1, bitorder="little").reshape(-1).view(np.uint64)
+    query, lane = np.concatenate(query), np.concatenate(lane)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for k in range(0, len(query), step):
+        a, b = close_pairs(prints, valid, query[k : k + step], lane[k : k + step], radius)
+        for x, y in {*zip(own[a].tolist(), own[b].tolist())}:
+            if x != y and (x := root(x)) != (y := root(y)):
                 parent[max(x, y)] = min(x, y)
-    return [(int(nodes[i]), int(nodes[r])) for i in range(len(nodes)) if (r := root(i)) != i]
+    return [(x, r) for x in list(parent) if (r := root(x)) != x]
 
 
 def sketches(docs: DataFrame, settings: SimilarSettings) -> DataFrame:
@@ -171,10 +194,15 @@ def similar_links(nodes: DataFrame, settings: SimilarSettings) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
+            held, rows_held = [], 0
             for own, prints in zip(batch["nodes"], batch["prints"]):
-                found += spanning_links(np.asarray(own, np.int64), np.asarray(prints, np.int64).view(np.uint64).reshape(-1, words), radius)
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                held.append((np.asarray(own, np.int64), np.asarray(prints, np.int64).view(np.uint64).reshape(-1, words)))
+                rows_held += len(own)
+                if rows_held >= 8192:
+                    yield pd.DataFrame(spanning_links(held, radius), columns=["a", "b"], dtype="int64")
+                    held, rows_held = [], 0
+            if held:
+                yield pd.DataFrame(spanning_links(held, radius), columns=["a", "b"], dtype="int64")
 
     return rows.mapInPandas(compare, "a bigint, b bigint").distinct()
 

@@ -416,9 +416,19 @@ def test_bit_sliced_distances():
     assert got == {(i, j) for i in range(200) for j in range(200) if int(values[i] ^ values[j]).bit_count() <= 2}
     prints = rng.integers(0, 1 << 63, (130, 4), dtype=np.uint64)
     prints[60:] = prints[:70] ^ np.uint64(0x1111)
-    a, b = similar.close_pairs(prints, similar.planes_of(prints), prints, 40)
     far = lambda i, j: sum(int(x).bit_count() for x in prints[i] ^ prints[j])
-    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in range(130) for j in range(130) if far(i, j) <= 40}
+    close = {(i, j) for i in range(130) for j in range(130) if far(i, j) <= 40}
+    padded, valid = np.zeros((192, 4), np.uint64), np.array([(1 << 64) - 1, (1 << 64) - 1, 3], np.uint64)
+    padded[:130] = prints
+    q, lane = (x.ravel() for x in np.meshgrid(np.arange(130), np.arange(3), indexing="ij"))
+    a, b = similar.close_pairs(padded, valid, q, lane, 40)
+    assert set(zip(a.tolist(), b.tolist())) == close
+    nodes = np.arange(130) + 1000
+    whole = similar.spanning_links([(nodes, prints)], 40)
+    cut = similar.spanning_links([(nodes[i : i + 7], prints[i : i + 7]) for i in range(0, 130, 7)] + [(nodes, prints)], 40, step=50)
+    want = brute_components(nodes.tolist(), [sum(int(x) << 64 * k for k, x in enumerate(p)) for p in prints], 40)
+    for got in (dict(whole), dict(cut)):
+        assert [got.get(n, n) for n in nodes.tolist()] == want
 
 
 def test_similar_groups(spark, odd, none):
