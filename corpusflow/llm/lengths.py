@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .base import cut
+
 # Fixed value: the splitting pattern that belongs to the byte-level vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -59,7 +61,7 @@ def length_histogram(counted: DataFrame, settings: LengthSettings = LengthSettin
     smallest length with ``docs_up_to >= q * total`` is the q-quantile. Rows are added up by blocks
     of lengths, then inside each block. An empty table gives no rows.
     """
-    bars = counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")).withColumn("block", F.floor(F.col("n_tokens") / settings.block))
+    bars = cut(counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))).withColumn("block", F.floor(F.col("n_tokens") / settings.block))
     blocks = bars.groupBy("block").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("t"))
     order = Window.partitionBy(F.lit(0)).orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
