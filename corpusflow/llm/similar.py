@@ -1,11 +1,12 @@
-"""Near-duplicates at a similarity, by wide SimHash and bit-sliced comparison.
-
-For a set similarity s of shingles the expected share of differing SimHash bits is
-``acos(2 s / (1 + s)) / pi`` or less. A radius of some bits of a 64-bit print tells that poorly, so prints
-here have several words. A radius that wide can't be met by agreeing blocks; documents are bucketed
-by anchors instead, the smallest shingle hash of each of several permutations, of which a similar pair
-shares at least one with near certainty (1 - (1 - s)**anchors). In a bucket all distances are counted
-on bit planes, as in ``simhash``.
+"""Near-duplicates at a similarity, by wide SimHash and bit-sliced comparison, then exact Jaccard.
+
+Documents are bucketed by anchors, the smallest shingle hash of each of several permutations, of which
+a similar pair shares at least one with near certainty (1 - (1 - s)**anchors). In a bucket all
+distances of prints are counted on bit planes, as in ``simhash``. For a set similarity s of shingles
+the expected share of differing SimHash bits is ``acos(2 s / (1 + s)) / pi`` or less; the radius lies
+some standard deviations beyond, so that a print only tells which documents are worth a look. The
+shingle sets of those are then compared as they are, bucket by bucket, and a link is a pair whose
+Jaccard similarity reaches s.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ class SimilarSettings:
     similarity: float = 0.8
     words: int = 4  # of 64 bits
     anchors: int = 8
-    slack: float = 0.5  # standard deviations of a distance that are added to the expected one
+    slack: float = 5.0  # standard deviations of a distance that are added to the expected one; small sets spread more than large ones
     block: int = 2048  # prints of one bucket that are compared in a block; larger buckets are cut into blocks
+    set_hashes: int = 500_000  # shingle hashes, about, of one bucket that are compared in a block
+    broadcast_texts: int = 4_000_000  # keys of texts to look at up to which they are sent to every task
     seed: int = 42
 
     @property
@@ -51,8 +54,8 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sketch(text: str | None, settings: SimilarSettings) -> tuple[np.ndarray, np.ndarray] | None:
-    """Print and anchors of a text's distinct shingles; None without words."""
+def shingle_hashes(text: str | None, settings: SimilarSettings) -> np.ndarray | None:
+    """Sorted hashes of a text's distinct shingles; None without words."""
     parts = text.encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER).split() if text else []
     if not parts:
         return None
@@ -62,7 +65,11 @@ def sketch(text: str | None, settings: SimilarSettings) -> tuple[np.ndarray, np.
         at += len(part) + 1
         ends.append(at)
     starts = [0, *[e + 1 for e in ends[:-1]]]
-    hashes = np.unique(np.fromiter((digest(joined[a:b], settings.seed) for a, b in zip(starts, ends[k - 1 :])), np.uint64))
+    return np.unique(np.fromiter((digest(joined[a:b], settings.seed) for a, b in zip(starts, ends[k - 1 :])), np.uint64))
+
+
+def sketch(hashes: np.ndarray, settings: SimilarSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Print and anchors of a set of shingle hashes."""
     anchors = np.array([mixed(hashes, 101 + i).min() for i in range(settings.anchors)], np.uint64)
     print_ = np.zeros(settings.words, np.uint64)
     for word in range(settings.words):
@@ -157,52 +164,179 @@ def spanning_links(buckets: list[tuple[np.ndarray, np.ndarray]], radius: int, st
     return [(x, r) for x in list(parent) if (r := root(x)) != x]
 
 
+def close_members(buckets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], radius: int, step: int = 20_000) -> list[np.ndarray]:
+    """For each bucket ``(prints, earlier anchors, nodes)`` the places that have a close one here first.
+
+    A pair counts in the first of its common buckets only, that is if no earlier anchor agrees.
+    Buckets are laid out as in ``spanning_links``.
+    """
+    places, at = [], 0
+    for values, _, _ in buckets:
+        n = len(values)
+        at = at if at % 64 + n <= 64 else -(-at // 64) * 64
+        places.append(at)
+        at += n
+    lanes, wide = -(-at // 64), max(e.shape[1] for _, e, _ in buckets)
+    prints, filled = np.zeros((lanes * 64, buckets[0][0].shape[1]), np.uint64), np.zeros(lanes * 64, np.uint8)
+    own, bucket = np.zeros(lanes * 64, np.int64), np.full(lanes * 64, -1)
+    earlier, asked = np.zeros((lanes * 64, wide), np.int64), np.zeros((lanes * 64, wide), bool)
+    query, lane = [], []
+    for k, ((values, before, nodes), p) in enumerate(zip(buckets, places)):
+        n, w = len(values), before.shape[1]
+        prints[p : p + n], own[p : p + n], bucket[p : p + n], filled[p : p + n] = values, nodes, k, 1
+        earlier[p : p + n, :w], asked[p : p + n, :w] = before, True
+        mine = np.arange(p, p + n)
+        for one in range(p // 64, (p + n - 1) // 64 + 1):
+            first = mine[mine < (one + 1) * 64]
+            query.append(first)
+            lane.append(np.full(len(first), one))
+    valid = np.packbits(filled.reshape(-1, 8), axis=1, bitorder="little").reshape(-1).view(np.uint64)
+    query, lane = np.concatenate(query), np.concatenate(lane)
+    met = np.zeros(lanes * 64, bool)
+    for k in range(0, len(query), step):
+        a, b = close_pairs(prints, valid, query[k : k + step], lane[k : k + step], radius)
+        right = (bucket[a] == bucket[b]) & (own[a] != own[b])
+        a, b = a[right], b[right]
+        for i in range(wide):
+            fresh = ~(asked[a, i] & (earlier[a, i] == earlier[b, i]))
+            a, b = a[fresh], b[fresh]
+        met[a] = met[b] = True
+    return [np.flatnonzero(met[p : p + len(values)]) for (values, _, _), p in zip(buckets, places)]
+
+
+def exact_links(nodes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that span the pairs of Jaccard ``similarity`` or more, for sets laid end to end in ``hashes``.
+
+    Each set is compared with all later ones that it isn't linked to yet.
+    """
+    found, label = [], np.arange(len(nodes))
+    numbers = np.unique(hashes, return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    seen = np.zeros(len(hashes), bool)
+    for i in range(len(nodes) - 1):
+        later, n = sizes[i + 1 :], sizes[i]
+        open_ = (label[i + 1 :] != label[i]) & (np.minimum(later, n) / np.maximum(later, n) >= similarity)
+        if not open_.any():
+            continue
+        mine, first = numbers[starts[i] : starts[i] + n], starts[i + 1]
+        seen[mine] = True
+        shared = np.add.reduceat(seen[numbers[first:]], starts[i + 1 :] - first, dtype=np.int64)
+        seen[mine] = False
+        for j in np.flatnonzero(open_ & (shared / (later + n - shared) >= similarity)) + i + 1:
+            if label[j] != label[i]:
+                found.append((int(nodes[i]), int(nodes[j])))
+                label[label == label[j]] = label[i]
+    return found
+
+
 def sketches(docs: DataFrame, settings: SimilarSettings) -> DataFrame:
-    """``doc_id, node, print, anchors``; node tells prints apart. Texts without words have none of the three."""
+    """``doc_id, key, node, size, print, anchors``; node tells shingle sets apart, key texts. Texts without words have only a key."""
 
-    @F.pandas_udf("print array<bigint>, anchors array<bigint>")
+    @F.pandas_udf("node bigint, size int, print array<bigint>, anchors array<bigint>")
     def make(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            found = [sketch(t, settings) for t in batch]
-            yield pd.DataFrame({
-                "print": [None if s is None else s[0].view(np.int64) for s in found],
-                "anchors": [None if s is None else s[1].view(np.int64) for s in found],
-            })
-
-    made = docs.select("doc_id", make("text").alias("s")).select("doc_id", "s.print", "s.anchors")
-    return made.withColumn("node", F.when(F.col("print").isNotNull(), F.xxhash64("print")))
+            rows = []
+            for text in batch:
+                hashes = shingle_hashes(text, settings)
+                if hashes is None:
+                    rows.append((None, None, None, None))
+                    continue
+                print_, anchors = sketch(hashes, settings)
+                node = np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), settings.seed)).astype(np.int64)
+                rows.append((node, len(hashes), print_.view(np.int64), anchors.view(np.int64)))
+            node, size, prints, anchors = zip(*rows) if rows else ((), (), (), ())
+            yield pd.DataFrame({"node": pd.array(node, "Int64"), "size": pd.array(size, "Int32"), "print": list(prints), "anchors": list(anchors)})
+
+    made = docs.select("doc_id", F.xxhash64("text").alias("key"), make("text").alias("s"))
+    return made.select("doc_id", "key", "s.node", "s.size", "s.print", "s.anchors")
+
+
+def block_groups(rows: DataFrame, cuts: DataFrame, *keep: str) -> DataFrame:
+    """``rows`` of buckets, each bucket cut into ``blocks`` by node and dealt so that every two blocks meet in a group ``g``."""
+    joined = rows.join(cuts, ["part", "bucket"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")),
+    )
+    return joined.select("part", "bucket", *keep, F.explode(others).alias("g"))
 
 
-def similar_links(nodes: DataFrame, settings: SimilarSettings) -> DataFrame:
-    """``(a, b)`` links from distinct ``(node, print, anchors)``.
+def candidates(nodes: DataFrame, settings: SimilarSettings) -> DataFrame:
+    """``part, bucket, node, size`` of the nodes that have a close print in a bucket which is the first that both are in.
 
     Buckets of up to ``block`` prints are compared at once. A larger one is cut into blocks by
     node, and every pair of its blocks is compared in a group of its own, so no group outgrows
     two blocks and no pair of the bucket is left out.
     """
     radius, words = settings.radius, settings.words
-    dealt = nodes.select("node", "print", F.posexplode("anchors").alias("part", "key"))
-    sizes = dealt.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cuts = sizes.withColumn("blocks", F.ceil(F.col("n") / settings.block).cast("int")).drop("n")
-    joined = dealt.join(cuts, ["part", "key"]).withColumn("own", F.pmod("node", F.col("blocks")).cast("int"))
-    others = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")),
-    )
-    groups = joined.select("part", "key", "node", "print", F.explode(others).alias("g")).groupBy("part", "key", "g")
-    rows = groups.agg(F.collect_list(F.struct("node", "print")).alias("rows")).where(F.size("rows") > 1).select(F.col("rows.node").alias("nodes"), F.flatten("rows.print").alias("prints"))
+    dealt = nodes.select("node", "size", "print", F.posexplode("anchors").alias("part", "bucket"), "anchors").withColumn("anchors", F.expr("slice(anchors, 1, part)"))
+    counts = dealt.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cuts = counts.withColumn("blocks", F.ceil(F.col("n") / settings.block).cast("int")).drop("n")
+    groups = block_groups(dealt, cuts, "node", "size", "print", "anchors").groupBy("part", "bucket", "g")
+    rows = groups.agg(F.collect_list(F.struct("node", "size", "print", "anchors")).alias("rows")).where(F.size("rows") > 1)
+    rows = rows.select("part", "bucket", F.col("rows.node").alias("nodes"), F.col("rows.size").alias("sizes"), F.flatten("rows.print").alias("prints"), F.flatten("rows.anchors").alias("earlier"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def members(held: list[tuple]) -> pd.DataFrame:
+            places = close_members([h[3:] for h in held], radius)
+            return pd.DataFrame({
+                "part": np.repeat([h[0] for h in held], [len(p) for p in places]),
+                "bucket": np.repeat(np.array([h[1] for h in held], np.int64), [len(p) for p in places]),
+                "node": np.concatenate([h[5][p] for h, p in zip(held, places)]),
+                "size": np.concatenate([h[2][p] for h, p in zip(held, places)]),
+            })
+
         for batch in batches:
             held, rows_held = [], 0
-            for own, prints in zip(batch["nodes"], batch["prints"]):
-                held.append((np.asarray(own, np.int64), np.asarray(prints, np.int64).view(np.uint64).reshape(-1, words)))
+            for part, bucket, own, sizes, prints, earlier in batch.itertuples(index=False):
+                values = np.asarray(prints, np.int64).view(np.uint64).reshape(-1, words)
+                before = np.asarray(earlier, np.int64).reshape(len(own), -1)
+                held.append((part, bucket, np.asarray(sizes, np.int64), values, before, np.asarray(own, np.int64)))
                 rows_held += len(own)
                 if rows_held >= 8192:
-                    yield pd.DataFrame(spanning_links(held, radius), columns=["a", "b"], dtype="int64")
+                    yield members(held)
                     held, rows_held = [], 0
             if held:
-                yield pd.DataFrame(spanning_links(held, radius), columns=["a", "b"], dtype="int64")
+                yield members(held)
+
+    return rows.mapInPandas(compare, "part int, bucket bigint, node bigint, size int").distinct()
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, settings: SimilarSettings) -> DataFrame:
+    """``node, hashes``: the shingle hashes of ``wanted`` (node, key, doc_id), made anew from the texts."""
+
+    @F.pandas_udf("array<bigint>")
+    def make(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([shingle_hashes(t, settings).view(np.int64) for t in batch], dtype=object)
+
+    few = wanted.count() <= settings.broadcast_texts
+    named = wanted.select("node", F.col("key").alias("__key"), F.col("doc_id").alias("__id"))
+    same = (F.xxhash64("text") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    found = docs.select("doc_id", "text").join(F.broadcast(named) if few else named, same)
+    return found.select("node", make("text").alias("hashes")).groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, settings: SimilarSettings) -> DataFrame:
+    """``(a, b)`` links of Jaccard ``similarity`` or more, from distinct ``(node, size, print, anchors, key, doc_id)``.
+
+    The links' components are those of all such pairs that share an anchor and are close in
+    print. Buckets whose candidates hold many hashes are compared in pairs of blocks too.
+    """
+    members = cut(candidates(nodes, settings))
+    sets = sets_of(docs, cut(members.select("node").distinct().join(nodes.select("node", "key", "doc_id"), "node")), settings)
+    hashes = members.groupBy("part", "bucket").agg(F.sum("size").alias("n"))
+    cuts = hashes.withColumn("blocks", F.ceil(F.col("n") / settings.set_hashes).cast("int")).drop("n")
+    groups = block_groups(members.join(sets, "node"), cuts, "node", "hashes").groupBy("part", "bucket", "g")
+    rows = groups.agg(F.collect_list(F.struct("node", "hashes")).alias("rows")).where(F.size("rows") > 1)
+    rows = rows.select(F.col("rows.node").alias("nodes"), F.transform("rows.hashes", lambda h: F.size(h)).alias("sizes"), F.flatten("rows.hashes").alias("hashes"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, sizes, flat in batch.itertuples(index=False):
+                found = exact_links(np.asarray(own, np.int64), np.asarray(sizes, np.int64), np.asarray(flat, np.int64), settings.similarity)
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.mapInPandas(compare, "a bigint, b bigint").distinct()
 
@@ -215,9 +349,11 @@ def similar_groups(docs: DataFrame, settings: SimilarSettings = SimilarSettings(
     own to name. An empty table gives no rows.
     """
     made = cut(sketches(docs, settings))
-    nodes = cut(made.where("node is not null").groupBy("node").agg(F.first("print").alias("print"), F.first("anchors").alias("anchors"), F.min("doc_id").alias("first_id")))
-    linked = components(similar_links(nodes, settings), "a", "b")
-    firsts = nodes.select("node", "first_id")
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("pick")
+    firsts_of = made.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "print", "anchors")], pick)
+    nodes = cut(firsts_of.select("node", "size", "print", "anchors", "pick.doc_id", "pick.key"))
+    linked = components(similar_links(docs, nodes, settings), "a", "b")
+    firsts = nodes.select("node", F.col("doc_id").alias("first_id"))
     ids = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).join(firsts, "node")
     lowest = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = ids.select("node", "root").join(lowest, "root").select("node", "component_id")

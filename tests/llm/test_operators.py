@@ -445,3 +445,28 @@ def test_similar_groups(spark, odd, none):
     kept = similar.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, *range(5, 26)]
     assert {r["doc_id"] for r in similar.keep_first(odd).collect()} == {None, 1, 2, 3, 4, 5, 6} and similar.keep_first(none).count() == 0
+
+
+def test_similar_groups_like_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
+    jaccard = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    texts = []
+    for _ in range(60):  # pairs on both sides of 0.8, of equal and of unequal lengths
+        base = [word() for _ in range(rng.choice((8, 30, 150, 300)))]
+        share = rng.uniform(0.72, 0.88)
+        own = round(len(base) * (1 - share) / (1 + share))
+        other = [word() for _ in range(own)] + base[own:] if rng.random() < 0.6 else base[: round(len(base) * share)]
+        texts += [" ".join(base), " ".join(other)]
+    centre = [word() for _ in range(300)]  # near copies of one text which are less alike among themselves
+    texts += [" ".join(centre[:i] + [word() for _ in range(26)] + centre[i + 26 :]) for i in range(0, 260, 40)] + [" ".join(centre)]
+    found = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert 20 < len(found) < 60 and sum(0.8 <= jaccard(texts[i], texts[j]) < 0.84 for i, j in found) > 8
+    low = list(range(len(texts)))
+    for i, j in found * len(texts):
+        low[i] = low[j] = min(low[i], low[j])
+    docs = spark.createDataFrame(rows_of(*texts), SCHEMA)
+    for settings in (similar.SimilarSettings(), similar.SimilarSettings(block=2, set_hashes=400, broadcast_texts=0)):
+        got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs, settings).collect()}
+        assert [got[i] for i in range(len(texts))] == low
