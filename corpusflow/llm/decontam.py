@@ -2,9 +2,14 @@
 
 Numbers, units and names are replaced by typed placeholders that keep their value aside. Windows of
 template tokens are joined by hash with the benchmark's, so a question whose parameters were changed
-still matches. The values then decide: within a document and an item, each benchmark value must
-stand for one and the same document value wherever the windows overlap, as it does in a question
-asked anew and does not where two texts merely share a form.
+still matches. The values then decide: wherever an item lies along a document at one and the same
+offset, each benchmark value must stand for one and the same document value, as it does in a question
+asked anew and does not where two texts merely share a form. A document that holds an item several
+times, or several items of one template, is judged for each on its own.
+
+A capitalised word that opens a sentence may be a name or not, so windows with one are taken both
+ways. Windows are also compared literally, without placeholders; an equal one is a copy, however
+many numbers it has.
 """
 
 from __future__ import annotations
@@ -26,19 +31,20 @@ MARK, END = "\x01", "\x02"
 class DecontamSettings:
     window: int = 8  # template tokens
     shortest: int = 4  # items of fewer tokens can't be told from chance and match nothing
-    literal: float = 0.5  # share of a window's tokens that must be literal
+    literal: float = 0.5  # share of a window's tokens that must be literal, where placeholders are compared
     broadcast_windows: int = 2_000_000  # benchmark windows up to which they are sent to every task
 
 
 def template_tokens(text: Column) -> Column:
     """Tokens of a text; a placeholder is ``\\x01type\\x02value``, other tokens are runs of lower-case letters and digits.
 
-    A name is a capitalised word inside a sentence (after a letter, digit, comma or semicolon and
-    one space); a unit follows a number; each run of digits that is a word of its own is a number.
+    A name (type ``n``) is a capitalised word inside a sentence (after a letter, digit, comma or
+    semicolon and one space); any other capitalised word is an opening (``o``); a unit follows a number; each run of digits that is a word of its own is a number.
     Patterns begin with what is rare, and those on numbers run only where there are digits.
     """
     t = F.when(text.rlike("[\x01\x02]"), F.regexp_replace(text, "[\x01\x02]", " ")).otherwise(text)
     t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{L}\p{N},;]\x20)(\p{Lu}\p{Ll}+)", f"{MARK}n{END}$1")
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}_{END}])(\p{{Lu}}\p{{Ll}}+)", f"{MARK}o{END}$1")
 
     def numbers(x: Column) -> Column:
         x = F.regexp_replace(x, rf"(?<=\p{{N}})\x20?({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}u{END}$1")
@@ -48,10 +54,16 @@ def template_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}\x01\x02]+"), lambda x: x != "")
 
 
+OPENING, NAME = f"{MARK}o", f"{MARK}n"
+
+
 def slots_of(tokens: Column) -> Column:
-    """``array<struct<at, value>>`` of the placeholders."""
-    found = F.transform(tokens, lambda t, i: F.when(t.startswith(MARK), F.struct(i.alias("at"), F.substring_index(t, END, -1).alias("value"))))
-    return F.filter(found, lambda s: s.isNotNull())
+    """``array<struct<at, opening, value>>`` of the placeholders and openings."""
+
+    def slot(t: Column, i: Column) -> Column:
+        return F.when(t.startswith(MARK), F.struct(i.alias("at"), t.startswith(OPENING).alias("opening"), F.substring_index(t, END, -1).alias("value")))
+
+    return F.filter(F.transform(tokens, slot), lambda s: s.isNotNull())
 
 
 def hashes_of(tokens: Column) -> Column:
@@ -64,80 +76,106 @@ def windows_of(hashes: Column, width: int) -> Column:
     return F.when(F.size(hashes) >= width, many).otherwise(F.array().cast("array<bigint>"))
 
 
-def slots_in(slots: Column, at: Column, width: int) -> Column:
-    inside = F.filter(slots, lambda s: (s["at"] >= at) & (s["at"] < at + width))
-    return F.transform(inside, lambda s: s["value"])
+def slots_in(slots: Column, at: Column, width: Column, kind: Column) -> Column:
+    """The slots of a window of some kind: 0 without openings, 1 with them, 2 none, as it is literal."""
+    return F.filter(slots, lambda s: (s["at"] >= at) & (s["at"] < at + width) & (kind < 2) & ((kind == 1) | ~s["opening"]))
 
 
 def _parsed(rows: DataFrame, *keep: str) -> DataFrame:
-    """``slots`` and token ``hashes`` of texts; only texts with a placeholder are searched for them."""
+    """``slots`` of texts and token hashes: ``hashes`` with openings as words, ``named`` with openings as names, ``literal``.
+
+    ``named`` and ``literal`` are null where they equal ``hashes``.
+    """
 
     def both(tokens: Column) -> Column:
-        types = F.transform(tokens, lambda t: F.substring_index(t, END, 1))
-        plain = F.struct(F.array().cast("array<struct<at:int,value:string>>").alias("slots"), hashes_of(tokens).alias("hashes"))
-        marked = F.struct(slots_of(tokens).alias("slots"), hashes_of(types).alias("hashes"))
-        return F.when(F.exists(tokens, lambda t: t.startswith(MARK)), marked).otherwise(plain)
+        value = lambda t: F.substring_index(t, END, -1)
+        kind = lambda t: F.substring_index(t, END, 1)
+        words = F.transform(tokens, lambda t: F.when(t.startswith(OPENING), value(t)).otherwise(kind(t)))
+        names = F.transform(tokens, lambda t: F.when(t.startswith(OPENING), F.lit(NAME)).otherwise(kind(t)))
+        opens = F.exists(tokens, lambda t: t.startswith(OPENING))
+        typed = F.exists(tokens, lambda t: t.startswith(MARK) & ~t.startswith(OPENING))
+        return F.struct(
+            slots_of(tokens).alias("slots"),
+            hashes_of(words).alias("hashes"),
+            F.when(opens, hashes_of(names)).alias("named"),
+            F.when(typed, hashes_of(F.transform(tokens, value))).alias("literal"),
+        )
 
     found = rows.select(*keep, let(template_tokens(body()), both).alias("f"))
-    return found.select(*keep, "f.slots", "f.hashes")
+    return found.select(*keep, "f.slots", "f.hashes", "f.named", "f.literal")
 
 
 def _windows(parsed: DataFrame, widths: list[int], *keep: str) -> DataFrame:
-    """One row per window: ``keep``, ``slots`` of the whole text, ``width, at, window``."""
-    parts = [
-        parsed.select(*keep, "slots", F.size("hashes").alias("n"), F.posexplode(windows_of(F.col("hashes"), w)).alias("at", "window")).withColumn("width", F.lit(w))
-        for w in widths
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    """One row per window and kind that differs: ``keep``, ``slots`` of the whole text, ``n, width, at, kind, window``."""
+
+    def kinds(w: Column, i: Column) -> Column:
+        one = lambda kind, c: F.struct(i.alias("at"), F.lit(kind).alias("kind"), w[c].alias("window"))
+        return F.array(one(0, "a"), F.when(w["b"] != w["a"], one(1, "b")), F.when(w["c"] != w["a"], one(2, "c")))
+
+    def part(width: int) -> DataFrame:
+        none = F.array().cast("array<bigint>")
+        found = [F.when(F.col(c).isNotNull(), windows_of(F.col(c), width)).otherwise(none).alias(short) for c, short in (("hashes", "a"), ("named", "b"), ("literal", "c"))]
+        each = F.flatten(F.transform(F.arrays_zip(*found), kinds))
+        rows = parsed.select(*keep, "slots", F.size("hashes").alias("n"), F.explode(each).alias("w")).where("w is not null")
+        return rows.select(*keep, "slots", "n", F.lit(width).alias("width"), "w.at", "w.kind", "w.window")
+
+    out = part(widths[0])
+    for width in widths[1:]:
+        out = out.unionByName(part(width))
     return out
 
 
 def benchmark_windows(benchmark: DataFrame, settings: DecontamSettings) -> tuple[DataFrame, list[int]]:
-    """``(width, window, item_id, b_slots)``, one row per distinct window, and the widths in use.
+    """``(width, window, item_id, b_at, b_slots)``, one row per window of each item, and the widths in use.
 
-    An item shorter than the window is one window of its own length. A window of several items
-    stands for the first of them, so a phrase that items share multiplies nothing.
+    An item shorter than the window is one window of its own length. A window that recurs, in an
+    item or in several, has a row for each place, as each may tell another story of the values.
     """
     parsed = cut(_parsed(benchmark.where("item_id is not null"), "item_id"))
     short = parsed.select(F.size("hashes").alias("n")).where(F.col("n").between(settings.shortest, settings.window - 1)).distinct()
     widths = [settings.window, *sorted(r["n"] for r in short.collect())]  # at most window - shortest + 1 numbers
     rows = _windows(parsed, widths, "item_id").where((F.col("width") == settings.window) | (F.col("n") == F.col("width")))
-    valued = rows.withColumn("b_slots", F.transform(F.filter("slots", lambda s: (s["at"] >= F.col("at")) & (s["at"] < F.col("at") + F.col("width"))), lambda s: s["value"]))
+    valued = rows.withColumn("b_slots", slots_in(F.col("slots"), F.col("at"), F.col("width"), F.col("kind")))
     rich = valued.where(F.size("b_slots") <= F.col("width") * (1 - settings.literal))
-    first = rich.groupBy("width", "window").agg(F.min(F.struct("item_id", "at", "b_slots")).alias("f"))
-    return cut(first.select("width", "window", "f.item_id", "f.b_slots")), widths
+    return cut(rich.select("width", "window", "item_id", F.col("at").alias("b_at"), "b_slots").distinct()), widths
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = DecontamSettings()) -> DataFrame:
     """``__row, __id, n_windows, n_items, item_id, kind`` of the contaminated rows of ``docs``.
 
-    ``item_id`` is the smallest leaked item and ``kind`` is ``verbatim`` if all values of some
-    leaked item agree, else ``parameters``. Null and empty texts, and null item ids, match
-    nothing; an empty benchmark or table gives no rows; rows equal in doc_id and text share one.
+    An item leaks where it lies along the document at some offset with an equal literal window, or
+    with values that agree, be it without the windows that take an opening for a name.
+    ``n_windows`` counts the document's windows in such places, ``item_id`` is the smallest leaked
+    item and ``kind`` is ``verbatim`` if all values of some such place are the same, else
+    ``parameters``. Null and empty texts, and null item ids, match nothing; an empty benchmark or
+    table gives no rows; rows equal in doc_id and text share one.
     """
     known, widths = benchmark_windows(benchmark, settings)
     few = known.count() <= settings.broadcast_windows
     parsed = _parsed(docs.select("doc_id", "text", row_hash().alias("__row")), "doc_id", "__row")
     hits = _windows(parsed, widths, "doc_id", "__row").drop("n").join(F.broadcast(known) if few else known, ["width", "window"])
-    d_slots = F.transform(F.filter("slots", lambda s: (s["at"] >= F.col("at")) & (s["at"] < F.col("at") + F.col("width"))), lambda s: s["value"])
-    pairs = F.transform(F.arrays_zip("b_slots", "d_slots"), lambda p: F.struct(p["b_slots"].alias("b"), p["d_slots"].alias("d")))
-    by_item = (
-        hits.withColumn("d_slots", d_slots)
-        .groupBy("__row", F.col("doc_id").alias("__id"), "item_id")
+    hits = hits.withColumn("d_slots", slots_in(F.col("slots"), F.col("at"), F.col("width"), F.col("kind")))
+    opens = F.exists("b_slots", lambda s: s["opening"]) | F.exists("d_slots", lambda s: s["opening"])
+    pairs = F.transform(F.arrays_zip("b_slots", "d_slots"), lambda p: F.struct(p["b_slots"]["value"].alias("b"), p["d_slots"]["value"].alias("d")))
+    places = (
+        hits.select("__row", F.col("doc_id").alias("__id"), "item_id", (F.col("at") - F.col("b_at")).alias("offset"), "width", "at", pairs.alias("pairs"), opens.alias("opens"))
+        .groupBy("__row", "__id", "item_id", "offset")
         .agg(
-            F.count(F.lit(1)).alias("windows"),
-            F.count_if(F.size("b_slots") == 0).alias("plain"),
-            F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+            F.collect_set(F.struct("width", "at")).alias("windows"),
+            F.count_if(F.size("pairs") == 0).alias("plain"),
+            F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("opens"), F.col("pairs"))))).alias("firm"),
+            F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
         )
     )
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))
-    leaked = by_item.where((F.col("plain") > 0) | (values == F.size("pairs")))
+
+    def agree(name: str) -> Column:
+        return (F.size(name) > 0) & (F.size(F.array_distinct(F.transform(name, lambda p: p["b"]))) == F.size(name))
+
+    leaked = places.where((F.col("plain") > 0) | agree("firm") | agree("pairs"))
     exact = F.forall("pairs", lambda p: p["b"] == p["d"])
     return leaked.groupBy("__row", "__id").agg(
-        F.sum("windows").alias("n_windows"),
-        F.count(F.lit(1)).alias("n_items"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).cast("bigint").alias("n_windows"),
+        F.count_distinct("item_id").alias("n_items"),
         F.min("item_id").alias("item_id"),
         F.when(F.bool_or(exact), F.lit("verbatim")).otherwise(F.lit("parameters")).alias("kind"),
     )

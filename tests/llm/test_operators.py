@@ -249,6 +249,33 @@ def test_leaks(spark, odd, none):
     assert decontam.drop_leaks(odd, bench.limit(0)).count() == odd.count()
 
 
+def leaks_of(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {r["doc_id"]: (r["item_id"], r["n_items"], r["kind"]) for r in decontam.mark_leaks(spark.createDataFrame(rows_of(*texts), SCHEMA), bench).collect()}
+
+
+def test_leaks_by_place(spark):
+    ask = "so the train with {} leaves station number {} at {} and {} needs {} hours for {} km of track today"
+    first, other, third = ask.format("Alice", 12, 10, "Alice", 3, 240), ask.format("Bob", 55, 17, "Bob", 4, 300), ask.format("Dan", 81, 19, "Dan", 6, 370)
+    mixed = ask.format("Bob", 55, 17, "Eve", 4, 300)
+    again = "first take {} red balls out of bag number {} then first take {} red balls out of bag number {} now"
+    got = leaks_of(spark, [first], [first + " or " + other, other + " or " + third, mixed])
+    assert got == {0: (0, 1, "verbatim"), 1: (0, 1, "parameters"), 2: (None, 0, None)}
+    got = leaks_of(spark, [first, other], [third, third + " or " + first])  # items of one template
+    assert got == {0: (0, 2, "parameters"), 1: (0, 2, "verbatim")}
+    assert leaks_of(spark, [again.format(3, 4, 5, 6)], [again.format(3, 4, 5, 6), again.format(7, 8, 9, 2)]) == {0: (0, 1, "verbatim"), 1: (0, 1, "parameters")}
+
+
+def test_leaks_dense_short_and_opening(spark):
+    dense = "12 km 35 kg 47 m 81 cm 90 g 15 mm"
+    got = leaks_of(spark, [dense, "Short one has five tokens", "Alice keeps two dogs at home"], [
+        f"well {dense} it was", "well Short one has five tokens here", "Short one has five tokens", "and then short one has five tokens",
+        "13 km 36 kg 48 m 82 cm 91 g 16 mm", "No doubt. Bob keeps two dogs at home.", "so Bob keeps two dogs at home", "she keeps two dogs at home",
+    ])
+    copies = {0: (0, 1, "verbatim"), 1: (1, 1, "verbatim"), 2: (1, 1, "verbatim"), 3: (1, 1, "verbatim")}
+    assert got == copies | {4: (None, 0, None), 5: (2, 1, "parameters"), 6: (2, 1, "parameters"), 7: (None, 0, None)}
+
+
 # ---------------------------------------------------------------- 7 language
 
 
