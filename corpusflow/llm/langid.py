@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .toxicity import held_out
 
@@ -28,7 +29,7 @@ LETTER = re.compile(r"[^\W\d_]")
 class LanguageSettings:
     order: int = 3  # longest n-gram
     buckets: int = 1 << 18  # n-grams are told apart by a hash into so many places
-    per_language: int = 400  # documents, about, of each language that the model is fitted on
+    per_language: int = 400  # documents, at most, of each language that the model is fitted on
     landmarks: int = 60  # of each language
     languages: int = 500  # at most, the most frequent ones
     ridge: float = 1e-2
@@ -118,22 +119,27 @@ def fit(examples: list[tuple[str, np.ndarray]], settings: LanguageSettings = Lan
 
 
 def train(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
-    """The model of a table: fitted on about ``per_language`` documents of each language outside the held-out part.
+    """The model of a table: fitted on at most ``per_language`` documents of each language outside the held-out part.
 
-    Documents are sampled by the hash of doc_id at a rate set by each language's count; executors
-    turn them into n-gram places, which reach the driver.
+    Documents are sampled by the hash of doc_id and text, of which repeated rows have one: those
+    under a rate set by each language's count of distinct hashes, then the smallest of each
+    language. Executors turn them into n-gram places, which reach the driver.
     """
     usable = docs.where(~held_out(parts=3, part=1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
+    usable = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct("draw").alias("different"))
+    counts = counts.orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
     if not counts:
         return fit([], settings)
     ring = 1 << 30
     rate = None
     for row in counts:
-        top = math.ceil(min(1.0, settings.per_language / row["count"]) * ring)
+        top = math.ceil(min(1.0, 1.5 * settings.per_language / max(1, row["different"])) * ring)  # some more than are needed
         rate = F.when(F.col("lang") == row["lang"], F.lit(top)) if rate is None else rate.when(F.col("lang") == row["lang"], F.lit(top))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(ring))
-    picked = usable.where(draw < F.coalesce(rate, F.lit(0))).select("lang", draw.alias("draw"), "text")
+    under = usable.where(F.pmod("draw", F.lit(ring)) < F.coalesce(rate, F.lit(0)))
+    order = Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(ring)), "draw")
+    chosen = under.select("lang", "draw").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.per_language)
+    picked = under.join(F.broadcast(chosen.select("lang", "draw")), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -294,6 +294,18 @@ def test_language(spark, odd, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    rows = [(None, f"null id {i} some words", "aa", "s", 0, "x", "y", "z") for i in range(200)]
+    rows += [(3, f"one id {i} some words", "bb", "s", 0, "x", "y", "z") for i in range(200)]
+    rows += [(i, "the same words", "cc", "s", 0, "x", "y", "z") for i in range(5)] + [(5, "a copy", "cc", "s", 0, "x", "y", "z")] * 200
+    seen = collections.Counter()
+    monkeypatch.setattr(langid, "fit", lambda examples, settings: seen.update(lang for lang, _ in examples))
+    langid.train(spark.createDataFrame(rows, SCHEMA), langid.LanguageSettings(per_language=20))
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    assert seen["aa"] == 20 and seen["bb"] == (0 if held(3) else 20)
+    assert seen["cc"] == sum(not held(i) for i in range(5)) + (not held(5))
+
+
 def test_presence_kernel_is_exact():
     settings = langid.LanguageSettings()
     a, b = "hello world", "help the world"
