@@ -108,16 +108,15 @@ def _parsed(rows: DataFrame, *keep: str) -> DataFrame:
 def _windows(parsed: DataFrame, widths: list[int], *keep: str) -> DataFrame:
     """One row per window and kind that differs: ``keep``, ``slots`` of the whole text, ``n, width, at, kind, window``."""
 
-    def kinds(w: Column, i: Column) -> Column:
-        one = lambda kind, c: F.struct(i.alias("at"), F.lit(kind).alias("kind"), w[c].alias("window"))
-        return F.array(one(0, "a"), F.when(w["b"] != w["a"], one(1, "b")), F.when(w["c"] != w["a"], one(2, "c")))
-
     def part(width: int) -> DataFrame:
         none = F.array().cast("array<bigint>")
-        found = [F.when(F.col(c).isNotNull(), windows_of(F.col(c), width)).otherwise(none).alias(short) for c, short in (("hashes", "a"), ("named", "b"), ("literal", "c"))]
-        each = F.flatten(F.transform(F.arrays_zip(*found), kinds))
-        rows = parsed.select(*keep, "slots", F.size("hashes").alias("n"), F.explode(each).alias("w")).where("w is not null")
-        return rows.select(*keep, "slots", "n", F.lit(width).alias("width"), "w.at", "w.kind", "w.window")
+        made = [F.when(F.col(c).isNotNull(), windows_of(F.col(c), width)).otherwise(none).alias(short) for c, short in (("hashes", "a"), ("named", "b"), ("literal", "c"))]
+        found = parsed.select(*keep, "slots", F.size("hashes").alias("n"), *made)
+        rows = found.select(*keep, "slots", "n", "a", F.size("a").alias("many"), F.size("b").alias("named"), F.posexplode(F.concat("a", "b", "c")).alias("place", "window"))
+        at = F.pmod(F.col("place"), F.col("many"))
+        kind = F.when(F.col("place") < F.col("many"), 0).when(F.col("place") < F.col("many") + F.col("named"), 1).otherwise(2)
+        rows = rows.where((F.col("place") < F.col("many")) | (F.col("window") != F.get(F.col("a"), at)))
+        return rows.select(*keep, "slots", "n", F.lit(width).alias("width"), at.alias("at"), kind.alias("kind"), "window")
 
     out = part(widths[0])
     for width in widths[1:]:
