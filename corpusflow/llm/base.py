@@ -6,6 +6,7 @@ A *word* is a maximal run of characters outside ``[\\x20\\x09-\\x0D]``; null tex
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,26 +39,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which the driver and all executors reach.
 
-    The folder is the one in ``spark.checkpoint.dir``; a temporary one is set only where
-    that is unset, which is meant for local tests.
+    Where it is unset, a session on one machine gets a temporary folder; a cluster must set it.
     """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
+    return folder or tempfile.mkdtemp(prefix="spark-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, with its lineage cut."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors reach."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    return folder or tempfile.mkdtemp(prefix="tables-")
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table and reread, where later steps want few of its columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
 
+def others(docs: DataFrame, *names: str) -> list[str]:
+    """The columns that don't clash with ``names``, whatever their case."""
+    return [c for c in docs.columns if c.lower() not in names]
 
-def only(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns; any others, whatever their names, stay out of the way."""
-    return docs.select(*names)
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` joined on ``key`` with ``facts``, which has one row for each key and the number ``n`` of its rows.
+
+    A key that holds more than one in ``share`` of all ``total`` rows would fill one task. There are
+    fewer than ``share`` such keys, so their facts go to every task; only the other rows are shuffled.
+    """
+    hot = F.broadcast(facts.where(F.col("n") * share > total).drop("n"))
+    cold = facts.where(F.col("n") * share <= total).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACES, body, cut
+from .base import SPACES, body, cut, others
 
 
 @dataclass(frozen=True)
@@ -20,7 +20,7 @@ class LineSettings:
     min_sites: int = 5
     log_k: int = 10  # registers of a sketch, as a power of two
     errors: float = 6.0  # standard errors beside the threshold that count as near
-    broadcast_lines: int = 2_000_000  # boilerplate lines up to which their hashes are sent to every task
+    broadcast_lines: int = 2_000_000  # boilerplate lines, or lines to count, up to which their hashes are sent to every task
 
 
 def line_hash(line: Column) -> Column:
@@ -44,7 +44,8 @@ def boilerplate(lines: DataFrame, settings: LineSettings = LineSettings()) -> Da
     sketches = lines.groupBy("line").agg(F.hll_sketch_agg("site", settings.log_k).alias("sketch"))
     spread = cut(sketches.select("line", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= low))
     near = spread.where(F.col("sites") <= high).select("line")
-    exact = lines.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1)).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    few = near.count() <= settings.broadcast_lines
+    exact = lines.join(F.broadcast(near) if few else near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1)).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     return spread.where(F.col("sites") > high).select("line").unionByName(exact.where(F.col("n") >= settings.min_sites).select("line"))
 
 
@@ -53,9 +54,10 @@ def remove_boilerplate(docs: DataFrame, settings: LineSettings = LineSettings(),
 
     Lines are compared trimmed; a line is removed wherever it stands, repeats included, and lines
     without words stay. A null site is a site of its own; a null text stays null. Repeated rows
-    are cleaned alike. An empty table gives no rows.
+    are cleaned alike. Columns named like the added ones, in any case, are replaced. An empty table
+    gives no rows.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = others(docs, "n_lines", "n_removed")
     cut_lines = F.filter(F.transform(F.split(body(), "\n"), line_hash), lambda h: h.isNotNull())
     lines = docs.select(F.xxhash64(F.coalesce(F.concat(F.lit("+"), F.col(site)), F.lit(""))).alias("site"), F.explode(cut_lines).alias("line"))
     found = cut(boilerplate(lines, settings))

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .base import body
-
+from .base import body, others
 
 
 @dataclass(frozen=True)
@@ -57,10 +56,9 @@ def shard_rows(docs: DataFrame, settings: ShardSettings = ShardSettings(), key:
     what is broadcast, gives each run's first slot.
 
     Nulls: a null key is one key like any other; a null text has no bytes and checksum 0. An
-    empty table gives no rows. Columns of ``docs`` with the names of added ones are replaced.
+    empty table gives no rows. Columns of ``docs`` with the names of added ones, in any case, are replaced.
     """
-    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    own = [c for c in docs.columns if c not in added]
+    own = others(docs, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     digest = stable_key(F.col(key))
     group = F.coalesce(F.shiftright(F.conv(F.substring("__digest", 1, 3), 16, 10).cast("int") * F.lit(settings.slot_groups), 12), F.lit(0))
 
