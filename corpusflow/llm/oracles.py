@@ -63,7 +63,6 @@ FROM c
 """
 
 
-
 def _op4(q: QualitySettings = QualitySettings()) -> str:
     fails = "CASE " + " ".join(
         "WHEN " + " OR ".join(f"{name} > {cutoffs[t]!r}::DOUBLE" for name, cutoffs in q.rules.items()) + f" THEN {t}" for t in range(len(q.symbols_per_word))
@@ -85,12 +84,10 @@ f AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 EN
   CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_share, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_share FROM m),
 v AS (SELECT *, {fails} AS lev FROM f),
 g AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-h AS (SELECT lang, count(*) AS n, {", ".join(f"count(*) FILTER (lev <= {t}) AS k{t}" for t in levels)} FROM v JOIN g USING (doc_id) GROUP BY lang),
-o AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY n DESC, lang NULLS FIRST) <= {q.strata} AND lang IS NOT NULL THEN '=' || lang ELSE '' END AS stratum FROM h),
-z AS (SELECT stratum, sum(n)::BIGINT AS n, {", ".join(f"sum(k{t})::BIGINT AS k{t}" for t in levels)} FROM o GROUP BY stratum),
-u AS (SELECT stratum, {strictest} AS strictest FROM (SELECT *, count(*) OVER () AS s FROM z)),
-b AS (SELECT v.*, coalesce(o.stratum, '') AS st, n_words < {q.min_words} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v LEFT JOIN o ON o.lang = v.lang AND o.stratum <> '')
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(lev <= u.strictest, false) AS kept FROM b LEFT JOIN u ON u.stratum = b.st
+b AS (SELECT *, n_words < {q.min_words} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v),
+h AS (SELECT lang, count(*) AS n, {", ".join(f"count(*) FILTER (lev <= {t}) AS k{t}" for t in levels)} FROM b JOIN g USING (doc_id) WHERE NOT base_failed GROUP BY lang),
+u AS (SELECT lang, {strictest} AS strictest FROM (SELECT *, count(*) OVER () AS s FROM h))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(lev <= u.strictest, false) AS kept FROM b LEFT JOIN u ON u.lang IS NOT DISTINCT FROM b.lang
 """
 
 

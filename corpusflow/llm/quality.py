@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-A document fails at level t if any of its ratios exceeds that level's cutoff; levels are listed from
-lenient to strict, so failing sets are nested. In each stratum (language) the labelled good
-documents are a holdout: with k of n of them failing at a level, the exact binomial tail
-P(Bin(n, risk) <= k) is the p-value of "more than ``risk`` of the stratum's good documents fail".
-Levels are tested in their fixed order and testing stops at the first that is not rejected, which
-needs no correction inside a stratum; across strata the error is divided by their number. So with
-probability ``1 - error`` no stratum loses more than ``risk`` of its good documents.
+Base rules on length and repetition are fixed; what they reject is no part of the risk. A document
+that passes them fails at level t if any of its ratios exceeds that level's cutoff; levels are listed
+from lenient to strict, so failing sets are nested. In each stratum (language, the null one too) the
+labelled good documents that pass the base are a holdout: with k of n of them failing at a level, the
+exact binomial tail P(Bin(n, risk) <= k) is the p-value of "more than ``risk`` of the stratum's good
+documents that pass the base fail". Levels are tested in their fixed order and testing stops at the
+first that is not rejected, which needs no correction inside a stratum; across strata the error is
+divided by their number. So with probability ``1 - error`` no stratum loses more than ``risk`` of the
+good documents that pass its base rules.
 """
 
 from __future__ import annotations
@@ -15,18 +17,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .base import body, cut, let, words
+from .base import body, cut, let, others, words, written
 
 SYMBOLS = r"[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
 class QualitySettings:
-    risk: float = 0.03  # of a stratum's good documents that may be rejected
+    risk: float = 0.03  # of a stratum's good documents past the base that may be rejected
     error: float = 0.05  # probability that some stratum's risk is larger
-    strata: int = 64  # languages with a stratum of their own, those with most labels; the rest share one
+    broadcast_strata: int = 100_000  # strata up to which their levels are sent to every task
     min_words: int = 50
     # cutoffs by level, lenient to strict
     symbols_per_word: tuple[float, ...] = (2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2)
@@ -77,7 +78,7 @@ def repeated_words(w: Column) -> Column:
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_bangs``.
 
-    A null text counts as empty. Added columns replace any of the same name.
+    A null text counts as empty. Added columns replace any of the same name, in any case.
     """
     t = body(text)
 
@@ -94,17 +95,16 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         )
 
-    spoken = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs")
-    own = [c for c in docs.columns if c not in names]
-    found = docs.select(*own, t.alias("__t")).select(
-        *own,
+    spoken = F.filter(F.split(F.col("__t"), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    own = others(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs")
+    found = docs.select(F.struct(*own).alias("__doc"), t.alias("__t")).select(
+        "__doc",
         let(words(F.col("__t")), by_words).alias("__w"),
-        let(spoken if text is None else F.filter(F.split(F.col("__t"), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")), by_lines).alias("__l"),
+        let(spoken, by_lines).alias("__l"),
         F.regexp_count("__t", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         F.regexp_count("__t", F.lit("!")).cast("bigint").alias("n_bangs"),
     )
-    return found.select(*own, "__w.n_words", "__w.word_chars", "n_symbols", "__l.n_dup_lines", "__w.n_repeat_words", "__l.n_lines", "n_bangs")
+    return found.select("__doc.*", "__w.n_words", "__w.word_chars", "n_symbols", "__l.n_dup_lines", "__w.n_repeat_words", "__l.n_lines", "n_bangs")
 
 
 def base_failed(settings: QualitySettings = QualitySettings()) -> Column:
@@ -148,63 +148,56 @@ def binomial_tail(k: Column, n: Column, risk: float) -> Column:
     return F.when(k.cast("double") >= n.cast("double") * risk, F.lit(1.0)).otherwise(F.aggregate(terms, start, step, lambda s: s["p"]))
 
 
-def cutoff_levels(measured: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> tuple[DataFrame, DataFrame]:
-    """``(lang, stratum)`` of languages with a stratum of their own, and ``(stratum, strictest)``.
+def cutoff_levels(measured: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> tuple[DataFrame, int]:
+    """``(stratum, strictest)`` of each language with labelled good documents past the base, and their number.
 
-    ``strictest`` is the strictest level whose risk is controlled, -1 if none is. Both tables have
-    at most ``settings.strata + 1`` rows. Labels of one document that disagree count as bad;
-    labels without a document, and null labels, don't count.
+    ``measured`` has ``doc_id, lang, base_failed, level``. ``strictest`` is the strictest level whose
+    risk is controlled, -1 if none is. Labels of one document that disagree count as bad; labels
+    without a document, and null labels, don't count.
     """
-    levels = len(settings.symbols_per_word)
+    levels = range(len(settings.symbols_per_word))
     good = labels.where("quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__q")).where("__q = 1")
-    held = measured.join(good, measured["doc_id"] == good["__id"]).select("lang", "level")
-    counted = held.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("level") <= t).alias(f"k{t}") for t in range(levels)]
-    )
-    rank = Window.orderBy(F.desc("n"), "lang")  # one row per language
-    ranked = cut(counted.withColumn("r", F.row_number().over(rank)).withColumn(
-        "stratum", F.when((F.col("r") <= settings.strata) & F.col("lang").isNotNull(), F.concat(F.lit("="), "lang")).otherwise(F.lit(""))
-    ))
-    strata = ranked.groupBy("stratum").agg(F.sum("n").alias("n"), *[F.sum(f"k{t}").alias(f"k{t}") for t in range(levels)])
-    error = F.lit(settings.error) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    passed = measured.where("not base_failed").select("doc_id", "lang", "level")
+    held = passed.join(good, passed["doc_id"] == good["__id"])
+    counted = cut(held.groupBy(F.col("lang").alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("level") <= t).alias(f"k{t}") for t in levels]))
+    strata = counted.count()
+    error = settings.error / max(1, strata)
     strictest = F.lit(-1)
-    for t in range(levels):  # failing sets are nested, so tails only grow and the last one passed is the place to stop
-        strictest = F.when(F.col(f"p{t}") <= F.col("error"), F.lit(t)).otherwise(strictest)
-    tested = strata.withColumn("error", error).select("stratum", "error", *[binomial_tail(F.col(f"k{t}"), F.col("n"), settings.risk).alias(f"p{t}") for t in range(levels)])
-    own = ranked.where("stratum <> ''").select("lang", "stratum")
-    return own, cut(tested.select("stratum", strictest.alias("strictest")))
+    for t in levels:  # failing sets are nested, so tails only grow and the last one passed is the place to stop
+        strictest = F.when(F.col(f"p{t}") <= error, F.lit(t)).otherwise(strictest)
+    tested = counted.select("stratum", *[binomial_tail(F.col(f"k{t}"), F.col("n"), settings.risk).alias(f"p{t}") for t in levels])
+    return tested.select("stratum", strictest.alias("strictest")), strata
+
 
+def judge(measured: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
+    """``measured`` (with ``doc_id, lang, base_failed, level``) with ``kept``.
 
-def judge(measured: DataFrame, own: DataFrame, strictest: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
-    """``measured`` (with ``lang`` and ``level``) with ``base_failed`` and ``kept``."""
-    named = measured.join(F.broadcast(own.withColumnRenamed("lang", "__lang")), F.col("lang") == F.col("__lang"), "left")
-    named = named.withColumn("__stratum", F.coalesce("stratum", F.lit(""))).drop("stratum", "__lang")
-    found = named.join(F.broadcast(strictest), F.col("__stratum") == F.col("stratum"), "left")
-    # one comparison for both verdicts: a conjunction would be split and its first part measured again at the scan
-    rank = F.when(F.col("base_failed"), F.lit(-1)).otherwise(F.coalesce("level", F.lit(len(settings.symbols_per_word))))
-    kept = rank > F.coalesce("strictest", F.lit(-1))
-    return found.withColumn("base_failed", base_failed(settings)).withColumn("kept", kept).drop("stratum", "__stratum", "strictest")
+    A document is kept if it passes the base and fails at no level whose risk is controlled in
+    its language.
+    """
+    found, strata = cutoff_levels(measured, labels, settings)
+    known = F.broadcast(found) if strata <= settings.broadcast_strata else found
+    met = measured.join(known, F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    kept = ~F.col("base_failed") & (F.coalesce("level", F.lit(len(settings.symbols_per_word))) > F.coalesce("strictest", F.lit(-1)))
+    return met.withColumn("kept", kept).drop("stratum", "strictest")
 
 
 def assess(docs: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
     """``doc_id``, the measures, ``base_failed`` and ``kept``: one row per row of ``docs``.
 
     Null texts have no words and fail the base. A document in a language without labels is judged
-    by the shared stratum; without any labels only the base rules hold. An empty table gives no rows.
+    by the base rules only. An empty table gives no rows.
     """
-    measured = cut(with_measures(docs.select("doc_id", "lang", "text")).drop("text").withColumn("level", failing_level(settings)))
-    own, strictest = cutoff_levels(measured, labels, settings)
-    return judge(measured, own, strictest, settings).drop("lang", "level")
+    measured = with_measures(docs.select("doc_id", "lang", "text")).drop("text")
+    return judge(cut(measured.withColumn("base_failed", base_failed(settings)).withColumn("level", failing_level(settings))), labels, settings).drop("lang", "level")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
     """The rows of ``docs`` that ``assess`` keeps, with their columns.
 
-    Measures of all rows fix the thresholds; they are then taken again beside the text, which
-    is cheaper than moving texts to join them.
+    Rows are measured once and written beside their verdicts; the thresholds come from a scan of
+    the narrow columns, the rows kept from another one.
     """
-    slim = with_measures(docs.select("doc_id", "lang", "text")).withColumn("level", failing_level(settings))
-    own, strictest = cutoff_levels(slim.select("doc_id", "lang", "level"), labels, settings)
-    row = docs.select(F.struct("*").alias("__row"), F.col("lang"), F.col("text"))
-    measured = with_measures(row).drop("text").withColumn("level", failing_level(settings))
-    return judge(measured, own, strictest, settings).where("kept").select("__row.*")
+    measured = with_measures(docs.select(F.struct("*").alias("__row"), "doc_id", "lang", "text"))
+    table = written(measured.select("__row", "doc_id", "lang", base_failed(settings).alias("base_failed"), failing_level(settings).alias("level")))
+    return judge(table, labels, settings).where("kept").select("__row.*")
