@@ -7,6 +7,7 @@ suffix sums, answers totals, quantiles and truncated totals for every context li
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,6 +22,9 @@ from .base import cut
 # Fixed value: the splitting pattern that belongs to the byte-level vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Fixed value: the white space that the pattern's ``\s`` means; runs of it are long from so many on
+LONG_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
+
 
 @dataclass(frozen=True)
 class LengthSettings:
@@ -39,15 +43,31 @@ def encoder(ranks: str, pattern: str):
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+def tokens_in(encoding, text: str) -> int:
+    """The number of tokens of a whole text.
+
+    The pattern tracks back over every character of a run of white space, which overflows its
+    stack on long ones. Such a run is a piece by itself, but for its last character where
+    something follows, so the text is cut there and the piece encoded without the pattern.
+    """
+    total = at = 0
+    for gap in LONG_GAP.finditer(text):
+        start, end = gap.span()
+        end -= end < len(text)
+        total += len(encoding.encode_ordinary(text[at:start])) + len(encoding._encode_single_piece(text[start:end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def token_counts(docs: DataFrame, settings: LengthSettings = LengthSettings()) -> DataFrame:
     """``(doc_id, n_tokens)``; null and empty texts have 0 tokens."""
     ranks, pattern = settings.ranks, settings.pattern
 
     @F.pandas_udf("bigint")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(ranks, pattern).encode_ordinary
+        encoding = encoder(ranks, pattern)
         for batch in texts:
-            yield pd.Series([len(encode(t)) if t else 0 for t in batch], dtype="int64")
+            yield pd.Series([tokens_in(encoding, t) if t else 0 for t in batch], dtype="int64")
 
     return docs.select("doc_id", count("text").alias("n_tokens"))
 
