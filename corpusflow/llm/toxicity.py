@@ -22,7 +22,7 @@ from .base import cut
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 
-# Identity terms by group
+# Identity terms by group, in English, Spanish, French and German
 IDENTITY = (
     ("women", "men", "girls", "boys", "trans", "nonbinary"),
     ("woman", "man", "girl", "boy"),
@@ -34,13 +34,34 @@ IDENTITY = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("deaf", "blind", "disabled", "autistic"),
     ("old", "young", "elderly"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("lesbianas", "gais", "bisexuales"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "latinos", "árabes", "africanos", "europeos"),
+    ("inmigrantes", "refugiados", "nativos", "extranjeros"),
+    ("sordos", "ciegos", "discapacitados", "autistas"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("lesbiennes", "gays", "bisexuels"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("immigrés", "réfugiés", "natifs", "étrangers"),
+    ("sourds", "aveugles", "handicapés"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("lesben", "schwule", "bisexuelle"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("einwanderer", "flüchtlinge", "einheimische", "ausländer"),
+    ("gehörlose", "blinde", "behinderte"),
 )
 GROUP_OF = {term: group for group in IDENTITY for term in group}
 
 
 @dataclass(frozen=True)
 class ToxicitySettings:
-    sample_docs: int = 20_000  # labelled documents, about, that the model is fitted on
+    sample_docs: int = 20_000  # labelled documents, about, that the model is fitted on; never over twice as many
     words: int = 2000  # features at most, those that differ most between the classes
     least_z: float = 4.0  # two-sample z of a word's document share
     least_docs: int = 4
@@ -85,16 +106,21 @@ def swapped(text: str, turn: int) -> str | None:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> DataFrame:
-    """``(text, toxic)`` of about ``sample_docs`` labelled documents outside the held-out part, by hash of doc_id.
+    """``(text, toxic)`` of about ``sample_docs`` labelled documents outside the held-out part, twice as many at most.
 
-    Labels of one document that disagree count as toxic; null labels don't count.
+    Ids are drawn by hash at a rate that gives so many; rows that repeat count once, and where an
+    id stands for many texts those with the smallest hashes are taken. Labels of one document
+    that disagree count as toxic; null labels don't count.
     """
     known = labels.where("toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, settings.sample_docs / max(1, known.count()))
     ring = 1 << 30
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(ring)) < math.ceil(share * ring))
-    # the sample's size is bounded by its rate, so its ids may go to every task and no text is moved to meet them
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # the ids' number is bounded by their rate, so they may go to every task and no text is moved to meet them
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("draw"))
+    drawn = met.select("draw").distinct().orderBy("draw").limit(2 * settings.sample_docs).agg(F.max("draw").alias("last")).first()["last"]
+    taken = met.where(F.col("draw") <= F.lit(drawn).cast("bigint")).groupBy("draw")
+    return taken.agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def select_words(sample: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> list[str]:
