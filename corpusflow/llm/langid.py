@@ -10,7 +10,6 @@ a batch of documents is scored by one product of its presence matrix with it.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .base import cut
 from .toxicity import held_out
 
-LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; fractions, numerals and ideographic numbers are none."""
+    return text.isalpha() or any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
@@ -30,8 +33,9 @@ class LanguageSettings:
     order: int = 3  # longest n-gram
     buckets: int = 1 << 18  # n-grams are told apart by a hash into so many places
     per_language: int = 400  # documents, at most, of each language that the model is fitted on
+    sample: int = 12_000  # documents, about, of all languages: with many of them each has fewer, but one at least
     landmarks: int = 60  # of each language
-    languages: int = 500  # at most, the most frequent ones
+    all_landmarks: int = 2000  # about, of all languages: with many of them each has fewer, but one at least
     ridge: float = 1e-2
     rows: int = 128  # documents of one matrix product
 
@@ -47,7 +51,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Languages and scores: the winner's margin, from -1..1 to 0..1."""
         names, score = ["und"] * len(texts), np.zeros(len(texts))
-        known = [i for i, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and self.languages and has_letter(t)]
         for k in range(0, len(known), self.settings.rows):
             part = known[k : k + self.settings.rows]
             x = np.zeros((len(part), len(self.places)), np.float32)
@@ -81,6 +85,7 @@ def presence(text: str, settings: LanguageSettings) -> np.ndarray:
 def fit(examples: list[tuple[str, np.ndarray]], settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
     """A model from ``(language, sorted places)``; the first ``landmarks`` of each language are landmarks."""
     languages = tuple(sorted({lang for lang, _ in examples}))
+    most = max(1, min(settings.landmarks, settings.all_landmarks // max(1, len(languages))))
     empty = LanguageModel(settings, languages, np.zeros(0, np.int64), np.zeros((0, len(languages)), np.float32), np.zeros(len(languages), np.float32))
     if not languages:
         return empty
@@ -88,7 +93,7 @@ def fit(examples: list[tuple[str, np.ndarray]], settings: LanguageSettings = Lan
     marks = []
     for lang, places in examples:
         taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= settings.landmarks and len(places):
+        if taken[lang] <= most and len(places):
             marks.append(places)
     if not marks:
         return empty
@@ -123,27 +128,29 @@ def train(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -> L
 
     Documents are sampled by the hash of doc_id and text, of which repeated rows have one: those
     under a rate set by each language's count of distinct hashes, then the smallest of each
-    language. Executors turn them into n-gram places, which reach the driver.
+    language. Executors turn them into n-gram places, which reach the driver: about ``sample``
+    documents, or one of each language where there are more languages than that.
     """
     usable = docs.where(~held_out(parts=3, part=1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct("draw").alias("different"))
-    counts = counts.orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
-    if not counts:
+    counts = cut(usable.groupBy("lang").agg(F.approx_count_distinct("draw").alias("different")))
+    languages = counts.count()
+    if not languages:
         return fit([], settings)
+    each = max(1, min(settings.per_language, settings.sample // languages))
     ring = 1 << 30
-    rate = None
-    for row in counts:
-        top = math.ceil(min(1.0, 1.5 * settings.per_language / max(1, row["different"])) * ring)  # some more than are needed
-        rate = F.when(F.col("lang") == row["lang"], F.lit(top)) if rate is None else rate.when(F.col("lang") == row["lang"], F.lit(top))
-    under = usable.where(F.pmod("draw", F.lit(ring)) < F.coalesce(rate, F.lit(0)))
+    share = F.least(F.lit(1.0), F.lit(1.5 * each + 10) / F.greatest("different", F.lit(1)))  # some more than are needed
+    rates = counts.select("lang", F.ceil(share * ring).alias("rate"))
+    known = F.broadcast(rates) if languages <= settings.sample else rates
+    under = usable.join(known, "lang").where(F.pmod("draw", F.lit(ring)) < F.col("rate"))
     order = Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(ring)), "draw")
-    chosen = under.select("lang", "draw").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.per_language)
-    picked = under.join(F.broadcast(chosen.select("lang", "draw")), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    chosen = under.select("lang", "draw").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("lang", "draw")
+    chosen = F.broadcast(chosen) if languages <= settings.sample else chosen
+    picked = under.join(chosen, ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [np.flatnonzero(presence(t, settings)).astype(np.int32) if LETTER.search(t) else None for t in batch["text"]]
+            found = [np.flatnonzero(presence(t, settings)).astype(np.int32) if has_letter(t) else None for t in batch["text"]]
             yield pd.DataFrame({"lang": batch["lang"], "draw": batch["draw"], "places": found}).dropna()
 
     rows = picked.mapInPandas(places, "lang string, draw bigint, places array<int>").collect()
