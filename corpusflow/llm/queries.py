@@ -27,7 +27,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secretscan.scan_documents(docs, secretscan.train(docs))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_crf")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_crf", "n_tagged")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
