@@ -3,8 +3,10 @@
 A fingerprint has 64 bits. Two fingerprints that differ in at most ``radius`` bits are linked, and
 linked fingerprints form components. Fingerprints are compared once per distinct value: whatever
 the radius, cutting the bits into ``radius + 2`` blocks leaves two blocks in which a linked pair
-agrees, so every pair of blocks is a bucket key. Inside a bucket the fingerprints are turned into
-bit planes and all distances to a lane of 64 are counted at once by carry-save adders.
+agrees, so every pair of blocks is a bucket key. A bucket that is too large for one comparison is
+divided by the same rule on the bits that its key leaves free, and one that is still too large is cut
+into pieces, every two of which are compared. Inside a bucket the fingerprints are turned into bit
+planes and all distances to a lane of 64 are counted at once by carry-save adders.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, join_facts
 
 BITS = 64
 UPPER_TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -30,8 +32,7 @@ class SimhashSettings:
     shingle: int = 3
     radius: int = 2
     seed: int = 42
-    bucket: int = 4096  # fingerprints of one bucket that are compared in a block; larger buckets go by neighbours
-    rounds: int = 60  # of label contraction, far beyond what any table needs
+    bucket: int = 4096  # fingerprints of one bucket that are compared at once; larger buckets are divided
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -147,39 +148,54 @@ def bucket_links(values: np.ndarray, radius: int, block: int = 256) -> list[tupl
     return [(int(values[i]), int(values[r])) for i in range(len(values)) if (r := root(i)) != i]
 
 
-def _blocks(radius: int) -> list[int]:
-    """Masks of ``radius + 2`` blocks that make up the 64 bits, as signed longs."""
-    n = radius + 2
-    edges = [round(BITS * i / n) for i in range(n + 1)]
-    masks = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:])]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-
-
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def pair_masks(free: int, radius: int) -> list[int]:
+    """Masks of every two of ``radius + 2`` blocks that make up the ``free`` bits."""
+    bits = [b for b in range(BITS) if free >> b & 1]
+    edges = [round(len(bits) * i / (radius + 2)) for i in range(radius + 3)]
+    blocks = [sum(1 << b for b in bits[i:j]) for i, j in zip(edges, edges[1:])]
+    return [a | b for a, b in combinations(blocks, 2)]
+
+
 # ---------------------------------------------------------------- links and components
 
 
+def _counted(dealt: DataFrame) -> DataFrame:
+    return dealt.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def links(distinct: DataFrame, settings: SimhashSettings = SimhashSettings()) -> DataFrame:
     """``(fp, other)`` links, from distinct ``fp``, whose components are those of all close pairs.
 
-    A bucket of up to ``settings.bucket`` fingerprints is compared in one block. Larger buckets
-    are never gathered: for radius 2 and below, two fingerprints are linked just if some value
-    lies within one bit of both, so each emits itself and its 64 one-bit neighbours as keys, and
-    a key has at most 65 owners.
+    Buckets of over ``settings.bucket`` fingerprints are divided once more by two of the blocks
+    that their key leaves free: a close pair of the bucket agrees in two of these as well. With
+    radius 2 a key then fixes 48 bits, so a bucket holds at most 65,536 fingerprints, and those
+    over the limit are cut into pieces that meet pair by pair. No pair is left out, no group
+    holds more than two pieces.
     """
-    if not 0 <= settings.radius <= 2:
-        raise ValueError("radius must be 0, 1 or 2")
-    radius, masks = settings.radius, _blocks(settings.radius)
-    keys = F.array(*[
-        F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(a | b)).alias("key"))
-        for i, (a, b) in enumerate(combinations(masks, 2))
-    ])
-    dealt = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.part", "k.key")
-    sizes = dealt.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    small, large = sizes.where(F.col("n") <= settings.bucket), sizes.where(F.col("n") > settings.bucket)
+    radius, every = settings.radius, (1 << BITS) - 1
+    whole = pair_masks(every, radius)
+    finer = [[mask | more for more in pair_masks(every & ~mask, radius)] for mask in whole]
+
+    def keyed(masks: list[int], first: int) -> Column:
+        return F.array(*[F.struct(F.lit(first + i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
+
+    dealt = distinct.select("fp", F.explode(keyed(whole, 0)).alias("k")).select("fp", "k.part", "k.key")
+    sizes = cut(_counted(dealt))
+    large = dealt.join(sizes.where(F.col("n") > settings.bucket).drop("n"), ["part", "key"])
+    choice = F.element_at(F.array(*[keyed(masks, len(whole) * (1 + i)) for i, masks in enumerate(finer)]), F.col("part") + 1)
+    divided = large.select("fp", F.explode(choice).alias("k")).select("fp", "k.part", "k.key")
+
+    pieces = F.ceil(F.col("n") / settings.bucket).cast("int").alias("pieces")
+    small = dealt.join(sizes.where(F.col("n") <= settings.bucket).select("part", "key", F.lit(1).alias("pieces")), ["part", "key"])
+    placed = small.unionByName(divided.join(_counted(divided).select("part", "key", pieces), ["part", "key"]))
+    own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    groups = placed.withColumn("own", own).select("part", "key", "fp", F.explode(others).alias("g")).groupBy("part", "key", "g")
+    buckets = groups.agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -188,31 +204,17 @@ def links(distinct: DataFrame, settings: SimhashSettings = SimhashSettings()) ->
                 found += bucket_links(np.asarray(values, np.int64).view(np.uint64), radius)
             yield pd.DataFrame(np.array(found, np.uint64).reshape(-1, 2).view(np.int64), columns=["fp", "other"])
 
-    buckets = dealt.join(small, ["part", "key"]).groupBy("part", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
-    compared = buckets.mapInPandas(compare, "fp bigint, other bigint")
+    return buckets.mapInPandas(compare, "fp bigint, other bigint").distinct()
 
-    hot = dealt.join(large, ["part", "key"]).select("fp").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(BITS)])
-    near = flips if radius == 2 else F.array(F.col("fp"))
-    owners = hot.select("fp", F.explode(near).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    met = owners.where(F.size("fps") > 1).select(F.explode("fps").alias("fp"), F.array_min("fps").alias("other")).where("fp <> other")
-    if radius == 1:
-        pair = [F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(BITS)]
-        asked = hot.select("fp", F.explode(F.array(*pair)).alias("other"))
-        met = asked.join(hot.select(F.col("fp").alias("other")), "other").select("fp", "other").where("fp > other")
-    return compared.unionByName(met).distinct()
 
-
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, root)`` for every node of an undirected edge list; ``root`` is one node of its component.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each an aggregation and a
     join, until no edge changes; work tables are cut after each round.
     """
     now = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())
-    for _ in range(rounds):
-        if now.isEmpty():
-            break
+    while not now.isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
@@ -242,23 +244,10 @@ def near_duplicates(docs: DataFrame, settings: SimhashSettings = SimhashSettings
     table gives no rows.
     """
     marked = cut(fingerprints(docs, settings))
-    seen = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    seen = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     edges = links(seen.select("fp"), settings)
-    linked = components(edges, "fp", "other", settings.rounds)
-    roots = linked.join(seen.withColumnRenamed("fp", "node"), "node")
-    least = roots.groupBy("root").agg(F.min("first_id").alias("lowest"))
-    own = seen.select(F.col("fp").alias("root"), F.col("first_id").alias("root_id"))
-    least = least.join(own, "root").select("root", F.least("lowest", "root_id").alias("lowest"))
-    moved = linked.join(least, "root").select(F.col("node").alias("fp"), "lowest").unionByName(least.select(F.col("root").alias("fp"), "lowest"))
-    by_print = seen.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id"))
-    return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicate(docs: DataFrame, settings: SimhashSettings = SimhashSettings()) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id.
-
-    Of rows that share that id the one with the smallest text stays.
-    """
-    kept = near_duplicates(docs, settings).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows
+    linked = components(edges, "fp", "other")
+    member = seen.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    facts = cut(member.select("fp", "root", "n").join(lowest, "root").drop("root"))
+    return join_facts(marked, facts, "fp", marked.count()).select("doc_id", "fp", "component_id")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .base import cut
+from .base import cut, join_facts
 from .simhash import UPPER_TO_LOWER, components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -341,6 +341,22 @@ def similar_links(docs: DataFrame, nodes: DataFrame, settings: SimilarSettings)
     return rows.mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
+def marked_nodes(docs: DataFrame, settings: SimilarSettings) -> tuple[DataFrame, DataFrame]:
+    """The sketches of ``docs``, and ``node, root, n, last, doc_id, key`` of each shingle set.
+
+    ``root`` tells components apart and ``n`` counts the set's rows. ``doc_id`` and ``key`` name
+    its first row, by doc_id and then by the text's hash; rows without a doc_id come last.
+    """
+    made = cut(sketches(docs, settings))
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("pick")
+    # equal nodes have equal sets, so any of their prints and anchors will do
+    sets = made.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "print", "anchors")], F.count(F.lit(1)).alias("n"), pick)
+    nodes = cut(sets.select("node", "size", "print", "anchors", "n", "pick.last", "pick.doc_id", "pick.key"))
+    linked = components(similar_links(docs, nodes, settings), "a", "b")
+    met = nodes.drop("size", "print", "anchors").join(linked, "node", "left")
+    return made, cut(met.withColumn("root", F.coalesce("root", "node")))
+
+
 def similar_groups(docs: DataFrame, settings: SimilarSettings = SimilarSettings()) -> DataFrame:
     """``(doc_id, component_id)``: documents whose shingle sets are similar, and what that reaches.
 
@@ -348,29 +364,27 @@ def similar_groups(docs: DataFrame, settings: SimilarSettings = SimilarSettings(
     alone: such rows are their own components. Rows without a doc_id have no component of their
     own to name. An empty table gives no rows.
     """
-    made = cut(sketches(docs, settings))
-    pick = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("pick")
-    firsts_of = made.where("node is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "print", "anchors")], pick)
-    nodes = cut(firsts_of.select("node", "size", "print", "anchors", "pick.doc_id", "pick.key"))
-    linked = components(similar_links(docs, nodes, settings), "a", "b")
-    firsts = nodes.select("node", F.col("doc_id").alias("first_id"))
-    ids = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).join(firsts, "node")
-    lowest = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = ids.select("node", "root").join(lowest, "root").select("node", "component_id")
-    named = firsts.join(moved, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    return made.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    made, nodes = marked_nodes(docs, settings)
+    lowest = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    facts = cut(nodes.select("node", "root", "n").join(lowest, "root").drop("root"))
+    found = join_facts(made.where("node is not null").select("doc_id", "node"), facts, "node", made.count()).select("doc_id", "component_id")
+    return found.unionByName(made.where("node is null").select("doc_id", F.col("doc_id").alias("component_id")))
 
 
 def keep_first(docs: DataFrame, settings: SimilarSettings = SimilarSettings()) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest, with their columns.
+    """``docs`` with one row of each component, with their columns.
 
-    Of rows that share a doc_id, the one whose text has the smallest hash stays. Rows without a
-    doc_id can't be named by a component and all stay.
+    The row of the smallest doc_id stays, of those that share it the one whose text has the
+    smallest hash, of rows equal in both any one; rows without a doc_id come last. Membership is
+    by row: texts that share a doc_id and aren't similar are in components of their own. Rows
+    without words are in none and all stay.
     """
-    groups = similar_groups(docs, settings)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.where("doc_id is not null").select(F.struct("*").alias("__doc"), "doc_id", "text")
-    ranked = rows.withColumn("__first", F.row_number().over(order)).where("__first = 1")
-    first = ranked.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").select("__doc.*")
-    return first.unionByName(docs.where("doc_id is null"))
+    _, nodes = marked_nodes(docs, settings)
+    firsts = nodes.groupBy("root").agg(F.min(F.struct("last", "doc_id", "key")).alias("pick")).select("pick.doc_id", "pick.key")
+    stays = firsts.select(F.col("doc_id").alias("__id"), F.col("key").alias("__first"))
+    spoken = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(spoken).select(F.struct("*").alias("__doc"), "doc_id", F.xxhash64("text").alias("__key"))
+    once = Window.partitionBy("doc_id", "__key").orderBy("__key")  # each task drops its repeats before any row is moved
+    ranked = rows.withColumn("__place", F.row_number().over(once)).where("__place = 1")
+    kept = ranked.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__first")), "left_semi")
+    return kept.select("__doc.*").unionByName(docs.where(~spoken))
