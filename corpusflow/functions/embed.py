@@ -31,6 +31,12 @@ def dense_vector(coded: Column, dims: int) -> Column:
     return F.element_at(F.transform(F.array(counts), scaled), 1)
 
 
+def sparse_vector(coded: Column) -> Column:
+    """``array<struct<token, weight>>`` of coded words; tokens may repeat, the largest weight counts."""
+    weight = lambda w: F.lit(1.0) + w["length"] / F.lit(10)
+    return F.transform(coded, lambda w: F.struct((w["code"] % SPARSE_PLACES).alias("token"), weight(w).alias("weight")))
+
+
 def sparse_terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, token, weight)``: of each token the largest weight of its words."""
     coded = rows.select(key, F.explode(coded_words(F.col(text))).alias("w"))

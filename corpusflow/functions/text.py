@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,19 +125,46 @@ def times_in(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.zip_with(hours, minutes, lambda h, m: F.concat(h.cast("int").cast("string"), F.lit(":"), m))))
 
 
-def computed_times(c: Column) -> Column:
-    """Results of sums ``hh:mm + n min = hh:mm`` in a text that hold, as ``h:mm``, sorted."""
+def computed_times(c: Column, starts: Column | None = None) -> Column:
+    """Results of sums ``hh:mm + n min = hh:mm`` in a text that hold, as ``h:mm``, sorted; only of sums from given starts, if any are given."""
     note = r"\s*(?:\([^)]*\))?\s*"
     pattern = F.lit(rf"(?U)(\d{{1,2}}):(\d{{2}}){note}\+\s*(\d{{1,3}})\s*мин\w*{note}=\s*(\d{{1,2}}):(\d{{2}})")
     parts = F.arrays_zip(*[F.regexp_extract_all(c, pattern, F.lit(i)).alias(f"g{i}") for i in range(1, 6)])
+    clock = lambda hours, minutes: F.concat(hours.cast("int").cast("string"), F.lit(":"), minutes)
 
     def holds(p: Column) -> Column:
         g = [p[f"g{i}"].cast("int") for i in range(1, 6)]
         total = g[0] * 60 + g[1] + g[2]
-        return (F.floor(total / 60) == g[3]) & (total % 60 == g[4])
+        right = (F.floor(total / 60) == g[3]) & (total % 60 == g[4])
+        return right if starts is None else right & F.array_contains(starts, clock(p["g1"], p["g2"]))
 
     right = F.filter(parts, holds)
-    return F.array_sort(F.array_distinct(F.transform(right, lambda p: F.concat(p["g4"].cast("int").cast("string"), F.lit(":"), p["g5"]))))
+    return F.array_sort(F.array_distinct(F.transform(right, lambda p: clock(p["g4"], p["g5"]))))
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Similarity of two texts by their matching blocks, 0 to 1; null where either is null."""
+
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(left, right)], dtype="float64")
+
+    return ratio(a, b)
+
+
+def closest(key: Column, others: Column, least: float) -> Column:
+    """The place of the text most similar to ``key`` among ``others``, the last of equals; -1 if none reaches ``least``, or there are none."""
+
+    @F.pandas_udf("int")
+    def find(keys: pd.Series, lists: pd.Series) -> pd.Series:
+        found = []
+        for key, texts in zip(keys, lists):
+            scored = [(SequenceMatcher(None, key, t).ratio(), i) for i, t in enumerate(texts) if t] if key and texts is not None else []
+            best = max(scored, default=(-1.0, -1))
+            found.append(best[1] if best[0] >= least else -1)
+        return pd.Series(found, dtype="int32")
+
+    return find(key, others)
 
 
 def candidate_terms(c: Column) -> Column:

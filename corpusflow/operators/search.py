@@ -58,55 +58,166 @@ def search_filter(
     return keep
 
 
-def dense_top(chunks: DataFrame, queries: DataFrame, k: int, settings: SearchSettings = SearchSettings(), key: str = "chunk_id", query: str = "query_id", vector: str = "dense") -> DataFrame:
-    """``(query, key, score, rank)``: the ``k`` nearest chunks of each query by cosine.
+def filter_rows(chunks: DataFrame, filters: DataFrame, settings: SearchSettings = SearchSettings(), query: str = "query_id") -> DataFrame:
+    """``(query, chunk_id)`` of the chunks that each query's own filter admits.
 
-    Query vectors go to every task as one matrix, after a check of their number; more are
-    searched in further passes. A batch of chunks gives one matrix product, of which only the
-    ``k`` best per query leave the task. Scores are rounded to 6 digits, ties go to the
-    smaller key. Zero vectors score 0.
+    ``filters`` has ``statuses, kinds, departments, doc_ids`` (arrays; null or empty ones ask for
+    nothing, but for statuses, where the active ones are meant) and ``date_from, date_to`` (dates,
+    the last one included). Equal filters are tested once: chunks meet the distinct filters by
+    status, and a filter's chunks then meet its queries by the filter's hash.
+    """
+    names = ["statuses", "kinds", "departments", "doc_ids", "date_from", "date_to"]
+    keyed = filters.select(query, F.xxhash64(F.to_json(F.struct(*names))).alias("__f"), *names)
+    distinct = keyed.select("__f", *names).dropDuplicates(["__f"])
+    asks = lambda name: F.size(F.coalesce(F.col(name), F.array().cast(dict(filters.dtypes)[name]))) > 0
+    statuses = F.when(asks("statuses"), F.col("statuses")).otherwise(F.array(*map(F.lit, settings.default_statuses)))
+    distinct = distinct.withColumn("__status", F.explode(F.array_distinct(statuses)))
+    keep = F.col("doc_status") == F.col("__status")
+    for name, column in (("kinds", "doc_kind"), ("departments", "department"), ("doc_ids", "doc_id")):
+        keep = keep & (~asks(name) | F.coalesce(F.array_contains(name, F.col(column)), F.lit(False)))
+    second = lambda d: F.unix_seconds(F.col(d).cast("timestamp"))
+    since, until = F.col("date_from").isNull() | (F.col("doc_date_ts") >= second("date_from")), F.col("date_to").isNull() | (F.col("doc_date_ts") < second("date_to") + 86400)
+    facts = chunks.select("chunk_id", "doc_status", "doc_kind", "department", "doc_id", "doc_date_ts")
+    few = distinct.count() <= settings.broadcast_filters
+    met = facts.join(F.broadcast(distinct) if few else distinct, keep & F.coalesce(since & until, F.lit(False)))
+    return keyed.select(query, "__f").join(met.select("__f", "chunk_id"), "__f").select(query, "chunk_id")
+
+
+def best_of(blocks: Iterator[tuple[np.ndarray, np.ndarray]], ids: list, k: int, query: str, key: str, least: float = -np.inf) -> pd.DataFrame:
+    """``(query, key, score)``: the ``k`` best keys of each query, from blocks of keys and their scores ``keys x queries``.
+
+    Scores of ``least`` or less don't count; ties go to the smaller key. Between blocks only what
+    can still be among the best is held.
     """
-    kinds, out = dict(chunks.dtypes), None
-    total = queries.count()
+    floor = np.full(len(ids), least)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def reduced() -> pd.DataFrame:
+        q, names, score = (np.concatenate(x) for x in zip(*held))
+        rows = pd.DataFrame({"q": q, key: names, "score": score}).sort_values(["q", "score", key], ascending=[True, False, True])
+        return rows.groupby("q", sort=False).head(k)
+
+    size = 0
+    for names, scores in blocks:
+        low = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]) if len(scores) > k else floor
+        row, q = np.nonzero((scores >= low) & (scores > least))
+        held.append((q, names[row], scores[row, q]))
+        size += len(q)
+        if size > 4 * k * len(ids):
+            rows = reduced()
+            held, size = [(rows["q"].to_numpy(), rows[key].to_numpy(), rows["score"].to_numpy())], len(rows)
+            full = rows.groupby("q")["score"].agg(["size", "min"])
+            full = full[full["size"] == k]
+            floor[full.index.to_numpy()] = full["min"].to_numpy()
+    if not size:
+        return pd.DataFrame({query: [], key: [], "score": []}, dtype=object)
+    rows = reduced()
+    asked = pd.Series([ids[q] for q in rows["q"]], dtype=object)
+    return pd.DataFrame({query: asked, key: pd.Series(rows[key].tolist(), dtype=object), "score": rows["score"].to_numpy() + 0.0})
+
+
+def in_passes(chunks: DataFrame, queries: DataFrame, k: int, settings: SearchSettings, key: str, query: str, chunk_columns: list[str], query_column: str, searcher) -> DataFrame:
+    """``(query, key, score, rank)`` by ``searcher(ids, values)``, which makes blocks of scores of a task's chunks.
+
+    The queries' vectors go to every task, after a check of their number; more are searched in
+    further passes. Of a task's chunks only the ``k`` best per query leave it.
+    """
+    total, out = queries.count(), None
     passes = max(1, -(-total // settings.broadcast_queries))
-    rows = queries.select(query, F.col(vector).alias("v"))
+    rows = queries.select(query, F.col(query_column).alias("v"))
+    kind, kinds = dict(queries.dtypes)[query], dict(chunks.dtypes)
     for n in range(passes):
         part = rows if passes == 1 else rows.where(F.pmod(F.xxhash64(query), F.lit(passes)) == n)
         asked = part.toPandas()  # at most about broadcast_queries vectors
-        ids = asked[query].tolist()
-        matrix = np.array(asked["v"].tolist(), np.float64).reshape(len(ids), -1)
-
-        def top(batches: Iterator[pd.DataFrame], ids: list = ids, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
-            unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-            for batch in batches:
-                if not len(batch) or not ids:
-                    continue
-                x = np.array(batch[vector].tolist(), np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                scores = np.round(x @ unit.T, 6)
-                names = batch[key].to_numpy()
-                order = np.argsort(names, kind="stable")
-                scores, names = scores[order], names[order]
-                best = np.argsort(-scores, axis=0, kind="stable")[:k]
-                yield pd.DataFrame({query: np.tile(np.array(ids, object), len(best)), key: names[best].ravel(), "score": np.take_along_axis(scores, best, 0).ravel() + 0.0})
-
-        found = chunks.select(key, vector).mapInPandas(top, f"{query} {dict(queries.dtypes)[query]}, {key} {kinds[key]}, score double")
+        ids, blocks, least = asked[query].tolist(), *searcher(asked["v"].tolist())
+
+        def top(batches: Iterator[pd.DataFrame], ids: list = ids, blocks=blocks, least: float = least) -> Iterator[pd.DataFrame]:
+            if ids:
+                yield best_of((b for batch in batches if len(batch) for b in blocks(batch)), ids, k, query, key, least)
+
+        found = chunks.select(key, *chunk_columns).mapInPandas(top, f"{query} {kind}, {key} {kinds[key]}, score double")
         out = found if out is None else out.unionByName(found)
     return ranked(out, query, key, k)
 
 
+def dense_top(chunks: DataFrame, queries: DataFrame, k: int, settings: SearchSettings = SearchSettings(), key: str = "chunk_id", query: str = "query_id", vector: str = "dense") -> DataFrame:
+    """``(query, key, score, rank)``: the ``k`` nearest chunks of each query by cosine.
+
+    A block of chunks gives one matrix product. Scores are rounded to 6 digits, ties go to the
+    smaller key. Zero vectors score 0.
+    """
+    cells = settings.product_cells
+
+    def searcher(vectors: list) -> tuple:
+        matrix = np.array(vectors, np.float64).reshape(len(vectors), -1)
+        unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        step = max(1, cells // max(1, len(vectors)))
+
+        def blocks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            names = batch[key].to_numpy()
+            for i in range(0, len(batch), step):
+                x = np.array(batch[vector].iloc[i : i + step].tolist(), np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                yield names[i : i + step], np.round(x @ unit.T, 6)
+
+        return blocks, -np.inf
+
+    return in_passes(chunks, queries, k, settings, key, query, [vector], vector, searcher)
+
+
+def sparse_top(chunks: DataFrame, queries: DataFrame, k: int, settings: SearchSettings = SearchSettings(), key: str = "chunk_id", query: str = "query_id", vector: str = "sparse") -> DataFrame:
+    """``(query, key, score, rank)``: the ``k`` best chunks by the product of weights of shared tokens.
+
+    Vectors are ``array<struct<token, weight>>``; of a token that comes several times the largest
+    weight counts. The queries' tokens go to every task as posting lists, and a block of chunks is
+    multiplied with them at once, so no token, however common, brings rows together.
+    """
+    cells = settings.product_cells
+
+    def pooled(vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, tokens and weights, sorted by row and token, the largest weight of each."""
+        sizes = [0 if v is None else len(v) for v in vectors]
+        row = np.repeat(np.arange(len(vectors)), sizes)
+        token = np.fromiter((e["token"] for v in vectors if v is not None for e in v), np.int64, len(row))
+        weight = np.fromiter((e["weight"] for v in vectors if v is not None for e in v), np.float64, len(row))
+        order = np.lexsort((-weight, token, row))
+        row, token, weight = row[order], token[order], weight[order]
+        first = np.ones(len(row), bool)
+        first[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
+        return row[first], token[first], weight[first]
+
+    def searcher(vectors: list) -> tuple:
+        row, token, weight = pooled(vectors)
+        order = np.argsort(token, kind="stable")
+        known, start, count = np.unique(token[order], return_index=True, return_counts=True)
+        owner, worth, width = row[order], weight[order], len(vectors)
+        step = max(1, cells // max(1, width))
+
+        def scored(part: list) -> np.ndarray:
+            own, tokens, weights = pooled(part)
+            place = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
+            met = known[place] == tokens if len(known) else np.zeros(len(tokens), bool)
+            own, place, weights = own[met], place[met], weights[met]
+            lengths = count[place]
+            which = np.repeat(np.arange(len(place)), lengths)
+            at = np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + start[place][which]
+            return np.bincount(own[which] * width + owner[at], weights[which] * worth[at], len(part) * width).reshape(len(part), width)
+
+        def blocks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            names, lists = batch[key].to_numpy(), batch[vector].tolist()
+            for i in range(0, len(lists), step):
+                yield names[i : i + step], np.round(scored(lists[i : i + step]), 6)
+
+        return blocks, 0.0
+
+    return in_passes(chunks, queries, k, settings, key, query, [vector], vector, searcher)
+
+
 def ranked(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
     order = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def sparse_top(chunk_terms: DataFrame, query_terms: DataFrame, k: int, key: str = "chunk_id", query: str = "query_id") -> DataFrame:
-    """``(query, key, score, rank)``: the ``k`` best chunks by the product of weights of shared tokens."""
-    asked = query_terms.select(query, "token", F.col("weight").alias("asked"))
-    scored = chunk_terms.join(asked, "token").groupBy(query, key).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("score"))
-    return ranked(scored, query, key, k)
-
-
 def fuse(dense: DataFrame, sparse: DataFrame, settings: SearchSettings = SearchSettings(), key: str = "chunk_id", query: str = "query_id") -> DataFrame:
     """``(query, key, rrf, fusion_rank)``: reciprocal rank fusion, the best ``candidates``; ranks from 1, ties by key."""
     both = dense.select(query, key, "rank").unionByName(sparse.select(query, key, "rank"))

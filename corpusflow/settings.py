@@ -9,11 +9,23 @@ from dataclasses import dataclass, field
 class StatusRules:
     """Which status and state ids mean cancelled or active; anything else is a draft."""
 
-    cancelled_status_ids: tuple[str, ...] = ("de9d3b6d-532b-4cb8-aa7b-e055e8986e48",)
+    cancelled_status_ids: tuple[str, ...] = ("status-cancelled",)
     cancelled_state_ids: tuple[int, ...] = (5, 17, 21)
     active_state_ids: tuple[int, ...] = (6, 8, 11, 12, 13, 18, 19)
 
 
+@dataclass(frozen=True)
+class CardSections:
+    """Where a card keeps what."""
+
+    common: str = "Common"
+    approval: str = "Approval"
+    directions: str = "Directions"
+    approvers: str = "Approvers"
+    responsible: str = "Responsible"
+    state_names: tuple[tuple[int, str], ...] = ()  # of approval states, in place of their own names
+
+
 @dataclass(frozen=True)
 class MainCandidate:
     extension: str
@@ -41,7 +53,7 @@ class FileRules:
     main_text_categories: tuple[str, ...] = ("Документ", "Подписанные документы", "Файлы для отправки по ЭДО")
     appendix_categories: tuple[str, ...] = ("Приложение",)
     supplement_categories: tuple[str, ...] = ("Дополнительные сведения",)
-    supplement_types: tuple[str, ...] = ("OrderMKC",)
+    supplement_types: tuple[str, ...] = ("Order",)
 
 
 @dataclass(frozen=True)
@@ -55,6 +67,8 @@ class SearchSettings:
     known_values_limit: int = 500
     dims: int = 8
     broadcast_queries: int = 20_000  # queries up to which their vectors are sent to every task
+    broadcast_filters: int = 10_000  # distinct filters up to which they are sent to every task
+    product_cells: int = 4_000_000  # numbers of one block of scores in a task
 
 
 @dataclass(frozen=True)
@@ -95,6 +109,8 @@ class GlossarySettings:
     max_entries: int = 60
     lookup_limit: int = 5
     ratio: float = 0.75
+    least_stem: int = 5
+    most_ending: int = 3
 
 
 @dataclass(frozen=True)
