@@ -1,359 +1,400 @@
-"""Structural chunks of files, their parent sections, and reading sections back."""
+"""Structural chunks of files, their parent sections, and reading sections back.
+
+Headings, clauses and appendices of a file are told apart by windows in the order of its items; texts
+meet only inside one section, or where a file has no structure at all. Which neighbours share a chunk
+or a parent depends on what came before, so that is decided by a small helper on arrays of sizes.
+"""
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.ids import NAMESPACE_URL
+from ..functions import ids
+from ..functions.text import bare_number, clause_number, cut_words, header_number, sentences, strip, word_count, words
+from ..runtime import cut
 from ..settings import ChunkSettings
 
-# How numbers, appendices, contents lines and sentence ends are written
-NUMBER = re.compile(r"^\s*(?:(\d+(?:\.\d+)+)\.?|(\d+)[.)])(?=\s+\S)")
-HEADER_NUMBER = re.compile(r"^\s*(\d+(?:\.\d+)*)[.)]?(?=\s+\S)")
-BARE_NUMBER = re.compile(r"^\s*(?:(\d+(?:\.\d+)+)\.?|(\d+)[.)])\s*$")
-NO_NUMBER = re.compile(r"\d{4,}|(?:^|\.)0\d")
-APPENDIX = re.compile(r"^\s*Приложение\s*(?:№|N|#)?\s*(\d+[а-яa-z]?)(?=[\s.:;)]|$)", re.IGNORECASE)
-CONTENTS = re.compile(r"(?:\t|\.{3,}|…)\s*\d{1,3}\s*$")
-ATTRIBUTION = re.compile(r"^\s*к\s", re.IGNORECASE)
-SENTENCE_GAP = re.compile(r"(?<=[.!?;])\s+(?=[«\"(A-ZА-ЯЁ0-9])|\n+")
+# How appendices, contents lines and attributions are written, and the parts of a file that aren't text
+APPENDIX = r"(?iuU)^\s*Приложение\s*(?:№|N|#)?\s*(\d+[а-яa-z]?)(?=[\s.:;)]|$)"
+AFTER_NUMBER = r"(?U)^\s*(\d+(?:\.\d+)*)[.)]?(?=\s+\S)"
+CONTENTS = r"(?U)(?:\t|\.{3,}|…)\s*\d{1,3}\s*$"
+ATTRIBUTION = r"(?iuU)^\s*к\s"
+BLANKS = r"[ \t\u00a0]+"
 SKIPPED = ("page_header", "page_footer", "footnote", "picture", "formula", "document_index")
+NO_COLUMN = "колонка "
 
-Counter = Callable[[str], int]
-
+Counter = Callable[[Column], Column]  # tokens of a text; built of Spark's functions, as it is used inside arrays too
 
-def count_words(text: str) -> int:
-    return len(text.split())
 
+# ---------------------------------------------------------------- sizes to spans
+# Each helper is called once a row: as nondeterministic functions the optimizer won't copy them into filters.
 
-# ---------------------------------------------------------------- windows of text and of tables
 
+def spans(sizes: Column, limit: Column, overlap: Column | int = 0) -> Column:
+    """``array<array<int>>``: first place and number of the neighbours in each window of at most ``limit``.
 
-def fill(pieces: list[str], limit: int, count: Counter, glue: str, overlap: int = 0) -> list[str]:
-    """Pieces joined into windows of at most ``limit`` tokens.
+    A window repeats the last places of the one before until ``overlap`` is reached, as far as the
+    next place still fits. A place larger than the limit has a window of its own.
+    """
 
-    A new window starts with the last pieces of the one before until ``overlap`` tokens are
-    reached, as far as the next piece still fits.
+    @F.pandas_udf("array<array<int>>")
+    def cut_up(lists: pd.Series, limits: pd.Series, overlaps: pd.Series) -> pd.Series:
+        def windows(size: list[int], most: int, shared: int) -> list[list[int]]:
+            out, at, total = [], 0, 0
+            for i, n in enumerate(size):
+                if i > at and total + n > most:
+                    out.append([at, i - at])
+                    back, repeated = i, 0
+                    while back - 1 > at and repeated < shared and repeated + size[back - 1] + n <= most:
+                        back -= 1
+                        repeated += size[back]
+                    at, total = back, repeated
+                total += n
+            return [*out, [at, len(size) - at]] if len(size) else out
+
+        return pd.Series([windows(list(s), m, o) for s, m, o in zip(lists, limits, overlaps)], dtype=object)
+
+    return cut_up.asNondeterministic()(sizes, limit, F.lit(overlap) if isinstance(overlap, int) else overlap)
+
+
+def row_spans(sizes: Column, room: Column) -> Column:
+    """Like ``spans`` without overlap, where a place that is larger than the room is alone even beside smaller ones."""
+
+    @F.pandas_udf("array<array<int>>")
+    def cut_up(lists: pd.Series, rooms: pd.Series) -> pd.Series:
+        def runs(size: list[int], most: int) -> list[list[int]]:
+            out: list[list[int]] = []
+            total = most + 1
+            for i, n in enumerate(size):
+                if n > most or total + n > most:
+                    out.append([i, 0])
+                    total = 0
+                out[-1][1] += 1
+                total = most + 1 if n > most else total + n
+            return out
+
+        return pd.Series([runs(list(s), m) for s, m in zip(lists, rooms)], dtype=object)
+
+    return cut_up.asNondeterministic()(sizes, room)
+
+
+def draft_numbers(sizes: Column, clauses: Column, marks: Column, least: int) -> Column:
+    """The number of the draft that each paragraph of a section falls into.
+
+    A paragraph without a number goes on with a draft that has a line ending in a colon, if it is
+    a list item or the line before it ends in a colon, semicolon or comma. Others open a draft
+    where the clause changes or ``least`` tokens are reached; entries of an appendix stay together.
+    Marks are bits: 1 numbered, 2 list item, 4 ends in a colon, 8 ends in a semicolon or comma, 16 entry.
     """
-    sizes = [count(p) for p in pieces]
-    windows, first, total = [], 0, 0
-    for i, size in enumerate(sizes):
-        if i > first and total + size > limit:
-            windows.append(glue.join(pieces[first:i]))
-            lowest, first, total = first, i, 0
-            while first > lowest and total < overlap and total + sizes[first - 1] + size <= limit:
-                first -= 1
-                total += sizes[first]
-        total += size
-    return [*windows, glue.join(pieces[first:])] if pieces else windows
-
-
-def by_words(sentence: str, limit: int, count: Counter) -> list[str]:
-    """A sentence longer than the limit, cut between words."""
-    if count(sentence) <= limit:
-        return [sentence]
-    words, out, at = sentence.split(), [], 0
-    while at < len(words):
-        low, high = at + 1, len(words)
-        while low < high:  # the longest run that fits: counts grow with the run
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if count(" ".join(words[at:middle])) <= limit else (low, middle - 1)
-        out.append(" ".join(words[at:low]))
-        at = low
-    return out
-
-
-def split_text(text: str, limit: int, overlap: int, count: Counter = count_words) -> list[str]:
-    """Windows of whole sentences; one window if the text fits."""
-    if count(text) <= limit:
-        return [text]
-    found = [s.strip() for s in SENTENCE_GAP.split(text) if s and s.strip()]
-    return fill([p for s in found for p in by_words(s, limit, count)], limit, count, " ", min(overlap, limit - 1)) or [text]
-
-
-def cells_of(line: str) -> list[str]:
-    inner = line.strip()
-    return [c.strip().strip("*").strip() for c in inner.removeprefix("|").removesuffix("|").split("|")]
-
-
-def split_table(table: str, limit: int, overlap: int = 0, count: Counter = count_words) -> list[str]:
-    """Rows under a repeated header; a row too wide for that becomes ``column: value`` records, a header too wide becomes text."""
-    if count(table) <= limit:
-        return [table]
-    lines = table.splitlines()
-    header, rows = lines[:2], lines[2:]
-    names, head = cells_of(header[0]), "\n".join(header)
-    wide = count(head)
-
-    def records(row: str) -> list[str]:
-        pairs = [f"{names[i] if i < len(names) and names[i] else f'колонка {i + 1}'}: {c}" for i, c in enumerate(cells_of(row)) if c]
-        return fill([p for pair in pairs for p in by_words(pair, limit, count)], limit, count, "\n")
-
-    out: list[str] = split_text(" | ".join(n for n in names if n), limit, overlap, count) if wide >= limit else []
-    group: list[str] = []
-    for row in [*rows, None]:
-        alone = row is not None and wide + count(row) > limit
-        if group and (row is None or alone or wide + sum(map(count, group)) + count(row) > limit):
-            out.append("\n".join([head, *group]))
-            group = []
-        if alone:
-            out += records(row)
-        elif row is not None:
-            group.append(row)
-    return out or [table]
-
-
-# ---------------------------------------------------------------- from items to chunks
-
-
-@dataclass
-class Piece:
-    kind: str  # header, paragraph or table
-    text: str
-    refs: list[str]
-    page: int | None
-    level: int = 0  # of a real heading
-    number: str | None = None
-    appendix: bool = False
-    listed: bool = False
-
-
-@dataclass
-class Draft:
-    crumbs: tuple[str, ...]
-    key: str
-    heading: str | None
-    clause: str | None
-    page: int | None
-    texts: list[str] = field(default_factory=list)
-    refs: list[str] = field(default_factory=list)
-    entries: bool = False  # list entries of an appendix
-
-
-def number_in(text: str, pattern: re.Pattern = NUMBER) -> str | None:
-    m = pattern.match(text)
-    found = next((g for g in m.groups() if g), None) if m else None
-    return None if found is None or NO_NUMBER.search(found) else found
-
-
-def read_pieces(items: list[dict]) -> list[Piece]:
-    """Items of a file in order as pieces: contents lines and skipped parts drop out, a lone number joins the next paragraph."""
-    pieces: list[Piece] = []
-    hidden, waiting = None, None
-    for item in items:
-        depth = item["depth"] or 0
-        if hidden is not None and depth > hidden:
-            continue
-        hidden = depth if item["label"] in ("table", *SKIPPED) else None
-        raw, label, refs = item["text"] or "", item["label"], [item["self_ref"] or ""]
-        if label in SKIPPED or not raw.strip():
-            continue
-        if label == "table":
-            pieces.append(Piece("table", raw.strip(), refs, item["page_no"]))
-            continue
-        if CONTENTS.search(raw):
-            continue
-        if label in ("section_header", "title"):
-            marks = re.match(r"^\s*(#+)\s*", raw)
-            text = re.sub(r"[ \t ]+", " ", raw[marks.end() :] if marks else raw).strip()
-            pieces.append(Piece("header", text, refs, item["page_no"], len(marks[1]) if marks else int(item["header_level"] or 1), number_in(text, HEADER_NUMBER)))
-            continue
-        text = re.sub(r"[ \t ]+", " ", raw).strip()
-        mark = item["marker"] if label == "list_item" and item["enumerated"] else None
-        number = number_in(mark, BARE_NUMBER) if mark else None
-        if number and not number_in(text):
-            text = f"{mark.strip()} {text}"
-        number = number or number_in(text)
-        if number is None and (lone := number_in(text, BARE_NUMBER)):
-            waiting = lone
-            continue
-        if number is None and waiting:
-            number, text = waiting, f"{waiting}. {text}"
-        waiting = None
-        pieces.append(Piece("paragraph", text, refs, item["page_no"], number=number, listed=label == "list_item"))
-    return pieces
-
-
-def after_number(text: str) -> str:
-    return HEADER_NUMBER.sub("", text, count=1).strip()
-
-
-def promote_titles(pieces: list[Piece], s: ChunkSettings) -> None:
-    """Short paragraphs with a whole number become headings of a section."""
-    for p in pieces:
-        rest = after_number(p.text) if p.kind == "paragraph" and p.number and "." not in p.number else ""
-        if rest and not rest.endswith((".", ";", ":")) and len(rest.split()) <= s.title_max_words:
-            p.kind = "header"
-
-
-def open_appendices(pieces: list[Piece], s: ChunkSettings) -> list[Piece]:
-    """``Приложение № N`` past the first piece becomes a heading, with up to two short paragraphs after it as its title."""
-    out: list[Piece] = []
-    queue = list(enumerate(pieces))[::-1]
-    while queue:
-        i, p = queue.pop()
-        m = APPENDIX.match(p.text) if p.kind == "paragraph" and i else None
-        if not m or len(p.text.split()) > s.appendix_max_words:
-            out.append(p)
-            continue
-        title = [t] if (t := p.text[m.end() :].strip(" .:;—-")) else []
-        refs, asides = list(p.refs), []
-        while queue:
-            q = queue[-1][1]
-            if q.kind != "paragraph" or q.number or APPENDIX.match(q.text):
-                break
-            if not title and ATTRIBUTION.match(q.text):
-                asides.append(queue.pop()[1])
-                continue
-            if len(title) == 2 or len(q.text.split()) > s.appendix_title_max_words or q.text.rstrip().endswith((".", ";", ":")):
-                break
-            title.append(queue.pop()[1].text)
-            refs += q.refs
-        name = f"{s.appendix_word} № {m[1]}" + (f". {' '.join(title)}" if title else "")
-        out += [Piece("header", name, refs, p.page, appendix=True), *asides]
-    return out
-
-
-def crumb_of(p: Piece, s: ChunkSettings) -> str:
-    short = lambda t: t if len(t.split()) <= s.crumb_max_words else " ".join(t.split()[: s.crumb_max_words]) + "…"
-    if not p.number:
-        return short(p.text)
-    if "." not in p.number:
-        return short(f"{s.section_word} {p.text}")
-    rest = after_number(p.text)
-    return f"{s.clause_word} {p.number}" + (f" {rest}" if rest and len(rest.split()) <= s.title_max_words else "")
-
-
-def drafts_of(pieces: list[Piece], root: tuple[str, ...], s: ChunkSettings, count: Counter) -> list[tuple[str, Draft]]:
-    """Texts under the same crumbs, merged while short; lists stay with their opener, tables stand alone."""
-    top = min((p.level for p in pieces if p.kind == "header" and p.level), default=1)
-    stack: list[tuple[int, str, Piece]] = []
-    out: list[tuple[str, Draft]] = []
-    last: Draft | None = None  # still open
-    for p in pieces:
-        if p.kind == "header":
-            last = None
-            real = [lv for lv, _, q in stack if q.level or q.appendix]
-            level = top if p.appendix else p.level or (real[-1] if real else 0) + 1
-            stack = [e for e in stack if e[0] < level]
-            stack.append((level, crumb_of(p, s), p))
-            continue
-        section = tuple(c for _, c, _ in stack)
-        base = (s.separator.join(section), stack[-1][2].text if stack else None)
-        if p.kind == "table":
-            last = None
-            out.append(("table", Draft(root + section, *base, None, p.page, [p.text], list(p.refs))))
-            continue
-        opened = last is not None and not p.number and any(t.rstrip().endswith(":") for t in last.texts)
-        if opened and (p.listed or last.texts[-1].rstrip().endswith((":", ";", ","))):
-            last.texts.append(p.text)
-            last.refs += p.refs
-            continue
-        entry = bool(p.number) and "." not in p.number and any(q.appendix for _, _, q in stack)
-        clause = None if entry else p.number
-        crumbs = root + section + ((f"{s.clause_word} {clause}",) if clause else ())
-        full = last is not None and sum(map(count, last.texts)) >= s.min_tokens and not (entry and last.entries)
-        if last is None or last.crumbs != crumbs or full:
-            last = Draft(crumbs, *base, clause, p.page)
-            out.append(("text", last))
-        last.texts.append(p.text)
-        last.refs += p.refs
-        last.entries = last.entries or entry
-    return out
-
-
-def chunk_file(items: list[dict], sha: str, root: tuple[str, ...] = (), s: ChunkSettings = ChunkSettings(), count: Counter = count_words) -> list[dict]:
-    """Chunks of one file's items in order."""
-    pieces = read_pieces(items)
-    promote_titles(pieces, s)
-    levels = [p.level for p in pieces if p.kind == "header" and p.level]
-    title = None
-    if levels and pieces[0].kind == "header" and pieces[0].level == min(levels) and levels.count(min(levels)) == 1:
-        title, pieces = pieces[0].text, pieces[1:]
-    pieces = open_appendices(pieces, s)
-    structural = any(p.kind == "header" or (p.kind == "paragraph" and p.number) for p in pieces)
-    if structural:
-        found = drafts_of(pieces, root, s, count)
-    else:
-        crumbs = root + ((crumb_of(Piece("header", title, [], None), s),) if title else ())
-        texts = [p for p in pieces if p.kind != "table"]
-        found = [("text", Draft(crumbs, "", title, None, texts[0].page, [p.text for p in texts], [r for p in texts for r in p.refs]))] if texts else []
-        found += [("table", Draft(crumbs, "", title, None, p.page, [p.text], list(p.refs))) for p in pieces if p.kind == "table"]
-    out: list[dict] = []
-    for kind, d in found:
-        prefix = s.separator.join(d.crumbs)
-        budget = max(s.max_tokens - count(prefix), s.overlap_tokens + 1)
-        cut = split_table if kind == "table" else split_text
-        for body in cut("\n".join(d.texts), budget, s.overlap_tokens, count):
-            text = f"{prefix}\n{body}" if prefix else body
-            out.append({
-                "file_sha256": sha, "chunk_id": str(uuid.uuid5(uuid.UUID(NAMESPACE_URL), f"{sha}:{len(out)}")), "ordinal": len(out), "kind": kind,
-                "strategy": "structural" if structural else "fixed", "breadcrumbs": list(d.crumbs), "section_key": d.key, "heading": d.heading, "clause": d.clause,
-                "body": body, "text": text, "tokens": count(text), "page_no": d.page, "item_refs": list(d.refs),
-            })
-    return out
-
-
-def section_crumbs(chunk: dict) -> tuple[str, ...]:
-    crumbs = tuple(chunk["breadcrumbs"])
-    return crumbs[:-1] if chunk["clause"] and crumbs and crumbs[-1].endswith(chunk["clause"]) else crumbs
-
-
-def parents_of(chunks: list[dict], sha: str, s: ChunkSettings = ChunkSettings(), count: Counter = count_words) -> list[dict]:
-    """Parent sections: runs of neighbours under the same section, packed up to the token limit; sets ``parent_id`` of the chunks."""
-    windows: list[tuple[tuple, list[dict]]] = []
-    used = 0
-    for c in chunks:
-        key, size = section_crumbs(c), count(c["body"])
-        if windows and windows[-1][0] == key and used + count("\n\n") + size <= s.parent_max_tokens:
-            windows[-1][1].append(c)
-            used += count("\n\n") + size
-        else:
-            windows.append((key, [c]))
-            used = count(s.separator.join(key)) + size
-    keys = [k for k, _ in windows]
-    out = []
-    for n, (key, group) in enumerate(windows):
-        prefix, body = s.separator.join(key), "\n\n".join(c["body"] for c in group)
-        pid = str(uuid.uuid5(uuid.UUID(NAMESPACE_URL), f"{sha}:parent:{n}"))
-        for c in group:
-            c["parent_id"] = pid
-        text = f"{prefix}\n{body}" if prefix else body
-        out.append(group[0] | {
-            "chunk_id": pid, "ordinal": n, "kind": "section", "strategy": "parent", "breadcrumbs": list(key), "clause": None, "body": body, "text": text, "tokens": count(text),
-            "item_refs": [c["chunk_id"] for c in group], "parent_id": None, "part": keys[: n + 1].count(key), "parts": keys.count(key),
-        })
-    return out
-
-
-CHUNK_SCHEMA = (
-    "file_sha256 string, chunk_id string, ordinal int, kind string, strategy string, breadcrumbs array<string>, section_key string, heading string, clause string, "
-    "body string, text string, tokens int, page_no int, item_refs array<string>, parent_id string, part int, parts int, level string"
-)
-
-
-def chunk_items(items: DataFrame, settings: ChunkSettings = ChunkSettings(), counter: Counter = count_words) -> DataFrame:
-    """Chunks (``level`` child) and parent sections (``level`` parent) of ``items(file_sha256, seq, depth, label, text, ..)``.
-
-    A file's items meet in one group, sorted by ``seq``; ``item_refs`` of a parent are its children.
+
+    @F.pandas_udf("array<int>")
+    def number(all_sizes: pd.Series, all_clauses: pd.Series, all_marks: pd.Series) -> pd.Series:
+        out = []
+        for size, clause, mark in zip(all_sizes, all_clauses, all_marks):
+            own, draft, total, seen, previous, current = [], -1, 0, 0, 0, None
+            for n, c, m in zip(size, clause, mark):
+                goes_on = draft >= 0 and not m & 1 and seen & 4 and (m & 2 or previous & 12)
+                together = m & 16 and seen & 16
+                if not goes_on and (draft < 0 or c != current or (total >= least and not together)):
+                    draft, total, seen, current = draft + 1, 0, 0, c
+                own.append(draft)
+                total, previous = total + n, m
+                seen |= m & 4 if goes_on else m & 20
+            out.append(own)
+        return pd.Series(out, dtype=object)
+
+    return number.asNondeterministic()(sizes, clauses, marks)
+
+
+# ---------------------------------------------------------------- texts and tables in windows
+
+
+def by_words(text: Column, limit: Column, counter: Counter) -> Column:
+    """A text longer than the limit, cut between words into parts that fit however long its words are."""
+    w = words(text)
+    step = F.greatest(F.lit(1), F.floor(limit / F.greatest(F.lit(1), F.array_max(F.transform(w, counter)))).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), F.size(w) - 1, step), lambda i: F.array_join(F.slice(w, i + 1, step), " "))
+    return F.when(counter(text) <= limit, F.array(text)).otherwise(parts)
+
+
+def with_windows(rows: DataFrame, text: str, limit: str, overlap: int, counter: Counter = word_count) -> DataFrame:
+    """``rows`` with ``windows``: the text if it fits, else runs of whole sentences that overlap."""
+    fits = counter(F.col(text)) <= F.col(limit)
+    pieces = F.flatten(F.transform(sentences(F.col(text)), lambda s: by_words(s, F.col(limit), counter)))
+    made = rows.withColumn("__pieces", F.when(~fits, pieces).otherwise(F.array().cast("array<string>")))
+    made = made.withColumn("__sizes", F.transform("__pieces", counter))
+    made = made.withColumn("__spans", spans(F.col("__sizes"), F.col(limit), F.least(F.lit(overlap), F.col(limit) - 1)))
+    joined = F.transform("__spans", lambda s: F.array_join(F.slice("__pieces", s[0] + 1, s[1]), " "))
+    return made.withColumn("windows", F.when(F.size("__pieces") > 0, joined).otherwise(F.array(text))).drop("__pieces", "__sizes", "__spans")
+
+
+def cells_of(line: Column) -> Column:
+    inner = F.regexp_replace(strip(line), r"^\||\|$", "")
+    return F.transform(F.split(inner, r"\|"), lambda c: F.regexp_replace(c, r"(?U)^[\s*]+|[\s*]+$", ""))
+
+
+def table_windows(rows: DataFrame, key: list[str], text: str, limit: str, overlap: int, counter: Counter = word_count) -> DataFrame:
+    """``key, place, part``: tables that fit, others as parts under a repeated header, in order of ``place``.
+
+    A row too wide for its header becomes ``column: value`` records, a header too wide for
+    anything beside it becomes text before the rows.
     """
-    names = [part.split()[0] for part in CHUNK_SCHEMA.replace("array<string>", "array").split(", ")]
+    lines = F.split(F.col(text), "\n")
+    read = rows.select(*key, F.col(text).alias("table"), F.col(limit).alias("limit"), F.slice(lines, 1, 2).alias("head"), F.slice(lines, 3, 1_000_000_000).alias("body"))
+    read = read.withColumn("names", cells_of(F.get("head", 0))).withColumn("wide", counter(F.array_join("head", "\n")))
+    fits = counter(F.col("table")) <= F.col("limit")
+    whole = read.where(fits).select(*key, F.array(F.lit(0), F.lit(0)).alias("place"), F.col("table").alias("part"))
+    large = read.where(~fits)
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("seq").astype(object).where(lambda x: x.notna(), None).to_dict("records")
-        children = chunk_file(rows, key[0], (), settings, counter)
-        parents = parents_of(children, key[0], settings, counter)
-        out = [c | {"level": "child", "part": None, "parts": None} for c in children] + [p | {"level": "parent"} for p in parents]
-        return pd.DataFrame(out, columns=names)
+    headers = large.where(F.col("wide") >= F.col("limit")).withColumn("named", F.array_join(F.filter("names", lambda n: n != ""), " | "))
+    headers = with_windows(headers, "named", "limit", overlap, counter).select(*key, F.posexplode("windows").alias("i", "part")).select(*key, F.array(F.lit(-1), "i").alias("place"), "part")
 
-    return items.groupBy("file_sha256").applyInPandas(run, CHUNK_SCHEMA)
+    room = F.greatest(F.col("limit") - F.col("wide"), F.lit(0))
+    grouped = large.where(F.size("body") > 0).withColumn("sizes", F.transform("body", counter)).withColumn("room", room)
+    grouped = grouped.withColumn("runs", row_spans(F.col("sizes"), F.col("room"))).select("*", F.posexplode("runs").alias("i", "run"))
+    alone = F.get("sizes", F.get("run", 0)) > F.col("room")
+    under = grouped.where(~alone).select(*key, F.array("i", F.lit(0)).alias("place"), F.array_join(F.concat("head", F.slice("body", F.get("run", 0) + 1, F.get("run", 1))), "\n").alias("part"))
+
+    cells = grouped.where(alone).withColumn("cells", cells_of(F.get("body", F.get("run", 0))))
+    named = F.transform("cells", lambda c, i: F.when(c != "", F.concat(F.coalesce(F.nullif(F.get("names", i), F.lit("")), F.concat(F.lit(NO_COLUMN), (i + 1).cast("string"))), F.lit(": "), c)))
+    pairs = F.flatten(F.transform(F.filter(named, lambda p: p.isNotNull()), lambda p: by_words(p, F.col("limit"), counter)))
+    records = cells.withColumn("pairs", pairs).withColumn("pair_sizes", F.transform("pairs", counter)).withColumn("cuts", spans(F.col("pair_sizes"), F.col("limit")))
+    records = records.select(*key, "i", "pairs", F.posexplode("cuts").alias("j", "cut")).select(*key, F.array("i", "j").alias("place"), F.array_join(F.slice("pairs", F.get("cut", 0) + 1, F.get("cut", 1)), "\n").alias("part"))
+    return whole.unionByName(headers).unionByName(under).unionByName(records)
+
+
+# ---------------------------------------------------------------- from items to pieces
+
+
+def visible_items(items: DataFrame) -> DataFrame:
+    """``items`` without what lies inside tables and skipped parts: deeper items up to the next of at most their depth."""
+    blocks = F.col("label").isin("table", *SKIPPED)
+    deep = items.withColumn("depth", F.coalesce("depth", F.lit(0)))
+    depths = [r["depth"] for r in deep.where(blocks).select("depth").distinct().collect()]  # as many as layouts nest
+    before = Window.partitionBy("file_sha256").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    hidden = F.lit(False)
+    for d in depths:
+        last = F.last(F.when(F.col("depth") <= d, F.struct(((F.col("depth") == d) & blocks).alias("blocks"))), ignorenulls=True).over(before)
+        hidden = hidden | ((F.col("depth") > d) & F.coalesce(last["blocks"], F.lit(False)))
+    return deep.withColumn("hidden", hidden).where("not hidden").drop("hidden")
+
+
+def after_number(c: Column) -> Column:
+    return strip(F.regexp_replace(c, AFTER_NUMBER, ""))
+
+
+def read_pieces(items: DataFrame, s: ChunkSettings) -> DataFrame:
+    """``file_sha256, seq, kind, text, ref, page_no, level, number, listed``: headers, paragraphs and tables.
+
+    Contents lines and skipped parts drop out; a paragraph that is a number only joins the next
+    one that has none. Short paragraphs with a whole number are headers without a level.
+    """
+    label, raw = F.col("label"), F.coalesce("text", F.lit(""))
+    kind = F.when(label == "table", "table").when(label.isin("section_header", "title"), "header").otherwise("paragraph")
+    shown = visible_items(items).where(~label.isin(*SKIPPED) & (strip(raw) != "") & ((label == "table") | ~raw.rlike(CONTENTS)))
+    marks = F.regexp_extract(raw, r"^\s*(#+)\s*", 1)
+    plain = strip(F.regexp_replace(F.when(kind == "header", F.regexp_replace(raw, r"^\s*#+\s*", "")).otherwise(raw), BLANKS, " "))
+    level = F.when(kind == "header", F.when(marks != "", F.length(marks)).when(F.coalesce("header_level", F.lit(0)) == 0, 1).otherwise(F.col("header_level"))).otherwise(0)
+    rows = shown.select(
+        "file_sha256", "seq", kind.alias("kind"), F.when(kind == "table", strip(raw)).otherwise(plain).alias("text"), F.coalesce("self_ref", F.lit("")).alias("ref"), "page_no", level.alias("level"),
+        F.when((label == "list_item") & F.coalesce("enumerated", F.lit(False)), F.col("marker")).alias("marker"), (label == "list_item").alias("listed"),
+    )
+    own, marked = clause_number(F.col("text")), bare_number(F.col("marker"))
+    rows = rows.withColumn("own", own).withColumn("marked", marked)
+    rows = rows.withColumn("text", F.when((F.col("kind") == "paragraph") & F.col("marked").isNotNull() & F.col("own").isNull(), F.concat(strip(F.col("marker")), F.lit(" "), "text")).otherwise(F.col("text")))
+    rows = rows.withColumn("number", F.when(F.col("kind") == "header", header_number(F.col("text"))).when(F.col("kind") == "paragraph", F.coalesce("marked", "own")))
+    rows = rows.withColumn("lone", F.when((F.col("kind") == "paragraph") & F.col("number").isNull(), bare_number(F.col("text"))))
+    waiting = F.lag("lone").over(Window.partitionBy("file_sha256", "kind").orderBy("seq"))
+    joins = F.col("number").isNull() & F.col("waiting").isNotNull() & F.col("lone").isNull()
+    rows = rows.withColumn("waiting", F.when(F.col("kind") == "paragraph", waiting)).withColumn("joins", joins).where("lone is null")
+    rows = rows.withColumn("text", F.when(F.col("joins"), F.concat("waiting", F.lit(". "), "text")).otherwise(F.col("text"))).withColumn("number", F.when(F.col("joins"), F.col("waiting")).otherwise(F.col("number")))
+    rest = after_number(F.col("text"))
+    titled = (F.col("kind") == "paragraph") & F.col("number").isNotNull() & ~F.col("number").contains(".") & (rest != "") & ~rest.rlike(r"[.;:]$") & (word_count(rest) <= s.title_max_words)
+    return rows.select("file_sha256", "seq", F.when(titled, "header").otherwise(F.col("kind")).alias("kind"), "text", "ref", "page_no", "level", "number", "listed")
+
+
+def without_titles(pieces: DataFrame) -> DataFrame:
+    """``pieces`` without the only heading of the top level where it opens a file; ``title`` holds it, ``place`` counts what is left."""
+    by = Window.partitionBy("file_sha256").orderBy("seq")
+    real = F.when((F.col("kind") == "header") & (F.col("level") > 0), F.col("level"))
+    later = F.min(real).over(by.rowsBetween(1, Window.unboundedFollowing))
+    first = (F.row_number().over(by) == 1) & real.isNotNull() & (later.isNull() | (later > real))
+    rows = pieces.withColumn("opens", first)
+    every = Window.partitionBy("file_sha256")
+    rows = rows.withColumn("title", F.max(F.when(F.col("opens"), F.col("text"))).over(every)).where("not opens").drop("opens")
+    return rows.withColumn("place", F.row_number().over(by))
+
+
+def open_appendices(pieces: DataFrame, s: ChunkSettings) -> DataFrame:
+    """``pieces`` where an appendix mark past the first piece is a header, with ``refs`` and ``appendix``.
+
+    Up to two short paragraphs after it, past lines of attribution, are its title; text after the
+    mark is one of them.
+    """
+    number = F.regexp_extract("text", APPENDIX, 1)
+    mark = F.col("text").rlike(APPENDIX)
+    starts = (F.col("kind") == "paragraph") & (F.col("place") > 1) & mark & (word_count(F.col("text")) <= s.appendix_max_words)
+    by = Window.partitionBy("file_sha256").orderBy("seq")
+    rows = pieces.withColumn("starts", starts).withColumn("ap", F.sum(F.col("starts").cast("int")).over(by))
+    group = Window.partitionBy("file_sha256", "ap")
+    along = group.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inline = F.regexp_replace(F.regexp_replace("text", APPENDIX, ""), r"^[ .:;—-]+|[ .:;—-]+$", "")
+    rows = rows.withColumn("inline", F.max(F.when(F.col("starts"), inline)).over(group))
+    stops = ~F.col("starts") & ((F.col("kind") != "paragraph") | F.col("number").isNotNull() | mark)
+    rows = rows.withColumn("open", (F.col("ap") > 0) & ~F.col("starts") & ~F.max(stops).over(along))
+    own = F.when(F.col("open") & ((F.col("inline") != "") | ~F.col("text").rlike(ATTRIBUTION)), F.col("seq"))
+    rows = rows.withColumn("from", F.min(own).over(group)).withColumn("inside", F.col("open") & (F.col("seq") >= F.col("from")))
+    good = (word_count(F.col("text")) <= s.appendix_title_max_words) & ~F.col("text").rlike(r"[.;:]\s*$")
+    fine = F.min(F.when(F.col("inside"), good).otherwise(F.lit(True))).over(along)
+    counted = F.sum(F.col("inside").cast("int")).over(along)
+    rows = rows.withColumn("titles", F.col("inside") & fine & (counted <= 2 - (F.col("inline") != "").cast("int")))
+    held = F.sort_array(F.collect_list(F.when(F.col("titles"), F.struct("seq", "text", "ref"))).over(group))
+    rows = rows.withColumn("held", held).where("not titles")
+    name = F.concat_ws(". ", F.concat(F.lit(f"{s.appendix_word} № "), number), F.nullif(F.array_join(F.concat(F.filter(F.array("inline"), lambda t: t != ""), F.transform("held", lambda h: h["text"])), " "), F.lit("")))
+    is_, refs = F.col("starts"), F.array("ref")
+    return rows.select(
+        "file_sha256", "seq", F.when(is_, "header").otherwise(F.col("kind")).alias("kind"), F.when(is_, name).otherwise(F.col("text")).alias("text"),
+        F.when(is_, F.concat(refs, F.transform("held", lambda h: h["ref"]))).otherwise(refs).alias("refs"), "page_no", "level", F.when(~is_, F.col("number")).alias("number"), "listed", "title", is_.alias("appendix"),
+    )
+
+
+def crumb(text: Column, number: Column, s: ChunkSettings) -> Column:
+    """How a heading is shown in a path."""
+    short = lambda c: F.when(word_count(c) > s.crumb_max_words, cut_words(c, s.crumb_max_words)).otherwise(c)
+    rest = after_number(text)
+    clause = F.concat_ws(" ", F.lit(s.clause_word), number, F.when((rest != "") & (word_count(rest) <= s.title_max_words), rest))
+    return F.when(number.isNull(), short(text)).when(number.contains("."), clause).otherwise(short(F.concat(F.lit(f"{s.section_word} "), text)))
+
+
+def placed_pieces(pieces: DataFrame, s: ChunkSettings) -> DataFrame:
+    """Paragraphs and tables with their ``section`` (the path of headings above them), ``heading``, ``inside`` an appendix, and ``run``.
+
+    A heading closes all others of its level or below. One without a level lies under the last
+    that has one; appendices lie on the file's top level. A run ends at each heading and table.
+    """
+    by = Window.partitionBy("file_sha256").orderBy("seq")
+    header = F.col("kind") == "header"
+    top = F.coalesce(F.min(F.when(header & (F.col("level") > 0), F.col("level"))).over(Window.partitionBy("file_sha256")), F.lit(1))
+    rows = pieces.withColumn("real", F.when(header & F.col("appendix"), top).when(header & (F.col("level") > 0), F.col("level")))
+    above = F.last("real", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("level", F.when(header, F.coalesce("real", F.coalesce(above, F.lit(0)) + 1)))
+    structural = F.max(header | ((F.col("kind") == "paragraph") & F.col("number").isNotNull())).over(Window.partitionBy("file_sha256"))
+    rows = rows.withColumn("structural", structural).withColumn("crumb", F.when(header, crumb(F.col("text"), F.col("number"), s)))
+    rows = cut(rows)
+    levels = sorted(r["level"] for r in rows.where("level is not null").select("level").distinct().collect())  # as many as headings nest
+    here = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = [F.last(F.when(F.col("level") <= n, F.struct("level", "crumb", "text", "appendix")), ignorenulls=True).over(here) for n in levels]
+    shape = "array<struct<level:int,crumb:string,text:string,appendix:boolean>>"
+    stack = F.filter(F.array(*[F.when(o["level"] == n, o) for o, n in zip(open_, levels)]).cast(shape), lambda h: h.isNotNull()) if levels else F.array().cast(shape)
+    breaks = header | ((F.col("kind") == "table") & F.col("structural"))
+    rows = rows.withColumn("stack", stack).withColumn("run", F.sum(breaks.cast("int")).over(here)).where("kind <> 'header'")
+    whole = F.when(F.col("title").isNull(), F.array().cast("array<string>")).otherwise(F.array(crumb(F.col("title"), F.lit(None).cast("string"), s)))
+    return rows.select(
+        "file_sha256", "seq", "kind", "text", "refs", "page_no", "number", "listed", "structural", "run",
+        F.when(F.col("structural"), F.transform("stack", lambda h: h["crumb"])).otherwise(whole).alias("section"),
+        F.when(F.col("structural"), F.get(F.transform("stack", lambda h: h["text"]), F.size("stack") - 1)).otherwise(F.col("title")).alias("heading"),
+        F.exists("stack", lambda h: h["appendix"]).alias("inside"),
+    )
+
+
+# ---------------------------------------------------------------- chunks and parents
+
+
+def drafts_of(placed: DataFrame, s: ChunkSettings, counter: Counter) -> DataFrame:
+    """``file_sha256, seq, kind, structural, section, heading, clause, page_no, body, refs``: what is cut into chunks.
+
+    Neighbouring paragraphs of a clause are merged while short, lists stay with what opens them,
+    tables stand alone. A file without structure is one text, with its tables after it.
+    """
+    entry = F.coalesce(F.col("number").isNotNull() & ~F.col("number").contains(".") & F.col("inside"), F.lit(False))
+    bits = lambda *pairs: sum((F.when(c, F.lit(b)).otherwise(F.lit(0)) for c, b in pairs), F.lit(0))
+    mark = bits((F.col("number").isNotNull(), 1), (F.col("listed"), 2), (F.col("text").rlike(r"(?U):\s*$"), 4), (F.col("text").rlike(r"(?U)[;,]\s*$"), 8), (entry, 16))
+    texts = placed.where("kind = 'paragraph'").withColumn("clause", F.when(~entry, F.col("number"))).withColumn("mark", mark).withColumn("size", counter(F.col("text")))
+    rows = F.sort_array(F.collect_list(F.struct("seq", "size", "clause", "mark", "text", "refs", "page_no")))
+    runs = texts.groupBy("file_sha256", "structural", "run").agg(rows.alias("rows"), F.first("section").alias("section"), F.first("heading").alias("heading"))
+    each_of = lambda name: F.transform("rows", lambda r: r[name])
+    numbered = runs.select("*", each_of("size").alias("sizes"), each_of("clause").alias("clauses"), each_of("mark").alias("marks"))
+    own = draft_numbers(F.col("sizes"), F.col("clauses"), F.col("marks"), s.min_tokens)
+    numbered = numbered.withColumn("own", own).withColumn("own", F.when(F.col("structural"), F.col("own")).otherwise(F.transform("own", lambda _: F.lit(0))))
+    each = numbered.select("file_sha256", "structural", "run", "section", "heading", F.explode(F.arrays_zip("rows", "own")).alias("r"))
+    held = each.groupBy("file_sha256", "structural", "run", "r.own").agg(F.sort_array(F.collect_list("r.rows")).alias("rows"), F.first("section").alias("section"), F.first("heading").alias("heading"))
+    merged = held.select(
+        "file_sha256", F.get("rows", 0)["seq"].alias("seq"), F.lit("text").alias("kind"), "structural", "section", "heading", F.when(F.col("structural"), F.get("rows", 0)["clause"]).alias("clause"),
+        F.get("rows", 0)["page_no"].alias("page_no"), F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("body"), F.flatten(F.transform("rows", lambda r: r["refs"])).alias("refs"),
+    )
+    tables = placed.where("kind = 'table'").select("file_sha256", "seq", "kind", "structural", "section", "heading", F.lit(None).cast("string").alias("clause"), "page_no", F.col("text").alias("body"), "refs")
+    return merged.unionByName(tables)
+
+
+def chunk_items(items: DataFrame, settings: ChunkSettings = ChunkSettings(), counter: Counter = word_count, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunks and parent sections of ``items(file_sha256, seq, depth, label, text, ..)``.
+
+    ``roots(file_sha256, root)`` puts a path before all sections of a file. Parents have the ids
+    of their chunks as ``item_refs``.
+    """
+    s = settings
+    drafts = drafts_of(placed_pieces(open_appendices(without_titles(read_pieces(items, s)), s), s), s, counter)
+    if roots is not None:
+        drafts = drafts.join(roots.select("file_sha256", "root"), "file_sha256", "left")
+    else:
+        drafts = drafts.withColumn("root", F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    path = F.concat(F.coalesce("root", none), "section")
+    crumbs = F.when(F.col("clause").isNull(), path).otherwise(F.concat(path, F.array(F.concat(F.lit(f"{s.clause_word} "), "clause"))))
+    key = F.when(F.col("structural"), F.array_join("section", s.separator)).otherwise("")
+    rows = drafts.withColumn("path", path).withColumn("breadcrumbs", crumbs).withColumn("section_key", key).withColumn("prefix", F.array_join("breadcrumbs", s.separator))
+    rows = cut(rows.withColumn("budget", F.greatest(F.lit(s.max_tokens) - counter(F.col("prefix")), F.lit(s.overlap_tokens + 1))))
+    facts = ["file_sha256", "seq", "kind", "structural", "path", "breadcrumbs", "section_key", "heading", "clause", "page_no", "refs", "prefix"]
+    texts = with_windows(rows.where("kind = 'text'"), "body", "budget", s.overlap_tokens, counter).select(*facts, F.posexplode("windows").alias("i", "body")).withColumn("place", F.array(F.lit(0), "i")).drop("i")
+    parts = table_windows(rows.where("kind = 'table'"), facts, "body", "budget", s.overlap_tokens, counter).withColumnRenamed("part", "body")
+    order = Window.partitionBy("file_sha256").orderBy(F.when(F.col("structural") | (F.col("kind") == "text"), 0).otherwise(1), "seq", "place")
+    made = texts.unionByName(parts).withColumn("ordinal", F.row_number().over(order) - 1)
+    text = F.when(F.col("prefix") == "", F.col("body")).otherwise(F.concat("prefix", F.lit("\n"), "body"))
+    chunks = made.select(
+        "file_sha256", ids.chunk_id(F.col("file_sha256"), F.col("ordinal")).alias("chunk_id"), "ordinal", "kind", F.when(F.col("structural"), "structural").otherwise("fixed").alias("strategy"),
+        "breadcrumbs", "path", "section_key", "heading", "clause", "body", text.alias("text"), counter(text).alias("tokens"), "page_no", F.col("refs").alias("item_refs"),
+    )
+    return parents_of(cut(chunks), s, counter)
+
+
+def parents_of(chunks: DataFrame, settings: ChunkSettings = ChunkSettings(), counter: Counter = word_count) -> tuple[DataFrame, DataFrame]:
+    """``chunks`` with ``parent_id``, and the parents: neighbours under one path, packed whole up to the token limit.
+
+    Only sizes of a run meet to be packed; ``part`` of ``parts`` counts a path's parents in the whole file.
+    """
+    s = settings
+    by = Window.partitionBy("file_sha256").orderBy("ordinal")
+    changes = ~F.coalesce(F.lag("path").over(by) == F.col("path"), F.lit(False))
+    rows = chunks.select("file_sha256", "ordinal", "path", changes.cast("int").alias("new"), counter(F.col("body")).alias("size"))
+    rows = rows.withColumn("run", F.sum("new").over(by))
+    runs = rows.groupBy("file_sha256", "run").agg(F.first("path").alias("path"), F.sort_array(F.collect_list(F.struct("ordinal", "size"))).alias("rows"))
+    room = F.lit(s.parent_max_tokens) - counter(F.array_join("path", s.separator))
+    packed = runs.withColumn("room", room).withColumn("sizes", F.transform("rows", lambda r: r["size"])).withColumn("spans", spans(F.col("sizes"), F.col("room")))
+    each = packed.select("file_sha256", "path", "rows", F.explode("spans").alias("span"))
+    each = each.select("file_sha256", "path", F.slice(F.transform("rows", lambda r: r["ordinal"]), F.get("span", 0) + 1, F.get("span", 1)).alias("ordinals"))
+    first = F.get("ordinals", 0)
+    same = Window.partitionBy("file_sha256", "path")
+    each = each.withColumn("n", F.row_number().over(Window.partitionBy("file_sha256").orderBy(first)) - 1)
+    each = each.withColumn("part", F.row_number().over(same.orderBy("n"))).withColumn("parts", F.count(F.lit(1)).over(same).cast("int"))
+    owners = cut(each.withColumn("parent_id", ids.parent_id(F.col("file_sha256"), F.col("n"))))
+    members = owners.select("file_sha256", "parent_id", F.explode("ordinals").alias("ordinal"))
+    children = chunks.join(members, ["file_sha256", "ordinal"], "left")
+    held = children.groupBy("file_sha256", "parent_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "chunk_id", "body", "page_no", "heading", "section_key"))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["body"]), "\n\n")
+    prefix = F.array_join("path", s.separator)
+    text = F.when(prefix == "", body).otherwise(F.concat(prefix, F.lit("\n"), body))
+    lead = F.get("rows", 0)
+    parents = owners.join(held, ["file_sha256", "parent_id"]).select(
+        "file_sha256", F.col("parent_id").alias("chunk_id"), F.col("n").alias("ordinal"), F.lit("section").alias("kind"), F.lit("parent").alias("strategy"), F.col("path").alias("breadcrumbs"),
+        lead["section_key"].alias("section_key"), lead["heading"].alias("heading"), body.alias("body"), text.alias("text"), counter(text).alias("tokens"), lead["page_no"].alias("page_no"),
+        F.transform("rows", lambda r: r["chunk_id"]).alias("item_refs"), "part", "parts",
+    )
+    return children.drop("path"), parents
 
 
 # ---------------------------------------------------------------- built-in parts
