@@ -7,14 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The folder in ``spark.checkpoint.dir``, if set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which the driver and all executors reach.
+
+    Where it is unset, a session on one machine gets a temporary folder; a cluster must set it.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
+    return folder or tempfile.mkdtemp(prefix="spark-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, its lineage cut; a temporary folder only where none is set, as in tests."""
+    """``df`` written to the checkpoint folder, its lineage cut."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SECTION = "STRUCT<name: STRING, fields: MAP<STRING, STRING>, rows: ARRAY<MAP<STRING, STRING>>>"
-CARD = f"id STRING, type_name STRING, type_caption STRING, modified STRING, sections MAP<STRING, {SECTION}>, files ARRAY<STRUCT<row_id: STRING, name: STRING, category: STRING, size: BIGINT, is_virtual: BOOLEAN>>"
-MANIFEST = (
-    "version STRING, documents ARRAY<STRUCT<card_id: STRING, doc_kind: STRING, number: STRING, files: ARRAY<STRUCT<row_id: STRING, name: STRING, path: STRING, sha256: STRING, downloaded: BOOLEAN>>>>, "
-    "edges ARRAY<STRUCT<from_id: STRING, to_id: STRING, relation_type: STRING, reverse_type: STRING, source: STRING>>"
-)
+CARD = f"id STRING, type_name STRING, type_caption STRING, created_by_name STRING, version INT, modified STRING, sections MAP<STRING, {SECTION}>, files ARRAY<STRUCT<row_id: STRING, name: STRING, category: STRING, size: BIGINT, is_virtual: BOOLEAN>>"
+FILES = "ARRAY<STRUCT<row_id: STRING, name: STRING, path: STRING, sha256: STRING, downloaded: BOOLEAN>>"
+DOCUMENT = f"card_id STRING, doc_kind STRING, number STRING, files {FILES}"
+EDGE = "from_id STRING, to_id STRING, relation_type STRING, reverse_type STRING, source STRING"
 
 
-def read_cards(spark: SparkSession, folder: str, keep_sections: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Cards, one JSON file each, with their path; and the paths of files that can't be read.
+def read_cards(spark: SparkSession, folder: str, keep_sections: tuple[str, ...] | None = None, many: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Cards, one JSON file each or ``many`` in a file, one a line, with their path; and the paths of what can't be read.
 
-    Sections that aren't wanted (their names ignore case) are dropped right after the read.
+    Sections that aren't wanted (their names ignore case) are dropped right after the read;
+    ``omitted`` names them.
     """
-    rows = spark.read.schema(CARD + ", _corrupt STRING").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(folder)
+    rows = spark.read.schema(CARD + ", _corrupt STRING").option("multiLine", not many).option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(folder)
     rows = rows.withColumn("path", F.col("_metadata.file_path"))
     bad = F.col("_corrupt").isNotNull() | F.col("id").isNull()
     good = rows.where(~bad).drop("_corrupt")
@@ -29,12 +29,13 @@ def read_cards(spark: SparkSession, folder: str, keep_sections: tuple[str, ...]
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, files and edges of a manifest, with their places."""
-    doc = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
-    documents = doc.select(F.posexplode("documents").alias("pos", "d")).select("pos", "d.card_id", "d.doc_kind", "d.number", "d.files")
-    files = documents.select("card_id", F.posexplode("files").alias("pos", "f")).select("card_id", "pos", "f.*")
-    edges = doc.select(F.posexplode("edges").alias("pos", "e")).select("pos", "e.*")
-    return documents.drop("files"), files, edges
+    """Documents, files and edges of a manifest, kept as lines of JSON in ``documents`` and ``edges``.
+
+    A manifest in one object would be read by one task, so its lists are tables of their own.
+    """
+    held = spark.read.schema(DOCUMENT).json(f"{path}/documents")
+    files = held.select("card_id", F.posexplode("files").alias("pos", "f")).select("card_id", "pos", "f.*")
+    return held.drop("files"), files, spark.read.schema(EDGE).json(f"{path}/edges")
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,13 +53,6 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_version(rows: DataFrame, table: str, version: int) -> str:
-    """A new version of a table beside the old ones; nothing is overwritten while it is read."""
-    path = f"{table}/_v={version}"
-    rows.write.mode("errorifexists").parquet(path)
-    return path
-
-
 def parse_files(files: DataFrame, cache: DataFrame, factory, version: str = "1") -> tuple[DataFrame, DataFrame]:
     """Items of files that the cache lacks, and error rows of those that can't be parsed.
 

@@ -5,24 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql.types import StructType
 
+from ..operators.registry import classify
 from ..runtime import cut
 from ..settings import MemorySettings
+from .tables import BatchTable
 
 
-def merge_messages(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """``table`` after a batch of writes ``(id, seq, ..)``: the last write of an id wins, ``created_s`` stays that of the first.
+def merge_messages(rows: DataFrame) -> DataFrame:
+    """The last write of each id of writes ``(id, seq, first_seq, .., created_s)``, with ``created_s`` of its first.
 
-    Running a batch again changes nothing; a child may come before its parent.
+    ``first_seq`` tells of a merged row where its ``created_s`` comes from, so merging is the same
+    in whatever portions writes come. A child may come before its parent.
     """
-    both = table.unionByName(batch)
-    first = Window.partitionBy("id").orderBy("seq")
-    last = Window.partitionBy("id").orderBy(F.desc("seq"))
-    marked = both.withColumn("created_s", F.first("created_s").over(first)).withColumn("n", F.row_number().over(last))
-    return marked.where("n = 1").drop("n")
+    merged = rows.groupBy("id").agg(F.max_by(F.struct("*"), F.col("seq")).alias("last"), F.min_by(F.struct("created_s", "first_seq"), F.col("first_seq")).alias("first"))
+    kept = [c for c in rows.columns if c not in ("created_s", "first_seq")]
+    return merged.select(*[f"last.{c}" for c in kept], "first.created_s", "first.first_seq")
 
 
 def merge_metadata(old: str, new: str) -> Column:
@@ -30,19 +31,18 @@ def merge_metadata(old: str, new: str) -> Column:
     return F.map_filter(F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(F.col(new), k)), F.col(new)), lambda _, v: v.isNotNull())
 
 
-class MessageTable:
-    """A table that a stream of writes is merged into, batch by batch."""
+def message_table(spark: SparkSession, folder: str, schema: StructType) -> BatchTable:
+    """The table of ``(id, seq, .., created_s)`` that writes are merged into."""
+    return BatchTable(spark, folder, schema.add("first_seq", schema["seq"].dataType), merge_messages)
 
-    def __init__(self, empty: DataFrame) -> None:
-        self.rows = empty
 
-    def apply(self, batch: DataFrame, _: int) -> None:
-        self.rows = cut(merge_messages(self.rows, batch))
+def upsert_stream(source: DataFrame, table: BatchTable, checkpoint: str):
+    """Merges all that a stream has now into ``table``."""
 
+    def take(batch: DataFrame, number: int) -> None:
+        table.append(batch.withColumn("first_seq", F.col("seq")), number)
 
-def upsert_stream(source: DataFrame, table: MessageTable, checkpoint: str):
-    """Merges all that a stream has now into ``table``."""
-    return source.writeStream.foreachBatch(table.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latencies(events: DataFrame) -> DataFrame:
@@ -52,9 +52,41 @@ def latencies(events: DataFrame) -> DataFrame:
     return seen.select("question_id", F.col("a").alias("started"), ((F.col("b") - F.col("a")) / 1e6).alias("first_signal_s"), ((F.col("c") - F.col("a")) / 1e6).alias("first_token_s"))
 
 
-def ingest_batches(source: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str):
-    """Runs ``on_batch`` (classify, chunk, upsert, register) for each batch of new files; a batch that was done isn't repeated."""
-    return source.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def file_table(spark: SparkSession, folder: str, schema: StructType, key: str = "file_row_id") -> BatchTable:
+    """A table of rows of files, of which those of a file's last batch count; a row with ``gone`` stands for none."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        last = rows.groupBy(F.col(key).alias("__k")).agg(F.max("batch").alias("__b"))
+        return rows.join(last, (F.col(key) == F.col("__k")) & (F.col("batch") == F.col("__b"))).where("not gone").drop("__k", "__b")
+
+    return BatchTable(spark, folder, schema, merge)
+
+
+def ingest_stream(source: DataFrame, registry: BatchTable, chunks: BatchTable, chunk: Callable[[DataFrame], DataFrame], checkpoint: str):
+    """Ingests files ``(card_id, row_id, role, sha256, fingerprint, ..)`` as they come.
+
+    Each batch is compared with the registry: new and changed files are chunked by
+    ``chunk(files)``, whose rows have ``file_row_id``, and replace what the file had; rows of files
+    that are skipped now go; files that are the same stay as they are. The registry takes the batch
+    last, so a batch that fails midway is done anew. Of a file that comes twice in a batch the
+    largest hash counts.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        files = batch.groupBy("card_id", "row_id").agg(F.max_by(F.struct("*"), F.struct("sha256", "fingerprint")).alias("f")).select("f.*")
+        files = cut(files)
+        known = registry.rows().join(files.select("card_id", "row_id"), ["card_id", "row_id"], "left_semi")
+        action = cut(classify(files, known.select("card_id", "row_id", "sha256", "fingerprint", "status")))
+        todo = files.join(action.where("action = 'parse'").select("card_id", "row_id"), ["card_id", "row_id"], "left_semi")
+        made = chunk(todo).withColumn("gone", F.lit(False))
+        dropped = action.where("drop_rows").select(F.col("row_id").alias("file_row_id"), F.lit(True).alias("gone"))
+        emptied = todo.select(F.col("row_id").alias("file_row_id"), F.lit(True).alias("gone")).join(made.select("file_row_id").distinct(), "file_row_id", "left_anti")
+        chunks.append(made.unionByName(dropped.unionByName(emptied), allowMissingColumns=True), number)
+        status = F.when(F.col("action") == "skipped", "skipped").otherwise("indexed")
+        done = files.join(action.select("card_id", "row_id", "action"), ["card_id", "row_id"]).where("action <> 'unchanged'")
+        registry.append(done.select("card_id", "row_id", "sha256", "fingerprint", status.alias("status"), F.col("row_id").alias("file_row_id"), F.lit(False).alias("gone")), number)
+
+    return source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def remember(turns: DataFrame, settings: MemorySettings = MemorySettings(), summarize: Callable[[list[str]], str] | None = None) -> DataFrame:
