@@ -56,27 +56,27 @@ def file_roles(files: DataFrame, cards: DataFrame, rules: FileRules = FileRules(
     return seen.withColumn("skip_reason", reason).select("card_id", "row_id", F.when(F.col("skip_reason").isNull(), role).alias("role"), "skip_reason")
 
 
-def content_owners(planned: DataFrame, files: DataFrame, cards: DataFrame) -> DataFrame:
-    """``card_id, row_id, role, skip_reason, also_in`` after equal contents of different files are settled.
+def content_owners(planned: DataFrame, files: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``card_id, row_id, role, skip_reason, copies`` after equal contents are settled; and the copies, one row each.
 
     The owner of a content is the file of the best role, then the first in record and file
-    order; the others are skipped and their cards listed in that order. Only keys move to the
-    window by content; a content of very many files has a long list.
+    order; the others are skipped. ``copies`` counts them on the owner. The second table has
+    ``card_id, row_id`` of the owner, ``rank, card_pos, pos, copy_row_id`` to sort its copies by, and
+    ``also_in``, the copy's card, which may be the owner's own. Owners are found by a minimum, so
+    a content of very many files fills no task.
     """
     keys = planned.where("role is not null").join(files.select("card_id", "row_id", "pos", "sha256"), ["card_id", "row_id"])
     keys = keys.join(cards.select("card_id", F.col("pos").alias("card_pos")), "card_id").where("sha256 is not null")
-    rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
-    order = Window.partitionBy("sha256").orderBy(rank, "card_pos", "pos", "row_id")
-    placed = keys.withColumn("n", F.row_number().over(order))
-    owners = placed.groupBy("sha256").agg(F.min(F.when(F.col("n") == 1, F.struct("card_id", "row_id"))).alias("owner"), F.sort_array(F.collect_list(F.when(F.col("n") > 1, F.struct("n", "card_id")))).alias("rest"))
-    listed = owners.select("owner.card_id", "owner.row_id", F.transform("rest", lambda r: r["card_id"]).alias("also_in"))
-    copies = placed.where("n > 1").select("card_id", "row_id", F.lit(True).alias("copy"))
-    out = planned.join(copies, ["card_id", "row_id"], "left").join(listed, ["card_id", "row_id"], "left")
-    return out.select(
-        "card_id", "row_id", F.when(F.col("copy").isNull(), F.col("role")).alias("role"),
-        F.when(F.col("copy"), F.lit("copy")).otherwise(F.col("skip_reason")).alias("skip_reason"),
-        F.coalesce("also_in", F.array().cast(dict(listed.dtypes)["also_in"])).alias("also_in"),
-    )
+    rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int")
+    keys = keys.select("sha256", F.struct(rank.alias("rank"), "card_pos", "pos", "row_id", "card_id").alias("k"))
+    owners = keys.groupBy("sha256").agg(F.min("k").alias("owner"), (F.count(F.lit(1)) - 1).alias("copies"))
+    lost = keys.join(owners.where("copies > 0"), "sha256").where("k <> owner")
+    copies = lost.select("owner.card_id", "owner.row_id", "k.rank", "k.card_pos", "k.pos", F.col("k.row_id").alias("copy_row_id"), F.col("k.card_id").alias("also_in"))
+    gone = copies.select(F.col("also_in").alias("card_id"), F.col("copy_row_id").alias("row_id"), F.lit(True).alias("copy"))
+    kept = owners.where("copies > 0").select("owner.card_id", "owner.row_id", "copies")
+    out = planned.join(gone, ["card_id", "row_id"], "left").join(kept, ["card_id", "row_id"], "left")
+    role, reason = F.when(F.col("copy").isNull(), F.col("role")), F.when(F.col("copy"), F.lit("copy")).otherwise(F.col("skip_reason"))
+    return out.select("card_id", "row_id", role.alias("role"), reason.alias("skip_reason"), F.coalesce("copies", F.lit(0)).alias("copies")), copies
 
 
 def mark_duplicates(files: DataFrame, cards: DataFrame) -> DataFrame:

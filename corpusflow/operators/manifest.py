@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import date_or_null, document_label, int_or_null, text_or_null
-from ..settings import StatusRules
+from ..settings import CardSections, ChunkSettings, StatusRules
 
 
 def resolve_status(status_id: Column, state_id: Column, rules: StatusRules = StatusRules()) -> Column:
@@ -38,6 +38,89 @@ def from_sections(cards: DataFrame, section: str = "Common") -> DataFrame:
     )
 
 
+def document_fields(cards: DataFrame, relations: DataFrame | None = None, fallback_kind: str = "Без вида", rules: StatusRules = StatusRules(), sections: CardSections = CardSections()) -> DataFrame:
+    """One row per card, read out of its sections, with all fields that its chunks carry.
+
+    Kind, number, date, approval state and author fall back on one another; names come from the
+    rows of their sections. ``relations(card_id, direction, pos, doc_id, relation, doc_type)`` are
+    listed outgoing ones first, each in their order.
+    """
+    none = F.lit(None).cast("string")
+    part = lambda section: F.try_element_at(F.col("sections"), F.lit(section))
+    common = lambda name: text_or_null(F.try_element_at(part(sections.common)["fields"], F.lit(name)))
+    approval = lambda name: text_or_null(F.try_element_at(part(sections.approval)["fields"], F.lit(name)))
+
+    def names(section: str, column: str) -> Column:
+        found = F.transform(part(section)["rows"], lambda r: text_or_null(F.try_element_at(r, F.lit(column))))
+        return F.coalesce(F.filter(found, lambda n: n.isNotNull()), F.array().cast("array<string>"))
+
+    title, number = F.coalesce(common("DocTypeTitle"), text_or_null(F.col("type_caption")), F.lit(fallback_kind)), F.coalesce(common("FullNumber"), common("SecondaryFullNumber"))
+    date, state = F.coalesce(date_or_null(common("DocDate")), date_or_null(common("CreationDate"))), int_or_null(common("StateID"))
+    approval_state = F.coalesce(approval("StateName"), common("StateName"))
+    approval_id = F.coalesce(int_or_null(approval("StateID")), F.when(approval("StateName").isNull(), state))
+    named = F.try_element_at(F.create_map(*[F.lit(v) for pair in sections.state_names for v in pair]), approval_id) if sections.state_names else none
+    rows = cards.select(
+        F.col("id").alias("doc_id"), F.col("type_name").alias("card_type_name"), F.col("type_caption").alias("card_type_caption"), title.alias("doc_kind"), number.alias("doc_number"), date.alias("doc_date"),
+        F.unix_seconds(date.cast("timestamp")).alias("doc_date_ts"), resolve_status(common("StatusID"), state, rules).alias("doc_status"), common("StatusNameStatus").alias("doc_status_name"),
+        state.alias("state_id"), common("StateName").alias("state_name"), approval_state.alias("approval_state"), F.coalesce(named, approval_state).alias("approval_state_name"),
+        common("DepartmentName").alias("department"), common("DepartmentID").alias("department_id"), F.coalesce(common("AuthorName"), common("RegistratorName"), text_or_null(F.col("created_by_name"))).alias("author"),
+        F.array().cast("array<string>").alias("acl_groups"), common("Subject").alias("subject"), common("Comment").alias("comment"), common("SignedByName").alias("signed_by"),
+        names(sections.directions, "DirectionActivityName").alias("direction_activity"), names(sections.approvers, "UserName").alias("approvers"), names(sections.responsible, "UserName").alias("responsible"),
+        common("ValidityPeriod").alias("validity_period"), int_or_null(F.col("version").cast("string")).alias("card_version"), F.col("modified").alias("card_modified"), document_label(title, number, date).alias("label"),
+    )
+    shape = "array<struct<doc_id:string,relation:string,direction:string,doc_type:string>>"
+    if relations is None:
+        return rows.withColumn("relations", F.array().cast(shape))
+    one = F.struct(F.when(F.col("direction") == "outgoing", 0).otherwise(1).alias("d"), "pos", F.struct(F.col("doc_id").cast("string").alias("doc_id"), "relation", "direction", "doc_type").alias("r"))
+    listed = relations.groupBy(F.col("card_id").cast("string").alias("doc_id")).agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["r"]).alias("relations"))
+    return rows.join(listed, "doc_id", "left").withColumn("relations", F.coalesce(F.col("relations").cast(shape), F.array().cast(shape)))
+
+
+def root_crumbs(label: Column, role: Column, file_name: Column) -> Column:
+    """What comes before a file's sections: its document, and its own name unless it is the main file."""
+    return F.when(role == "main", F.array(label)).otherwise(F.array(label, F.concat(F.lit("Приложение «"), file_name, F.lit("»"))))
+
+
+def payloads(chunks: DataFrame, files: DataFrame, documents: DataFrame, level: str = "child", settings: ChunkSettings = ChunkSettings()) -> DataFrame:
+    """Chunks with the fields of their file and document: what the index holds.
+
+    ``chunks`` have ``file_sha256, breadcrumbs, kind, strategy, ordinal, ..``, ``files`` their
+    ``card_id, row_id, role, name, category, route`` by hash, ``documents`` those of
+    ``document_fields``. The section path leaves out the root and the clause.
+    """
+    child = level == "child"
+    met = chunks.join(files.select("file_sha256", F.col("card_id").cast("string").alias("doc_id"), F.col("row_id").alias("file_row_id"), F.col("name").alias("file_name"), F.col("category").alias("file_category"), F.coalesce("role", F.lit("skipped")).alias("file_role"), F.col("route").alias("parse_route")), "file_sha256").join(documents, "doc_id")
+    length = F.size(root_crumbs(F.col("label"), F.col("file_role"), F.col("file_name")))
+    path = F.slice("breadcrumbs", length + 1, F.greatest(F.size("breadcrumbs") - length, F.lit(0)))
+    if child:
+        ends = (F.size(path) > 0) & F.coalesce(F.endswith(F.get(path, F.size(path) - 1), F.col("clause")), F.lit(False))
+        path = F.when(ends, F.slice(path, 1, F.size(path) - 1)).otherwise(path)
+    kind = F.when(F.col("kind") == "table", "table").when(F.col("strategy") == "structural", "structural").otherwise("fallback") if child else F.lit("structural")
+    refs = F.array().cast("array<string>") if child else F.col("item_refs")
+    return met.select(
+        *documents.columns, "file_sha256", "file_row_id", "file_name", "file_category", "file_role", "parse_route", "chunk_id", F.lit(level).alias("chunk_level"), kind.alias("chunk_kind"), F.col("ordinal").alias("chunk_index"),
+        (F.col("parent_id") if child else F.lit(None).cast("string")).alias("parent_id"), refs.alias("child_ids"), path.alias("section_path"), (F.col("clause") if child else F.lit(None).cast("string")).alias("clause"),
+        "heading", F.array_join("breadcrumbs", settings.separator).alias("breadcrumbs"), "page_no", "text", "body", "tokens",
+    )
+
+
+def card_view(cards: DataFrame, sections: list[str] | None, documents: DataFrame) -> DataFrame:
+    """``doc_id, included, omitted, sections, files, summary`` of cards with the wanted sections only, or all where none are named.
+
+    Names of sections ignore case; files are those that really exist.
+    """
+    wanted = [s.lower() for s in sections or []]
+    has = lambda name: F.lit(True) if sections is None else F.lower(name).isin(*wanted)
+    keys = F.sort_array(F.map_keys("sections"))
+    real = F.transform(F.filter("files", lambda f: ~F.coalesce(f["is_virtual"], F.lit(False))), lambda f: f["name"])
+    view = cards.select(
+        F.col("id").alias("doc_id"), F.filter(keys, has).alias("included"), F.filter(keys, lambda k: ~has(k)).alias("omitted"),
+        F.map_filter("sections", lambda k, _: has(k)).alias("sections"), F.coalesce(real, F.array().cast("array<string>")).alias("files"),
+    )
+    told = ("label", "doc_kind", "doc_number", "doc_date", "subject", "doc_status", "doc_status_name", "state_name", "approval_state_name", "department", "author", "signed_by", "validity_period", "comment", "approvers", "responsible")
+    return view.join(documents.select("doc_id", F.struct(*told).alias("summary")), "doc_id", "left")
+
+
 def coverage_kinds(texts: list[Column], kinds: dict[str, tuple[str, ...]], other: str) -> Column:
     """All kinds whose patterns any of the texts matches; ``other`` if none."""
     values = F.array(*[F.coalesce(t, F.lit("")) for t in texts])

@@ -84,3 +84,17 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key."""
     by = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
+
+
+def report_rows(outcomes: DataFrame, run_id: int) -> DataFrame:
+    """``what, run, file``: a run as nested rows for a JSON file: one with its counts, one per file."""
+    counts = run_report(outcomes).select(F.lit("run").alias("what"), F.struct(F.lit(run_id).alias("run_id"), "*").alias("run"))
+    each = outcomes.select(F.lit("file").alias("what"), F.struct("card_id", "row_id", "status", "reason").alias("file"))
+    return counts.unionByName(each, allowMissingColumns=True)
+
+
+def upsert_both(children: DataFrame, parents: DataFrame, new_children: DataFrame, new_parents: DataFrame, key: str = "file_row_id") -> tuple[DataFrame, DataFrame]:
+    """Both tables with all rows of the files that come anew, as chunks or as parents, replaced."""
+    files = new_children.select(key).unionByName(new_parents.select(key)).distinct()
+    swap = lambda table, fresh: table.join(files, key, "left_anti").unionByName(fresh)
+    return swap(children, new_children), swap(parents, new_parents)
