@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import embed, ids, text
-from ..operators import files, registry, search
+from ..operators import answers, files, registry, search
+from ..runtime import shared_folder
 from ..settings import FileRules, SearchSettings
+from ..sources import io
 from .standins import ctes, standin
 
 SEARCH = SearchSettings()
@@ -19,7 +23,8 @@ def _chunks(spark, d) -> DataFrame:
 
 
 def _vectors(rows: DataFrame, key: str, body: str) -> DataFrame:
-    return rows.withColumn("coded", embed.coded_words(F.col(body))).withColumn("dense", embed.dense_vector(F.col("coded"), SEARCH.dims)).select(key, "dense")
+    coded = rows.select(key, embed.coded_words(F.col(body)).alias("coded"))
+    return coded.select(key, embed.dense_vector(F.col("coded"), SEARCH.dims).alias("dense"), embed.sparse_vector(F.col("coded")).alias("sparse"))
 
 
 def sc1_clause_numbers(spark, d):
@@ -65,9 +70,29 @@ def ag15_sparse(spark, d):
     return embed.sparse_terms(_chunks(spark, d), "chunk_id", "body").select("chunk_id", "token", F.round("weight", 6).alias("weight"))
 
 
+def _fused(spark, d):
+    """Every question's fused candidates with both texts."""
+    chunks, queries, dense, sparse = _lists(spark, d)
+    found = search.fuse(dense, sparse).join(chunks, "chunk_id")
+    return found.join(queries.withColumnRenamed("text", "question"), "query_id")
+
+
 def sc24_overlap(spark, d):
-    pairs = _chunks(spark, d).join(standin(spark, d, "queries").withColumnRenamed("text", "q"), F.col("doc_id") % 40 == F.col("query_id"))
-    return pairs.select("chunk_id", "query_id", F.round(embed.overlap_score(F.col("q"), F.col("body")), 6).alias("score"))
+    return _fused(spark, d).select("chunk_id", "query_id", F.round(embed.overlap_score(F.col("question"), F.col("body")), 6).alias("score"))
+
+
+def ud2_reranked(spark, d):
+    def factory():
+        return lambda pairs: [len(set(q.split()) & set(t.split())) / max(1, len(set(q.split()))) for q, t in pairs]
+
+    pairs = _fused(spark, d).select("query_id", "chunk_id", "question", "body")
+    return embed.rerank_with(pairs, "question", "body", factory).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def wn13_evidence(spark, d):
+    """The evidence of each question: its candidates, in their order, within a budget."""
+    blocks = _fused(spark, d).select(F.col("query_id").alias("question_id"), F.col("fusion_rank").alias("n"), F.when(F.col("fusion_rank") % 3 == 0, "document").otherwise("search").alias("kind"), F.col("body").alias("text"))
+    return answers.pack_evidence(blocks, 900, 60)
 
 
 def sc25_cosine(spark, d):
@@ -84,9 +109,8 @@ def tk1_dense_top(spark, d):
 
 def _lists(spark, d):
     chunks, queries = _chunks(spark, d).where(search.search_filter()), standin(spark, d, "queries")
-    dense = search.dense_top(_vectors(chunks, "chunk_id", "body"), _vectors(queries, "query_id", "text"), SEARCH.prefetch)
-    sparse = search.sparse_top(embed.sparse_terms(chunks, "chunk_id", "body"), embed.sparse_terms(queries, "query_id", "text"), SEARCH.prefetch)
-    return chunks, queries, dense, sparse
+    vectors, asked = _vectors(chunks, "chunk_id", "body"), _vectors(queries, "query_id", "text")
+    return chunks, queries, search.dense_top(vectors, asked, SEARCH.prefetch), search.sparse_top(vectors, asked, SEARCH.prefetch)
 
 
 def tk2_sparse_top(spark, d):
@@ -105,8 +129,8 @@ def tk3_hybrid_search(spark, d):
 
 
 def jn12_context(spark, d):
-    chunks, queries = _chunks(spark, d), standin(spark, d, "queries")
-    hits = chunks.where("n % 10 = 1").select("chunk_id", "parent_id")
+    chunks = _chunks(spark, d)
+    hits = chunks.select("chunk_id", "parent_id")
     parents = chunks.groupBy("parent_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "body"))), lambda r: r["body"]), "\n").alias("body")).where("parent_id not like '%3'")
     return search.with_context(hits, parents).select("chunk_id", "parent_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
@@ -116,13 +140,25 @@ def flt4_filter(spark, d):
     return _chunks(spark, d).where(keep).select("chunk_id", "doc_kind", "department", "doc_date_ts")
 
 
+def flt4_by_query(spark, d):
+    """Each question with a filter of its own."""
+    q = standin(spark, d, "queries")
+    some = lambda cond, *values: F.when(cond, F.array(*map(F.lit, values)))
+    id_ = F.col("query_id")
+    filters = q.select(
+        "query_id", some(id_ % 4 == 1, "cancelled", "active").alias("statuses"), some(id_ % 3 == 0, "src1", "src2").alias("kinds"), some(id_ % 5 == 2, "en", "de").alias("departments"),
+        F.array().cast("array<bigint>").alias("doc_ids"), F.when(id_ % 2 == 0, F.to_date(F.lit("2024-03-01"))).alias("date_from"), F.when(id_ % 7 == 0, F.to_date(F.lit("2024-06-30"))).alias("date_to"),
+    )
+    return search.filter_rows(_chunks(spark, d), filters).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
+
+
 def ag13_known_values(spark, d):
     return search.known_values(_chunks(spark, d), "doc_kind")
 
 
 def flt5_known_values(spark, d):
     chunks = _chunks(spark, d)
-    asked = chunks.where("doc_id % 5 = 0").select(F.concat(F.upper("doc_kind"), F.lit(" ")).alias("request")).union(spark.createDataFrame([("src",), ("nothing",), (" ",), ("rc1",)], "request string")).distinct()
+    asked = chunks.select(F.concat(F.upper("doc_kind"), F.lit(" ")).alias("request")).union(spark.createDataFrame([("src",), ("nothing",), (" ",), ("rc1",)], "request string")).distinct()
     return search.match_known_values(asked, search.known_values(chunks, "doc_kind"))
 
 
@@ -139,10 +175,17 @@ def wn1_file_roles(spark, d):
     return files.file_roles(standin(spark, d, "files"), standin(spark, d, "cards"))
 
 
-def wn2_content_owners(spark, d):
+def _owned(spark, d):
     f, c = standin(spark, d, "files"), standin(spark, d, "cards")
-    owned = files.content_owners(files.file_roles(f, c), f, c)
-    return owned.select("card_id", "row_id", "role", "skip_reason", F.array_join(F.col("also_in").cast("array<string>"), ",").alias("also_in"))
+    return files.content_owners(files.file_roles(f, c), f, c)
+
+
+def wn2_content_owners(spark, d):
+    return _owned(spark, d)[0]
+
+
+def wn2_also_in(spark, d):
+    return _owned(spark, d)[1].select("card_id", "row_id", "copy_row_id", "also_in")
 
 
 def wn3_duplicates(spark, d):
@@ -180,13 +223,22 @@ def ag5_work_plan(spark, d):
 
 
 def _outcomes(spark, d):
-    return standin(spark, d, "files").select(F.when(F.col("supp") % 6 == 0, "skipped").when(F.col("supp") % 7 == 0, "failed").when(F.col("supp") % 2 == 0, "unchanged").otherwise("indexed").alias("status"), F.concat(F.lit("reason "), (F.col("supp") % 8).cast("string"), F.lit(": "), "name").alias("reason"), (F.col("card_id") * 10 + F.col("pos")).alias("pos"))
+    return standin(spark, d, "files").select(F.when(F.col("supp") % 6 == 0, "skipped").when(F.col("supp") % 7 == 0, "failed").when(F.col("supp") % 2 == 0, "unchanged").otherwise("indexed").alias("status"), F.concat(F.lit("reason "), (F.col("supp") % 8).cast("string"), F.lit(": "), "name").alias("reason"), (F.col("card_id") * 10 + F.col("pos")).alias("pos"), "card_id", "row_id")
 
 
 def ag6_run_report(spark, d):
     return registry.run_report(_outcomes(spark, d))
 
 
+def snk6_report(spark, d):
+    """The report of a run as nested JSON, written and read back."""
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    io.write_json(registry.report_rows(_outcomes(spark, d), 7), path)
+    shape = "what string, run struct<run_id:int,files_total:bigint,indexed:bigint,failed:bigint,success_share:double>, file struct<card_id:bigint,row_id:string,status:string,reason:string>"
+    back = spark.read.schema(shape).json(path)
+    return back.select("what", "run.files_total", "run.indexed", "run.success_share", "file.card_id", "file.row_id", "file.status", "file.reason")
+
+
 def ag6_error_reasons(spark, d):
     return registry.error_reasons(_outcomes(spark, d))
 
@@ -198,6 +250,15 @@ def snk1_upsert(spark, d):
     return registry.upsert_files(once, fresh)
 
 
+def snk1_parents(spark, d):
+    """Parents follow their file: those of files that come anew are replaced, though no parent comes for some."""
+    c = _chunks(spark, d).select("chunk_id", F.col("doc_id").alias("file_row_id"))
+    p = _chunks(spark, d).select("parent_id", F.col("doc_id").alias("file_row_id")).distinct()
+    fresh = c.where("file_row_id % 4 = 1")
+    made = fresh.where("file_row_id % 8 = 1").select(F.concat(F.lit("new-"), F.col("file_row_id").cast("string")).alias("parent_id"), "file_row_id").distinct()
+    return registry.upsert_both(c, p, fresh, made)[1]
+
+
 def snk2_payload(spark, d):
     c = _chunks(spark, d).select("chunk_id", F.col("doc_id").alias("file_row_id"), "department", "doc_status", "n")
     changes = c.select("file_row_id").distinct().where("file_row_id % 3 = 0").select("file_row_id", F.lit(None).cast("string").alias("department"), F.lit("draft").alias("doc_status"))
@@ -214,7 +275,7 @@ def snk3_removed(spark, d):
     return registry.prune(c.select("chunk_id"), c.where("doc_id % 5 <> 2").select("chunk_id"), "chunk_id")[1]
 
 
-QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0].islower() and k[:2] in ("sc", "tk", "wn", "jn", "fl", "ag", "sn") and "_" in k and k not in ("search",)}
+QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0].islower() and k[:2] in ("sc", "tk", "wn", "jn", "fl", "ag", "sn", "ud") and "_" in k and not k.startswith("shared")}
 
 W = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 CODES = r"list_transform(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: w <> ''), lambda w: {{'c': list_sum(list_transform(string_split(w, ''), lambda x: unicode(x)))::BIGINT, 'l': length(w)}})"
@@ -256,9 +317,10 @@ m AS (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY cand NULLS LAST
 e AS (SELECT *, max(CASE WHEN is_main THEN extension END) OVER (PARTITION BY card_id) AS me FROM m),
 roles AS (SELECT card_id, row_id, pos, sha256, name, CASE WHEN skip IS NOT NULL THEN skip WHEN is_main THEN NULL
   WHEN coalesce(category IN ('Документ','Подписанные документы','Файлы для отправки по ЭДО'), false) AND extension='pdf' AND coalesce(me='docx', false) THEN 'pdf copy'
-  WHEN coalesce(category='Дополнительные сведения', false) AND NOT coalesce(type_name='OrderMKC', false) THEN 'supplement of another type' END AS skip_reason,
+  WHEN coalesce(category='Дополнительные сведения', false) AND NOT coalesce(type_name='Order', false) THEN 'supplement of another type' END AS skip_reason,
   CASE WHEN is_main THEN 'main' WHEN coalesce(category='Дополнительные сведения', false) THEN 'supplement' ELSE 'appendix' END AS r FROM e)
 """
+OWNERS = ctes("files", "cards") + ROLES + ", p AS (SELECT x.card_id, x.row_id, x.sha256, count(*) OVER (PARTITION BY sha256) AS m, row_number() OVER (PARTITION BY sha256 ORDER BY list_position(['main','appendix','supplement'], r), c.pos, x.pos, row_id) AS n FROM roles x JOIN cards c USING (card_id) WHERE skip_reason IS NULL) "
 ACT = ctes("plan", "registry") + """,
 m AS (SELECT coalesce(p.card_id, r.card_id) AS card_id, coalesce(p.row_id, r.row_id) AS row_id, p.row_id IS NOT NULL AS planned, p.role, p.route, p.fingerprint AS fp, p.sha256 AS sha, r.fingerprint AS ofp, r.sha256 AS osha, r.status FROM plan p FULL JOIN registry r ON p.card_id = r.card_id AND p.row_id = r.row_id),
 acts AS (SELECT card_id, row_id, route, coalesce(status = 'indexed', false) AS ind, CASE WHEN NOT planned THEN 'vanished' WHEN role IS NULL THEN 'skipped' WHEN coalesce(status='indexed', false) AND coalesce(sha = osha, false) THEN CASE WHEN fp IS NOT DISTINCT FROM ofp THEN 'unchanged' ELSE 'metadata_only' END ELSE 'parse' END AS action FROM m)
@@ -274,20 +336,32 @@ ORACLES = {
     "sc19_cuts": ctes("chunks") + ", w AS (SELECT chunk_id, body, " + W.format("body") + " AS w FROM chunks) SELECT chunk_id, CASE WHEN len(w) > 5 THEN array_to_string(w[1:5], ' ') || '…' ELSE array_to_string(w, ' ') END AS short, CASE WHEN length(body) > 40 THEN regexp_replace(substr(body, 1, 39), '\\s+$', '') || '…' ELSE body END AS cut FROM w",
     "sc23_dense": ctes("chunks") + "," + VEC.format(n="c", k="chunk_id", t="chunks", codes=CODES.format("body")) + " SELECT c.chunk_id, " + ", ".join(f"round(coalesce(max(CASE WHEN b = {i} THEN x END), 0), 6) AS d{i}" for i in range(8)) + " FROM chunks c LEFT JOIN cd USING (chunk_id) GROUP BY c.chunk_id",
     "ag15_sparse": ctes("chunks") + "," + VEC.format(n="c", k="chunk_id", t="chunks", codes=CODES.format("body")) + " SELECT chunk_id, token, round(weight, 6) AS weight FROM cs",
-    "sc24_overlap": ctes("chunks", "queries") + " SELECT chunk_id, query_id, round(" + OVER.format(q="q.text", t="body") + ", 6) AS score FROM chunks JOIN queries q ON doc_id % 40 = query_id",
+    "sc24_overlap": HYBRID + "SELECT f.chunk_id, f.query_id, round(" + OVER.format(q="q.text", t="a.body") + ", 6) AS score FROM ftop f JOIN act a USING (chunk_id) JOIN queries q USING (query_id)",
+    "ud2_reranked": HYBRID + "SELECT f.query_id, f.chunk_id, round(" + OVER.replace("lower({q})", "{q}").replace("lower({t})", "{t}").format(q="q.text", t="a.body") + ", 6) AS score FROM ftop f JOIN act a USING (chunk_id) JOIN queries q USING (query_id)",
+    "wn13_evidence": HYBRID + """, bl AS (SELECT query_id AS question_id, fusion_rank AS n, fusion_rank % 3 = 0 AS doc, body, length(body) AS size, sum(length(body)) OVER (PARTITION BY query_id, fusion_rank % 3 = 0 ORDER BY fusion_rank) - length(body) AS ahead FROM ftop JOIN act USING (chunk_id)),
+dt AS (SELECT *, CASE WHEN doc AND 450 - ahead > 0 THEN CASE WHEN size <= 450 - ahead THEN body WHEN 450 - ahead >= 60 THEN regexp_replace(substr(body, 1, (449 - ahead)::INT), '\\s+$', '') || '…' END END AS t FROM bl),
+us AS (SELECT *, 900 - coalesce(sum(length(t)) OVER (PARTITION BY question_id), 0) - ahead AS room FROM dt),
+ot AS (SELECT question_id, n, CASE WHEN doc THEN t WHEN room > 0 THEN CASE WHEN size <= room THEN body WHEN room >= 60 THEN regexp_replace(substr(body, 1, (room - 1)::INT), '\\s+$', '') || '…' END END AS text FROM us)
+SELECT * FROM ot WHERE text IS NOT NULL""",
+    "flt4_by_query": ctes("chunks", "queries") + """, f AS (SELECT query_id, CASE WHEN query_id % 4 = 1 THEN ['cancelled', 'active'] ELSE ['active'] END AS st FROM queries)
+SELECT query_id, count(*) AS n, min(chunk_id) AS first, max(chunk_id) AS last FROM f JOIN chunks c ON list_contains(st, c.doc_status) AND (query_id % 3 <> 0 OR doc_kind IN ('src1', 'src2')) AND (query_id % 5 <> 2 OR department IN ('en', 'de'))
+  AND (query_id % 2 <> 0 OR doc_date_ts >= epoch(DATE '2024-03-01')) AND (query_id % 7 <> 0 OR doc_date_ts < epoch(DATE '2024-07-01')) GROUP BY query_id""",
+    "snk6_report": OUT.replace("AS pos FROM files", "AS pos, card_id, row_id, concat('reason ', supp % 8, ': ', name) AS full_reason FROM files") + "SELECT 'run' AS what, count(*) AS files_total, count(*) FILTER (status='indexed') AS indexed, round(count(*) FILTER (status IN ('indexed','unchanged'))::DOUBLE / count(*) FILTER (status IN ('indexed','unchanged','failed')), 6) AS success_share, NULL::BIGINT AS card_id, NULL AS row_id, NULL AS status, NULL AS reason FROM o UNION ALL SELECT 'file', NULL, NULL, NULL, card_id, row_id, status, full_reason FROM o",
+    "snk1_parents": ctes("chunks") + " SELECT DISTINCT CASE WHEN doc_id % 8 = 1 THEN 'new-' || doc_id ELSE parent_id END AS parent_id, doc_id AS file_row_id FROM chunks WHERE doc_id % 4 <> 1 OR doc_id % 8 = 1",
     "sc25_cosine": "SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 50 = 0",
     "tk1_dense_top": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e CROSS JOIN embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 40",
     "tk2_sparse_top": HYBRID + "SELECT query_id, chunk_id, score, rank::INT AS rank FROM stop",
     "wn7_fusion": HYBRID + "SELECT * FROM ftop",
     "tk3_hybrid_search": HYBRID + ", sc AS (SELECT f.query_id, f.chunk_id, round(" + OVER.format(q="q.text", t="a.body") + ", 4) AS score, fusion_rank, a.parent_id FROM ftop f JOIN act a USING (chunk_id) JOIN queries q USING (query_id)) SELECT query_id, chunk_id, score, fusion_rank, rank, parent_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fusion_rank)::INT AS rank FROM sc) WHERE rank <= 5",
-    "jn12_context": ctes("chunks") + f", p AS (SELECT parent_id, string_agg(body, {NL} ORDER BY n) AS body FROM chunks GROUP BY parent_id HAVING parent_id NOT LIKE '%3') SELECT chunk_id, c.parent_id, md5(p.body) AS context_md5 FROM chunks c LEFT JOIN p USING (parent_id) WHERE n % 10 = 1",
+    "jn12_context": ctes("chunks") + f", p AS (SELECT parent_id, string_agg(body, {NL} ORDER BY n) AS body FROM chunks GROUP BY parent_id HAVING parent_id NOT LIKE '%3') SELECT chunk_id, c.parent_id, md5(p.body) AS context_md5 FROM chunks c LEFT JOIN p USING (parent_id)",
     "flt4_filter": ctes("chunks") + " SELECT chunk_id, doc_kind, department, doc_date_ts FROM chunks WHERE doc_status = 'active' AND doc_kind IN ('src1','src2','src3') AND department IN ('en','fr') AND doc_date_ts >= epoch(DATE '2024-02-01') AND doc_date_ts < epoch(DATE '2024-11-01')",
     "ag13_known_values": ctes("chunks") + " SELECT DISTINCT doc_kind AS value FROM chunks WHERE doc_kind IS NOT NULL ORDER BY 1 LIMIT 500",
-    "flt5_known_values": ctes("chunks") + ", a AS (SELECT DISTINCT upper(doc_kind) || ' ' AS request FROM chunks WHERE doc_id % 5 = 0 UNION SELECT unnest(['src', 'nothing', ' ', 'rc1'])), r AS (SELECT request, lower(trim(request)) AS r FROM a WHERE trim(request) <> ''), k AS (SELECT DISTINCT doc_kind AS value, lower(doc_kind) AS v FROM chunks), m AS (SELECT request, value, coalesce(v = r, false) AS exact FROM r LEFT JOIN k ON contains(v, r) OR contains(r, v)), b AS (SELECT *, bool_or(exact) OVER (PARTITION BY request) AS anyx FROM m) SELECT request, coalesce(value, request) AS value, value IS NOT NULL AS known FROM b WHERE exact OR NOT anyx",
+    "flt5_known_values": ctes("chunks") + ", a AS (SELECT DISTINCT upper(doc_kind) || ' ' AS request FROM chunks UNION SELECT unnest(['src', 'nothing', ' ', 'rc1'])), r AS (SELECT request, lower(trim(request)) AS r FROM a WHERE trim(request) <> ''), k AS (SELECT DISTINCT doc_kind AS value, lower(doc_kind) AS v FROM chunks), m AS (SELECT request, value, coalesce(v = r, false) AS exact FROM r LEFT JOIN k ON contains(v, r) OR contains(r, v)), b AS (SELECT *, bool_or(exact) OVER (PARTITION BY request) AS anyx FROM m) SELECT request, coalesce(value, request) AS value, value IS NOT NULL AS known FROM b WHERE exact OR NOT anyx",
     "ag16_evidence": ctes("agent_events") + " SELECT question_id, max(CASE WHEN seq % 3 <> 0 THEN (seq % 100) / 250.0::DOUBLE END) AS best, coalesce(max(CASE WHEN seq % 3 <> 0 THEN (seq % 100) / 250.0::DOUBLE END) < 0.3, true) AS weak FROM agent_events GROUP BY question_id",
     "flt2_skip_reasons": ctes("files") + " SELECT card_id, row_id, CASE WHEN is_virtual THEN 'virtual' WHEN extension NOT IN ('pdf','docx','xlsx','pptx') THEN 'format' END AS skip_reason, CASE WHEN NOT is_virtual AND extension NOT IN ('pdf','docx','xlsx','pptx') THEN extension END AS skip_detail FROM files",
     "wn1_file_roles": ctes("files", "cards") + ROLES + "SELECT card_id, row_id, CASE WHEN skip_reason IS NULL THEN r END AS role, skip_reason FROM roles",
-    "wn2_content_owners": ctes("files", "cards") + ROLES + ", p AS (SELECT x.card_id, x.row_id, x.sha256, row_number() OVER (PARTITION BY sha256 ORDER BY list_position(['main','appendix','supplement'], r), c.pos, x.pos, row_id) AS n FROM roles x JOIN cards c USING (card_id) WHERE skip_reason IS NULL), l AS (SELECT sha256, coalesce(string_agg(card_id::VARCHAR, ',' ORDER BY n) FILTER (n > 1), '') AS also_in FROM p GROUP BY sha256) SELECT x.card_id, x.row_id, CASE WHEN x.skip_reason IS NULL AND p.n = 1 THEN r END AS role, CASE WHEN p.n > 1 THEN 'copy' ELSE skip_reason END AS skip_reason, CASE WHEN p.n = 1 THEN l.also_in ELSE '' END AS also_in FROM roles x LEFT JOIN p USING (card_id, row_id) LEFT JOIN l ON p.sha256 = l.sha256",
+    "wn2_content_owners": OWNERS + "SELECT x.card_id, x.row_id, CASE WHEN x.skip_reason IS NULL AND p.n = 1 THEN r END AS role, CASE WHEN p.n > 1 THEN 'copy' ELSE skip_reason END AS skip_reason, CASE WHEN p.n = 1 THEN p.m - 1 ELSE 0 END AS copies FROM roles x LEFT JOIN p USING (card_id, row_id)",
+    "wn2_also_in": OWNERS + "SELECT o.card_id, o.row_id, p.row_id AS copy_row_id, p.card_id AS also_in FROM p JOIN p o ON o.sha256 = p.sha256 AND o.n = 1 AND p.n > 1",
     "wn3_duplicates": ctes("files", "cards") + " SELECT card_id, row_id, CASE WHEN row_number() OVER w > 1 THEN first_value(card_id || '/' || row_id) OVER w END AS duplicate_of FROM (SELECT f.card_id, f.row_id, f.sha256, c.pos AS cp, f.pos FROM files f JOIN cards c USING (card_id)) WINDOW w AS (PARTITION BY sha256 ORDER BY cp, pos, row_id)",
     "flt8_inspection": ctes("pages_text") + " SELECT file_id, count(*) AS n_pages, coalesce(bool_or(page_no < 30 AND regexp_matches(text, '\\S')), false) AS has_text, bool_or(length(text) <= 120 AND regexp_matches(lower(text), '(?:^|[^\\p{L}\\p{N}_])la(?:$|[^\\p{L}\\p{N}_])|^the ')) AS has_terms FROM pages_text GROUP BY file_id",
     "jn1_admitted": ctes("manifest_files", "known_cards", "disk") + " SELECT CASE WHEN c.card_id IS NULL THEN 'card_missing' WHEN d.sha256 IS NULL THEN 'file_missing' WHEN d.sha256 <> m.sha256 THEN 'hash_changed' ELSE 'ok' END AS kind, m.card_id, m.row_id, m.path FROM manifest_files m LEFT JOIN known_cards c USING (card_id) LEFT JOIN disk d USING (path) WHERE m.downloaded",

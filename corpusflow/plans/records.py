@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import answers, chats, evaluate, graph, manifest
-from ..settings import ExclusionRule, MemorySettings, WalkSettings
-from .standins import ctes, standin
+from ..runtime import shared_folder
+from ..settings import CardSections, ExclusionRule, MemorySettings, WalkSettings
+from ..sources import io
+from .standins import ctes, nested_cards, standin
 
-RULES = (ExclusionRule(reason="outgoing letters", type_names=("OutgoingMKC",)), ExclusionRule(reason="one card", card_ids=(12,)))
+RULES = (ExclusionRule(reason="outgoing letters", type_names=("Outgoing",)), ExclusionRule(reason="one card", card_ids=(12,)))
 KINDS = {"orders": ("приказ",), "instructions": ("инструкц",), "contracts": ("договор",), "memos": ("записк",)}
 
 
@@ -62,7 +66,7 @@ def _graph_rows(spark, d):
 
 def jn5_relations(spark, d):
     rows = standin(spark, d, "links")
-    into = rows.where("pos <= 3").select(F.col("to_id").alias("card_id"), F.col("from_id").alias("other_id"), "pos")
+    into = rows.select(F.col("to_id").alias("card_id"), F.col("from_id").alias("other_id"), "pos")
     return graph.incoming_types(into, _graph_rows(spark, d).where("from_id % 7 <> 0"))
 
 
@@ -84,7 +88,8 @@ def jn9_merged(spark, d):
 def jn9_leftovers(spark, d):
     rows = _links(spark, d, False).select("card_id", "other_id", "pos")
     touched = standin(spark, d, "cards").where("card_id % 4 = 1").select("card_id")
-    return graph.merge_leftovers(rows.where("pos = 1"), rows.where("pos = 2 and card_id % 4 = 1"), touched, "card_id")
+    now = (F.col("card_id") % 4 == 1) & (F.col("pos") % 2 == 0)
+    return graph.merge_leftovers(rows.where(~now), rows.where(now), touched, "card_id")
 
 
 def jn10_graphs(spark, d):
@@ -304,16 +309,86 @@ def sc13_verdicts(spark, d):
     return answers.parse_verdicts(a).select("answer_id", "judge.*")
 
 
-def wn13_evidence(spark, d):
-    c = standin(spark, d, "chunks").select((F.col("doc_id") % 50).alias("question_id"), (F.col("doc_id") * 10000 + F.col("n")).alias("n"), F.when(F.col("n") % 3 == 0, "document").otherwise("search").alias("kind"), F.col("body").alias("text"))
-    return answers.pack_evidence(c, 3000)
+def ud4_judged(spark, d):
+    """Every answer given to a text model, whose output is parsed; a call that fails is data."""
+
+    def factory():
+        def model(prompt):
+            if len(prompt) % 11 == 0:
+                raise ValueError("no answer")
+            return f'So: {{"correctness": {len(prompt) % 7}, "statements": 3,\n "conflict": {"true" if len(prompt) % 2 else "false"}}} end'
+
+        return model
+
+    asked = answers.run_model(standin(spark, d, "messages").where("kind = 'assistant_message'").select(F.col("id").alias("answer_id"), F.col("output_text").alias("prompt")), "prompt", factory)
+    return answers.parse_verdicts(asked).select("answer_id", "judge.correctness", "judge.statements", "judge.conflict", "judge.parsed")
+
+
+def sc17_cleaned(spark, d):
+    """Answers with a list of sources and headings without text under them."""
+    a = _answers(spark, d).select("answer_id", F.concat(F.lit("Ответ:\n\nДетали:\n"), F.regexp_replace("text", "[:\n]", " "), F.lit("\n-\nИтог:\n\n**Источники:**\n1. x\n2. y")).alias("t"))
+    return a.select("answer_id", answers.without_empty_sections(answers.without_sources(F.col("t"))).alias("body"))
+
+
+def _nested(spark, d):
+    return nested_cards(spark, d)
+
+
+def _relations(spark, d):
+    rows = standin(spark, d, "links")
+    out = rows.select(F.col("from_id").alias("card_id"), F.lit("outgoing").alias("direction"), "pos", F.col("to_id").alias("doc_id"), F.col("ref_type").alias("relation"), F.lit(None).cast("string").alias("doc_type"))
+    into = graph.incoming_types(rows.select(F.col("to_id").alias("card_id"), F.col("from_id").alias("other_id"), (F.col("from_id") * 100 + F.col("pos")).alias("pos")), _graph_rows(spark, d))
+    return out.withColumn("pos", F.col("pos").cast("bigint")).unionByName(into.select("card_id", F.lit("incoming").alias("direction"), "pos", F.col("other_id").alias("doc_id"), "relation", F.lit(None).cast("string").alias("doc_type")))
+
+
+NAMED = CardSections(state_names=((0, "new"), (1, "agreed")))
+
+
+def prj1_document(spark, d):
+    """All fields that a card's chunks carry, read out of its sections and relations."""
+    made = manifest.document_fields(_nested(spark, d), _relations(spark, d), sections=NAMED)
+    told = F.transform("relations", lambda r: F.concat_ws(":", r["direction"], r["doc_id"], F.coalesce(r["relation"], F.lit("-"))))
+    lists = [F.array_join(c, "|").alias(c) for c in ("acl_groups", "direction_activity", "approvers", "responsible")]
+    return made.withColumn("doc_date", F.col("doc_date").cast("string")).select(*[c for c in made.columns if c not in ("relations", "acl_groups", "direction_activity", "approvers", "responsible")], *lists, F.md5(F.array_join(told, ",")).alias("relations_md5"))
+
+
+def prj5_payloads(spark, d):
+    """Chunks with the fields of their files and documents."""
+    main = F.col("doc_id") % 4 != 0
+    f = standin(spark, d, "chunks").select(F.md5(F.concat(F.lit("f"), F.col("doc_id").cast("string"))).alias("file_sha256"), F.col("doc_id").alias("card_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("row_id"), F.concat(F.lit("file "), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("category"), F.when(main, "main").otherwise("appendix").alias("role"), F.lit("native").alias("route")).distinct()
+    docs = manifest.document_fields(_nested(spark, d))
+    c = standin(spark, d, "chunks").join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label"), "doc_id")
+    clause = F.when(F.col("n") % 3 == 0, F.concat(F.lit("1."), F.col("n").cast("string")))
+    root = manifest.root_crumbs(F.col("label"), F.when(main, "main").otherwise("appendix"), F.concat(F.lit("file "), F.col("doc_id").cast("string")))
+    crumbs = F.concat(root, F.array(F.lit("Раздел A")), F.when(clause.isNotNull(), F.array(F.concat(F.lit("п. "), clause))).otherwise(F.array().cast("array<string>")))
+    kind = F.when(F.col("n") % 5 == 0, "table").otherwise("text")
+    rows = c.select(F.md5(F.concat(F.lit("f"), F.col("doc_id").cast("string"))).alias("file_sha256"), crumbs.alias("breadcrumbs"), kind.alias("kind"), F.when(F.col("n") % 2 == 0, "structural").otherwise("fixed").alias("strategy"), F.col("n").alias("ordinal"), "chunk_id", "parent_id", clause.alias("clause"), F.lit("A").alias("heading"), F.lit(1).alias("page_no"), F.col("body").alias("text"), "body", F.length("body").alias("tokens"))
+    made = manifest.payloads(rows, f, docs)
+    return made.select("chunk_id", "doc_id", "doc_kind", "file_row_id", "file_role", "chunk_level", "chunk_kind", "chunk_index", F.array_join("section_path", "/").alias("section_path"), "clause", "breadcrumbs")
+
+
+def flt9_card_view(spark, d):
+    """Cards with chosen sections, their summary and their files."""
+    cards = _nested(spark, d)
+    view = manifest.card_view(cards, ["common", "APPROVERS"], manifest.document_fields(cards))
+    return view.select("doc_id", F.array_join("included", "|").alias("included"), F.array_join("omitted", "|").alias("omitted"), F.size("sections").alias("n_sections"), F.array_join("files", "|").alias("files"), F.col("summary.label").alias("label"), F.col("summary.author").alias("author"))
+
+
+def snk6_run(spark, d):
+    """The report of a scored run as nested JSON, written and read back."""
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    o = _outcomes(spark, d)
+    io.write_json(evaluate.run_report(o, evaluate.metrics(o, 4.0, 0.97)), path)
+    shape = "what string, metric struct<id:string,value:double,reached:string>, question struct<id:string,category:string,hit:boolean,conflict_ok:boolean,judge:struct<correctness:int>>"
+    back = spark.read.schema(shape).json(path)
+    return back.select("what", F.coalesce("metric.id", "question.id").alias("id"), "metric.value", "metric.reached", "question.hit", "question.conflict_ok", "question.judge.correctness")
 
 
-QUERIES = {k: f for k, f in globals().items() if callable(f) and not k.startswith("_") and k[:2] in ("jn", "fl", "so", "pr", "ag", "sn", "sc", "wn") and "_" in k}
+QUERIES = {k: f for k, f in globals().items() if callable(f) and not k.startswith("_") and k[:2] in ("jn", "fl", "so", "pr", "ag", "sn", "sc", "wn", "ud") and "_" in k}
 
 WALK = ctes("cards", "links") + """,
 kc AS (SELECT card_id, type_name FROM cards WHERE card_id % 41 <> 5),
-st AS (SELECT c.card_id, CASE WHEN k.card_id IS NULL THEN 'error' WHEN c.card_id = 12 OR k.type_name = 'OutgoingMKC' THEN 'excluded' ELSE 'card' END AS s, CASE WHEN k.type_name = 'OutgoingMKC' THEN 'outgoing letters' ELSE 'one card' END AS r,
+st AS (SELECT c.card_id, CASE WHEN k.card_id IS NULL THEN 'error' WHEN c.card_id = 12 OR k.type_name = 'Outgoing' THEN 'excluded' ELSE 'card' END AS s, CASE WHEN k.type_name = 'Outgoing' THEN 'outgoing letters' ELSE 'one card' END AS r,
   CASE WHEN k.card_id IS NULL THEN 'error' WHEN c.card_id = 12 THEN 'excluded' ELSE 'card' END AS s0 FROM cards c LEFT JOIN kc k USING (card_id)),
 n0 AS (SELECT card_id, 0 AS depth, s0 AS status, CASE WHEN s0 = 'excluded' THEN 'one card' END AS reason FROM st WHERE card_id % 1500 = 7),
 n1 AS (SELECT DISTINCT l.to_id AS card_id, 1 AS depth, st.s AS status, CASE WHEN st.s = 'excluded' THEN st.r END AS reason FROM n0 JOIN links l ON l.from_id = n0.card_id AND n0.status = 'card' AND l.to_id <> l.from_id JOIN st ON st.card_id = l.to_id WHERE l.to_id NOT IN (SELECT card_id FROM n0)),
@@ -332,7 +407,7 @@ gr AS (SELECT from_id, to_id, ref_type AS relation_type, reverse_type, 'outgoing
 """
 META = """,
 md AS (SELECT card_id, type_name, coalesce(doc_type_title, type_name, 'Без вида') AS doc_kind, coalesce(full_number, secondary_number) AS doc_number, coalesce(doc_date, creation_date) AS doc_date,
-  CASE WHEN coalesce(lower(status_id) = 'de9d3b6d-532b-4cb8-aa7b-e055e8986e48', false) OR coalesce(state_id IN (5,17,21), false) THEN 'cancelled' WHEN state_id IN (6,8,11,12,13,18,19) THEN 'active' ELSE 'draft' END AS doc_status, department, subject,
+  CASE WHEN coalesce(lower(status_id) = 'status-cancelled', false) OR coalesce(state_id IN (5,17,21), false) THEN 'cancelled' WHEN state_id IN (6,8,11,12,13,18,19) THEN 'active' ELSE 'draft' END AS doc_status, department, subject,
   list_filter(['orders','instructions','contracts','memos'], lambda k: regexp_matches(lower(concat_ws(' ', doc_type_title, type_name, subject)), CASE k WHEN 'orders' THEN 'приказ' WHEN 'instructions' THEN 'инструкц' WHEN 'contracts' THEN 'договор' ELSE 'записк' END)) AS ks FROM cards)
 """
 FI = """,
@@ -387,11 +462,11 @@ ORACLES = {
     "jn3_skipped_links": WALK + "SELECT n.card_id, l.to_id AS other_id, l.ref_type, CASE WHEN n.status = 'excluded' THEN 'excluded' ELSE 'max_depth' END AS reason FROM nodes n JOIN links l ON l.from_id = n.card_id WHERE n.status = 'excluded' OR (n.status = 'card' AND l.to_id <> l.from_id AND l.to_id NOT IN (SELECT card_id FROM nodes))",
     "jn4_edges": ctes("cards", "links") + OUT_IN + ", e AS (SELECT CASE WHEN direction='outgoing' THEN card_id ELSE other_id END AS from_id, CASE WHEN direction='outgoing' THEN other_id ELSE card_id END AS to_id, ref_type, reverse_type, row_number() OVER (PARTITION BY CASE WHEN direction='outgoing' THEN card_id ELSE other_id END, CASE WHEN direction='outgoing' THEN other_id ELSE card_id END ORDER BY ref_type IS NULL, card_id, direction <> 'outgoing', pos) AS n FROM al WHERE card_id % 3 <> 0) SELECT from_id, to_id, ref_type AS relation_type, reverse_type, from_id % 3 = 0 OR to_id % 3 = 0 AS dangling FROM e WHERE n = 1",
     "flt1_exclusions": ctes("cards") + " SELECT card_id, CASE WHEN card_id IN (3, 10) THEN 'rule 1' WHEN coalesce(lower(doc_type_title) = 'приказ', false) THEN 'orders' WHEN card_id % 4 <> 0 AND NOT coalesce(lower(department) IN ('dept 1','dept 2','dept 4'), false) THEN 'foreign' END AS label FROM cards",
-    "jn5_relations": ctes("links") + GR + ", o AS (SELECT from_id, to_id, arg_max(struct_pack(v := coalesce(reverse_type, relation_type)), pos).v AS relation FROM gr WHERE from_id % 7 <> 0 GROUP BY ALL) SELECT l.to_id AS card_id, l.from_id AS other_id, l.pos, o.relation FROM links l LEFT JOIN o ON o.from_id = l.from_id AND o.to_id = l.to_id WHERE l.pos <= 3",
+    "jn5_relations": ctes("links") + GR + ", o AS (SELECT from_id, to_id, arg_max(struct_pack(v := coalesce(reverse_type, relation_type)), pos).v AS relation FROM gr WHERE from_id % 7 <> 0 GROUP BY ALL) SELECT l.to_id AS card_id, l.from_id AS other_id, l.pos, o.relation FROM links l LEFT JOIN o ON o.from_id = l.from_id AND o.to_id = l.to_id",
     "jn6_related": ctes("links") + REL + "SELECT * FROM rel WHERE lower(trim(relation)) = 'в отмену'",
     "jn6_types": ctes("links") + REL + "SELECT card_id, coalesce(string_agg(DISTINCT relation, '|' ORDER BY relation), '') AS types FROM rel GROUP BY card_id",
     "jn9_merged": ctes("cards") + " SELECT card_id, type_name, 'new' AS run FROM cards WHERE card_id % 2 = 0 UNION ALL SELECT card_id, type_name, 'old' FROM cards WHERE card_id % 3 <> 1 AND card_id % 2 <> 0",
-    "jn9_leftovers": ctes("links") + " SELECT from_id AS card_id, to_id AS other_id, pos FROM links WHERE (pos = 1 AND from_id % 4 <> 1) OR (pos = 2 AND from_id % 4 = 1)",
+    "jn9_leftovers": ctes("links") + " SELECT from_id AS card_id, to_id AS other_id, pos FROM links WHERE from_id % 4 <> 1 OR pos % 2 = 0",
     "jn10_graphs": ctes("links") + GR + ", u AS (SELECT *, 0 AS run FROM gr WHERE pos % 2 = 0 UNION ALL SELECT *, 1 FROM gr WHERE pos % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY from_id, to_id ORDER BY relation_type IS NULL, run, dangling, pos) AS n FROM u) SELECT from_id, to_id, relation_type, reverse_type, from_id % 10 = 3 OR to_id % 10 = 3 AS dangling FROM r WHERE n = 1",
     "jn11_new_ids": ctes("links") + " SELECT to_id AS card_id, min(from_id * 100 + pos) AS pos FROM links WHERE to_id % 2 <> 0 GROUP BY to_id",
     "so1_seeds": ctes("links") + ", r AS (SELECT to_id AS card_id, from_id * 100 + pos AS pos FROM links), u AS (SELECT card_id, 0 AS run, pos FROM r WHERE pos % 3 = 0 UNION ALL SELECT card_id, 1, pos FROM r WHERE pos % 2 = 0) SELECT card_id, run, pos FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY run, pos) AS n FROM u) WHERE n = 1",
@@ -423,4 +498,30 @@ ORACLES = {
     "wn9_aliases": ctes("agent_events") + EV + "SELECT * FROM er",
     "wn10_evicted": ctes("agent_events") + EV + "SELECT session_id, doc_id, alias FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY last_used DESC) AS n FROM er) WHERE n > 6",
     "jn14_citations": ctes("messages", "agent_events") + EV + ", kn AS (SELECT session_id, alias FROM er UNION SELECT session_id, 'S' || (seq % 3) FROM ev), am AS (SELECT id AS answer_id, conversation_id % 150 AS session_id, unnest(list_transform(CASE turn % 4 WHEN 0 THEN ['S1','S3'] WHEN 1 THEN ['S2','D1','S1','S3'] WHEN 2 THEN ['S9','S2','S3','S3'] ELSE ['S3'] END, lambda a, i: struct_pack(a := a, i := i))) AS x FROM messages WHERE kind = 'assistant_message'), f AS (SELECT answer_id, session_id, x.a AS alias, min(x.i) AS pos FROM am GROUP BY ALL), m AS (SELECT f.*, k.alias IS NOT NULL AS known FROM f LEFT JOIN kn k ON k.session_id = f.session_id AND k.alias = f.alias) SELECT answer_id, alias, CASE WHEN known THEN row_number() OVER (PARTITION BY answer_id, known ORDER BY pos) END::INT AS number FROM m",
+    "jn14_rendered": ctes("messages", "agent_events") + EV + """, kn AS (SELECT session_id, alias FROM er UNION SELECT session_id, 'S' || (seq % 3) FROM ev),
+am AS (SELECT id AS answer_id, conversation_id % 150 AS session_id, turn % 4 AS k, output_text AS t, unnest(list_transform(CASE turn % 4 WHEN 0 THEN ['S1','S3'] WHEN 1 THEN ['S2','D1','S1','S3'] WHEN 2 THEN ['S9','S2','S3','S3'] ELSE ['S3'] END, lambda a, i: struct_pack(a := a, i := i))) AS x FROM messages WHERE kind = 'assistant_message'),
+f AS (SELECT answer_id, session_id, k, t, x.a AS alias, min(x.i) AS pos FROM am GROUP BY ALL),
+m AS (SELECT f.*, k2.alias IS NOT NULL AS known FROM f LEFT JOIN kn k2 ON k2.session_id = f.session_id AND k2.alias = f.alias),
+n AS (SELECT answer_id, session_id, k, t, alias, CASE WHEN known THEN '[' || row_number() OVER (PARTITION BY answer_id, known ORDER BY pos) || ']' ELSE '' END AS s FROM m),
+g AS (SELECT answer_id, session_id, any_value(k) AS k, any_value(t) AS t, coalesce(max(s) FILTER (alias = 'S1'), '') AS s1, coalesce(max(s) FILTER (alias = 'S2'), '') AS s2, coalesce(max(s) FILTER (alias = 'S3'), '') AS s3, coalesce(max(s) FILTER (alias = 'S9'), '') AS s9, coalesce(max(s) FILTER (alias = 'D1'), '') AS d1 FROM n GROUP BY ALL)
+SELECT answer_id, trim(regexp_replace(ltrim(concat(t, ' ', CASE k WHEN 0 THEN s1 WHEN 1 THEN s2 || d1 || ' ' || s1 WHEN 2 THEN s9 || s2 || s3 ELSE '[1] ' || coalesce(nullif(l.label, ''), 'D1') END, ' x ', s3), concat(' ', chr(9), chr(10), chr(13))), '[ \t]+\n', chr(10), 'g'), concat(' ', chr(9), chr(10), chr(13))) AS body FROM g LEFT JOIN er l ON l.session_id = g.session_id AND l.alias = 'D1'""",
+    "sc13_verdicts": ctes("messages") + ", a AS (SELECT id AS answer_id, length(concat(output_text, ' ', CASE turn % 4 WHEN 0 THEN '[S1]' WHEN 1 THEN '[S2, D1] [S1]' WHEN 2 THEN '[S9][S2; S3]' ELSE '[1] D1' END, ' x [S3]')) AS n FROM messages WHERE kind = 'assistant_message') SELECT answer_id, CASE WHEN n % 5 = 0 THEN 0 ELSE least(5, n % 9)::INT END AS correctness, 0 AS statements, 0 AS with_citation, CASE WHEN n % 5 = 0 THEN 0 ELSE 3 END AS citations, 0 AS supported, n % 5 <> 0 AS refusal, false AS conflict, n % 5 <> 0 AS parsed FROM a",
+    "ud4_judged": ctes("messages") + ", a AS (SELECT id AS answer_id, length(output_text) AS n FROM messages WHERE kind = 'assistant_message') SELECT answer_id, CASE WHEN n % 11 = 0 THEN 0 ELSE least(5, n % 7)::INT END AS correctness, CASE WHEN n % 11 = 0 THEN 0 ELSE 3 END AS statements, n % 11 <> 0 AND n % 2 = 1 AS conflict, n % 11 <> 0 AS parsed FROM a",
+    "sc17_cleaned": ctes("messages") + " SELECT id AS answer_id, trim(concat('Детали:', chr(10), translate(output_text, concat(':', chr(10)), '  '), ' ', CASE turn % 4 WHEN 0 THEN '[S1]' WHEN 1 THEN '[S2, D1] [S1]' WHEN 2 THEN '[S9][S2; S3]' ELSE '[1] D1' END, ' x [S3]')) AS body FROM messages WHERE kind = 'assistant_message'",
+    "prj1_document": ctes("cards", "links") + """, ic AS (SELECT from_id, to_id, arg_max(struct_pack(v := coalesce(reverse_type, ref_type)), from_id * 100 + pos).v AS r FROM links GROUP BY ALL),
+rl AS (SELECT from_id AS card_id, 0 AS dir, pos::BIGINT AS pos, concat('outgoing:', to_id, ':', coalesce(ref_type, '-')) AS t FROM links UNION ALL SELECT l.to_id, 1, l.from_id * 100 + l.pos, concat('incoming:', l.from_id, ':', coalesce(ic.r, '-')) FROM links l JOIN ic USING (from_id, to_id)),
+rs AS (SELECT card_id, string_agg(t, ',' ORDER BY dir, pos, t) AS t FROM rl GROUP BY card_id),
+k AS (SELECT *, coalesce(doc_type_title, type_caption, 'Без вида') AS dk, coalesce(full_number, secondary_number) AS dn, coalesce(doc_date, creation_date) AS dd, 'state ' || state_id AS sn, coalesce(approval_name, 'state ' || state_id) AS ap, coalesce(approval_id::INT, CASE WHEN approval_name IS NULL THEN state_id END) AS ai FROM cards)
+SELECT k.card_id::VARCHAR AS doc_id, type_name AS card_type_name, type_caption AS card_type_caption, dk AS doc_kind, dn AS doc_number, dd::VARCHAR AS doc_date, epoch(dd)::BIGINT AS doc_date_ts,
+  CASE WHEN coalesce(lower(status_id) = 'status-cancelled', false) OR coalesce(state_id IN (5,17,21), false) THEN 'cancelled' WHEN state_id IN (6,8,11,12,13,18,19) THEN 'active' ELSE 'draft' END AS doc_status,
+  NULL::VARCHAR AS doc_status_name, state_id, sn AS state_name, ap AS approval_state, CASE ai WHEN 0 THEN 'new' WHEN 1 THEN 'agreed' ELSE ap END AS approval_state_name, department, NULL::VARCHAR AS department_id, coalesce(author, registrator, 'archive') AS author,
+  subject, CASE WHEN pos % 3 <> 0 THEN 'comment ' || pos END AS comment, NULL::VARCHAR AS signed_by, NULL::VARCHAR AS validity_period, (pos % 4)::INT AS card_version, creation_date::VARCHAR AS card_modified,
+  concat_ws(' ', dk, '№' || dn, 'от ' || strftime(dd, '%d.%m.%Y')) AS label, '' AS acl_groups, 'sales' AS direction_activity, concat('person 5.', pos % 5, '|person 3.', pos % 3) AS approvers, '' AS responsible, md5(coalesce(rs.t, '')) AS relations_md5
+FROM k LEFT JOIN rs ON rs.card_id = k.card_id""",
+    "prj5_payloads": ctes("cards", "chunks") + """, k AS (SELECT card_id, coalesce(doc_type_title, type_caption, 'Без вида') AS dk, concat_ws(' ', coalesce(doc_type_title, type_caption, 'Без вида'), '№' || coalesce(full_number, secondary_number), 'от ' || strftime(coalesce(doc_date, creation_date), '%d.%m.%Y')) AS label FROM cards)
+SELECT chunk_id, c.doc_id::VARCHAR AS doc_id, dk AS doc_kind, 'r' || c.doc_id AS file_row_id, CASE WHEN c.doc_id % 4 <> 0 THEN 'main' ELSE 'appendix' END AS file_role, 'child' AS chunk_level, CASE WHEN n % 5 = 0 THEN 'table' WHEN n % 2 = 0 THEN 'structural' ELSE 'fallback' END AS chunk_kind, n AS chunk_index,
+  'Раздел A' AS section_path, CASE WHEN n % 3 = 0 THEN '1.' || n END AS clause, concat_ws(' → ', label, CASE WHEN c.doc_id % 4 = 0 THEN concat('Приложение «file ', c.doc_id, '»') END, 'Раздел A', CASE WHEN n % 3 = 0 THEN 'п. 1.' || n END) AS breadcrumbs
+FROM chunks c JOIN k ON k.card_id = c.doc_id""",
+    "flt9_card_view": ctes("cards", "files") + ", fs AS (SELECT card_id, string_agg(name, '|' ORDER BY pos) FILTER (NOT is_virtual) AS f FROM files GROUP BY card_id) SELECT c.card_id::VARCHAR AS doc_id, 'Approvers|Common' AS included, 'Approval|Directions|Service' AS omitted, 2 AS n_sections, coalesce(fs.f, '') AS files, concat_ws(' ', coalesce(doc_type_title, type_caption, 'Без вида'), '№' || coalesce(full_number, secondary_number), 'от ' || strftime(coalesce(doc_date, creation_date), '%d.%m.%Y')) AS label, coalesce(author, registrator, 'archive') AS author FROM cards c LEFT JOIN fs USING (card_id)",
+    "snk6_run": OUTC + _metrics("mx", "true", "0.97::DOUBLE") + " SELECT 'metric' AS what, id, value, reached, NULL::BOOLEAN AS hit, NULL::BOOLEAN AS conflict_ok, NULL::INT AS correctness FROM mx UNION ALL SELECT 'question', id, NULL, NULL, hit, conflict_ok, correctness FROM vv",
 }

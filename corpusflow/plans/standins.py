@@ -6,23 +6,28 @@ Each is written once as SQL that Spark and DuckDB both read; where their dialect
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 SQL: dict[str, str | tuple[str, str]] = {
     "cards": """
 SELECT o_orderkey AS card_id,
-  CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'OrderMKC' WHEN '2' THEN 'ContractMKC' WHEN '3' THEN 'InhouseDocumentMKC' WHEN '4' THEN 'IncomingMKC' ELSE 'OutgoingMKC' END AS type_name,
+  CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'Order' WHEN '2' THEN 'Contract' WHEN '3' THEN 'Memo' WHEN '4' THEN 'Incoming' ELSE 'Outgoing' END AS type_name,
   CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'Приказ' WHEN '2' THEN 'Договорной документ' WHEN '3' THEN 'Служебная записка' WHEN '4' THEN 'Входящее письмо' ELSE NULL END AS doc_type_title,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat('N-', CAST(o_orderkey AS STRING)) END AS full_number,
   CASE WHEN o_orderkey % 26 = 0 THEN concat('P-', CAST(o_orderkey AS STRING)) END AS secondary_number,
   CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS doc_date,
   CAST(o_orderdate AS DATE) AS creation_date,
-  CASE WHEN o_orderkey % 11 = 0 THEN 'DE9D3B6D-532B-4CB8-AA7B-E055E8986E48' WHEN o_orderkey % 5 = 0 THEN '1229fb49-3d80-47c9-9816-3c5467954679' END AS status_id,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'STATUS-CANCELLED' WHEN o_orderkey % 5 = 0 THEN 'status-other' END AS status_id,
   CAST((o_orderkey * 7) % 22 AS INT) AS state_id,
   CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE concat('Dept ', CAST(o_custkey % 20 AS STRING)) END AS department,
   CASE o_custkey % 6 WHEN 0 THEN 'Об утверждении Инструкции' WHEN 1 THEN 'Об актуализации перечня' WHEN 2 THEN 'АКТ на списание' WHEN 3 THEN 'О внесении изменений в ПВТР' WHEN 4 THEN 'Договор поставки' ELSE NULL END AS subject,
-  o_orderkey AS pos
+  o_orderkey AS pos,
+  CASE WHEN o_custkey % 7 <> 0 THEN concat('caption ', substr(o_orderpriority, 1, 1)) END AS type_caption,
+  CASE WHEN o_custkey % 5 = 0 THEN concat('state ', CAST(o_custkey % 3 AS STRING)) END AS approval_name,
+  CASE WHEN o_custkey % 4 = 0 THEN CAST(o_custkey % 3 AS STRING) END AS approval_id,
+  CASE WHEN o_custkey % 3 = 1 THEN concat('clerk ', CAST(o_custkey % 50 AS STRING)) END AS author, CASE WHEN o_custkey % 2 = 1 THEN concat('registrar ', CAST(o_custkey % 9 AS STRING)) END AS registrator
 FROM {orders}""",
     "files": """
 SELECT l_orderkey AS card_id,
@@ -63,7 +68,7 @@ FROM {events}""",
 SELECT concat(CAST(doc_id AS STRING), '-', CAST(n AS STRING)) AS chunk_id, concat(CAST(doc_id AS STRING), '-p', CAST(CAST(floor(n / 4) AS BIGINT) AS STRING)) AS parent_id,
   doc_id, source AS doc_kind, lang AS department, n, CASE doc_id % 3 WHEN 2 THEN 'cancelled' ELSE 'active' END AS doc_status,
   1704067200 + (doc_id % 400) * 86400 AS doc_date_ts, line AS body
-FROM lines WHERE length(line) >= 20""",
+FROM lines WHERE line <> ''""",
     "queries": "SELECT item_id AS query_id, text FROM {benchmark}",
     "registry": """
 SELECT card_id, row_id, CASE WHEN pos % 5 = 0 THEN 'old' ELSE sha256 END AS sha256, CASE WHEN pos % 3 = 0 THEN 'old' ELSE md5(row_id) END AS fingerprint,
@@ -124,3 +129,30 @@ def ctes(*names: str) -> str:
     for name in names:
         add(name)
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s}\n)" for n, s in done.items())
+
+
+def nested_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards as documents hold them: sections of fields and rows, and their files."""
+    c = standin(spark, sf_dir, "cards")
+    f = standin(spark, sf_dir, "files").groupBy("card_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "row_id", "name", "category", "size", "is_virtual"))), lambda x: F.struct(x["row_id"].alias("row_id"), x["name"].alias("name"), x["category"].alias("category"), x["size"].alias("size"), x["is_virtual"].alias("is_virtual"))).alias("files"))
+    text = lambda c: F.col(c).cast("string")
+    fields = {
+        "DocTypeTitle": text("doc_type_title"), "FullNumber": text("full_number"), "SecondaryFullNumber": text("secondary_number"), "DocDate": text("doc_date"), "CreationDate": F.concat(text("creation_date"), F.lit("T09:30:00Z")),
+        "StatusID": text("status_id"), "StateID": text("state_id"), "StateName": F.concat(F.lit("state "), text("state_id")), "DepartmentName": text("department"), "Subject": F.concat(F.lit("  "), text("subject"), F.lit(" ")),
+        "AuthorName": text("author"), "RegistratorName": text("registrator"), "Comment": F.when(F.col("pos") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("comment "), text("pos"))),
+    }
+    shape = "struct<name:string,fields:map<string,string>,rows:array<map<string,string>>>"
+    none, empty = F.array().cast("array<map<string,string>>"), F.create_map().cast("map<string,string>")
+    row = lambda column, *values: F.array(*[F.create_map(F.lit(column), v) for v in values])
+    section = lambda name, held, rows: F.struct(F.lit(name).alias("name"), held.alias("fields"), rows.alias("rows")).cast(shape)
+    common = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*fields.values()))
+    approval = F.map_from_arrays(F.array(F.lit("StateName"), F.lit("StateID")), F.array(text("approval_name"), text("approval_id")))
+    people = lambda n: F.concat(F.lit(f"person {n}."), (F.col("pos") % n).cast("string"))
+    sections = F.create_map(
+        F.lit("Common"), section("Common", common, none), F.lit("Approval"), section("Approval", approval, none),
+        F.lit("Directions"), section("Directions", empty, row("DirectionActivityName", F.lit("sales"), F.when(F.col("pos") % 2 == 0, F.lit("")))),
+        F.lit("Approvers"), section("Approvers", empty, row("UserName", people(5), people(3))), F.lit("Service"), section("Service", empty, row("x", F.lit("y"))),
+    )
+    return c.join(f, "card_id", "left").select(
+        F.col("card_id").cast("string").alias("id"), "type_name", "type_caption", F.lit(" archive ").alias("created_by_name"), (F.col("pos") % 4).cast("int").alias("version"), text("creation_date").alias("modified"), sections.alias("sections"), "files",
+    )

@@ -1,26 +1,27 @@
-"""Queries on chunks, sections, the glossary, names and streams, and their SQL."""
+"""Queries on chunks, sections, the glossary, names, sources and streams, and their SQL."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from ..functions import embed, text
-from ..operators import chunking, files, glossary, privacy, registry
-from ..runtime import checkpoint_dir
-from ..settings import ChunkSettings
+from ..functions.ids import fingerprint
+from ..operators import chunking, files, glossary, manifest, privacy
+from ..runtime import shared_folder
+from ..settings import ChunkSettings, MemorySettings
 from ..sources import io
 from ..streaming import jobs
-from .standins import ctes, standin
+from .standins import ctes, nested_cards, standin
 
 SHORT = ChunkSettings(max_tokens=60, overlap_tokens=8, parent_max_tokens=200)
 
 
 def _folder(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark) or tempfile.mkdtemp(prefix='tables-')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _items(spark, d) -> DataFrame:
@@ -36,13 +37,13 @@ def _items(spark, d) -> DataFrame:
 
 
 def sc5_chunks(spark, d):
-    made = chunking.chunk_items(_items(spark, d), SHORT)
-    return made.where("level = 'child'").select("file_sha256", "chunk_id", "ordinal", "kind", "strategy", F.array_join("breadcrumbs", " / ").alias("crumbs"), "clause", "tokens", "parent_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+    made, _ = chunking.chunk_items(_items(spark, d), SHORT)
+    return made.select("file_sha256", "chunk_id", "ordinal", "kind", "strategy", F.array_join("breadcrumbs", " / ").alias("crumbs"), "clause", "tokens", "parent_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 def wn5_parents(spark, d):
-    made = chunking.chunk_items(_items(spark, d), SHORT)
-    return made.where("level = 'parent'").select("file_sha256", "chunk_id", "ordinal", "section_key", "tokens", "part", "parts", F.size("item_refs").alias("children"))
+    _, made = chunking.chunk_items(_items(spark, d), SHORT)
+    return made.select("file_sha256", "chunk_id", "ordinal", "section_key", "tokens", "part", "parts", F.size("item_refs").alias("children"))
 
 
 def sc2_sentences(spark, d):
@@ -50,22 +51,16 @@ def sc2_sentences(spark, d):
 
 
 def sc3_windows(spark, d):
-    @F.pandas_udf("array<string>")
-    def windows(texts):
-        return texts.map(lambda t: chunking.split_text(t or "", 40, 8))
-
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(windows("text")).alias("i", "window"))
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(40).alias("limit"))
+    return chunking.with_windows(rows, "text", "limit", 8).select("doc_id", F.posexplode("windows").alias("i", "window"))
 
 
 def sc4_tables(spark, d):
-    cells = F.concat_ws(" | ", F.lit("|"), F.col("n").cast("string"), text.cut_words(F.col("line"), 12), F.lit("|"))
+    """Every document's lines as the rows of a table."""
+    cells = F.concat_ws(" | ", F.lit("|"), F.col("n").cast("string"), F.replace("line", F.lit("|"), F.lit("/")), F.lit("|"))
     rows = standin(spark, d, "lines").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", cells.alias("c")))), lambda r: r["c"]), "\n").alias("rows"))
-
-    @F.pandas_udf("array<string>")
-    def parts(tables):
-        return tables.map(lambda t: chunking.split_table("| no | text |\n|---|---|\n" + t, 40))
-
-    return rows.select("doc_id", F.posexplode(parts("rows")).alias("i", "part"))
+    tables = rows.select("doc_id", F.concat(F.lit("| no | text |\n|---|---|\n"), "rows").alias("body"), F.lit(40).alias("limit"))
+    return chunking.table_windows(tables, ["doc_id"], "body", "limit", 0).select("doc_id", F.get("place", 0).alias("i"), F.get("place", 1).alias("j"), "part")
 
 
 def _runs(spark, d) -> DataFrame:
@@ -103,8 +98,6 @@ def jn13_sections(spark, d):
 
 
 def prj6_fingerprints(spark, d):
-    from ..functions.ids import fingerprint
-
     return standin(spark, d, "cards").select("card_id", fingerprint("doc_type_title", "full_number", "state_id", "department").alias("fingerprint"))
 
 
@@ -151,25 +144,38 @@ def wn11_ordered(spark, d):
     return glossary.ordered(rows, "g").select("g", "record_id", "place")
 
 
+def _asked(spark, d) -> DataFrame:
+    """What the questions' words would be called in the glossary, as they stand and with another ending."""
+    word = F.explode(text.words(F.col("text"))).alias("w")
+    terms = standin(spark, d, "queries").select(word).distinct()
+    return terms.select(F.explode(F.array(F.concat(F.lit(" «EN "), "w", F.lit("» ")), F.concat(F.lit("en "), "w", F.lit("s")))).alias("term"))
+
+
 def tk4_lookup(spark, d):
-    rows = _glossary(spark, d)
-    asked = rows.where("doc_status = 'active'").select(F.concat(F.lit(" «"), F.upper("term"), F.lit("» ")).alias("term")).distinct()
-    hits, _ = glossary.lookup_exact(asked, rows)
-    return hits.select("term", "record_id", "place")
+    return glossary.lookup(_asked(spark, d), _glossary(spark, d)).select("term", "record_id", "place")
+
+
+def tk4_exact(spark, d):
+    return glossary.lookup_exact(_asked(spark, d), _glossary(spark, d))[0].select("term", "term_key", "place")
 
 
 def sc11_similar(spark, d):
-    rows = _glossary(spark, d).select("term_key").distinct()
-    pairs = rows.withColumn("p", F.substring("term_key", 1, 4)).alias("a").join(rows.withColumn("p", F.substring("term_key", 1, 4)).alias("b"), "p").select(F.col("a.term_key").alias("key"), F.col("b.term_key").alias("term_key"))
-    return glossary.similar_terms(pairs)
+    return glossary.near_terms(glossary.asked_terms(_asked(spark, d)), _glossary(spark, d)).select("key", "term_key").distinct()
 
 
 def sc12_expanded(spark, d):
-    rows = _terms(spark, d).where("n % 4 = 1")
+    rows = _terms(spark, d)
     e = F.array(F.struct(F.col("heading").alias("term"), F.col("section_id").alias("definition")))
     return rows.select("chunk_id", F.md5(glossary.expand_query(F.col("body"), e).cast("binary")).alias("expanded_md5"))
 
 
+def sc12_restored(spark, d):
+    """A question's abbreviations put back into a query that lost them."""
+    kind = F.upper("doc_kind")
+    rows = standin(spark, d, "chunks").select("chunk_id", F.concat(F.lit("что такое ПВТР и "), kind).alias("q"), F.concat(F.lit("пвтр "), F.translate("body", "АПВТРапвтр", "")).alias("r"))
+    return rows.select("chunk_id", F.md5(glossary.keep_abbreviations(F.col("q"), F.col("r")).cast("binary")).alias("restored_md5"))
+
+
 def sc26_anonymized(spark, d):
     c = standin(spark, d, "chunks").select("chunk_id", "doc_id", F.concat("body", F.lit(" "), F.initcap(F.substring("body", 1, 6)), F.lit("а И.О. и А.Б. Петров")).alias("body"))
     return privacy.anonymize(c, "doc_id", "body").select("chunk_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
@@ -189,14 +195,6 @@ def ud1_embeddings(spark, d):
     return made.select("chunk_id", F.get("dense", 0).alias("d0"), F.map_keys("sparse")[0].alias("token"))
 
 
-def ud2_reranked(spark, d):
-    def factory():
-        return lambda pairs: [len(set(q.split()) & set(t.split())) / max(1, len(set(q.split()))) for q, t in pairs]
-
-    pairs = standin(spark, d, "chunks").join(standin(spark, d, "queries").withColumnRenamed("text", "question"), F.col("doc_id") % 40 == F.col("query_id")).select("query_id", "chunk_id", "question", "body")
-    return embed.rerank_with(pairs, "question", "body", factory).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
-
-
 def ud3_parsed(spark, d):
     def factory():
         def parse(path, route):
@@ -213,18 +211,44 @@ def ud3_parsed(spark, d):
 
 
 def src1_cards(spark, d):
-    """Cards written as JSON, read back with their sections and flattened."""
-    c = standin(spark, d, "cards")
-    fields = F.map_from_arrays(F.array(*map(F.lit, ("DocTypeTitle", "FullNumber", "StateID", "DocDate"))), F.array("doc_type_title", "full_number", F.col("state_id").cast("string"), F.col("doc_date").cast("string")))
-    section = F.struct(F.lit("Common").alias("name"), fields.alias("fields"), F.array().cast("array<map<string,string>>").alias("rows"))
-    rows = c.select(F.col("card_id").cast("string").alias("id"), "type_name", F.create_map(F.lit("Common"), section, F.lit("Service"), section).alias("sections"))
+    """Cards written as JSON beside one that is broken, read with the wanted sections and flattened; the broken one is an issue."""
     path = _folder(spark, "cards")
-    rows.write.json(path)
-    read = spark.read.schema(io.CARD).json(path)
-    from ..operators.manifest import from_sections
+    nested_cards(spark, d).write.json(path)
+    spark.createDataFrame([('{"id": [broken',)], "value string").coalesce(1).write.text(f"{path}/broken")
+    good, bad = io.read_cards(spark, path, ("COMMON",), many=True)
+    flat = manifest.from_sections(good).select("card_id", "type_name", "doc_type_title", "full_number", "state_id", F.col("doc_date").cast("string").alias("doc_date"))
+    omitted = good.select(F.col("id").alias("card_id"), F.array_join(F.sort_array("omitted"), "|").alias("omitted"))
+    issues = bad.select(F.lit("issue").alias("card_id"), F.col("kind").alias("type_name"))
+    return flat.join(omitted, "card_id").unionByName(issues, allowMissingColumns=True)
+
+
+def src2_manifest(spark, d):
+    """A manifest of all cards with their files and links, written as one JSON object and read back as three tables."""
+    path = _folder(spark, "manifest")
+    f = standin(spark, d, "files").groupBy("card_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "row_id", "name", "sha256"))), lambda x: F.struct(x["row_id"].alias("row_id"), x["name"].alias("name"), x["sha256"].alias("sha256"), F.lit(True).alias("downloaded"))).alias("files"))
+    docs = standin(spark, d, "cards").join(f, "card_id", "left").select(F.col("card_id").cast("string").alias("card_id"), F.col("doc_type_title").alias("doc_kind"), F.col("full_number").alias("number"), F.coalesce("files", F.array().cast(dict(f.dtypes)["files"])).alias("files"))
+    edges = standin(spark, d, "links").select(F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"), F.col("ref_type").alias("relation_type"), "reverse_type", F.lit("outgoing").alias("source"))
+    docs.write.json(f"{path}/documents")
+    edges.write.json(f"{path}/edges")
+    documents, held, links = io.read_manifest(spark, path)
+    return documents.select(F.lit("document").alias("what"), "card_id", F.col("number").alias("name")).unionByName(held.select(F.lit("file").alias("what"), "card_id", F.concat_ws("/", "row_id", "sha256").alias("name"))).unionByName(links.select(F.lit("edge").alias("what"), F.col("from_id").alias("card_id"), F.concat_ws("/", "to_id", "relation_type").alias("name")))
+
+
+def src3_listing(spark, d):
+    """The documents' texts as files, listed with their sizes and hashes."""
+    path = _folder(spark, "listing")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.pmod("doc_id", F.lit(8)).cast("int").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition(8, "part").sortWithinPartitions("part").write.partitionBy("part").text(path)
+    listed = io.list_files(spark, path).where("path like '%.txt'")
+    return listed.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("int").alias("part"), "size").groupBy("part").agg(F.sum("size").alias("bytes"))
 
-    flat = from_sections(read)
-    return flat.select("card_id", "type_name", "doc_type_title", "full_number", "state_id", F.col("doc_date").cast("string").alias("doc_date"))
+
+def snk5_written(spark, d):
+    """The review table as a file with a header, read back."""
+    path = _folder(spark, "review")
+    io.write_review(manifest.card_metadata(standin(spark, d, "cards")).select("card_id", "doc_kind", "doc_number", "subject"), path)
+    back = spark.read.option("sep", ";").option("header", True).csv(path)
+    return back.select(F.col("card_id").cast("bigint").alias("card_id"), "doc_kind", "doc_number", "subject")
 
 
 def snk4_manifest(spark, d):
@@ -235,33 +259,58 @@ def snk4_manifest(spark, d):
 
 
 def st1_messages(spark, d):
-    """The final table of a finite stream of writes that come out of order."""
+    """The final table of a finite stream of writes that come out of order, in two runs with a restart between."""
     m = standin(spark, d, "messages").select("id", "parent_id", "output_text", "created_s", "turn")
     writes = m.select("id", "parent_id", F.lit("draft").alias("body"), "created_s", (F.col("turn") * 10).alias("seq")).unionByName(m.select("id", "parent_id", F.col("output_text").alias("body"), (F.col("created_s") + 5).alias("created_s"), (F.col("turn") * 10 + 1).alias("seq")))
-    path = _folder(spark, "writes")
-    writes.repartition(3, "seq").write.parquet(path)
-    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    table = jobs.MessageTable(spark.createDataFrame([], writes.schema))
-    query = jobs.upsert_stream(stream, table, _folder(spark, "stream"))
-    query.awaitTermination()
-    return table.rows.select("id", "parent_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), "created_s", "seq")
+    path, held, state = _folder(spark, "writes"), _folder(spark, "messages"), _folder(spark, "stream")
+    for late in (F.col("seq") % 10 == 1, F.col("seq") % 10 == 0):  # the second write of a message comes first
+        writes.where(late).repartition(3, "seq").write.mode("append").parquet(path)
+        stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 2).parquet(path)
+        table = jobs.message_table(spark, held, StructType(list(writes.schema.fields)))  # a new object each time: the state is in its folder
+        jobs.upsert_stream(stream, table, state).awaitTermination()
+    return table.rows().select("id", "parent_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), "created_s", "seq")
 
 
 def st2_ingest(spark, d):
-    """Files of two batches upserted as they come, by what the registry says."""
-    c = standin(spark, d, "chunks").select("chunk_id", F.col("doc_id").alias("file_row_id"), "doc_status")
-    path = _folder(spark, "batches")
-    c.where("file_row_id % 2 = 0").write.parquet(path)
-    c.where("file_row_id % 3 = 0").write.mode("append").parquet(path)
-    held = {"rows": spark.createDataFrame([], c.schema)}
+    """Every document as a file, first as drafts and then as it is: what didn't change stays, what did is chunked anew, what is skipped goes."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.lit(1).alias("card_id"), F.col("doc_id").cast("string").alias("row_id"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
+    draft = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("draft\n"), "body")).otherwise(F.col("body"))
+
+    def plan(content, role):
+        return docs.select("card_id", "row_id", role.alias("role"), F.md5(content.cast("binary")).alias("sha256"), F.lit("p").alias("fingerprint"), content.alias("text"))
+
+    path, held, state = _folder(spark, "files"), _folder(spark, "ingest"), _folder(spark, "stream")
+    chunk_schema = StructType.fromDDL("file_row_id string, n int, line_md5 string, gone boolean")
+    registry_schema = StructType.fromDDL("card_id int, row_id string, sha256 string, fingerprint string, status string, file_row_id string, gone boolean")
+
+    def chunk(todo: DataFrame) -> DataFrame:
+        return todo.select(F.col("row_id").alias("file_row_id"), F.posexplode(F.split("text", "\n")).alias("n", "line")).select("file_row_id", "n", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+    for content, role in ((draft, F.lit("main")), (F.col("body"), F.when(F.col("doc_id") % 10 != 7, F.lit("main")))):
+        rows = plan(content, role)
+        rows.write.mode("append").parquet(path)
+        registry, table = jobs.file_table(spark, f"{held}/registry", registry_schema), jobs.file_table(spark, f"{held}/chunks", chunk_schema)
+        jobs.ingest_stream(spark.readStream.schema(rows.schema).parquet(path), registry, table, chunk, state).awaitTermination()
+    return table.rows().select("file_row_id", "n", "line_md5", "batch")
+
 
-    def take(batch: DataFrame, _: int) -> None:
-        from ..runtime import cut
+def st4_memory(spark, d):
+    """What a stream of turns leaves of each conversation: the last turns, and how many went into its summary."""
+    m = standin(spark, d, "messages").select("conversation_id", "turn", F.col("output_text").alias("text"))
+    path, state, out = _folder(spark, "turns"), _folder(spark, "stream"), _folder(spark, "memory")
+    schema = StructType.fromDDL("conversation_id bigint, kept int, told int")
+    tally = lambda texts: "x" * sum(len(t) if t.strip("x") == "" else 1 for t in texts)  # noqa: E731 - a summary that counts its turns
+    for part in (F.col("turn") < 3, F.col("turn") >= 3):
+        m.where(part).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(m.schema).parquet(path)
 
-        held["rows"] = cut(registry.upsert_files(held["rows"], batch.dropDuplicates(["chunk_id"])))
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.select("conversation_id", "kept", F.length("summary").alias("told"), F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{out}/batch-{number}")
 
-    jobs.ingest_batches(spark.readStream.schema(c.schema).parquet(path), take, _folder(spark, "stream")).awaitTermination()
-    return held["rows"]
+        memory = jobs.remember(stream, MemorySettings(recent_turns=2), tally)
+        memory.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(schema.add("batch", IntegerType())).parquet(f"{out}/batch-*")
+    return rows.groupBy("conversation_id").agg(F.max_by("kept", "batch").alias("kept"), F.max_by("told", "batch").alias("told"))
 
 
 def st3_latencies(spark, d):
@@ -287,10 +336,15 @@ ORACLES = {
     "jn13_sections": ctes("chunks") + ", p AS (SELECT parent_id AS section_id, doc_id FROM chunks WHERE n % 4 = 1), q AS (SELECT DISTINCT CASE WHEN n % 2 = 0 THEN chunk_id ELSE parent_id END AS wanted, doc_id - CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS doc_id FROM chunks), v AS (SELECT c.chunk_id AS wanted, p.section_id, p.doc_id FROM chunks c JOIN p ON c.parent_id = p.section_id) SELECT q.doc_id, q.wanted, coalesce(p.section_id, v.section_id) AS section_id, coalesce(p.doc_id, v.doc_id) <> q.doc_id AS other_document FROM q LEFT JOIN p ON p.section_id = q.wanted LEFT JOIN v ON v.wanted = q.wanted",
     "sc8_sections": ctes("chunks") + " SELECT chunk_id, parent_id AS section_id FROM chunks WHERE doc_id % 10 = 0",
     "ud1_embeddings": ctes("chunks") + " SELECT chunk_id, length(body)::DOUBLE AS d0, (length(body) % 7)::INT AS token FROM chunks",
-    "src1_cards": ctes("cards") + " SELECT card_id::VARCHAR AS card_id, type_name, doc_type_title, full_number, state_id, doc_date::VARCHAR AS doc_date FROM cards",
+    "src1_cards": ctes("cards") + " SELECT card_id::VARCHAR AS card_id, type_name, doc_type_title, full_number, state_id, doc_date::VARCHAR AS doc_date, 'Approval|Approvers|Directions|Service' AS omitted FROM cards UNION ALL SELECT 'issue', 'invalid', NULL, NULL, NULL, NULL, NULL",
+    "src2_manifest": ctes("cards", "files", "links") + " SELECT 'document' AS what, card_id::VARCHAR AS card_id, full_number AS name FROM cards UNION ALL SELECT 'file', f.card_id::VARCHAR, concat_ws('/', row_id, sha256) FROM files f JOIN cards USING (card_id) UNION ALL SELECT 'edge', from_id::VARCHAR, concat_ws('/', to_id, ref_type) FROM links",
+    "src3_listing": "SELECT (doc_id % 8)::INT AS part, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes FROM documents GROUP BY ALL",
+    "snk5_written": ctes("cards") + " SELECT card_id, coalesce(doc_type_title, type_name, 'Без вида') AS doc_kind, coalesce(full_number, secondary_number) AS doc_number, subject FROM cards",
+    "st4_memory": ctes("messages") + " SELECT conversation_id, least(2, count(*))::INT AS kept, greatest(0, count(*) - 2)::INT AS told FROM messages GROUP BY conversation_id",
     "snk4_manifest": ctes("files") + " SELECT card_id, row_id, category, size FROM files",
     "st1_messages": ctes("messages") + " SELECT id, parent_id, md5(output_text) AS body_md5, created_s, turn * 10 + 1 AS seq FROM messages",
-    "st2_ingest": ctes("chunks") + " SELECT chunk_id, doc_id AS file_row_id, doc_status FROM chunks WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "st2_ingest": "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents) SELECT doc_id::VARCHAR AS file_row_id, n::INT AS n, md5(line) AS line_md5, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS batch FROM l WHERE doc_id % 10 <> 7",
     "st3_latencies": ctes("agent_events") + ", a AS (SELECT question_id, min(epoch_us(ts)) FILTER (kind = 'run_started') AS a, min(epoch_us(ts)) FILTER (kind <> 'run_started') AS b, min(epoch_us(ts)) FILTER (kind = 'answer_delta') AS c FROM agent_events GROUP BY question_id) SELECT question_id, round((b - a) / 1e6::DOUBLE, 6) AS first_signal_s, round((c - a) / 1e6::DOUBLE, 6) AS first_token_s FROM a",
-    "sc12_expanded": ctes("chunks") + ", w AS (SELECT *, regexp_replace(CASE WHEN len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) > 1 THEN list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')[1] || '…' ELSE trim(body) END, '…', '', 'g') AS w FROM chunks WHERE n % 4 = 1) SELECT chunk_id, md5(concat('1) ', upper(substr(department, 1, 2)), ' ', w, CASE n % 3 WHEN 0 THEN ' — ' WHEN 1 THEN ': ' ELSE ' - ' END, body, chr(10), CASE WHEN doc_id % 10 = 0 THEN concat('Раздел ', n % 3, '. Термины и определения') ELSE 'Прочее' END, ' — ', parent_id)) AS expanded_md5 FROM w",
+    "sc12_expanded": ctes("chunks") + ", w AS (SELECT *, regexp_replace(CASE WHEN len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) > 1 THEN list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')[1] || '…' ELSE trim(body) END, '…', '', 'g') AS w FROM chunks) SELECT chunk_id, md5(concat(CASE WHEN n % 4 = 1 THEN concat('1) ', upper(substr(department, 1, 2)), ' ', w, CASE n % 3 WHEN 0 THEN ' — ' WHEN 1 THEN ': ' ELSE ' - ' END) ELSE '' END, body, chr(10), CASE WHEN doc_id % 10 = 0 THEN concat('Раздел ', n % 3, '. Термины и определения') ELSE 'Прочее' END, ' — ', parent_id)) AS expanded_md5 FROM w",
+    "sc12_restored": ctes("chunks") + ", r AS (SELECT chunk_id, upper(doc_kind) AS k, concat('ПВТР ', translate(body, 'АПВТРапвтр', '')) AS r FROM chunks) SELECT chunk_id, md5(CASE WHEN contains(r, k) THEN r ELSE concat(r, ' ', k) END) AS restored_md5 FROM r",
 }

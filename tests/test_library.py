@@ -18,7 +18,6 @@ def one(spark, value, column):
 @pytest.mark.parametrize("value, want", [("1.1. Текст", "1.1"), ("1) текст", "1"), ("2 текст", None), ("26 702 руб", None), ("04.09.2026 г", None), ("2026. год", None), ("1.", None), ("", None)])
 def test_clause_numbers(spark, value, want):
     assert one(spark, value, text.clause_number) == want
-    assert chunking.number_in(value) == want
 
 
 def test_text_functions(spark):
@@ -36,55 +35,104 @@ def test_ids(spark):
         assert one(spark, name, ids.uuid5) == str(uuid.uuid5(uuid.NAMESPACE_URL, name))
 
 
-def test_split_text_windows():
+def windows_of(spark, value, limit, overlap):
+    rows = spark.createDataFrame([(value, limit)], "t string, room int")
+    return chunking.with_windows(rows, "t", "room", overlap).first()["windows"]
+
+
+def test_text_windows(spark):
     words = [f"w{i}" for i in range(300)]
     sentences = [" ".join(words[i : i + 7]).capitalize() + "." for i in range(0, 300, 7)]
-    windows = chunking.split_text(" ".join(sentences), 40, 10)
+    windows = windows_of(spark, " ".join(sentences), 40, 10)
     assert all(len(w.split()) <= 40 for w in windows)
     assert [s for s in sentences if not any(s in w for w in windows)] == []
     for a, b in itertools.pairwise(windows):
         shared = [s for s in sentences if s in a and s in b]
         assert 10 <= sum(len(s.split()) for s in shared) < 20
-    assert chunking.split_text("short", 40, 10) == ["short"]
-    assert [len(w.split()) for w in chunking.split_text("x " * 100, 40, 10)][0] <= 40
+    assert windows_of(spark, "short", 40, 10) == ["short"] and windows_of(spark, "", 40, 10) == [""]
+    assert [len(w.split()) for w in windows_of(spark, "x " * 100, 40, 10)] == [40, 40, 20]
+
+
+def test_spans(spark):
+    def brute(sizes, limit, overlap):  # by trying every end
+        out, at = [], 0
+        while at < len(sizes):
+            end = at + 1
+            while end < len(sizes) and sum(sizes[at : end + 1]) <= limit:
+                end += 1
+            out.append([at, end - at])
+            if end == len(sizes):
+                return out
+            back = end
+            while back - 1 > at and sum(sizes[back:end]) < overlap and sum(sizes[back - 1 : end + 1]) <= limit:
+                back -= 1
+            at = back
+        return out
+
+    import random
+
+    rng = random.Random(7)
+    cases = [([rng.randint(1, 9) for _ in range(rng.randint(0, 12))], rng.randint(4, 20), rng.randint(0, 6)) for _ in range(80)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, sizes array<int>, room int, more int")
+    got = {r["i"]: r["s"] for r in rows.select("i", chunking.spans(F.col("sizes"), F.col("room"), F.col("more")).alias("s")).collect()}
+    assert got == {i: brute(*c) for i, c in enumerate(cases)}
 
 
-def test_split_table():
+def test_table_windows(spark):
     table = "| a | b |\n|---|---|\n" + "\n".join(f"| {i} | value number {i} |" for i in range(20)) + "\n| 99 | " + "long " * 60 + "|"
-    parts = chunking.split_table(table, 40)
+    rows = spark.createDataFrame([(1, table, 40), (2, "| a |\n|---|\n| 1 |", 40), (3, "| " + "name " * 50 + "| b |\n|---|---|\n| 1 | 2 |", 40), (4, "no table", 40)], "k int, t string, room int")
+    found = {}
+    for r in chunking.table_windows(rows, ["k"], "t", "room", 0).orderBy("k", "place").collect():
+        found.setdefault(r["k"], []).append(r["part"])
+    parts = found[1]
     assert all(len(p.split()) <= 40 for p in parts) and all(p.startswith(("| a | b |", "a: 99", "b: long", "long")) for p in parts)
-    assert any(p.startswith("a: 99") for p in parts) and any("b: long" in p for p in parts)
+    assert "".join(parts).count("value number") == 20 and sum(p.split().count("long") for p in parts) == 60
+    assert found[2] == ["| a |\n|---|\n| 1 |"] and found[4] == ["no table"]
+    assert found[3][-1].endswith("b: 2") and "".join(found[3][:-1]).count("name") + found[3][-1].count("name") >= 50
 
 
-def item(n, text, label="text", **more):
-    return {"seq": n, "depth": 1, "label": label, "text": text, "header_level": 1, "marker": None, "enumerated": False, "page_no": 1, "self_ref": f"#{n}"} | more
+ITEMS = "file_sha256 string, seq int, depth int, label string, text string, header_level int, marker string, enumerated boolean, page_no int, self_ref string"
 
 
-def test_structural_chunks():
-    s = ChunkSettings(min_tokens=3)
+def item(n, text, label="text", file="sha", depth=1, header_level=1, marker=None):
+    return (file, n, depth, label, text, header_level, marker, marker is not None, 1, f"#{n}")
+
+
+def test_structural_chunks(spark):
     items = [
         item(0, "Правила", "title"), item(1, "1. Общие положения", "section_header", header_level=2), item(2, "1.1. Первый пункт правил здесь."), item(3, "1.2. Перечень:"), item(4, "первое;", "list_item"),
-        item(5, "второе.", "list_item"), item(6, "2. Контроль"), item(7, "Текст раздела."), item(8, "6. Режим\t14"), item(9, "Приложение № 1"), item(10, "Лист оповещения"), item(11, "1. Мастер смены"), item(12, "2. Инженер"),
-        item(13, "| a |\n|---|\n| 1 |", "table"),
+        item(5, "второе.", "list_item"), item(6, "2. Контроль"), item(7, "Текст раздела."), item(8, "6. Режим\t14"), item(9, "Приложение № 1"), item(10, "к приказу 5"), item(11, "Лист оповещения"), item(12, "1. Мастер смены;"), item(13, "2. Инженер;"),
+        item(14, "| a |\n|---|\n| 1 |", "table"), item(15, "в ячейке", depth=2), item(16, "колонтитул", "page_footer"),
+        item(0, "просто текст", file="plain"), item(1, "ещё текст", file="plain"), item(2, "| b |\n|---|", "table", file="plain"), item(3, "конец", file="plain"),
+        item(0, "Пункты", "section_header", file="numbers"), item(1, "3.1.", file="numbers"), item(2, "Номер стоит отдельно.", file="numbers"), item(3, "с маркером", "list_item", file="numbers", marker="3.2"), item(4, "далее", file="numbers"),
     ]
-    chunks = chunking.chunk_file(items, "sha", ("Файл",), s)
-    got = [(c["breadcrumbs"], c["clause"], c["body"]) for c in chunks]
+    roots = spark.createDataFrame([("sha", ["Файл"])], "file_sha256 string, root array<string>")
+    found, parents = chunking.chunk_items(spark.createDataFrame(items, ITEMS).repartition(3), ChunkSettings(min_tokens=3), roots=roots)
+    chunks = {}
+    for r in found.orderBy("ordinal").collect():
+        chunks.setdefault(r["file_sha256"], []).append(r)
+    got = [(c["breadcrumbs"], c["clause"], c["body"], c["kind"]) for c in chunks["sha"]]
     # the only heading of the top level that starts the file is its title
-    assert got[0] == (["Файл", "Раздел 1. Общие положения", "п. 1.1"], "1.1", "1.1. Первый пункт правил здесь.")
-    assert got[1] == (["Файл", "Раздел 1. Общие положения", "п. 1.2"], "1.2", "1.2. Перечень:\nпервое;\nвторое.")
-    assert got[2][0] == ["Файл", "Раздел 1. Общие положения", "Раздел 2. Контроль"] and got[2][2] == "Текст раздела."
-    assert got[-1][2].startswith("| a |") and chunks[-1]["kind"] == "table" and "Приложение № 1. Лист оповещения" in got[-1][0][1]
-    parents = chunking.parents_of(chunks, "sha", s)
-    assert sorted(i for p in parents for i in p["item_refs"]) == sorted(c["chunk_id"] for c in chunks)
-    assert all(c["parent_id"] for c in chunks)
-    plain = chunking.chunk_file([item(0, "просто текст"), item(1, "ещё текст")], "sha", (), s)
-    assert [c["strategy"] for c in plain] == ["fixed"] and plain[0]["body"] == "просто текст\nещё текст"
+    top, appendix = ["Файл", "Раздел 1. Общие положения"], ["Файл", "Приложение № 1. Лист оповещения"]
+    assert got == [
+        ([*top, "п. 1.1"], "1.1", "1.1. Первый пункт правил здесь.", "text"), ([*top, "п. 1.2"], "1.2", "1.2. Перечень:\nпервое;\nвторое.", "text"), ([*top, "Раздел 2. Контроль"], None, "Текст раздела.", "text"),
+        (appendix, None, "к приказу 5", "text"), (appendix, None, "1. Мастер смены;\n2. Инженер;", "text"), (appendix, None, "| a |\n|---|\n| 1 |", "table"),
+    ]
+    assert [c["chunk_id"] for c in chunks["sha"]] == [str(uuid.uuid5(uuid.NAMESPACE_URL, f"sha:{i}")) for i in range(6)]
+    assert [(c["strategy"], c["body"]) for c in chunks["plain"]] == [("fixed", "просто текст\nещё текст\nконец"), ("fixed", "| b |\n|---|")]
+    assert [(c["clause"], c["body"]) for c in chunks["numbers"]] == [("3.1", "3.1. Номер стоит отдельно."), ("3.2", "3.2 с маркером"), (None, "далее")]
+    held = parents.where("file_sha256 = 'sha'").orderBy("ordinal").collect()
+    assert [i for p in held for i in p["item_refs"]] == [c["chunk_id"] for c in chunks["sha"]] and [len(p["item_refs"]) for p in held] == [2, 1, 3]
+    assert [c["parent_id"] for c in chunks["sha"]] == [p["chunk_id"] for p in held for _ in p["item_refs"]]
+    none = spark.createDataFrame([], ITEMS)
+    assert [x.count() for x in chunking.chunk_items(none)] == [0, 0]
 
 
-def test_parents_keep_the_budget():
-    chunks = [{"breadcrumbs": ["s"], "clause": None, "body": "w " * 400, "chunk_id": str(i), "section_key": "s", "heading": "s", "page_no": 1} for i in range(12)]
-    parents = chunking.parents_of(chunks, "sha", ChunkSettings(parent_max_tokens=1000))
-    assert len(parents) == 6 and [(p["part"], p["parts"]) for p in parents] == [(i + 1, 6) for i in range(6)]
+def test_parents_keep_the_budget(spark):
+    rows = [("f", i, ["s"], "w " * 400, str(i), "s", "s", 1) for i in range(12)]
+    chunks = spark.createDataFrame(rows, "file_sha256 string, ordinal int, path array<string>, body string, chunk_id string, section_key string, heading string, page_no int")
+    _, parents = chunking.parents_of(chunks, ChunkSettings(parent_max_tokens=1000))
+    assert [(p["part"], p["parts"], p["item_refs"]) for p in parents.orderBy("ordinal").collect()] == [(i + 1, 6, [str(2 * i), str(2 * i + 1)]) for i in range(6)]
 
 
 def test_walk_of_a_cycle(spark):
@@ -104,17 +152,43 @@ def test_percentile_and_verdicts(spark):
     rows = spark.createDataFrame([("k", 1.0), ("k", 2.0), ("k", 3.0), ("k", 10.0), ("j", None)], "c string, v double")
     assert [(r["n"], r["value"]) for r in evaluate.percentile_by(rows, ["c"], "v", 0.95).collect()] == [(4, 10.0)]
     assert rows.agg(evaluate.nearest_rank(F.collect_list("v"), 0.5).alias("p")).first()["p"] == 2.0  # 2.5 rounds to the even rank
-    assert answers.judge_verdict('x {"correctness": 9, "statements": -1, "refusal": true} y') == (5, 0, 0, 0, 0, True, False, True)
-    assert answers.judge_verdict("nothing")[-1] is False and answers.first_object('{"a": "line\nbreak"} {"b": 1}') == {"a": "line\nbreak"}
+    said = ['x {"correctness": 9, "statements": -1, "refusal": true} y', "nothing", '{"correctness": "a"}', '{"correctness": 2.7, "citations": "3", "conflict": 1}', '{"a": "line\nbreak"} {"correctness": 1}', "{broken", None]
+    table = spark.createDataFrame(list(enumerate(said)), "id int, output string")
+    got = {r["id"]: tuple(r["judge"]) for r in answers.parse_verdicts(table).collect()}
+    none = (0, 0, 0, 0, 0, False, False)
+    assert got == {0: (5, 0, 0, 0, 0, True, False, True), 1: (*none, False), 2: (*none, False), 3: (2, 0, 0, 3, 0, False, True, True), 4: (*none, True), 5: (*none, False), 6: (*none, False)}
+    assert table.where("id = 4").select(answers.first_object(F.col("output")).alias("o")).first()["o"] == {"a": "line\nbreak"}
+
+
+def claims_of(spark, draft, claims, ratio, question=""):
+    drafts = spark.createDataFrame([(1, draft, question)], "answer_id int, text string, question string")
+    problems = spark.createDataFrame([(1, n, c) for n, c in enumerate(claims)], "answer_id int, n int, claim string")
+    return tuple(answers.apply_claims(drafts, problems, ratio).first())[1:]
 
 
-def test_claims_and_citations():
+def test_claims_and_citations(spark):
     draft = "Отпуск длится 28 дней [S1]. Директор живёт в Москве [S2]. Уход в 12:45 + 45 минут = 13:30 [S3]."
-    done, corrected, emptied, actions = answers.remove_claims(draft, ["Директор живёт в Москве", "Уход в 12:45 + 45 минут = 13:30", "Совсем другое замечание про погоду и море"], 0.8, "ушёл в 12:45")
-    assert corrected and not emptied and actions == ["removed", "kept", "unmatched"] and "Москве" not in done and "28 дней" in done
-    assert answers.remove_claims("Только это предложение [S1].", ["Только это предложение"], 0.8)[1:] == (False, True, ["kept"])
-    assert answers.cite_text("Да [S1, D2], нет [S9]. D1 тут.\nСсылки:\n[S1] x", {"S1": "1", "D2": "2"}, {"D1": "Приказ №1"}) == "Да [1][2], нет . Приказ №1 тут."
-    assert answers.drop_empty_sections("Прямой ответ:\n\nДетали:\nтекст\n-\n") == "Детали:\nтекст"
+    done, corrected, emptied, actions = claims_of(spark, draft, ["Директор живёт в Москве", "Уход в 12:45 + 45 минут = 13:30", "Совсем другое замечание про погоду и море"], 0.8, "ушёл в 12:45")
+    assert corrected and not emptied and actions == ["removed", "kept", "unmatched"] and done == "Отпуск длится 28 дней [S1]. Уход в 12:45 + 45 минут = 13:30 [S3]."
+    assert claims_of(spark, "Только это предложение [S1].", ["Только это предложение"], 0.8)[1:] == (False, True, ["kept"])
+    assert claims_of(spark, "Первое длинное предложение тут. Да. Второе длинное предложение тут.", ["Первое длинное предложение тут. Да."], 0.6)[0] == "Второе длинное предложение тут."
+    assert claims_of(spark, "Он живёт в городе Москва.\n\nОна живёт в городе Омск.", ["Он живёт в городе Москве"], 0.6) == ("Она живёт в городе Омск.", True, False, ["removed"])
+    assert claims_of(spark, "Текст без замечаний.", [], 0.6) == ("Текст без замечаний.", False, False, [])
+    rows = spark.createDataFrame([(1, 7, "Да [S1, D2], нет [S9]. D1 тут, D3 там.\nСсылки:\n[S1] x"), (2, 7, None), (3, 7, "Ссылки: смотри дальше"), (4, 7, "Так.  \nИсточники:\n1. a\n2. b")], "answer_id int, session_id int, text string")
+    numbers = spark.createDataFrame([(1, "S1", 1), (1, "D2", 2), (1, "S9", None)], "answer_id int, alias string, number int")
+    labels = spark.createDataFrame([(7, "D1", "Приказ №1"), (7, "D3", ""), (8, "D3", "x")], "session_id int, alias string, label string")
+    got = {r["answer_id"]: r["body"] for r in answers.render_cited(rows, numbers, labels).collect()}
+    assert got == {1: "Да [1][2], нет . Приказ №1 тут, D3 там.", 2: "", 3: "Ссылки: смотри дальше", 4: "Так."}
+    assert one(spark, "Прямой ответ:\n\nДетали:\nтекст\n-\n", answers.without_empty_sections) == "Детали:\nтекст"
+
+
+def test_evidence_budget(spark):
+    blocks = [(1, 1, "document", "d" * 300), (1, 2, "search", "s" * 250), (1, 3, "document", "e" * 300), (1, 4, "document", "f"), (1, 5, "search", "t" * 500), (1, 6, "search", "u"), (2, 1, "search", None)]
+    table = spark.createDataFrame(blocks, "question_id int, n int, kind string, text string")
+    got = {(r["question_id"], r["n"]): r["text"] for r in answers.pack_evidence(table, 1000, 150).collect()}
+    # half goes to documents: 300, then 200 of the next; then 250 and 250 of the others
+    assert got == {(1, 1): "d" * 300, (1, 3): "e" * 199 + "…", (1, 2): "s" * 250, (1, 5): "t" * 249 + "…", (2, 1): ""}
+    assert {r["n"] for r in answers.pack_evidence(table.where("question_id = 1"), 1000, 300).collect()} == {1, 2, 5}
 
 
 def test_glossary(spark):
@@ -122,8 +196,18 @@ def test_glossary(spark):
     chunk = spark.createDataFrame([("c", body)], "chunk_id string, body string")
     got = [(r["term_key"], r["definition"]) for r in glossary.candidates(chunk).orderBy("pos").collect()]
     assert got == [("пвтр", "правила внутреннего распорядка"), ("тн", "транспортная накладная общества")]
-    assert glossary.like("документы", "документ", 0.75) and not glossary.like("лпу", "пу", 0.75) and glossary.like("средства защиты", "средства защиты работника", 0.75)
-    assert glossary.restored("что такое ПВТР и КОЭ", "что такое пвтр") == "что такое ПВТР КОЭ"
+    pairs = [("документы", "документ"), ("лпу", "пу"), ("средства защиты", "средства защиты работника"), ("договор", "договора поставки"), ("накладная", "накладные"), ("отпуск", "приказ"), ("а", "а"), ("", "")]
+    alike = glossary.similar_terms(spark.createDataFrame(pairs, "key string, term_key string"))
+    assert sorted(tuple(r) for r in alike.collect()) == sorted([pairs[0], pairs[2], pairs[4], pairs[6]])
+    asked = spark.createDataFrame([("что такое ПВТР и КОЭ", "что такое пвтр", "что такое ПВТР КОЭ"), ("ТН2?", "тн2-форма", "тн2-форма ТН2"), ("нет", "так", "так")], "q string, r string, w string")
+    assert all(r["w"] == r["k"] for r in asked.select("w", glossary.keep_abbreviations(F.col("q"), F.col("r")).alias("k")).collect())
+
+
+def test_lookup_by_search(spark):
+    names = ["транспортная накладная", "личный кабинет", "правила распорядка", "охрана труда"]
+    table = spark.createDataFrame([(f"r{i}", n, n, f"about {n}", "active", "d") for i, n in enumerate(names)], "record_id string, term string, term_key string, definition string, doc_status string, doc_label string")
+    asked = spark.createDataFrame([(" «Личный кабинет»",), ("транспортные накладные",), ("погода",), (" ",)], "term string")
+    assert {(r["term"], r["record_id"]) for r in glossary.lookup(asked, table).collect()} == {(" «Личный кабинет»", "r1"), ("транспортные накладные", "r0")}
 
 
 def test_names(spark):
