@@ -71,12 +71,26 @@ def others(docs: DataFrame, *names: str) -> list[str]:
     return [c for c in docs.columns if c.lower() not in names]
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, key: str | list[str], total: int, share: int = 1000) -> DataFrame:
     """``rows`` joined on ``key`` with ``facts``, which has one row for each key and the number ``n`` of its rows.
 
     A key that holds more than one in ``share`` of all ``total`` rows would fill one task. There are
     fewer than ``share`` such keys, so their facts go to every task; only the other rows are shuffled.
     """
+    keys = [key] if isinstance(key, str) else key
     hot = F.broadcast(facts.where(F.col("n") * share > total).drop("n"))
     cold = facts.where(F.col("n") * share <= total).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(cold, keys))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, limit: int) -> DataFrame:
+    """``docs`` without the rows that ``gone(__id, __key)`` names by doc_id and the text's hash, with their columns.
+
+    ``gone`` is cut and counted: up to ``limit`` names go to every task, and no text is moved; more
+    are met by a shuffle.
+    """
+    gone = cut(gone)
+    named = F.broadcast(gone) if gone.count() <= limit else gone
+    rows = docs.select(F.struct("*").alias("__doc"), "doc_id", F.xxhash64("text").alias("__own"))
+    same = (F.col("__own") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return rows.join(named, same, "left_anti").select("__doc.*")

@@ -19,8 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import body, cut, let
-from .lines import row_hash
+from .base import body, cut, let, without_rows
 
 # Units of measure and money
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|mph|kmh|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|meters|meter|metres|feet|foot|inches|inch|dollars|dollar|euros|euro|cents|percent"
@@ -33,6 +32,7 @@ class DecontamSettings:
     shortest: int = 4  # items of fewer tokens can't be told from chance and match nothing
     literal: float = 0.5  # share of a window's tokens that must be literal, where placeholders are compared
     broadcast_windows: int = 2_000_000  # benchmark windows up to which they are sent to every task
+    broadcast_rows: int = 2_000_000  # names of leaked rows up to which they are sent to every task
 
 
 def template_tokens(text: Column) -> Column:
@@ -151,7 +151,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings
     """
     known, widths = benchmark_windows(benchmark, settings)
     few = known.count() <= settings.broadcast_windows
-    parsed = _parsed(docs.select("doc_id", "text", row_hash().alias("__row")), "doc_id", "__row")
+    parsed = _parsed(docs.select("doc_id", "text", F.xxhash64("text").alias("__row")), "doc_id", "__row")
     hits = _windows(parsed, widths, "doc_id", "__row").drop("n").join(F.broadcast(known) if few else known, ["width", "window"])
     hits = hits.withColumn("d_slots", slots_in(F.col("slots"), F.col("at"), F.col("width"), F.col("kind")))
     opens = F.exists("b_slots", lambda s: s["opening"]) | F.exists("d_slots", lambda s: s["opening"])
@@ -183,7 +183,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = DecontamSettings()) -> DataFrame:
     """``doc_id, contaminated, n_windows, n_items, item_id, kind``: one row per row of ``docs``."""
     found = find_leaks(docs, benchmark, settings)
-    rows = docs.select("doc_id", row_hash().alias("__own"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("__own"))
     same = (F.col("__own") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     return rows.join(found, same, "left").select(
         "doc_id",
@@ -197,7 +197,5 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = DecontamSettings()) -> DataFrame:
     """The rows of ``docs`` without a leak, with their columns."""
-    found = find_leaks(docs, benchmark, settings).select("__row", "__id")
-    rows = docs.select(F.struct("*").alias("__doc"), "doc_id", row_hash().alias("__own"))
-    same = (F.col("__own") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return rows.join(found, same, "left_anti").select("__doc.*")
+    found = find_leaks(docs, benchmark, settings)
+    return without_rows(docs, found.select("__id", F.col("__row").alias("__key")), settings.broadcast_rows)

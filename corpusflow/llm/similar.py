@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .base import cut, join_facts
+from .base import cut, join_facts, without_rows
 from .simhash import UPPER_TO_LOWER, components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -37,7 +37,7 @@ class SimilarSettings:
     slack: float = 5.0  # standard deviations of a distance that are added to the expected one; small sets spread more than large ones
     block: int = 2048  # prints of one bucket that are compared in a block; larger buckets are cut into blocks
     set_hashes: int = 500_000  # shingle hashes, about, of one bucket that are compared in a block
-    broadcast_texts: int = 4_000_000  # keys of texts to look at up to which they are sent to every task
+    broadcast_texts: int = 2_000_000  # keys of texts, to look at or to drop, up to which they are sent to every task
     seed: int = 42
 
     @property
@@ -251,9 +251,15 @@ def sketches(docs: DataFrame, settings: SimilarSettings) -> DataFrame:
     return made.select("doc_id", "key", "s.node", "s.size", "s.print", "s.anchors")
 
 
-def block_groups(rows: DataFrame, cuts: DataFrame, *keep: str) -> DataFrame:
-    """``rows`` of buckets, each bucket cut into ``blocks`` by node and dealt so that every two blocks meet in a group ``g``."""
-    joined = rows.join(cuts, ["part", "bucket"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def block_groups(rows: DataFrame, sizes: DataFrame, most: int, *keep: str) -> DataFrame:
+    """``rows`` of buckets dealt to groups ``g``, in which every two blocks of a bucket meet.
+
+    ``sizes(part, bucket, n, size)`` has each bucket's rows and their total size; a bucket is cut
+    by node into as many blocks as ``most`` goes into its size.
+    """
+    facts = cut(sizes.select("part", "bucket", "n", F.ceil(F.col("size") / most).cast("int").alias("blocks")))
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    joined = join_facts(rows, facts, ["part", "bucket"], total).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")),
@@ -270,9 +276,8 @@ def candidates(nodes: DataFrame, settings: SimilarSettings) -> DataFrame:
     """
     radius, words = settings.radius, settings.words
     dealt = nodes.select("node", "size", "print", F.posexplode("anchors").alias("part", "bucket"), "anchors").withColumn("anchors", F.expr("slice(anchors, 1, part)"))
-    counts = dealt.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cuts = counts.withColumn("blocks", F.ceil(F.col("n") / settings.block).cast("int")).drop("n")
-    groups = block_groups(dealt, cuts, "node", "size", "print", "anchors").groupBy("part", "bucket", "g")
+    counts = dealt.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    groups = block_groups(dealt, counts, settings.block, "node", "size", "print", "anchors").groupBy("part", "bucket", "g")
     rows = groups.agg(F.collect_list(F.struct("node", "size", "print", "anchors")).alias("rows")).where(F.size("rows") > 1)
     rows = rows.select("part", "bucket", F.col("rows.node").alias("nodes"), F.col("rows.size").alias("sizes"), F.flatten("rows.print").alias("prints"), F.flatten("rows.anchors").alias("earlier"))
 
@@ -325,9 +330,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, settings: SimilarSettings)
     """
     members = cut(candidates(nodes, settings))
     sets = sets_of(docs, cut(members.select("node").distinct().join(nodes.select("node", "key", "doc_id"), "node")), settings)
-    hashes = members.groupBy("part", "bucket").agg(F.sum("size").alias("n"))
-    cuts = hashes.withColumn("blocks", F.ceil(F.col("n") / settings.set_hashes).cast("int")).drop("n")
-    groups = block_groups(members.join(sets, "node"), cuts, "node", "hashes").groupBy("part", "bucket", "g")
+    counts = members.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    groups = block_groups(members.select("part", "bucket", "node"), counts, settings.set_hashes, "node").join(sets, "node").groupBy("part", "bucket", "g")
     rows = groups.agg(F.collect_list(F.struct("node", "hashes")).alias("rows")).where(F.size("rows") > 1)
     rows = rows.select(F.col("rows.node").alias("nodes"), F.transform("rows.hashes", lambda h: F.size(h)).alias("sizes"), F.flatten("rows.hashes").alias("hashes"))
 
@@ -379,12 +383,16 @@ def keep_first(docs: DataFrame, settings: SimilarSettings = SimilarSettings()) -
     by row: texts that share a doc_id and aren't similar are in components of their own. Rows
     without words are in none and all stay.
     """
-    _, nodes = marked_nodes(docs, settings)
-    firsts = nodes.groupBy("root").agg(F.min(F.struct("last", "doc_id", "key")).alias("pick")).select("pick.doc_id", "pick.key")
-    stays = firsts.select(F.col("doc_id").alias("__id"), F.col("key").alias("__first"))
-    spoken = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(spoken).select(F.struct("*").alias("__doc"), "doc_id", F.xxhash64("text").alias("__key"))
-    once = Window.partitionBy("doc_id", "__key").orderBy("__key")  # each task drops its repeats before any row is moved
-    ranked = rows.withColumn("__place", F.row_number().over(once)).where("__place = 1")
-    kept = ranked.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__first")), "left_semi")
-    return kept.select("__doc.*").unionByName(docs.where(~spoken))
+    made, nodes = marked_nodes(docs, settings)
+    firsts = nodes.groupBy("root").agg(F.min(F.struct("last", "doc_id", "key")).alias("pick")).select(F.col("pick.doc_id").alias("__id"), F.col("pick.key").alias("__key"))
+    rows = cut(made.where("node is not null").groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n")))
+    lost = rows.alias("r").join(firsts.alias("f"), F.col("r.__id").eqNullSafe(F.col("f.__id")) & (F.col("r.__key") == F.col("f.__key")), "left_anti")
+    left = without_rows(docs, lost.select("__id", "__key"), settings.broadcast_texts)
+    again = rows.where("n > 1").select("__id", "__key")
+    if again.isEmpty():
+        return left
+    # rows that come several times: one of them, found where they are; the others go on as they are
+    same = (F.xxhash64("text") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    repeated = left.select(F.struct("*").alias("__doc"), "doc_id", "text").join(F.broadcast(again) if again.count() <= settings.broadcast_texts else again, same)
+    once = repeated.withColumn("__place", F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__key"))).where("__place = 1")
+    return without_rows(left, again, settings.broadcast_texts).unionByName(once.select("__doc.*"))
