@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import date_or_null, document_label, int_or_null, text_or_null
-from ..settings import CardSections, ChunkSettings, StatusRules
+from ..settings import CardSections, ChunkSettings, CoverageRules, StatusRules
 
 
 def resolve_status(status_id: Column, state_id: Column, rules: StatusRules = StatusRules()) -> Column:
@@ -207,26 +207,51 @@ def checks(documents: DataFrame, files: DataFrame, excluded: DataFrame, errors:
     return out.unionByName(worst.select(F.lit("overall").alias("name"), F.when(F.col("f"), "FAIL").when(F.col("w"), "WARN").otherwise("PASS").alias("status"), "n"))
 
 
-def coverage(documents: DataFrame, files: DataFrame, graph: DataFrame, targets: dict[str, int]) -> DataFrame:
+def coverage(documents: DataFrame, files: DataFrame, graph: DataFrame, targets: dict[str, float], rules: CoverageRules = CoverageRules()) -> DataFrame:
     """``name, target, actual, ok``: documents of each kind against its target, and how the set is composed.
 
-    A document with several kinds counts for each. Shares are of downloaded files.
+    A document with several kinds counts for each. A kind's facts count its documents that are
+    cancelled, changed (joined by an edge of change to another of the kind), have terms or tables,
+    attachments (two files, or an edge that says so) or links. Shares are of downloaded files; a
+    scan is an image or a file without a text layer.
     """
     kinds = documents.select("card_id", F.explode("kinds").alias("kind"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("target")) for k, t in targets.items()])).alias("t")
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(t)).alias("target")) for k, t in targets.items()])).alias("t")
     goals = documents.sparkSession.range(1).select(wanted).select("t.*")
     actual = kinds.groupBy("kind").agg(F.countDistinct("card_id").alias("actual"))
-    by_kind = goals.join(actual, "kind", "left").select(F.col("kind").alias("name"), F.col("target").cast("double"), F.coalesce("actual", F.lit(0)).cast("double").alias("actual"))
+    by_kind = goals.join(actual, "kind", "left").select(F.col("kind").alias("name"), "target", F.coalesce("actual", F.lit(0)).cast("double").alias("actual"))
+
+    inside = graph.where("not dangling")
+    says = lambda column, pattern: F.coalesce(F.col(column), F.lit("")).rlike("(?iuU)" + pattern)
+    ends = lambda edges, mark: edges.select(F.explode(F.array("from_id", "to_id")).alias("card_id")).distinct().withColumn(mark, F.lit(True))
+    added = inside.where(says("relation_type", rules.attachment)).select(F.col("from_id").alias("card_id")).unionByName(inside.where(says("reverse_type", rules.attachment)).select(F.col("to_id").alias("card_id")))
     per_doc = files.groupBy("card_id").agg(F.bool_or("has_terms").alias("terms"), F.bool_or("has_tables").alias("tables"), F.count_if(F.col("skip_reason").isNull()).alias("got"))
-    linked = graph.where("not dangling").select(F.explode(F.array("from_id", "to_id")).alias("card_id")).distinct().withColumn("linked", F.lit(True))
-    wide = documents.select("card_id", "doc_status", "doc_date").join(per_doc, "card_id", "left").join(linked, "card_id", "left")
-    facts = wide.agg(
-        F.count_if(F.col("doc_status") == "cancelled").alias("cancelled"), F.count_if(F.col("linked")).alias("linked"), F.count_if(F.col("terms")).alias("with terms"),
-        F.count_if(F.col("tables")).alias("with tables"), F.count_if(F.col("got") >= 2).alias("with attachments"), F.coalesce(F.year(F.max("doc_date")) - F.year(F.min("doc_date")), F.lit(0)).alias("span of years"),
-    )
-    names = ("cancelled", "linked", "with terms", "with tables", "with attachments", "span of years")
-    tall = facts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(targets.get(n, 1))).alias("target"), F.col(n).cast("double").alias("actual")) for n in names])).alias("r")).select("r.*")
-    return by_kind.unionByName(tall).withColumn("ok", F.col("actual") >= F.col("target"))
+    wide = documents.select("card_id", "doc_status", F.explode(F.concat("kinds", F.array(F.lit("*")))).alias("kind")).join(per_doc, "card_id", "left")
+    wide = wide.join(ends(inside, "linked"), "card_id", "left").join(added.distinct().withColumn("added", F.lit(True)), "card_id", "left")
+    change = inside.where(says("relation_type", rules.change)).select("from_id", "to_id")
+    pairs = change.join(kinds.select(F.col("card_id").alias("from_id"), F.col("kind").alias("kind")), "from_id").join(kinds.select(F.col("card_id").alias("to_id"), F.col("kind").alias("kind")), ["to_id", "kind"])
+    changed = pairs.select("kind", F.explode(F.array("from_id", "to_id")).alias("card_id")).distinct().withColumn("changed", F.lit(True))
+    wide = wide.join(changed, ["kind", "card_id"], "left")
+    flags = {"cancelled": F.col("doc_status") == "cancelled", "changed": F.col("changed"), "terms": F.col("terms"), "tables": F.col("tables"), "attachments": (F.col("got") >= 2) | F.col("added"), "linked": F.col("linked")}
+    counted = wide.groupBy("kind").agg(*[F.count_if(c).alias(f) for f, c in flags.items()])
+    told = counted.select("kind", F.explode(F.array(*[F.struct(F.lit(f).alias("fact"), F.col(f).alias("n")) for f in flags])).alias("x")).select("kind", "x.fact", "x.n")
+    asked = documents.sparkSession.range(1).select(F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((name, kind, fact, float(least)), ("name", "kind", "fact", "target"))]) for name, kind, fact, least in rules.facts])).alias("a")).select("a.*")
+    facts = asked.join(told, ["kind", "fact"], "left").select("name", "target", F.coalesce("n", F.lit(0)).cast("double").alias("actual"))
+
+    downloaded = files.where("skip_reason is null").join(documents.select("card_id").distinct(), "card_id", "left_semi")
+    scan = F.col("extension").isin(*rules.images) | (F.col("has_text") == F.lit(False))
+    share = downloaded.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"), F.count_if("has_text").alias("digital"), F.count_if(scan).alias("scans"))
+    dates = documents.agg(F.coalesce(F.year(F.max("doc_date")) - F.year(F.min("doc_date")), F.lit(0)).cast("double").alias("actual"))
+    part = lambda name, least, of: share.select(F.lit(name).alias("name"), F.lit(least).alias("target"), F.round(F.col(of) / F.col("n"), 6).alias("actual"))
+    out = by_kind.unionByName(facts).unionByName(part("digital share", rules.digital_share, "digital")).unionByName(part("scan share", rules.scan_share, "scans"))
+    out = out.unionByName(dates.select(F.lit("span of years").alias("name"), F.lit(float(rules.span_of_years)).alias("target"), "actual"))
+    return out.withColumn("ok", F.col("actual") >= F.col("target"))
+
+
+def counters(files: DataFrame, *by: str) -> DataFrame:
+    """Files by the reason why they are skipped, if they are, and by other columns."""
+    reason = F.coalesce(F.substring_index("skip_reason", ":", 1), F.lit("kept")).alias("reason")
+    return files.groupBy(reason, *by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def review_rows(documents: DataFrame, files: DataFrame, via: DataFrame) -> DataFrame:

@@ -333,6 +333,8 @@ ORACLES = {
     "sc1_clause_numbers": ctes("lines") + ", t AS (SELECT doc_id, n, concat(CASE n % 3 WHEN 0 THEN concat(n % 9 + 1, '.', n % 4, '. ') WHEN 1 THEN concat(n % 2100, ') ') ELSE '04.09.2026 ' END, line) AS t FROM lines) SELECT doc_id, n, " + _num("t") + " AS clause, CASE WHEN regexp_extract(t, '^\\s*(\\d+(?:\\.\\d+)*)[.)]?(?:\\s+\\S)', 1) <> '' AND NOT regexp_matches(regexp_extract(t, '^\\s*(\\d+(?:\\.\\d+)*)[.)]?(?:\\s+\\S)', 1), '\\d{4,}|(?:^|\\.)0\\d') THEN regexp_extract(t, '^\\s*(\\d+(?:\\.\\d+)*)[.)]?(?:\\s+\\S)', 1) END AS header, " + _num("concat(regexp_replace(t, ' .*', '', 's'), ' x')") + " AS bare FROM t",
     "sc22_word_counts": ctes("lines") + " SELECT doc_id, n, len(" + W.format("line") + ") AS tokens FROM lines",
     "sc6_ids": ctes("chunks") + f" SELECT chunk_id, {_uuid("concat(md5(parent_id), ':', n)")} AS id, {_uuid("concat('x:parent:', n)")} AS pid FROM chunks",
+    "sc7_normalized": ctes("chunks") + ", t AS (SELECT chunk_id, concat(' «', upper(substr(body, 1, 30)), '»;') AS a, concat('Раздел ', n % 9, '. ', body) AS h FROM chunks), e AS (SELECT chunk_id, translate(replace(lower(a), 'ß', 'ss'), 'ё', 'е') AS a, translate(replace(lower(regexp_replace(h, '^Раздел \\d+\\.\\s*', '')), 'ß', 'ss'), 'ё', 'е') AS h FROM t) SELECT chunk_id, trim(regexp_replace(regexp_replace(a, '^[\\s«»\"''*_#.,;:()]+|[\\s«»\"''*_#.,;:()]+$', '', 'g'), '\\s+', ' ', 'g')) AS term_key, trim(regexp_replace(regexp_replace(h, '^[\\s«»\"''*_#.,;:()]+|[\\s«»\"''*_#.,;:()]+$', '', 'g'), '\\s+', ' ', 'g')) AS heading_key FROM e",
+    "flt7_routes": ctes("pages_text") + ", w AS (SELECT file_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: regexp_matches(x, '\\p{L}')) AS ws FROM pages_text), c AS (SELECT file_id, length(regexp_replace(t, '\\s+', '', 'g')) >= 50 AND len(list_filter(ws, lambda x: regexp_matches(x, '\\p{Cyrillic}') AND regexp_matches(x, '\\p{Latin}'))) <= len(ws) * 0.1 AS good FROM w) SELECT file_id, count(*) AS n_pages, count(*) FILTER (good) AS text_pages, CASE WHEN count(*) FILTER (good) >= count(*) * 0.5 THEN 'native' ELSE 'model' END AS route FROM c GROUP BY file_id",
     "sc19_cuts": ctes("chunks") + ", w AS (SELECT chunk_id, body, " + W.format("body") + " AS w FROM chunks) SELECT chunk_id, CASE WHEN len(w) > 5 THEN array_to_string(w[1:5], ' ') || '…' ELSE array_to_string(w, ' ') END AS short, CASE WHEN length(body) > 40 THEN regexp_replace(substr(body, 1, 39), '\\s+$', '') || '…' ELSE body END AS cut FROM w",
     "sc23_dense": ctes("chunks") + "," + VEC.format(n="c", k="chunk_id", t="chunks", codes=CODES.format("body")) + " SELECT c.chunk_id, " + ", ".join(f"round(coalesce(max(CASE WHEN b = {i} THEN x END), 0), 6) AS d{i}" for i in range(8)) + " FROM chunks c LEFT JOIN cd USING (chunk_id) GROUP BY c.chunk_id",
     "ag15_sparse": ctes("chunks") + "," + VEC.format(n="c", k="chunk_id", t="chunks", codes=CODES.format("body")) + " SELECT chunk_id, token, round(weight, 6) AS weight FROM cs",

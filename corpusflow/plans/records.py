@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import answers, chats, evaluate, graph, manifest
 from ..runtime import shared_folder
-from ..settings import CardSections, ExclusionRule, MemorySettings, WalkSettings
+from ..settings import CardSections, CoverageRules, ExclusionRule, MemorySettings, WalkSettings
 from ..sources import io
 from .standins import ctes, nested_cards, standin
 
@@ -150,7 +150,7 @@ def _docs(spark, d):
 
 def _files(spark, d):
     f = standin(spark, d, "files")
-    return f.select("card_id", "row_id", "extension", "size", F.when(F.col("is_virtual"), "virtual").when(F.col("extension").isin("jpg", "sig"), "format").when(F.col("supp") % 97 == 0, "error").alias("skip_reason"), F.when(F.col("supp") % 17 == 0, F.lit("x")).alias("duplicate_of"), (F.col("supp") % 89 != 0).alias("smoke_ok"), (F.col("supp") % 23 == 0).alias("has_terms"), (F.col("supp") % 31 == 0).alias("has_tables"))
+    return f.select("card_id", "row_id", "extension", "size", F.when(F.col("is_virtual"), "virtual").when(F.col("extension").isin("jpg", "sig"), "format").when(F.col("supp") % 97 == 0, "error").alias("skip_reason"), F.when(F.col("supp") % 17 == 0, F.lit("x")).alias("duplicate_of"), (F.col("supp") % 89 != 0).alias("smoke_ok"), (F.col("supp") % 23 == 0).alias("has_terms"), (F.col("supp") % 31 == 0).alias("has_tables"), F.when(F.col("extension") == "pdf", F.col("supp") % 3 != 0).alias("has_text"))
 
 
 def ag1_stats(spark, d):
@@ -166,7 +166,7 @@ def ag3_summary(spark, d):
 
 
 def ag4_counters(spark, d):
-    return _files(spark, d).groupBy(F.coalesce("skip_reason", F.lit("kept")).alias("reason"), "extension").agg(F.count(F.lit(1)).alias("n"))
+    return manifest.counters(_files(spark, d), "extension")
 
 
 def _listing(spark, d):
@@ -189,8 +189,14 @@ def ag8_checks(spark, d):
     return manifest.checks(docs, _files(spark, d), cards.where("card_id % 1000 = 1").unionByName(cards.where("card_id < 0")), cards.where("card_id % 900 = 5"), cards.where("card_id % 1800 = 7"))
 
 
+FACTS = (
+    ("orders cancelled", "orders", "cancelled", 10), ("orders changed", "orders", "changed", 2), ("orders with terms", "orders", "terms", 5), ("instructions with tables", "instructions", "tables", 3),
+    ("contracts with attachments", "contracts", "attachments", 4), ("memos with links", "memos", "linked", 100), ("documents with tables", "*", "tables", 50), ("nothing cancelled", "nothing", "cancelled", 1),
+)
+
+
 def ag9_coverage(spark, d):
-    return manifest.coverage(_docs(spark, d), _files(spark, d), _graph_rows(spark, d), {"orders": 10, "instructions": 5000, "contracts": 10, "memos": 10, "linked": 100, "nothing": 3})
+    return manifest.coverage(_docs(spark, d), _files(spark, d), _graph_rows(spark, d), {"orders": 10, "instructions": 5000, "contracts": 10, "memos": 10, "nothing": 3}, CoverageRules(facts=FACTS))
 
 
 def snk5_review(spark, d):
@@ -411,7 +417,7 @@ md AS (SELECT card_id, type_name, coalesce(doc_type_title, type_name, 'Без в
   list_filter(['orders','instructions','contracts','memos'], lambda k: regexp_matches(lower(concat_ws(' ', doc_type_title, type_name, subject)), CASE k WHEN 'orders' THEN 'приказ' WHEN 'instructions' THEN 'инструкц' WHEN 'contracts' THEN 'договор' ELSE 'записк' END)) AS ks FROM cards)
 """
 FI = """,
-fi AS (SELECT card_id, row_id, extension, size, CASE WHEN is_virtual THEN 'virtual' WHEN extension IN ('jpg','sig') THEN 'format' WHEN supp % 97 = 0 THEN 'error' END AS skip_reason, CASE WHEN supp % 17 = 0 THEN 'x' END AS duplicate_of, supp % 89 <> 0 AS smoke_ok, supp % 23 = 0 AS has_terms, supp % 31 = 0 AS has_tables FROM files)
+fi AS (SELECT card_id, row_id, extension, size, CASE WHEN is_virtual THEN 'virtual' WHEN extension IN ('jpg','sig') THEN 'format' WHEN supp % 97 = 0 THEN 'error' END AS skip_reason, CASE WHEN supp % 17 = 0 THEN 'x' END AS duplicate_of, supp % 89 <> 0 AS smoke_ok, supp % 23 = 0 AS has_terms, supp % 31 = 0 AS has_tables, CASE WHEN extension = 'pdf' THEN supp % 3 <> 0 END AS has_text FROM files)
 """
 VIA = """,
 pt AS (SELECT to_id AS card_id, to_id % 9 = 0 AS seed, CASE WHEN from_id % 11 <> 0 THEN from_id END AS via_id, ref_type, from_id * 100 + pos AS pos FROM links),
@@ -483,7 +489,16 @@ ORACLES = {
     "flt3_listing": LS + "SELECT card_id, state_id, pos FROM lj WHERE cause = 'kept' ORDER BY pos LIMIT 300",
     "flt3_counters": LS + "SELECT count(*) AS received, count(*) FILTER (cause='no_id') AS without_id, count(*) FILTER (cause='duplicate') AS duplicates, count(*) FILTER (cause='match') AS excluded_by_match, count(*) FILTER (cause='state') AS excluded_by_state, count(*) FILTER (cause='kept') AS selected FROM lj",
     "ag8_checks": ctes("cards", "files") + META + FI + ", r AS (SELECT 'downloaded' AS name, count(*) FILTER (skip_reason = 'error') AS n, 'FAIL' AS lv FROM fi UNION ALL SELECT 'open', count(*) FILTER (NOT smoke_ok), 'FAIL' FROM fi UNION ALL SELECT 'complete', count(*) FILTER (doc_number IS NULL OR doc_date IS NULL), 'WARN' FROM md UNION ALL SELECT 'unique', 0, 'FAIL' UNION ALL SELECT 'excluded', count(*), 'FAIL' FROM md WHERE card_id % 1000 = 1 UNION ALL SELECT 'fetched', count(*), CASE WHEN count(*) FILTER (card_id % 1800 = 7) > 0 THEN 'FAIL' ELSE 'WARN' END FROM md WHERE card_id % 900 = 5), s AS (SELECT name, CASE WHEN n > 0 THEN lv ELSE 'PASS' END AS status, n FROM r) SELECT * FROM s UNION ALL SELECT 'overall', CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END, sum(n)::BIGINT FROM s",
-    "ag9_coverage": ctes("cards", "files", "links") + META + FI + GR + ", g AS (SELECT unnest(['orders','instructions','contracts','memos','linked','nothing']) AS name, unnest([10,5000,10,10,100,3]) AS target), pf AS (SELECT card_id, bool_or(has_terms) AS t, bool_or(has_tables) AS b, count(*) FILTER (skip_reason IS NULL) AS got FROM fi GROUP BY card_id), li AS (SELECT from_id AS card_id FROM gr WHERE NOT dangling UNION SELECT to_id FROM gr WHERE NOT dangling), w AS (SELECT md.*, pf.*, li.card_id IS NOT NULL AS lk FROM md LEFT JOIN pf USING (card_id) LEFT JOIN li USING (card_id)), a AS (SELECT g.name, g.target::DOUBLE AS target, (SELECT count(*) FROM md WHERE list_contains(ks, g.name))::DOUBLE AS actual FROM g UNION ALL SELECT 'cancelled', 1, count(*) FILTER (doc_status = 'cancelled') FROM w UNION ALL SELECT 'linked', 100, count(*) FILTER (lk) FROM w UNION ALL SELECT 'with terms', 1, count(*) FILTER (t) FROM w UNION ALL SELECT 'with tables', 1, count(*) FILTER (b) FROM w UNION ALL SELECT 'with attachments', 1, count(*) FILTER (got >= 2) FROM w UNION ALL SELECT 'span of years', 1, year(max(doc_date)) - year(min(doc_date)) FROM w) SELECT name, target, actual, actual >= target AS ok FROM a",
+    "ag9_coverage": ctes("cards", "files", "links") + META + FI + GR + """, g AS (SELECT unnest(['orders','instructions','contracts','memos','nothing']) AS name, unnest([10,5000,10,10,3]) AS target),
+pf AS (SELECT card_id, bool_or(has_terms) AS t, bool_or(has_tables) AS b, count(*) FILTER (skip_reason IS NULL) AS got FROM fi GROUP BY card_id), e AS (SELECT * FROM gr WHERE NOT dangling),
+w AS (SELECT md.*, pf.*, md.card_id IN (SELECT from_id FROM e UNION SELECT to_id FROM e) AS lk, got >= 2 OR md.card_id IN (SELECT from_id FROM e WHERE regexp_matches(lower(coalesce(relation_type, '')), 'приложени|дополнительн') UNION SELECT to_id FROM e WHERE regexp_matches(lower(coalesce(reverse_type, '')), 'приложени|дополнительн')) AS att FROM md LEFT JOIN pf USING (card_id)),
+od AS (SELECT card_id FROM md WHERE list_contains(ks, 'orders')), ch AS (SELECT from_id, to_id FROM e WHERE regexp_matches(lower(coalesce(relation_type, '')), 'отмен|измен|дополн') AND from_id IN (SELECT card_id FROM od) AND to_id IN (SELECT card_id FROM od)),
+dl AS (SELECT * FROM fi WHERE skip_reason IS NULL AND card_id IN (SELECT card_id FROM md)),
+a AS (SELECT g.name, g.target::DOUBLE AS target, (SELECT count(*) FROM md WHERE list_contains(ks, g.name))::DOUBLE AS actual FROM g UNION ALL SELECT 'orders cancelled', 10, count(*) FILTER (doc_status = 'cancelled' AND list_contains(ks, 'orders')) FROM w
+UNION ALL SELECT 'orders changed', 2, (SELECT count(*) FROM (SELECT from_id FROM ch UNION SELECT to_id FROM ch)) UNION ALL SELECT 'orders with terms', 5, count(*) FILTER (t AND list_contains(ks, 'orders')) FROM w UNION ALL SELECT 'instructions with tables', 3, count(*) FILTER (b AND list_contains(ks, 'instructions')) FROM w
+UNION ALL SELECT 'contracts with attachments', 4, count(*) FILTER (att AND list_contains(ks, 'contracts')) FROM w UNION ALL SELECT 'memos with links', 100, count(*) FILTER (lk AND list_contains(ks, 'memos')) FROM w UNION ALL SELECT 'documents with tables', 50, count(*) FILTER (b) FROM w UNION ALL SELECT 'nothing cancelled', 1, 0
+UNION ALL SELECT 'digital share', 0.5, round(count(*) FILTER (has_text)::DOUBLE / greatest(count(*), 1), 6) FROM dl UNION ALL SELECT 'scan share', 0.1, round(count(*) FILTER (extension IN ('png','jpg','jpeg','tif','tiff','bmp','gif') OR has_text = false)::DOUBLE / greatest(count(*), 1), 6) FROM dl
+UNION ALL SELECT 'span of years', 1, year(max(doc_date)) - year(min(doc_date)) FROM w) SELECT name, target, actual, actual >= target AS ok FROM a""",
     "snk5_review": ctes("cards", "files", "links") + META + FI + VIA + "SELECT m.card_id, m.doc_kind, coalesce(m.doc_number, '') AS number, coalesce(strftime(m.doc_date, '%Y-%m-%d'), '') AS doc_date, coalesce(m.subject, '') AS subject, m.doc_status, CASE WHEN fp.card_id IS NULL THEN NULL WHEN seed THEN 'seed' ELSE coalesce(o.doc_kind || ' №' || coalesce(o.doc_number, '?'), p.v::VARCHAR, '') END AS origin, CASE WHEN fp.card_id IS NULL THEN NULL WHEN seed THEN '' ELSE coalesce(p.r, 'untyped') END AS relation, coalesce(f.n, 0) AS files FROM md m LEFT JOIN fp ON fp.card_id = m.card_id LEFT JOIN md o ON o.card_id = p.v LEFT JOIN (SELECT card_id, count(*) FILTER (skip_reason IS NULL) AS n FROM fi GROUP BY card_id) f ON f.card_id = m.card_id",
     "sc21_verdicts": OUTC + "SELECT id, judged, hit, refusal_ok, conflict_ok FROM vv",
     "ag10_metrics": OUTC + _metrics("mx", "true", "0.97::DOUBLE") + " SELECT * FROM mx",

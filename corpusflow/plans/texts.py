@@ -57,7 +57,7 @@ def sc3_windows(spark, d):
 
 def sc4_tables(spark, d):
     """Every document's lines as the rows of a table."""
-    cells = F.concat_ws(" | ", F.lit("|"), F.col("n").cast("string"), F.replace("line", F.lit("|"), F.lit("/")), F.lit("|"))
+    cells = F.concat(F.lit("| "), F.col("n").cast("string"), F.lit(" | "), F.replace("line", F.lit("|"), F.lit("/")), F.lit(" |"))
     rows = standin(spark, d, "lines").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", cells.alias("c")))), lambda r: r["c"]), "\n").alias("rows"))
     tables = rows.select("doc_id", F.concat(F.lit("| no | text |\n|---|---|\n"), "rows").alias("body"), F.lit(40).alias("limit"))
     return chunking.table_windows(tables, ["doc_id"], "body", "limit", 0).select("doc_id", F.get("place", 0).alias("i"), F.get("place", 1).alias("j"), "part")
@@ -334,6 +334,7 @@ ORACLES = {
     "wn5_parts": RUNS + ", g AS (SELECT file_id, section, run FROM rn GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY file_id, section ORDER BY run)::INT AS part, count(*) OVER (PARTITION BY file_id, section)::INT AS parts FROM g",
     "wn6_reading": ctes("chunks") + ", p AS (SELECT doc_id, chunk_id AS section_id, length(body) * 10 AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY n % 4, 'f' || (n % 3), n) - 1 AS place, count(*) OVER (PARTITION BY doc_id) AS total FROM chunks), q AS (SELECT *, least(greatest(doc_id % 7 - 1, 0), total - 1) AS start FROM p), u AS (SELECT *, sum(tokens) OVER (PARTITION BY doc_id ORDER BY place) AS used FROM q WHERE place >= start), k AS (SELECT * FROM u WHERE place = start OR (used <= 4000 AND place - start < 40)) SELECT doc_id, place::INT AS place, section_id, total, CASE WHEN max(place) OVER (PARTITION BY doc_id) + 1 < total THEN (max(place) OVER (PARTITION BY doc_id) + 1)::INT END AS next_offset FROM k",
     "jn13_sections": ctes("chunks") + ", p AS (SELECT parent_id AS section_id, doc_id FROM chunks WHERE n % 4 = 1), q AS (SELECT DISTINCT CASE WHEN n % 2 = 0 THEN chunk_id ELSE parent_id END AS wanted, doc_id - CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS doc_id FROM chunks), v AS (SELECT c.chunk_id AS wanted, p.section_id, p.doc_id FROM chunks c JOIN p ON c.parent_id = p.section_id) SELECT q.doc_id, q.wanted, coalesce(p.section_id, v.section_id) AS section_id, coalesce(p.doc_id, v.doc_id) <> q.doc_id AS other_document FROM q LEFT JOIN p ON p.section_id = q.wanted LEFT JOIN v ON v.wanted = q.wanted",
+    "prj6_fingerprints": ctes("cards") + " SELECT card_id, sha256(json_object('doc_type_title', doc_type_title, 'full_number', full_number, 'state_id', state_id, 'department', department)::VARCHAR) AS fingerprint FROM cards",
     "sc8_sections": ctes("chunks") + " SELECT chunk_id, parent_id AS section_id FROM chunks WHERE doc_id % 10 = 0",
     "ud1_embeddings": ctes("chunks") + " SELECT chunk_id, length(body)::DOUBLE AS d0, (length(body) % 7)::INT AS token FROM chunks",
     "src1_cards": ctes("cards") + " SELECT card_id::VARCHAR AS card_id, type_name, doc_type_title, full_number, state_id, doc_date::VARCHAR AS doc_date, 'Approval|Approvers|Directions|Service' AS omitted FROM cards UNION ALL SELECT 'issue', 'invalid', NULL, NULL, NULL, NULL, NULL",

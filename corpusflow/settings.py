@@ -26,6 +26,19 @@ class CardSections:
     state_names: tuple[tuple[int, str], ...] = ()  # of approval states, in place of their own names
 
 
+@dataclass(frozen=True)
+class CoverageRules:
+    """Facts of kinds ``(name, kind, fact, least)``, where ``*`` is any kind, and shares of files that a set should have."""
+
+    facts: tuple[tuple[str, str, str, int], ...] = ()
+    change: str = "отмен|измен|дополн"
+    attachment: str = "приложени|дополнительн"
+    images: tuple[str, ...] = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "gif")
+    digital_share: float = 0.5
+    scan_share: float = 0.1
+    span_of_years: int = 1
+
+
 @dataclass(frozen=True)
 class MainCandidate:
     extension: str
