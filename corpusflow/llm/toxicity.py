@@ -1,6 +1,7 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A logistic model over the presence of words. Identity terms in labelled sentences are swapped for
+A logistic model over the presence of words, and of the stems of longer ones, as inflected languages
+spell a word in many ways. Identity terms in labelled sentences are swapped for
 other terms of their group, and the fit penalises the squared change of the model's logit, so that a
 neutral mention of a group neither raises nor lowers a score.
 """
@@ -59,11 +60,20 @@ IDENTITY = (
 GROUP_OF = {term: group for group in IDENTITY for term in group}
 
 
+STEM = 5  # letters
+
+
+def features(text: str | None) -> set[str]:
+    """The distinct words of a text, lower-cased, and the stems, marked by ``*``, of those that are longer."""
+    found = set(WORD.findall(text.lower())) if text else set()
+    return found | {f"{w[:STEM]}*" for w in found if len(w) > STEM}
+
+
 @dataclass(frozen=True)
 class ToxicitySettings:
     sample_docs: int = 20_000  # labelled documents, about, that the model is fitted on; never over twice as many
-    words: int = 2000  # features at most, those that differ most between the classes
-    least_z: float = 4.0  # two-sample z of a word's document share
+    words: int = 2000  # words and stems at most, those that differ most between the classes
+    least_z: float = 5.0  # two-sample z of a word's document share
     least_docs: int = 4
     swaps: int = 2  # counterfactuals of a document with identity terms
     invariance: float = 20.0  # weight of the squared change of the logit
@@ -78,8 +88,7 @@ class ToxicityModel:
     weights: dict[str, float]
 
     def score(self, text: str | None) -> float:
-        found = set(WORD.findall(text.lower())) if text else ()
-        z = self.bias + math.fsum(self.weights[w] for w in found if w in self.weights)  # exact, so the set's order is no matter
+        z = self.bias + math.fsum(self.weights[w] for w in features(text) if w in self.weights)  # exact, so the set's order is no matter
         return 1.0 / (1.0 + math.exp(-z)) if z >= 0 else math.exp(z) / (1.0 + math.exp(z))
 
 
@@ -124,7 +133,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: ToxicitySettin
 
 
 def select_words(sample: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> list[str]:
-    """The words whose document share differs most between toxic and other documents, and identity terms that occur."""
+    """The words and stems whose document share differs most between toxic and other documents, and identity terms that occur."""
     size = sample.agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
     pos, neg = float(size["p"] or 0), float((size["n"] or 0) - (size["p"] or 0))
     if not pos or not neg:
@@ -133,7 +142,7 @@ def select_words(sample: DataFrame, settings: ToxicitySettings = ToxicitySetting
     @F.pandas_udf("array<string>")
     def distinct_words(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([sorted(set(WORD.findall(t.lower()))) if t else [] for t in batch])
+            yield pd.Series([sorted(features(t)) for t in batch])
 
     counted = sample.select("toxic", F.explode(distinct_words("text")).alias("word")).groupBy("word").agg(
         F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n")
@@ -188,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = Toxic
     number, swaps = {w: i for i, w in enumerate(words)}, settings.swaps
 
     def encode(text: str) -> list[int]:
-        return sorted(number[w] for w in set(WORD.findall(text.lower())) if w in number)
+        return sorted(number[w] for w in features(text) if w in number)
 
     @F.pandas_udf("ids array<int>, others array<array<int>>")
     def examples(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
