@@ -119,56 +119,13 @@ def close_pairs(prints: np.ndarray, valid: np.ndarray, query: np.ndarray, lane:
     return query[block], lane[block] * 64 + offset
 
 
-def spanning_links(buckets: list[tuple[np.ndarray, np.ndarray]], radius: int, step: int = 100_000) -> list[tuple[int, int]]:
-    """Links ``(node, smallest node of its component here)`` that span the close pairs of some buckets ``(nodes, prints)``.
-
-    Buckets are laid out side by side: one of up to 64 prints lies in a single lane, which it may
-    share with others, so that many small buckets are compared in one pass over the planes. A
-    pair from two buckets that happen to share a lane is as close as any other.
-    """
-    places, at = [], 0
-    for nodes, _ in buckets:
-        n = len(nodes)
-        at = at if at % 64 + n <= 64 else -(-at // 64) * 64
-        places.append(at)
-        at += n
-    lanes = -(-at // 64)
-    words = buckets[0][1].shape[1]
-    prints, own = np.zeros((lanes * 64, words), np.uint64), np.zeros(lanes * 64, np.int64)
-    filled = np.zeros(lanes * 64, np.uint8)
-    query, lane = [], []
-    for (nodes, values), p in zip(buckets, places):
-        n = len(nodes)
-        prints[p : p + n], own[p : p + n], filled[p : p + n] = values, nodes, 1
-        first, last = p // 64, (p + n - 1) // 64
-        mine = np.arange(p, p + n)
-        for one in range(first, last + 1):
-            before = mine[mine < (one + 1) * 64]  # each pair once, from its earlier lane
-            query.append(before)
-            lane.append(np.full(len(before), one))
-    valid = np.packbits(filled.reshape(-1, 8), axis=1, bitorder="little").reshape(-1).view(np.uint64)
-    query, lane = np.concatenate(query), np.concatenate(lane)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    for k in range(0, len(query), step):
-        a, b = close_pairs(prints, valid, query[k : k + step], lane[k : k + step], radius)
-        for x, y in {*zip(own[a].tolist(), own[b].tolist())}:
-            if x != y and (x := root(x)) != (y := root(y)):
-                parent[max(x, y)] = min(x, y)
-    return [(x, r) for x in list(parent) if (r := root(x)) != x]
-
-
 def close_members(buckets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], radius: int, step: int = 20_000) -> list[np.ndarray]:
     """For each bucket ``(prints, earlier anchors, nodes)`` the places that have a close one here first.
 
     A pair counts in the first of its common buckets only, that is if no earlier anchor agrees.
-    Buckets are laid out as in ``spanning_links``.
+    Buckets are laid out side by side: one of up to 64 prints lies in a single lane, which it may
+    share with others, so that many small buckets are compared in one pass over the planes; pairs
+    from two buckets are dropped.
     """
     places, at = [], 0
     for values, _, _ in buckets:

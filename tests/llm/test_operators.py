@@ -462,12 +462,16 @@ def test_bit_sliced_distances():
     q, lane = (x.ravel() for x in np.meshgrid(np.arange(130), np.arange(3), indexing="ij"))
     a, b = similar.close_pairs(padded, valid, q, lane, 40)
     assert set(zip(a.tolist(), b.tolist())) == close
-    nodes = np.arange(130) + 1000
-    whole = similar.spanning_links([(nodes, prints)], 40)
-    cut = similar.spanning_links([(nodes[i : i + 7], prints[i : i + 7]) for i in range(0, 130, 7)] + [(nodes, prints)], 40, step=50)
-    want = brute_components(nodes.tolist(), [sum(int(x) << 64 * k for k, x in enumerate(p)) for p in prints], 40)
-    for got in (dict(whole), dict(cut)):
-        assert [got.get(n, n) for n in nodes.tolist()] == want
+    nodes, none = np.arange(130) + 1000, np.zeros((130, 0), np.int64)
+    want = {i for i, j in close if i != j}
+    assert set(similar.close_members([(prints, none, nodes)], 40)[0].tolist()) == want
+    # small buckets share lanes, but only places of one bucket are compared
+    parts = [range(i, min(i + 7, 130)) for i in range(0, 130, 7)]
+    found = similar.close_members([(prints[list(p)], none[list(p)], nodes[list(p)]) for p in parts] + [(prints, none, nodes)], 40, step=50)
+    assert [{p[k] for k in f.tolist()} for p, f in zip(parts, found)] == [{i for i, j in close if i != j and i in p and j in p} for p in parts] and set(found[-1].tolist()) == want
+    # a pair that has met in an earlier bucket isn't told again
+    earlier = np.arange(130)[:, None] // 2
+    assert set(similar.close_members([(prints, earlier, nodes)], 40)[0].tolist()) == {i for i, j in close if i != j and i // 2 != j // 2}
 
 
 def test_similar_groups(spark, odd, none):
