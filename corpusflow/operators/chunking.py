@@ -116,8 +116,8 @@ def draft_numbers(sizes: Column, clauses: Column, marks: Column, least: int) ->
 
 def by_words(text: Column, limit: Column, counter: Counter) -> Column:
     """A text longer than the limit, cut between words into parts that fit however long its words are."""
-    w = words(text)
-    step = F.greatest(F.lit(1), F.floor(limit / F.greatest(F.lit(1), F.array_max(F.transform(w, counter)))).cast("int"))
+    w, blank = words(text), counter(F.lit(" "))
+    step = F.greatest(F.lit(1), F.floor((limit + blank) / F.greatest(F.lit(1), F.array_max(F.transform(w, counter)) + blank)).cast("int"))
     parts = F.transform(F.sequence(F.lit(0), F.size(w) - 1, step), lambda i: F.array_join(F.slice(w, i + 1, step), " "))
     return F.when(counter(text) <= limit, F.array(text)).otherwise(parts)
 
@@ -127,8 +127,9 @@ def with_windows(rows: DataFrame, text: str, limit: str, overlap: int, counter:
     fits = counter(F.col(text)) <= F.col(limit)
     pieces = F.flatten(F.transform(sentences(F.col(text)), lambda s: by_words(s, F.col(limit), counter)))
     made = rows.withColumn("__pieces", F.when(~fits, pieces).otherwise(F.array().cast("array<string>")))
-    made = made.withColumn("__sizes", F.transform("__pieces", counter))
-    made = made.withColumn("__spans", spans(F.col("__sizes"), F.col(limit), F.least(F.lit(overlap), F.col(limit) - 1)))
+    blank = counter(F.lit(" "))  # what joining costs, nothing where words are counted
+    made = made.withColumn("__sizes", F.transform("__pieces", lambda p: counter(p) + blank))
+    made = made.withColumn("__spans", spans(F.col("__sizes"), F.col(limit) + blank, F.least(F.lit(overlap), F.col(limit) - 1)))
     joined = F.transform("__spans", lambda s: F.array_join(F.slice("__pieces", s[0] + 1, s[1]), " "))
     return made.withColumn("windows", F.when(F.size("__pieces") > 0, joined).otherwise(F.array(text))).drop("__pieces", "__sizes", "__spans")
 

@@ -230,3 +230,33 @@ def test_dense_search_is_exact(spark):
     from corpusflow.settings import SearchSettings
 
     assert {(r["query_id"], r["chunk_id"]) for r in search.dense_top(table, asked, 7, SearchSettings(broadcast_queries=1)).collect()} == want
+
+
+def test_batch_table_survives_restarts_and_repeats(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from corpusflow.streaming import jobs
+
+    schema = StructType.fromDDL("id string, seq int, body string, created_s int")
+    rows = lambda *r: spark.createDataFrame(list(r), schema).withColumn("first_seq", F.col("seq"))
+    writes = [rows(("a", 5, "a5", 50), ("b", 1, "b1", 10)), rows(("a", 2, "a2", 20)), rows(("a", 3, "a3", 30), ("c", 9, "c9", 90)), rows(("b", 4, "b4", 40)), rows(("d", 1, "d1", 11))]
+    for every in (2, 20):  # merged now and then, or never
+        def opened(every=every):
+            table = jobs.message_table(spark, f"{tmp_path}/{every}", StructType(list(schema.fields)))
+            table.compact_every = every
+            return table
+
+        assert opened().rows().count() == 0
+        for number, batch in enumerate(writes):
+            opened().append(batch, number)
+            opened().append(batch, number)  # a batch that a restarted stream repeats
+        opened().append(rows(("a", 99, "late repeat", 0)), 0 if every == 2 else 4) if every == 2 else None
+        got = {(r["id"], r["seq"], r["body"], r["created_s"]) for r in opened().rows().collect()}
+        assert got == {("a", 5, "a5", 20), ("b", 4, "b4", 10), ("c", 9, "c9", 90), ("d", 1, "d1", 11)}
+
+
+def test_pluggable_counter(spark):
+    """Another counter of tokens: characters in place of words."""
+    rows = spark.createDataFrame([("First one here. Second one is longer. " + "x" * 30 + " yy",)], "t string").withColumn("room", F.lit(20))
+    got = chunking.with_windows(rows, "t", "room", 0, F.length).first()["windows"]
+    assert "".join(got).replace(" ", "") == rows.first()["t"].replace(" ", "") and all(len(w) <= 20 for w in got if " " in w)
