@@ -15,6 +15,7 @@ from ..runtime import shared_folder
 from ..settings import ChunkSettings, MemorySettings
 from ..sources import io
 from ..streaming import jobs
+from .ingest import _uuid
 from .standins import ctes, nested_cards, standin
 
 SHORT = ChunkSettings(max_tokens=60, overlap_tokens=8, parent_max_tokens=200)
@@ -110,7 +111,7 @@ def _terms(spark, d) -> DataFrame:
 
 
 def _verdicts(rows: DataFrame) -> DataFrame:
-    key = F.crc32(F.col("section_id").cast("binary"))
+    key = F.ascii(F.substring("section_id", -1, 1))
     return rows.select("section_id").distinct().select("section_id", (key % 3 != 0).alias("glossary"), (key % 5 != 1).alias("parsed"), F.array(F.lit(2)).alias("reject"))
 
 
@@ -324,6 +325,23 @@ def flt7_script_share(spark, d):
 
 QUERIES = {k: f for k, f in globals().items() if callable(f) and not k.startswith("_") and k[:2] in ("sc", "wn", "jn", "pr", "ag", "tk", "ud", "sr", "sn", "st", "fl") and "_" in k}
 
+EDGES = "[\\s«»\"''*_#.,;:()]+"
+WORDS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
+TERMS = ctes("chunks", "queries") + f""", w AS (SELECT *, {WORDS.format("body")} AS ws FROM chunks),
+ln AS (SELECT chunk_id, n, doc_id, parent_id AS section_id, CASE WHEN n % 4 = 1 THEN concat('1) ', upper(substr(department, 1, 2)), ' ', replace(coalesce(ws[1], ''), '…', ''), CASE n % 3 WHEN 0 THEN ' — ' WHEN 1 THEN ': ' ELSE ' - ' END, body) ELSE body END AS line FROM w),
+ls AS (SELECT *, regexp_replace(trim(line), '^\\s*(?:[-–—•*▪]|\\d+[.)]|\\d+(?:\\.\\d+)+\\.?)\\s+', '') AS b FROM ln WHERE NOT regexp_matches(line, '^\\s*\\|.+\\|\\s*$')),
+lp AS (SELECT *, regexp_matches(b, '\\s+[—–‒―−-]{{1,2}}\\s+') AS dashed, regexp_extract(b, '^(.*?)\\s+([—–‒―−-]{{1,2}})\\s+(.*)$', ['a', 'm', 'd'], 's') AS d, regexp_extract(b, '^(.*?):\\s+(.*)$', ['a', 'd'], 's') AS c, regexp_matches(b, ':\\s+') AS coloned FROM ls),
+lr AS (SELECT chunk_id, n, doc_id, section_id, CASE WHEN dashed THEN d.a ELSE trim(c.a) END AS l, CASE WHEN dashed THEN d.d ELSE trim(c.d) END AS r FROM lp
+  WHERE CASE WHEN dashed THEN NOT (d.m = '-' AND len({WORDS.format("d.a")}) = 1 AND NOT regexp_matches(d.a, '[А-ЯЁA-Z]{{2}}') AND regexp_matches(d.d, '^[а-яёa-z]')) ELSE coloned END),
+lt AS (SELECT *, trim(regexp_replace(l, '^{EDGES}|{EDGES}$', '', 'g')) AS t, trim(regexp_replace(regexp_replace(trim(r), '\\s+([.,;:])', '\\1', 'g'), '[;,]+$', '')) AS d FROM lr WHERE NOT regexp_matches(l, ',\\s*$')),
+lu AS (SELECT *, CASE WHEN len(regexp_replace(t, '[^(]', '', 'g')) > len(regexp_replace(t, '[^)]', '', 'g')) THEN trim(split_part(t, '(', 1)) ELSE t END AS term FROM lt),
+lk AS (SELECT *, trim(regexp_replace(regexp_replace(translate(replace(lower(term), 'ß', 'ss'), 'ё', 'е'), '^{EDGES}|{EDGES}$', '', 'g'), '\\s+', ' ', 'g')) AS term_key FROM lu WHERE regexp_matches(term, '\\p{{L}}') AND len({WORDS.format("term")}) <= 6 AND length(d) >= 12 AND regexp_matches(d, '\\p{{L}}')),
+cd AS (SELECT chunk_id, n, doc_id, section_id, 0 AS pos, term, term_key, CASE WHEN length(d) > 600 THEN regexp_replace(substr(d, 1, 600), '\\s+$', '') || '…' ELSE d END AS definition FROM lk WHERE term_key NOT IN ('термин', 'термины', 'сокращение', 'сокращения', 'аббревиатура', 'обозначение', 'понятие', 'определение')),
+nr AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY n, pos) AS ordinal FROM cd QUALIFY ordinal <= 60),
+vd AS (SELECT DISTINCT section_id, unicode(right(section_id, 1)) % 3 <> 0 AS glossary, unicode(right(section_id, 1)) % 5 <> 1 AS parsed FROM ln),
+rc AS (SELECT *, {_uuid("concat(chunk_id, ':', term_key)")} AS record_id FROM nr JOIN vd USING (section_id) WHERE parsed AND glossary AND ordinal <> 2 QUALIFY row_number() OVER (PARTITION BY chunk_id, term_key ORDER BY n, pos) = 1),
+gl AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'cancelled' ELSE 'active' END AS doc_status, 'doc ' || doc_id AS doc_label, trim(regexp_replace(regexp_replace(translate(replace(lower(definition), 'ß', 'ss'), 'ё', 'е'), '^{EDGES}|{EDGES}$', '', 'g'), '\\s+', ' ', 'g')) AS dk FROM rc)
+"""
 RUNS = ctes("chunks") + """,
 rs AS (SELECT doc_id AS file_id, n, CASE WHEN n % 5 < 3 THEN 'a' WHEN n % 5 = 3 THEN 'b' END AS section FROM chunks),
 rt AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(section) OVER w IS DISTINCT FROM section THEN 1 ELSE 0 END AS s FROM rs WINDOW w AS (PARTITION BY file_id ORDER BY n)),
@@ -340,6 +358,13 @@ ORACLES = {
     "src1_cards": ctes("cards") + " SELECT card_id::VARCHAR AS card_id, type_name, doc_type_title, full_number, state_id, doc_date::VARCHAR AS doc_date, 'Approval|Approvers|Directions|Service' AS omitted FROM cards UNION ALL SELECT 'issue', 'invalid', NULL, NULL, NULL, NULL, NULL",
     "src2_manifest": ctes("cards", "files", "links") + " SELECT 'document' AS what, card_id::VARCHAR AS card_id, full_number AS name FROM cards UNION ALL SELECT 'file', f.card_id::VARCHAR, concat_ws('/', row_id, sha256) FROM files f JOIN cards USING (card_id) UNION ALL SELECT 'edge', from_id::VARCHAR, concat_ws('/', to_id, ref_type) FROM links",
     "src3_listing": "SELECT (doc_id % 8)::INT AS part, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes FROM documents GROUP BY ALL",
+    "sc9_candidates": TERMS + "SELECT chunk_id, pos, term_key, definition FROM cd",
+    "sc10_records": TERMS + "SELECT record_id, term_key, section_id, chunk_id FROM rc",
+    "ag14_report": TERMS + ", sn AS (SELECT DISTINCT section_id FROM nr), sv AS (SELECT coalesce(parsed, false) AS parsed, glossary FROM sn LEFT JOIN vd USING (section_id)) SELECT count(*) AS sections, count(*) FILTER (parsed AND glossary) AS confirmed, count(*) FILTER (parsed AND NOT glossary) AS rejected, count(*) FILTER (NOT parsed) AS unconfirmed, (SELECT count(*) FROM nr) AS candidates, (SELECT count(*) FROM rc) AS records FROM sv",
+    "wn11_ordered": TERMS + ", o1 AS (SELECT substr(term_key, 1, 2) AS g, record_id, doc_status, doc_label FROM gl QUALIFY row_number() OVER (PARTITION BY substr(term_key, 1, 2), term_key, dk ORDER BY doc_status <> 'active', doc_label, record_id) = 1) SELECT g, record_id, row_number() OVER (PARTITION BY g ORDER BY doc_status <> 'active', doc_label, record_id)::INT AS place FROM o1",
+    "tk4_exact": TERMS + f", qw AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS w FROM queries), qt AS (SELECT unnest([concat(' «EN ', w, '» '), concat('en ', w, 's')]) AS term FROM qw), qk AS (SELECT DISTINCT term, trim(regexp_replace(regexp_replace(translate(replace(lower(term), 'ß', 'ss'), 'ё', 'е'), '^{EDGES}|{EDGES}$', '', 'g'), '\\s+', ' ', 'g')) AS k FROM qt), mt AS (SELECT qk.term, gl.* EXCLUDE (term) FROM qk JOIN gl ON k = term_key QUALIFY row_number() OVER (PARTITION BY qk.term ORDER BY record_id) <= 5), od AS (SELECT * FROM mt QUALIFY row_number() OVER (PARTITION BY term, term_key, dk ORDER BY doc_status <> 'active', doc_label, record_id) = 1) SELECT term, term_key, row_number() OVER (PARTITION BY term ORDER BY doc_status <> 'active', doc_label, record_id)::INT AS place FROM od",
+    "ud3_parsed": ctes("files") + " SELECT DISTINCT sha256 AS file_sha256, CASE WHEN extension = 'pdf' THEN 'model' ELSE 'native' END AS route, CASE WHEN name LIKE '%7' THEN 'error' ELSE 'item' END AS what FROM files WHERE name NOT LIKE '%1'",
+    "flt7_script_share": ctes("pages_text") + ", x AS (SELECT file_id, concat(text, CASE WHEN file_id % 3 = 0 THEN ' прихOд прOдаха' ELSE '' END) AS t FROM pages_text), w AS (SELECT file_id, t, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: regexp_matches(x, '\\p{L}')) AS ws FROM x), c AS (SELECT file_id, length(regexp_replace(t, '\\s+', '', 'g')) >= 20 AND len(list_filter(ws, lambda x: regexp_matches(x, '\\p{Cyrillic}') AND regexp_matches(x, '\\p{Latin}'))) <= len(ws) * 0.05 AS good FROM w) SELECT file_id, count(*) AS n_pages, count(*) FILTER (good) AS text_pages, CASE WHEN count(*) FILTER (good) >= count(*) * 0.5 THEN 'native' ELSE 'model' END AS route FROM c GROUP BY file_id",
     "snk5_written": ctes("cards") + " SELECT card_id, coalesce(doc_type_title, type_name, 'Без вида') AS doc_kind, coalesce(full_number, secondary_number) AS doc_number, subject FROM cards",
     "st4_memory": ctes("messages") + " SELECT conversation_id, least(2, count(*))::INT AS kept, greatest(0, count(*) - 2)::INT AS told FROM messages GROUP BY conversation_id",
     "snk4_manifest": ctes("files") + " SELECT card_id, row_id, category, size FROM files",
