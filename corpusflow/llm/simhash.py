@@ -163,10 +163,6 @@ def pair_masks(free: int, radius: int) -> list[int]:
 # ---------------------------------------------------------------- links and components
 
 
-def _counted(dealt: DataFrame) -> DataFrame:
-    return dealt.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 def links(distinct: DataFrame, settings: SimhashSettings = SimhashSettings()) -> DataFrame:
     """``(fp, other)`` links, from distinct ``fp``, whose components are those of all close pairs.
 
@@ -183,15 +179,16 @@ def links(distinct: DataFrame, settings: SimhashSettings = SimhashSettings()) ->
     def keyed(masks: list[int], first: int) -> Column:
         return F.array(*[F.struct(F.lit(first + i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
 
-    dealt = distinct.select("fp", F.explode(keyed(whole, 0)).alias("k")).select("fp", "k.part", "k.key")
-    sizes = cut(_counted(dealt))
-    large = dealt.join(sizes.where(F.col("n") > settings.bucket).drop("n"), ["part", "key"])
-    choice = F.element_at(F.array(*[keyed(masks, len(whole) * (1 + i)) for i, masks in enumerate(finer)]), F.col("part") + 1)
-    divided = large.select("fp", F.explode(choice).alias("k")).select("fp", "k.part", "k.key")
+    def sized(dealt: DataFrame) -> DataFrame:
+        """Rows of buckets of two prints or more, with the ``pieces`` that their bucket fills."""
+        counts = dealt.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = cut(counts.withColumn("pieces", F.ceil(F.col("n") / settings.bucket).cast("int")))
+        return join_facts(dealt, sizes, ["part", "key"], sizes.agg(F.sum("n")).first()[0] or 0)
 
-    pieces = F.ceil(F.col("n") / settings.bucket).cast("int").alias("pieces")
-    small = dealt.join(sizes.where(F.col("n") <= settings.bucket).select("part", "key", F.lit(1).alias("pieces")), ["part", "key"])
-    placed = small.unionByName(divided.join(_counted(divided).select("part", "key", pieces), ["part", "key"]))
+    dealt = sized(distinct.select("fp", F.explode(keyed(whole, 0)).alias("k")).select("fp", "k.part", "k.key"))
+    choice = F.element_at(F.array(*[keyed(masks, len(whole) * (1 + i)) for i, masks in enumerate(finer)]), F.col("part") + 1)
+    divided = dealt.where("pieces > 1").select("fp", F.explode(choice).alias("k")).select("fp", "k.part", "k.key")
+    placed = dealt.where("pieces = 1").unionByName(sized(divided))
     own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     groups = placed.withColumn("own", own).select("part", "key", "fp", F.explode(others).alias("g")).groupBy("part", "key", "g")
