@@ -6,11 +6,18 @@ tests/llm holds them against brute force and held-out accuracy.
 
 from __future__ import annotations
 
+from .importance import ResampleSettings
 from .lines import LineSettings
+from .maxsketch import RankSettings
 from .quality import QualitySettings
+from .warc import WarcSettings
 
 WORDS = r"CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END"
 
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({h}, lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c // 256, t[(xor(c % 256, x) + 1)::INT])), 4294967295)"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 OP2 = r"""
 WITH RECURSIVE crc_table AS (
   SELECT list(v ORDER BY i) AS t FROM (
@@ -104,4 +111,52 @@ FROM d LEFT JOIN a ON a.r = d.r
 """
 
 
-ORACLES = {"op2_shards": OP2, "op4_quality": _op4(), "op5_boilerplate": _op5(), "op8_mixture": OP8}
+def _op11(q: ResampleSettings = ResampleSettings()) -> str:
+    crc = CRC.format(h="regexp_extract_all(hex(encode(word)), '..')")
+    noise = f"floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('{q.seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT"
+    return rf"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM range(256) r(i))
+), d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents),
+x AS (SELECT r, unnest(w) AS word FROM d), y AS (SELECT unnest({TERMS}) AS word FROM benchmark),
+v AS MATERIALIZED (SELECT word, {crc} % {q.buckets} AS b FROM (SELECT word FROM x UNION SELECT word FROM y), crc_table),
+s AS (SELECT b, count(*) AS n FROM x JOIN v USING (word) GROUP BY b), t AS (SELECT b, count(*) AS n FROM y JOIN v USING (word) GROUP BY b),
+g AS (SELECT v.b, floor(1000 * ln(((coalesce(max(t.n), 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + {q.buckets})::DOUBLE)
+  / ((coalesce(max(s.n), 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + {q.buckets})::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT DISTINCT b FROM v) v LEFT JOIN s ON s.b = v.b LEFT JOIN t ON t.b = v.b GROUP BY v.b),
+a AS (SELECT r, sum(gain)::BIGINT AS weight FROM x JOIN v USING (word) JOIN g USING (b) GROUP BY r),
+k AS (SELECT doc_id, len(w) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + {noise} AS score FROM d LEFT JOIN a USING (r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY n >= {q.min_words} ORDER BY score DESC, doc_id NULLS FIRST) AS p, count(*) FILTER (n >= {q.min_words}) OVER () AS total FROM k)
+SELECT doc_id, n::BIGINT AS n_features, weight, score, CASE WHEN n >= {q.min_words} AND p <= {q.percent} * total // 100 THEN p END AS rank FROM o
+"""
+
+
+def _op12(q: RankSettings = RankSettings()) -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, {TERMS} AS w FROM benchmark),
+x AS (SELECT r, unnest(w) AS term FROM d), c AS (SELECT r, term, count(*) AS tf FROM x GROUP BY r, term),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+a AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+y AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(w) AS term FROM i) GROUP BY q, term),
+z AS (SELECT q, r, sum(times * floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.w) * n) // l))))::BIGINT AS score
+  FROM y JOIN f USING (term) JOIN c USING (term) JOIN d USING (r), a GROUP BY q, r),
+o AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS p FROM z JOIN d USING (r) WHERE score > 0)
+SELECT item_id, p::INT AS rank, doc_id, score FROM o JOIN i USING (q) WHERE p <= {q.best}
+"""
+
+
+def _op13(q: WarcSettings = WarcSettings()) -> str:
+    bits = "array_to_string(list_transform(string_split(digest, ''), lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), '')"
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(bits, i * 5 + 1, 1)::INT + 8 * substr(bits, i * 5 + 2, 1)::INT + 4 * substr(bits, i * 5 + 3, 1)::INT + 2 * substr(bits, i * 5 + 4, 1)::INT + substr(bits, i * 5 + 5, 1)::INT)::INT, 1)"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+b AS (SELECT *, {bits} AS bits, octet_length(encode(html)) AS size, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS n, first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS first FROM p),
+c AS (SELECT *, array_to_string(list_transform(range(32), lambda i: {letter}), '') AS code, n = 1 OR size < {q.least_bytes} AS own FROM b)
+SELECT page_id, size AS payload_bytes, code AS payload_digest, CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT own THEN first END AS refers_to FROM c
+"""
+
+
+ORACLES = {"op2_shards": OP2, "op4_quality": _op4(), "op5_boilerplate": _op5(), "op8_mixture": OP8, "op11_importance": _op11(), "op12_lexical": _op12(), "op13_warc": _op13()}

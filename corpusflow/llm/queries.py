@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lengths, lines, mixing, quality, secretscan, sharding, simhash, toxicity
+from . import decontam, importance, langid, lengths, lines, maxsketch, mixing, quality, secretscan, sharding, simhash, toxicity, warc
 from .base import table
 
 
@@ -58,6 +58,18 @@ def op9_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(lengths.token_counts(table(spark, sf_dir, "documents")))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxsketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,5 +87,8 @@ QUERIES = {
     "op8_mixture": op8_mixture,
     "op9_lengths": op9_lengths,
     "op10_simhash": op10_simhash,
+    "op11_importance": op11_importance,
+    "op12_lexical": op12_lexical,
+    "op13_warc": op13_warc,
     "pipeline": pipeline,
 }
