@@ -142,16 +142,6 @@ def computed_times(c: Column, starts: Column | None = None) -> Column:
     return F.array_sort(F.array_distinct(F.transform(right, lambda p: clock(p["g4"], p["g5"]))))
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """Similarity of two texts by their matching blocks, 0 to 1; null where either is null."""
-
-    @F.pandas_udf("double")
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(left, right)], dtype="float64")
-
-    return ratio(a, b)
-
-
 def closest(key: Column, others: Column, least: float) -> Column:
     """The place of the text most similar to ``key`` among ``others``, the last of equals; -1 if none reaches ``least``, or there are none."""
 

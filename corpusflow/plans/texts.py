@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegerType, StructType
 
 from ..functions import embed, text
 from ..functions.ids import fingerprint
-from ..operators import chunking, files, glossary, manifest, privacy
+from ..operators import chunking, files, glossary, manifest, privacy, termjoin
 from ..runtime import shared_folder
 from ..settings import ChunkSettings, MemorySettings
 from ..sources import io
@@ -161,7 +161,8 @@ def tk4_exact(spark, d):
 
 
 def sc11_similar(spark, d):
-    return glossary.near_terms(glossary.asked_terms(_asked(spark, d)), _glossary(spark, d)).select("key", "term_key").distinct()
+    """All pairs of a key that is asked for and one of the glossary that mean the same."""
+    return termjoin.similar_keys(glossary.asked_terms(_asked(spark, d)), _glossary(spark, d)).select("key", "term_key", F.round("ratio", 6).alias("ratio"))
 
 
 def sc12_expanded(spark, d):

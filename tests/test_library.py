@@ -1,14 +1,16 @@
 """Cases of single operators, and plain-Python twins of helpers."""
 
+import difflib
 import itertools
+import random
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions import ids, text
-from corpusflow.operators import answers, chunking, evaluate, glossary, graph, privacy, search
-from corpusflow.settings import ChunkSettings, WalkSettings
+from corpusflow.operators import answers, chunking, evaluate, glossary, graph, privacy, search, termjoin
+from corpusflow.settings import ChunkSettings, GlossarySettings, WalkSettings
 
 
 def one(spark, value, column):
@@ -197,12 +199,46 @@ def test_glossary(spark):
     got = [(r["term_key"], r["definition"]) for r in glossary.candidates(chunk).orderBy("pos").collect()]
     assert got == [("пвтр", "правила внутреннего распорядка"), ("тн", "транспортная накладная общества")]
     pairs = [("документы", "документ"), ("лпу", "пу"), ("средства защиты", "средства защиты работника"), ("договор", "договора поставки"), ("накладная", "накладные"), ("отпуск", "приказ"), ("а", "а"), ("", "")]
-    alike = glossary.similar_terms(spark.createDataFrame(pairs, "key string, term_key string"))
-    assert sorted(tuple(r) for r in alike.collect()) == sorted([pairs[0], pairs[2], pairs[4], pairs[6]])
+    table = spark.createDataFrame(pairs, "key string, term_key string")
+    assert {tuple(r)[:2] for r in termjoin.similar_keys(table, table).collect()} & set(pairs) == {pairs[0], pairs[2], pairs[4], pairs[6]}
     asked = spark.createDataFrame([("что такое ПВТР и КОЭ", "что такое пвтр", "что такое ПВТР КОЭ"), ("ТН2?", "тн2-форма", "тн2-форма ТН2"), ("нет", "так", "так")], "q string, r string, w string")
     assert all(r["w"] == r["k"] for r in asked.select("w", glossary.keep_abbreviations(F.col("q"), F.col("r")).alias("k")).collect())
 
 
+def same_meaning(a, b, q):
+    if not a or not b or a == b:
+        return bool(a) and a == b
+    short, long = sorted((a, b), key=len)
+    if len(short) < q.least_stem:
+        return False
+    phrase, ending = " " in short and short in long, " " not in a + b and long.startswith(short) and len(long) - len(short) <= q.most_ending
+    return phrase or ending or difflib.SequenceMatcher(None, a, b).ratio() >= q.ratio
+
+
+@pytest.mark.parametrize("ratio", [0.75, 0.55, 0.9])
+def test_similar_keys_lose_no_pair(spark, ratio):
+    rng = random.Random(int(ratio * 100))
+    word = lambda n: "".join(rng.choice("aaeeionrstklmdé🙂") for _ in range(n))
+    base = [" ".join(word(rng.randint(1, 9)) for _ in range(rng.choice([1, 1, 1, 2, 3, 6]))) for _ in range(120)]
+
+    def altered(key):
+        chars = list(key)
+        for _ in range(rng.randint(0, 1 + len(chars) // 4)):
+            at = rng.randrange(len(chars) + 1)
+            chars[at : at + rng.choice([0, 1])] = [word(1)] * rng.choice([0, 1])
+        return " ".join("".join(chars).split()) or "x"
+
+    asked = [altered(k) for k in base] + [k + word(rng.randint(1, 4)) for k in base[:40]] + [k[rng.randint(0, 3) :].strip() for k in base] + base[:20] + [None, "", "a b", "x" * 300, "x" * 299 + "y"]
+    known = base + ["x" * 300, "a b c", "b a b c", None, "", "ab", base[0]]
+    q = GlossarySettings(ratio=ratio)
+    want = {(a, b) for a in asked for b in known if same_meaning(a, b, q)}
+    frame = lambda name, rows: spark.createDataFrame([(r,) for r in rows], f"{name} string")
+    got = termjoin.similar_keys(frame("key", asked), frame("term_key", known), q).collect()
+    assert len(want) > 150 and {(r["key"], r["term_key"]) for r in got} == want and len(got) == len(want)
+    assert all(abs(r["ratio"] - difflib.SequenceMatcher(None, r["key"], r["term_key"]).ratio()) < 1e-9 for r in got)
+    assert termjoin.similar_keys(frame("key", []), frame("term_key", known), q).count() == 0
+
+
 def test_lookup_by_search(spark):
     names = ["транспортная накладная", "личный кабинет", "правила распорядка", "охрана труда"]
     table = spark.createDataFrame([(f"r{i}", n, n, f"about {n}", "active", "d") for i, n in enumerate(names)], "record_id string, term string, term_key string, definition string, doc_status string, doc_label string")

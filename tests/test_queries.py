@@ -11,6 +11,7 @@ import uuid
 import pytest
 
 import corpusflow.plans as plans
+from corpusflow.plans import texts
 from corpusflow.plans.standins import standin
 
 SF = "/root/testdata/sf0.001"
@@ -154,18 +155,27 @@ def bare(term):
     return " ".join(re.sub(r"""^[\s«»"'*_#.,;:()]+|[\s«»"'*_#.,;:()]+$""", "", term.lower().replace("ß", "ss")).split())
 
 
-def test_lookup(rows):
-    pairs = {(r["key"], r["term_key"]) for r in rows("sc11_similar")}
-    assert pairs and all(means_the_same(a, b) for a, b in pairs)
-    exact, found = collections.defaultdict(set), collections.defaultdict(set)
-    for r in rows("tk4_exact"):
-        exact[r["term"]].add(r["place"])
-        assert r["term_key"] == bare(r["term"])
+def test_lookup(spark, rows):
+    """All pairs that mean the same, and of each term the records that are shown, in their order."""
+    table = texts._glossary(spark, SF).collect()
+    asked = {r["term"]: bare(r["term"]) for r in texts._asked(spark, SF).collect()}
+    known = {r["term_key"] for r in table}
+    want = {(a, b) for a in set(asked.values()) - {""} for b in known if means_the_same(a, b)}
+    ratio = {(r["key"], r["term_key"]): r["ratio"] for r in rows("sc11_similar")}
+    assert len(want) > 100 and ratio.keys() == want
+    assert all(abs(v - difflib.SequenceMatcher(None, a, b).ratio()) < 1e-5 for (a, b), v in ratio.items())
+    found = collections.defaultdict(dict)
     for r in rows("tk4_lookup"):
-        found[r["term"]].add(r["place"])
-    assert all(found[t] == p for t, p in exact.items()) and all(p == set(range(1, len(p) + 1)) and len(p) <= 5 for p in found.values())
-    near = {a for a, _ in pairs}
-    assert set(found) - set(exact) and {bare(t) for t in set(found) - set(exact)} - near == set()
+        found[r["term"]][r["place"]] = r["record_id"]
+    for term, key in asked.items():
+        exact = sorted((r for r in table if r["term_key"] == key), key=lambda r: r["record_id"])
+        close = sorted((r for r in table if (key, r["term_key"]) in want), key=lambda r: (-difflib.SequenceMatcher(None, key, r["term_key"]).ratio(), r["record_id"]))
+        shown, seen = [], set()
+        for r in sorted((exact or close)[:5], key=lambda r: (r["doc_status"] != "active", r["doc_label"], r["record_id"])):
+            if (r["term_key"], bare(r["definition"])) not in seen:
+                seen.add((r["term_key"], bare(r["definition"])))
+                shown.append(r["record_id"])
+        assert [found[term][i] for i in sorted(found[term])] == shown, term
 
 
 def test_numbers(rows, chunks):
