@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.embed import overlap_score
 from ..functions.text import fold
+from ..runtime import cut
 from ..settings import SearchSettings
+from .scoring import FACETS, DenseScorer, FilterMasks, Lists, SparseScorer
 
 
 def known_values(chunks: DataFrame, field: str, settings: SearchSettings = SearchSettings()) -> DataFrame:
@@ -83,139 +85,77 @@ def filter_rows(chunks: DataFrame, filters: DataFrame, settings: SearchSettings
     return keyed.select(query, "__f").join(met.select("__f", "chunk_id"), "__f").select(query, "chunk_id")
 
 
-def best_of(blocks: Iterator[tuple[np.ndarray, np.ndarray]], ids: list, k: int, query: str, key: str, least: float = -np.inf) -> pd.DataFrame:
-    """``(query, key, score)``: the ``k`` best keys of each query, from blocks of keys and their scores ``keys x queries``.
+ASKED = ("statuses", "kinds", "departments", "doc_ids")
 
-    Scores of ``least`` or less don't count; ties go to the smaller key. Between blocks only what
-    can still be among the best is held.
-    """
-    floor = np.full(len(ids), least)
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def reduced() -> pd.DataFrame:
-        q, names, score = (np.concatenate(x) for x in zip(*held))
-        rows = pd.DataFrame({"q": q, key: names, "score": score}).sort_values(["q", "score", key], ascending=[True, False, True])
-        return rows.groupby("q", sort=False).head(k)
-
-    size = 0
-    for names, scores in blocks:
-        low = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]) if len(scores) > k else floor
-        row, q = np.nonzero((scores >= low) & (scores > least))
-        held.append((q, names[row], scores[row, q]))
-        size += len(q)
-        if size > 4 * k * len(ids):
-            rows = reduced()
-            held, size = [(rows["q"].to_numpy(), rows[key].to_numpy(), rows["score"].to_numpy())], len(rows)
-            full = rows.groupby("q")["score"].agg(["size", "min"])
-            full = full[full["size"] == k]
-            floor[full.index.to_numpy()] = full["min"].to_numpy()
-    if not size:
-        return pd.DataFrame({query: [], key: [], "score": []}, dtype=object)
-    rows = reduced()
-    asked = pd.Series([ids[q] for q in rows["q"]], dtype=object)
-    return pd.DataFrame({query: asked, key: pd.Series(rows[key].tolist(), dtype=object), "score": rows["score"].to_numpy() + 0.0})
-
-
-def in_passes(chunks: DataFrame, queries: DataFrame, k: int, settings: SearchSettings, key: str, query: str, chunk_columns: list[str], query_column: str, searcher) -> DataFrame:
-    """``(query, key, score, rank)`` by ``searcher(ids, values)``, which makes blocks of scores of a task's chunks.
-
-    The queries' vectors go to every task, after a check of their number; more are searched in
-    further passes. Of a task's chunks only the ``k`` best per query leave it.
+
+def top_lists(
+    chunks: DataFrame, queries: DataFrame, k: int, vectors: dict[str, str], settings: SearchSettings = SearchSettings(), key: str = "chunk_id", query: str = "query_id", filters: DataFrame | None = None
+) -> DataFrame:
+    """``list, query, key, score, rank``: the ``k`` best chunks of each query by each of its lists, in one pass over the chunks.
+
+    ``vectors`` names the columns of ``dense`` (arrays of numbers, by cosine) and ``sparse`` (arrays of
+    ``token, weight``, by products; 0 is no hit). Scores are rounded to six digits, ties go to the
+    smaller key. With ``filters`` (as ``filter_rows`` takes them; a query without a row has none but
+    the default statuses) only chunks that a query's filter admits are ranked for it, which is
+    decided before the best are taken.
+
+    The queries' vectors and filters go to every task, after a check of their number; more are
+    searched in further passes. Of a task's chunks only the best leave it, and they meet in two
+    steps, by salt and by query.
     """
-    total, out = queries.count(), None
-    passes = max(1, -(-total // settings.broadcast_queries))
-    rows = queries.select(query, F.col(query_column).alias("v"))
+    second = lambda d, days: (F.unix_seconds(F.col(d).cast("timestamp")) + days * 86400)
+    rows = queries.select(query, *[F.col(c).alias(name) for name, c in vectors.items()])
+    if filters is not None:
+        facts = filters.select(query, F.struct(*ASKED, second("date_from", 0).alias("since"), second("date_to", 1).alias("until")).alias("filter"))
+        rows = rows.join(facts, query, "left")
+    rows = cut(rows)
+    passes, out = max(1, -(-rows.count() // settings.broadcast_queries)), None
     kind, kinds = dict(queries.dtypes)[query], dict(chunks.dtypes)
+    id_kind = to_arrow_type(queries.schema[query].dataType)
+    facets = [c for _, c in FACETS] + ["doc_date_ts"] if filters is not None else []
+    held = chunks.select(F.col(key).alias("key"), *[F.col(c).alias(name) for name, c in vectors.items()], *facets)
     for n in range(passes):
-        part = rows if passes == 1 else rows.where(F.pmod(F.xxhash64(query), F.lit(passes)) == n)
-        asked = part.toPandas()  # at most about broadcast_queries vectors
-        ids, blocks, least = asked[query].tolist(), *searcher(asked["v"].tolist())
-
-        def top(batches: Iterator[pd.DataFrame], ids: list = ids, blocks=blocks, least: float = least) -> Iterator[pd.DataFrame]:
-            if ids:
-                yield best_of((b for batch in batches if len(batch) for b in blocks(batch)), ids, k, query, key, least)
-
-        found = chunks.select(key, *chunk_columns).mapInPandas(top, f"{query} {kind}, {key} {kinds[key]}, score double")
+        asked = (rows if passes == 1 else rows.where(F.pmod(F.xxhash64(query), F.lit(passes)) == n)).collect()  # about broadcast_queries
+        scorers = {name: (DenseScorer if name == "dense" else SparseScorer)([r[name] for r in asked]) for name in vectors}
+        none = dict.fromkeys((*ASKED, "since", "until"))
+        masks = FilterMasks([r["filter"].asDict() if r["filter"] else none for r in asked], settings.default_statuses) if filters is not None else None
+        lists, ids = Lists(scorers, len(asked), k, settings.product_cells, masks), [r[query] for r in asked]
+
+        def top(batches: Iterator[pa.RecordBatch], lists: Lists = lists, ids: list = ids) -> Iterator[pa.RecordBatch]:
+            for name, rows, key_kind in lists.run(batches, "key"):
+                made = [pa.array([name] * len(rows)), pa.array([ids[q] for q in rows["q"]], id_kind), pa.array(rows["key"], key_kind), pa.array(rows["score"] + 0.0, pa.float64())]
+                yield pa.RecordBatch.from_arrays(made, names=["list", query, key, "score"])
+
+        found = held.mapInArrow(top, f"list string, {query} {kind}, {key} {kinds[key]}, score double")
         out = found if out is None else out.unionByName(found)
-    return ranked(out, query, key, k)
+    return ranked(out, ["list", query], key, k)
 
 
-def dense_top(chunks: DataFrame, queries: DataFrame, k: int, settings: SearchSettings = SearchSettings(), key: str = "chunk_id", query: str = "query_id", vector: str = "dense") -> DataFrame:
-    """``(query, key, score, rank)``: the ``k`` nearest chunks of each query by cosine.
+def dense_top(chunks: DataFrame, queries: DataFrame, k: int, settings: SearchSettings = SearchSettings(), key: str = "chunk_id", query: str = "query_id", vector: str = "dense", filters: DataFrame | None = None) -> DataFrame:
+    """``(query, key, score, rank)``: the ``k`` nearest chunks of each query by cosine; zero vectors score 0."""
+    return top_lists(chunks, queries, k, {"dense": vector}, settings, key, query, filters).drop("list")
 
-    A block of chunks gives one matrix product. Scores are rounded to 6 digits, ties go to the
-    smaller key. Zero vectors score 0.
-    """
-    cells = settings.product_cells
-
-    def searcher(vectors: list) -> tuple:
-        matrix = np.array(vectors, np.float64).reshape(len(vectors), -1)
-        unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        step = max(1, cells // max(1, len(vectors)))
 
-        def blocks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            names = batch[key].to_numpy()
-            for i in range(0, len(batch), step):
-                x = np.array(batch[vector].iloc[i : i + step].tolist(), np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                yield names[i : i + step], np.round(x @ unit.T, 6)
+def sparse_top(chunks: DataFrame, queries: DataFrame, k: int, settings: SearchSettings = SearchSettings(), key: str = "chunk_id", query: str = "query_id", vector: str = "sparse", filters: DataFrame | None = None) -> DataFrame:
+    """``(query, key, score, rank)``: the ``k`` best chunks by the product of weights of shared tokens.
 
-        return blocks, -np.inf
+    Of a token that comes several times in a vector the largest weight counts.
+    """
+    return top_lists(chunks, queries, k, {"sparse": vector}, settings, key, query, filters).drop("list")
 
-    return in_passes(chunks, queries, k, settings, key, query, [vector], vector, searcher)
 
+def both_top(chunks: DataFrame, queries: DataFrame, k: int, settings: SearchSettings = SearchSettings(), key: str = "chunk_id", query: str = "query_id", filters: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The dense and the sparse list of ``(dense, sparse)`` vectors, of one pass over the chunks that is written down."""
+    both = cut(top_lists(chunks, queries, k, {"dense": "dense", "sparse": "sparse"}, settings, key, query, filters))
+    return tuple(both.where(F.col("list") == name).drop("list") for name in ("dense", "sparse"))
 
-def sparse_top(chunks: DataFrame, queries: DataFrame, k: int, settings: SearchSettings = SearchSettings(), key: str = "chunk_id", query: str = "query_id", vector: str = "sparse") -> DataFrame:
-    """``(query, key, score, rank)``: the ``k`` best chunks by the product of weights of shared tokens.
 
-    Vectors are ``array<struct<token, weight>>``; of a token that comes several times the largest
-    weight counts. The queries' tokens go to every task as posting lists, and a block of chunks is
-    multiplied with them at once, so no token, however common, brings rows together.
-    """
-    cells = settings.product_cells
-
-    def pooled(vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, tokens and weights, sorted by row and token, the largest weight of each."""
-        sizes = [0 if v is None else len(v) for v in vectors]
-        row = np.repeat(np.arange(len(vectors)), sizes)
-        token = np.fromiter((e["token"] for v in vectors if v is not None for e in v), np.int64, len(row))
-        weight = np.fromiter((e["weight"] for v in vectors if v is not None for e in v), np.float64, len(row))
-        order = np.lexsort((-weight, token, row))
-        row, token, weight = row[order], token[order], weight[order]
-        first = np.ones(len(row), bool)
-        first[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
-        return row[first], token[first], weight[first]
-
-    def searcher(vectors: list) -> tuple:
-        row, token, weight = pooled(vectors)
-        order = np.argsort(token, kind="stable")
-        known, start, count = np.unique(token[order], return_index=True, return_counts=True)
-        owner, worth, width = row[order], weight[order], len(vectors)
-        step = max(1, cells // max(1, width))
-
-        def scored(part: list) -> np.ndarray:
-            own, tokens, weights = pooled(part)
-            place = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
-            met = known[place] == tokens if len(known) else np.zeros(len(tokens), bool)
-            own, place, weights = own[met], place[met], weights[met]
-            lengths = count[place]
-            which = np.repeat(np.arange(len(place)), lengths)
-            at = np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + start[place][which]
-            return np.bincount(own[which] * width + owner[at], weights[which] * worth[at], len(part) * width).reshape(len(part), width)
-
-        def blocks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            names, lists = batch[key].to_numpy(), batch[vector].tolist()
-            for i in range(0, len(lists), step):
-                yield names[i : i + step], np.round(scored(lists[i : i + step]), 6)
-
-        return blocks, 0.0
-
-    return in_passes(chunks, queries, k, settings, key, query, [vector], vector, searcher)
-
-
-def ranked(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    order = Window.partitionBy(query).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def ranked(scored: DataFrame, by: list[str], key: str, k: int, salts: int = 32) -> DataFrame:
+    """The ``k`` best of each group with their ``rank``, first by salt, so that no task gets all candidates of a group."""
+    order = [F.desc("score"), key]
+    place = lambda rows, *groups: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by, *groups).orderBy(*order))).where(F.col("rank") <= k)
+    some = place(scored.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts))), "__salt")
+    return place(some.drop("rank", "__salt"))
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, settings: SearchSettings = SearchSettings(), key: str = "chunk_id", query: str = "query_id") -> DataFrame:

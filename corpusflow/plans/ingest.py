@@ -109,8 +109,7 @@ def tk1_dense_top(spark, d):
 
 def _lists(spark, d):
     chunks, queries = _chunks(spark, d).where(search.search_filter()), standin(spark, d, "queries")
-    vectors, asked = _vectors(chunks, "chunk_id", "body"), _vectors(queries, "query_id", "text")
-    return chunks, queries, search.dense_top(vectors, asked, SEARCH.prefetch), search.sparse_top(vectors, asked, SEARCH.prefetch)
+    return chunks, queries, *search.both_top(_vectors(chunks, "chunk_id", "body"), _vectors(queries, "query_id", "text"), SEARCH.prefetch)
 
 
 def tk2_sparse_top(spark, d):
@@ -140,16 +139,29 @@ def flt4_filter(spark, d):
     return _chunks(spark, d).where(keep).select("chunk_id", "doc_kind", "department", "doc_date_ts")
 
 
-def flt4_by_query(spark, d):
-    """Each question with a filter of its own."""
+def _filters(spark, d) -> DataFrame:
+    """A filter for each question."""
     q = standin(spark, d, "queries")
     some = lambda cond, *values: F.when(cond, F.array(*map(F.lit, values)))
     id_ = F.col("query_id")
-    filters = q.select(
+    return q.select(
         "query_id", some(id_ % 4 == 1, "cancelled", "active").alias("statuses"), some(id_ % 3 == 0, "src1", "src2").alias("kinds"), some(id_ % 5 == 2, "en", "de").alias("departments"),
         F.array().cast("array<bigint>").alias("doc_ids"), F.when(id_ % 2 == 0, F.to_date(F.lit("2024-03-01"))).alias("date_from"), F.when(id_ % 7 == 0, F.to_date(F.lit("2024-06-30"))).alias("date_to"),
     )
-    return search.filter_rows(_chunks(spark, d), filters).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
+
+
+def flt4_by_query(spark, d):
+    """What each question's filter admits."""
+    return search.filter_rows(_chunks(spark, d), _filters(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"))
+
+
+def flt4_search(spark, d):
+    """Each question's lists, dense and sparse, under a filter of its own."""
+    chunks, queries = _chunks(spark, d), standin(spark, d, "queries")
+    facets = chunks.select("chunk_id", "doc_status", "doc_kind", "department", "doc_id", "doc_date_ts", embed.coded_words(F.col("body")).alias("coded"))
+    vectors = facets.select("*", embed.dense_vector(F.col("coded"), SEARCH.dims).alias("dense"), embed.sparse_vector(F.col("coded")).alias("sparse"))
+    lists = {"dense": "dense", "sparse": "sparse"}
+    return search.top_lists(vectors, _vectors(queries, "query_id", "text"), SEARCH.prefetch, lists, SEARCH, filters=_filters(spark, d))
 
 
 def ag13_known_values(spark, d):
@@ -309,6 +321,8 @@ stop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 fus AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT query_id, chunk_id, rank FROM dtop UNION ALL SELECT query_id, chunk_id, rank FROM stop) GROUP BY ALL),
 ftop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id)::INT AS fusion_rank FROM fus) WHERE fusion_rank <= 20)
 """
+ADMITTED = """SELECT query_id, chunk_id FROM queries JOIN chunks ON list_contains(CASE WHEN query_id % 4 = 1 THEN ['cancelled', 'active'] ELSE ['active'] END, doc_status) AND (query_id % 3 <> 0 OR doc_kind IN ('src1', 'src2'))
+  AND (query_id % 5 <> 2 OR department IN ('en', 'de')) AND (query_id % 2 <> 0 OR doc_date_ts >= epoch(DATE '2024-03-01')) AND (query_id % 7 <> 0 OR doc_date_ts < epoch(DATE '2024-07-01'))"""
 OVER = "CASE WHEN len(list_distinct(" + W.format("lower({q})") + ")) > 0 THEN len(list_intersect(list_distinct(" + W.format("lower({q})") + "), list_distinct(" + W.format("lower({t})") + ")))::DOUBLE / len(list_distinct(" + W.format("lower({q})") + ")) ELSE 0.0 END"
 ROLES = """,
 j AS (SELECT f.*, c.type_name, CASE WHEN extension NOT IN ('pdf','docx','xlsx','pptx','png','jpg','jpeg','tif','tiff','bmp','gif') THEN 'format' WHEN starts_with(lower(name), 'для печати') THEN 'print copy' WHEN category IN ('Подписи ЭП','Получено из Диадока') THEN 'category' END AS skip FROM files f LEFT JOIN cards c USING (card_id)),
@@ -345,9 +359,9 @@ dt AS (SELECT *, CASE WHEN doc AND 450 - ahead > 0 THEN CASE WHEN size <= 450 -
 us AS (SELECT *, 900 - coalesce(sum(length(t)) OVER (PARTITION BY question_id), 0) - ahead AS room FROM dt),
 ot AS (SELECT question_id, n, CASE WHEN doc THEN t WHEN room > 0 THEN CASE WHEN size <= room THEN body WHEN room >= 60 THEN regexp_replace(substr(body, 1, (room - 1)::INT), '\\s+$', '') || '…' END END AS text FROM us)
 SELECT * FROM ot WHERE text IS NOT NULL""",
-    "flt4_by_query": ctes("chunks", "queries") + """, f AS (SELECT query_id, CASE WHEN query_id % 4 = 1 THEN ['cancelled', 'active'] ELSE ['active'] END AS st FROM queries)
-SELECT query_id, count(*) AS n, min(chunk_id) AS first, max(chunk_id) AS last FROM f JOIN chunks c ON list_contains(st, c.doc_status) AND (query_id % 3 <> 0 OR doc_kind IN ('src1', 'src2')) AND (query_id % 5 <> 2 OR department IN ('en', 'de'))
-  AND (query_id % 2 <> 0 OR doc_date_ts >= epoch(DATE '2024-03-01')) AND (query_id % 7 <> 0 OR doc_date_ts < epoch(DATE '2024-07-01')) GROUP BY query_id""",
+    "flt4_search": HYBRID.replace(ACTIVE, "act AS (SELECT * FROM chunks)").replace("dtop AS (", f"adm AS ({ADMITTED}),\ndtop AS (").replace("FROM dzero)", "FROM dzero SEMI JOIN adm USING (query_id, chunk_id))").replace("FROM sall)", "FROM sall SEMI JOIN adm USING (query_id, chunk_id))")
+    + "SELECT 'dense' AS list, query_id, chunk_id, score, rank::INT AS rank FROM dtop UNION ALL SELECT 'sparse', query_id, chunk_id, score, rank::INT FROM stop",
+    "flt4_by_query": ctes("chunks", "queries") + f" SELECT query_id, count(*) AS n, min(chunk_id) AS first, max(chunk_id) AS last FROM ({ADMITTED}) GROUP BY query_id",
     "snk6_report": OUT.replace("AS pos FROM files", "AS pos, card_id, row_id, concat('reason ', supp % 8, ': ', name) AS full_reason FROM files") + "SELECT 'run' AS what, count(*) AS files_total, count(*) FILTER (status='indexed') AS indexed, round(count(*) FILTER (status IN ('indexed','unchanged'))::DOUBLE / count(*) FILTER (status IN ('indexed','unchanged','failed')), 6) AS success_share, NULL::BIGINT AS card_id, NULL AS row_id, NULL AS status, NULL AS reason FROM o UNION ALL SELECT 'file', NULL, NULL, NULL, card_id, row_id, status, full_reason FROM o",
     "snk1_parents": ctes("chunks") + " SELECT DISTINCT CASE WHEN doc_id % 8 = 1 THEN 'new-' || doc_id ELSE parent_id END AS parent_id, doc_id AS file_row_id FROM chunks WHERE doc_id % 4 <> 1 OR doc_id % 8 = 1",
     "sc25_cosine": "SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 50 = 0",
