@@ -21,12 +21,12 @@ class Best:
         self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
         self.size = 0
 
-    def add(self, keys: pa.Array, scores: np.ndarray) -> None:
-        """Keys and their scores, ``keys x questions``; only what can still be among the best is held."""
-        k = self.k
-        low = np.maximum(self.floor, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]) if len(scores) > k else self.floor
+    def add(self, keys: pa.Array, scores: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Keys and their scores, ``keys x questions`` (all, or those of ``which``); only what can still be among the best is held."""
+        k, floor = self.k, self.floor if which is None else self.floor[which]
+        low = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]) if len(scores) > k else floor
         row, question = np.nonzero((scores >= low) & (scores > self.least))
-        self.held.append((question, keys.take(pa.array(row)), scores[row, question]))
+        self.held.append((question if which is None else which[question], keys.take(pa.array(row)), scores[row, question]))
         self.size += len(row)
         if self.size > 4 * k * len(self.floor):
             rows = self.rows()
@@ -48,6 +48,17 @@ def list_sizes(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
 
 
+def unit_rows(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors of a list column, scaled to length 1; zeros for null and empty ones."""
+    sizes, x = list_sizes(column), np.zeros((len(column), width))
+    full = sizes == width
+    if (~full & (sizes > 0)).any():
+        raise ValueError("vectors of chunks and questions differ in length")
+    if width:
+        x[full] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 class DenseScorer:
     """Cosine of questions and chunks, rounded to six digits; null, empty and zero vectors score 0."""
 
@@ -59,14 +70,7 @@ class DenseScorer:
         self.unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        sizes, width = list_sizes(column), self.unit.shape[1]
-        x = np.zeros((len(column), width))
-        full = sizes == width
-        if (~full & (sizes > 0)).any():
-            raise ValueError("vectors of chunks and questions differ in length")
-        x[full] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) if width else 0
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        return np.round(x @ self.unit.T, 6)
+        return np.round(unit_rows(column, self.unit.shape[1]) @ self.unit.T, 6)
 
 
 def pooled(row: np.ndarray, token: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import embed, ids, text
-from ..operators import answers, files, registry, search
+from ..operators import answers, files, postings, registry, search, vectorindex
 from ..runtime import shared_folder
 from ..settings import FileRules, SearchSettings
 from ..sources import io
@@ -107,6 +107,34 @@ def tk1_dense_top(spark, d):
     return search.dense_top(e, q, SEARCH.prefetch, key="vec_id")
 
 
+def _index(spark) -> str:
+    return f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+
+
+def _vector_index(spark, d, probes: int | None = None):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("dense"))
+    q, folder = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "dense"), _index(spark)
+    vectorindex.build(e, folder, key="vec_id")
+    return vectorindex.search(folder, q, SEARCH.prefetch, vectorindex.VectorIndexSettings(probes=probes), key="vec_id")
+
+
+def tk1_index_top(spark, d):
+    """The nearest vectors by a stored index of which few cells are read."""
+    return _vector_index(spark, d)
+
+
+def tk1_index_exact(spark, d):
+    """The same with all cells, as a check that every row is in the index."""
+    return _vector_index(spark, d, vectorindex.VectorIndexSettings().most_cells)
+
+
+def tk2_index_top(spark, d):
+    """The best chunks by a stored inverted index of which unpromising ranges are not read."""
+    chunks, folder = _chunks(spark, d).where(search.search_filter()), _index(spark)
+    postings.build(_vectors(chunks, "chunk_id", "body"), folder)
+    return postings.search(folder, _vectors(standin(spark, d, "queries"), "query_id", "text"), SEARCH.prefetch)
+
+
 def _lists(spark, d):
     chunks, queries = _chunks(spark, d).where(search.search_filter()), standin(spark, d, "queries")
     return chunks, queries, *search.both_top(_vectors(chunks, "chunk_id", "body"), _vectors(queries, "query_id", "text"), SEARCH.prefetch)
@@ -343,6 +371,7 @@ OUT = ctes("files") + """,
 o AS (SELECT CASE WHEN supp % 6 = 0 THEN 'skipped' WHEN supp % 7 = 0 THEN 'failed' WHEN supp % 2 = 0 THEN 'unchanged' ELSE 'indexed' END AS status, 'reason ' || (supp % 8) AS reason, card_id * 10 + pos AS pos FROM files)
 """
 NL = "chr(10)"
+DENSE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e CROSS JOIN embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 40"
 ORACLES = {
     "sc1_clause_numbers": ctes("lines") + ", t AS (SELECT doc_id, n, concat(CASE n % 3 WHEN 0 THEN concat(n % 9 + 1, '.', n % 4, '. ') WHEN 1 THEN concat(n % 2100, ') ') ELSE '04.09.2026 ' END, line) AS t FROM lines) SELECT doc_id, n, " + _num("t") + " AS clause, CASE WHEN regexp_extract(t, '^\\s*(\\d+(?:\\.\\d+)*)[.)]?(?:\\s+\\S)', 1) <> '' AND NOT regexp_matches(regexp_extract(t, '^\\s*(\\d+(?:\\.\\d+)*)[.)]?(?:\\s+\\S)', 1), '\\d{4,}|(?:^|\\.)0\\d') THEN regexp_extract(t, '^\\s*(\\d+(?:\\.\\d+)*)[.)]?(?:\\s+\\S)', 1) END AS header, " + _num("concat(regexp_replace(t, ' .*', '', 's'), ' x')") + " AS bare FROM t",
     "sc22_word_counts": ctes("lines") + " SELECT doc_id, n, len(" + W.format("line") + ") AS tokens FROM lines",
@@ -365,7 +394,9 @@ SELECT * FROM ot WHERE text IS NOT NULL""",
     "snk6_report": OUT.replace("AS pos FROM files", "AS pos, card_id, row_id, concat('reason ', supp % 8, ': ', name) AS full_reason FROM files") + "SELECT 'run' AS what, count(*) AS files_total, count(*) FILTER (status='indexed') AS indexed, round(count(*) FILTER (status IN ('indexed','unchanged'))::DOUBLE / count(*) FILTER (status IN ('indexed','unchanged','failed')), 6) AS success_share, NULL::BIGINT AS card_id, NULL AS row_id, NULL AS status, NULL AS reason FROM o UNION ALL SELECT 'file', NULL, NULL, NULL, card_id, row_id, status, full_reason FROM o",
     "snk1_parents": ctes("chunks") + " SELECT DISTINCT CASE WHEN doc_id % 8 = 1 THEN 'new-' || doc_id ELSE parent_id END AS parent_id, doc_id AS file_row_id FROM chunks WHERE doc_id % 4 <> 1 OR doc_id % 8 = 1",
     "sc25_cosine": "SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 50 = 0",
-    "tk1_dense_top": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e CROSS JOIN embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 40",
+    "tk1_dense_top": DENSE,
+    "tk1_index_exact": DENSE,
+    "tk2_index_top": HYBRID + "SELECT query_id, chunk_id, score, rank::INT AS rank FROM stop",
     "tk2_sparse_top": HYBRID + "SELECT query_id, chunk_id, score, rank::INT AS rank FROM stop",
     "wn7_fusion": HYBRID + "SELECT * FROM ftop",
     "tk3_hybrid_search": HYBRID + ", sc AS (SELECT f.query_id, f.chunk_id, round(" + OVER.format(q="q.text", t="a.body") + ", 4) AS score, fusion_rank, a.parent_id FROM ftop f JOIN act a USING (chunk_id) JOIN queries q USING (query_id)) SELECT query_id, chunk_id, score, fusion_rank, rank, parent_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fusion_rank)::INT AS rank FROM sc) WHERE rank <= 5",

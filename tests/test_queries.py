@@ -69,7 +69,7 @@ def chunks(spark):
 
 
 def test_all_queries_are_tested():
-    here = {"sc11_similar", "sc14_numbers", "sc15_claims", "sc16_facts", "sc26_anonymized", "sc26_leftovers", "sc2_sentences", "sc3_windows", "sc4_tables", "sc5_chunks", "tk4_lookup", "wn5_parents"}
+    here = {"sc11_similar", "sc14_numbers", "sc15_claims", "sc16_facts", "sc26_anonymized", "sc26_leftovers", "sc2_sentences", "sc3_windows", "sc4_tables", "sc5_chunks", "tk1_index_top", "tk4_lookup", "wn5_parents"}
     assert set(plans.QUERIES) - set(plans.ORACLES) == here
 
 
@@ -178,6 +178,14 @@ def test_lookup(spark, rows):
         assert [found[term][i] for i in sorted(found[term])] == shown, term
 
 
+def test_vector_index(rows):
+    """Nine of ten of the nearest rows at least, each with its own score."""
+    exact = {(r["query_id"], r["vec_id"]): r["score"] for r in rows("tk1_dense_top")}
+    found = {(r["query_id"], r["vec_id"]): r["score"] for r in rows("tk1_index_top")}
+    assert len(found.keys() & exact.keys()) >= 0.9 * len(exact) and len(found) == len(exact)
+    assert all(found[p] == exact[p] for p in found.keys() & exact.keys())
+
+
 def test_numbers(rows, chunks):
     for r in rows("sc14_numbers"):
         c = chunks[r["chunk_id"]]
