@@ -12,6 +12,7 @@ from ..operators import answers, files, postings, registry, search, vectorindex
 from ..runtime import shared_folder
 from ..settings import FileRules, SearchSettings
 from ..sources import io
+from ..sources.store import BucketStore
 from .standins import ctes, standin
 
 SEARCH = SearchSettings()
@@ -315,6 +316,24 @@ def snk3_removed(spark, d):
     return registry.prune(c.select("chunk_id"), c.where("doc_id % 5 <> 2").select("chunk_id"), "chunk_id")[1]
 
 
+def _store(spark, d) -> BucketStore:
+    """The chunks as a stored table: written, then with files replaced, dropped and relabelled in three changes."""
+    c = _chunks(spark, d).select("chunk_id", F.col("doc_id").alias("file_row_id"), "department", "doc_status", "n")
+    table = BucketStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", c.schema, buckets=16)
+    table.apply(c)
+    table.apply(c.where("file_row_id % 16 = 1").withColumn("chunk_id", F.concat("chunk_id", F.lit("n"))), gone=c.where("file_row_id % 16 = 2").select("file_row_id").distinct())
+    labels = c.where("file_row_id % 16 in (2, 3)").select("file_row_id").distinct().select("file_row_id", F.lit(None).cast("string").alias("department"), F.lit("draft").alias("doc_status"))
+    table.apply(changes=labels, columns=("department", "doc_status"))
+    table.prune(c.where("file_row_id % 9 <> 4").select("file_row_id").distinct())
+    table.vacuum()
+    return table
+
+
+def snk1_stored(spark, d):
+    """The stored table's rows after all changes."""
+    return _store(spark, d).rows().select("chunk_id", "file_row_id", "department", "doc_status", "n")
+
+
 QUERIES = {k: f for k, f in globals().items() if callable(f) and k[0].islower() and k[:2] in ("sc", "tk", "wn", "jn", "fl", "ag", "sn", "ud") and "_" in k and not k.startswith("shared")}
 
 W = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
@@ -419,6 +438,7 @@ SELECT * FROM ot WHERE text IS NOT NULL""",
     "ag6_run_report": OUT + "SELECT count(*) AS files_total, count(*) FILTER (status='indexed') AS indexed, count(*) FILTER (status='unchanged') AS unchanged, count(*) FILTER (status='skipped') AS skipped, count(*) FILTER (status='failed') AS failed, round(count(*) FILTER (status IN ('indexed','unchanged'))::DOUBLE / count(*) FILTER (status IN ('indexed','unchanged','failed')), 6) AS success_share FROM o",
     "ag6_error_reasons": OUT + "SELECT reason, count(*) AS n FROM o WHERE status = 'failed' GROUP BY reason ORDER BY n DESC, min(pos) LIMIT 5",
     "snk1_upsert": ctes("chunks") + " SELECT CASE WHEN doc_id % 4 = 1 THEN chunk_id || 'n' ELSE chunk_id END AS chunk_id, doc_id AS file_row_id, CASE WHEN doc_id % 4 = 1 THEN 'new' ELSE doc_status END AS v FROM chunks",
+    "snk1_stored": ctes("chunks") + " SELECT CASE WHEN doc_id % 16 = 1 THEN chunk_id || 'n' ELSE chunk_id END AS chunk_id, doc_id AS file_row_id, CASE WHEN doc_id % 16 <> 3 THEN department END AS department, CASE WHEN doc_id % 16 = 3 THEN 'draft' ELSE doc_status END AS doc_status, n FROM chunks WHERE doc_id % 16 <> 2 AND doc_id % 9 <> 4",
     "snk2_payload": ctes("chunks") + " SELECT chunk_id, doc_id AS file_row_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE department END AS department, CASE WHEN doc_id % 3 = 0 THEN 'draft' ELSE doc_status END AS doc_status, n FROM chunks",
     "snk3_pruned": ctes("chunks") + " SELECT chunk_id, doc_id FROM chunks WHERE doc_id % 5 <> 2",
     "snk3_removed": ctes("chunks") + " SELECT count(*) AS removed FROM chunks WHERE doc_id % 5 = 2",

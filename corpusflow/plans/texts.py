@@ -14,7 +14,8 @@ from ..operators import chunking, files, glossary, manifest, privacy, termjoin
 from ..runtime import shared_folder
 from ..settings import ChunkSettings, MemorySettings
 from ..sources import io
-from ..streaming import jobs
+from ..sources.store import BucketStore
+from ..streaming import ingest, jobs
 from .ingest import _uuid
 from .standins import ctes, nested_cards, standin
 
@@ -273,27 +274,37 @@ def st1_messages(spark, d):
     return table.rows().select("id", "parent_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), "created_s", "seq")
 
 
-def st2_ingest(spark, d):
-    """Every document as a file, first as drafts and then as it is: what didn't change stays, what did is chunked anew, what is skipped goes."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.lit(1).alias("card_id"), F.col("doc_id").cast("string").alias("row_id"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
-    draft = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("draft\n"), "body")).otherwise(F.col("body"))
+CHUNK_ROWS = "file_row_id string, n int, line_md5 string, label string, batch int"
+OUTCOMES = "file_row_id string, card_id int, action string, status string, reason string, batch int"
 
-    def plan(content, role):
-        return docs.select("card_id", "row_id", role.alias("role"), F.md5(content.cast("binary")).alias("sha256"), F.lit("p").alias("fingerprint"), content.alias("text"))
 
-    path, held, state = _folder(spark, "files"), _folder(spark, "ingest"), _folder(spark, "stream")
-    chunk_schema = StructType.fromDDL("file_row_id string, n int, line_md5 string, gone boolean")
-    registry_schema = StructType.fromDDL("card_id int, row_id string, sha256 string, fingerprint string, status string, file_row_id string, gone boolean")
+def _line_parser():
+    """Lines of a text; texts marked as broken can't be parsed."""
+
+    def parse(row: dict) -> list[str]:
+        if row["text"].startswith("BROKEN"):
+            raise ValueError("broken file")
+        return row["text"].split("\n")
 
-    def chunk(todo: DataFrame) -> DataFrame:
-        return todo.select(F.col("row_id").alias("file_row_id"), F.posexplode(F.split("text", "\n")).alias("n", "line")).select("file_row_id", "n", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+    return parse
 
-    for content, role in ((draft, F.lit("main")), (F.col("body"), F.when(F.col("doc_id") % 10 != 7, F.lit("main")))):
-        rows = plan(content, role)
+
+def st2_ingest(spark, d):
+    """Every document as a file, first as drafts, some of them broken, and then as it is: what didn't change stays, what did is chunked anew, changed metadata reaches the chunks, what failed is tried again, what is skipped goes."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.lit(1).alias("card_id"), F.col("doc_id").cast("string").alias("row_id"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
+    id_ = F.col("doc_id")
+    draft = F.when(id_ % 11 == 5, F.lit("BROKEN")).when(id_ % 3 == 0, F.concat(F.lit("draft\n"), "body")).otherwise(F.col("body"))
+    final, kept, label = F.when(id_ % 22 == 5, F.lit("BROKEN")).otherwise(F.col("body")), F.when(id_ % 10 != 7, F.lit("main")), F.when(id_ % 4 == 1, "q").otherwise("p")
+    path, held, state = _folder(spark, "files"), _folder(spark, "ingest"), _folder(spark, "stream")
+    chunks, outcomes = (BucketStore(spark, f"{held}/{name}", StructType.fromDDL(rows), buckets=16) for name, rows in (("chunks", CHUNK_ROWS), ("outcomes", OUTCOMES)))
+    chunk = lambda items: items.select("file_row_id", "n", F.md5(F.col("item").cast("binary")).alias("line_md5"), "label", "batch")
+    for content, role, mark in ((draft, F.lit("main"), F.lit("p")), (final, kept, label)):
+        rows = docs.select("card_id", "row_id", role.alias("role"), F.md5(content.cast("binary")).alias("sha256"), mark.alias("fingerprint"), mark.alias("label"), content.alias("text"))
         rows.write.mode("append").parquet(path)
-        registry, table = jobs.file_table(spark, f"{held}/registry", registry_schema), jobs.file_table(spark, f"{held}/chunks", chunk_schema)
-        jobs.ingest_stream(spark.readStream.schema(rows.schema).parquet(path), registry, table, chunk, state).awaitTermination()
-    return table.rows().select("file_row_id", "n", "line_md5", "batch")
+        source = spark.readStream.schema(rows.schema).parquet(path)
+        ingest.ingest_stream(source, chunks, outcomes, _line_parser, chunk, state, ("label",)).awaitTermination()
+    made = chunks.rows().select(F.lit("chunk").alias("what"), "file_row_id", "n", "line_md5", "label", "batch")
+    return made.unionByName(outcomes.rows().select(F.lit("outcome").alias("what"), "file_row_id", "action", "status", "reason", "batch"), allowMissingColumns=True)
 
 
 def st4_memory(spark, d):
@@ -370,7 +381,8 @@ ORACLES = {
     "st4_memory": ctes("messages") + " SELECT conversation_id, least(2, count(*))::INT AS kept, greatest(0, count(*) - 2)::INT AS told FROM messages GROUP BY conversation_id",
     "snk4_manifest": ctes("files") + " SELECT card_id, row_id, category, size FROM files",
     "st1_messages": ctes("messages") + " SELECT id, parent_id, md5(output_text) AS body_md5, created_s, turn * 10 + 1 AS seq FROM messages",
-    "st2_ingest": "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents) SELECT doc_id::VARCHAR AS file_row_id, n::INT AS n, md5(line) AS line_md5, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS batch FROM l WHERE doc_id % 10 <> 7",
+    "st2_ingest": "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents) SELECT 'chunk' AS what, doc_id::VARCHAR AS file_row_id, n::INT AS n, md5(line) AS line_md5, CASE WHEN doc_id % 4 = 1 THEN 'q' ELSE 'p' END AS label, CASE WHEN doc_id % 3 = 0 OR doc_id % 22 = 16 THEN 1 ELSE 0 END::INT AS batch, NULL AS action, NULL AS status, NULL AS reason FROM l WHERE doc_id % 10 <> 7 AND doc_id % 22 <> 5"
+    " UNION ALL SELECT 'outcome', doc_id::VARCHAR, NULL, NULL, NULL, CASE WHEN doc_id % 10 = 7 OR doc_id % 11 = 5 OR doc_id % 3 = 0 OR doc_id % 4 = 1 THEN 1 ELSE 0 END::INT, CASE WHEN doc_id % 10 = 7 THEN 'skipped' WHEN doc_id % 11 <> 5 AND doc_id % 3 <> 0 AND doc_id % 4 = 1 THEN 'metadata_only' ELSE 'parse' END, CASE WHEN doc_id % 10 = 7 THEN 'skipped' WHEN doc_id % 22 = 5 THEN 'failed' ELSE 'indexed' END, CASE WHEN doc_id % 10 <> 7 AND doc_id % 22 = 5 THEN 'ValueError: broken file' END FROM documents",
     "st3_latencies": ctes("agent_events") + ", a AS (SELECT question_id, min(epoch_us(ts)) FILTER (kind = 'run_started') AS a, min(epoch_us(ts)) FILTER (kind <> 'run_started') AS b, min(epoch_us(ts)) FILTER (kind = 'answer_delta') AS c FROM agent_events GROUP BY question_id) SELECT question_id, round((b - a) / 1e6::DOUBLE, 6) AS first_signal_s, round((c - a) / 1e6::DOUBLE, 6) AS first_token_s FROM a",
     "sc12_expanded": ctes("chunks") + ", w AS (SELECT *, regexp_replace(CASE WHEN len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) > 1 THEN list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')[1] || '…' ELSE trim(body) END, '…', '', 'g') AS w FROM chunks) SELECT chunk_id, md5(concat(CASE WHEN n % 4 = 1 THEN concat('1) ', upper(substr(department, 1, 2)), ' ', w, CASE n % 3 WHEN 0 THEN ' — ' WHEN 1 THEN ': ' ELSE ' - ' END) ELSE '' END, body, chr(10), CASE WHEN doc_id % 10 = 0 THEN concat('Раздел ', n % 3, '. Термины и определения') ELSE 'Прочее' END, ' — ', parent_id)) AS expanded_md5 FROM w",
     "sc12_restored": ctes("chunks") + ", r AS (SELECT chunk_id, upper(doc_kind) AS k, concat('ПВТР ', translate(body, 'АПВТРапвтр', '')) AS r FROM chunks) SELECT chunk_id, md5(CASE WHEN contains(r, k) THEN r ELSE concat(r, ' ', k) END) AS restored_md5 FROM r",

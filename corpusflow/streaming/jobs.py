@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.registry import classify
-from ..runtime import cut
 from ..settings import MemorySettings
 from .tables import BatchTable
 
@@ -52,43 +50,6 @@ def latencies(events: DataFrame) -> DataFrame:
     return seen.select("question_id", F.col("a").alias("started"), ((F.col("b") - F.col("a")) / 1e6).alias("first_signal_s"), ((F.col("c") - F.col("a")) / 1e6).alias("first_token_s"))
 
 
-def file_table(spark: SparkSession, folder: str, schema: StructType, key: str = "file_row_id") -> BatchTable:
-    """A table of rows of files, of which those of a file's last batch count; a row with ``gone`` stands for none."""
-
-    def merge(rows: DataFrame) -> DataFrame:
-        last = rows.groupBy(F.col(key).alias("__k")).agg(F.max("batch").alias("__b"))
-        return rows.join(last, (F.col(key) == F.col("__k")) & (F.col("batch") == F.col("__b"))).where("not gone").drop("__k", "__b")
-
-    return BatchTable(spark, folder, schema, merge)
-
-
-def ingest_stream(source: DataFrame, registry: BatchTable, chunks: BatchTable, chunk: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Ingests files ``(card_id, row_id, role, sha256, fingerprint, ..)`` as they come.
-
-    Each batch is compared with the registry: new and changed files are chunked by
-    ``chunk(files)``, whose rows have ``file_row_id``, and replace what the file had; rows of files
-    that are skipped now go; files that are the same stay as they are. The registry takes the batch
-    last, so a batch that fails midway is done anew. Of a file that comes twice in a batch the
-    largest hash counts.
-    """
-
-    def take(batch: DataFrame, number: int) -> None:
-        files = batch.groupBy("card_id", "row_id").agg(F.max_by(F.struct("*"), F.struct("sha256", "fingerprint")).alias("f")).select("f.*")
-        files = cut(files)
-        known = registry.rows().join(files.select("card_id", "row_id"), ["card_id", "row_id"], "left_semi")
-        action = cut(classify(files, known.select("card_id", "row_id", "sha256", "fingerprint", "status")))
-        todo = files.join(action.where("action = 'parse'").select("card_id", "row_id"), ["card_id", "row_id"], "left_semi")
-        made = chunk(todo).withColumn("gone", F.lit(False))
-        dropped = action.where("drop_rows").select(F.col("row_id").alias("file_row_id"), F.lit(True).alias("gone"))
-        emptied = todo.select(F.col("row_id").alias("file_row_id"), F.lit(True).alias("gone")).join(made.select("file_row_id").distinct(), "file_row_id", "left_anti")
-        chunks.append(made.unionByName(dropped.unionByName(emptied), allowMissingColumns=True), number)
-        status = F.when(F.col("action") == "skipped", "skipped").otherwise("indexed")
-        done = files.join(action.select("card_id", "row_id", "action"), ["card_id", "row_id"]).where("action <> 'unchanged'")
-        registry.append(done.select("card_id", "row_id", "sha256", "fingerprint", status.alias("status"), F.col("row_id").alias("file_row_id"), F.lit(False).alias("gone")), number)
-
-    return source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def remember(turns: DataFrame, settings: MemorySettings = MemorySettings(), summarize: Callable[[list[str]], str] | None = None) -> DataFrame:
     """``conversation_id, kept, summary`` of a stream of ``(conversation_id, turn, text)``: the state holds the last turns.
 
