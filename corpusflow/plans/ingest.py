@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import embed, ids, text
-from ..operators import answers, files, postings, registry, search, vectorindex
+from ..operators import answers, evidence, files, postings, registry, search, vectorindex
 from ..runtime import shared_folder
 from ..settings import FileRules, SearchSettings
 from ..sources import io
@@ -96,6 +96,32 @@ def wn13_evidence(spark, d):
     return answers.pack_evidence(blocks, 900, 60)
 
 
+EVIDENCE = evidence.EvidenceSettings(max_chars=6000, context_chars=120, least=200)
+
+
+def _evidence_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, and what a run found for each: documents with and without cards, sections, hits and hits of earlier turns."""
+    hits = _fused(spark, d).withColumn("n", F.col("fusion_rank"))
+    parents = _chunks(spark, d).where("n % 4 < 2").groupBy("parent_id").agg(F.max_by("body", "n").alias("context"))
+    name, n = F.concat(F.lit("D"), F.col("doc_id").cast("string")), F.col("n")
+    fragments = hits.join(parents, "parent_id", "left").select(
+        "query_id", "n", F.concat(F.lit("S"), n.cast("string")).alias("alias"), F.when(n % 6 == 5, "section").otherwise("hit").alias("kind"), (n % 4 == 0).alias("cached"), F.when(n % 6 == 5, F.col("parent_id")).otherwise(F.col("chunk_id")).alias("chunk_id"),
+        F.when(n % 7 != 0, F.col("parent_id")).alias("parent_id"), name.alias("doc_alias"), F.col("doc_status").alias("status"), F.when(n % 3 != 0, n).cast("int").alias("page_no"), F.col("doc_kind").alias("breadcrumbs"), F.col("body").alias("text"), "context",
+    ).withColumnRenamed("query_id", "question_id")
+    k = F.col("doc_id") % 5
+    documents = hits.select(
+        F.col("query_id").alias("question_id"), "n", name.alias("alias"), F.when(k != 1, F.concat(F.lit("paper "), "doc_id")).alias("label"), F.col("doc_status").alias("status"),
+        F.when(k < 2, F.concat(F.lit("head\nfirst "), "doc_kind", F.lit("\nsecond "), F.substring("body", 1, 200))).alias("card_text"), F.when(k != 2, F.lit("about")).alias("subject"), F.when(k != 3, F.col("department")).alias("department"),
+        F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 11).cast("int")), lambda i: F.concat(F.lit("relation "), i.cast("string"))).alias("relations"),
+    )
+    return standin(spark, d, "queries").select(F.col("query_id").alias("question_id")).union(spark.sql("SELECT -1L")), documents, fragments
+
+
+def wn13_rendered(spark, d):
+    """The whole evidence of each question, as one text within its budget."""
+    return evidence.render_evidence(*_evidence_tables(spark, d), EVIDENCE)
+
+
 def sc25_cosine(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"), F.col("embedding").alias("q"))

@@ -299,6 +299,29 @@ def jn14_rendered(spark, d):
     return answers.render_cited(_answers(spark, d), jn14_citations(spark, d), labels)
 
 
+def _sources(spark, d):
+    """Fragments and documents of each session, by their aliases."""
+    seen = _evidence(spark, d).withColumn("alias", F.concat(F.lit("S"), (F.col("seq") % 3).cast("string"))).groupBy("session_id", "alias").agg(F.min("seq").alias("seq"), F.min_by("doc_id", "seq").alias("doc_id"))
+    name = lambda what: F.concat(F.lit(f"{what} "), F.col("seq").cast("string"))
+    fragments = seen.select(
+        "session_id", "alias", "doc_id", name("chunk").alias("chunk_id"), name("parent").alias("parent_id"), F.when(F.col("seq") % 7 != 0, name("path")).alias("breadcrumbs"), F.lit("1.2").alias("clause"),
+        (F.col("seq") % 5).cast("int").alias("page_no"), name("text").alias("text"), name("context").alias("context"),
+    )
+    registry = answers.document_registry(_evidence(spark, d))
+    last = F.col("last_used") % 3
+    return fragments, registry.select("session_id", "alias", "doc_id", "label", F.when(last == 0, "active").when(last == 1, "draft").alias("status"), F.when(F.col("doc_id") != "doc3", F.concat(F.lit("card of "), "doc_id")).alias("card_text"))
+
+
+def jn14_sources(spark, d):
+    """Every source of every answer, as a row and as the line that shows it."""
+    return answers.answer_sources(_answers(spark, d), jn14_citations(spark, d), *_sources(spark, d), "http://cards/ ")
+
+
+def jn14_listed(spark, d):
+    """Answers with the list of their sources."""
+    return answers.with_sources(jn14_rendered(spark, d), jn14_sources(spark, d)).select("answer_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def sc16_facts(spark, d):
     a = _answers(spark, d)
     return a.select("answer_id", answers.facts_only(F.col("text"), F.array(F.lit("S1"), F.lit("S3"))).alias("facts"))
@@ -453,6 +476,13 @@ ev AS (SELECT session_id, seq, 'doc' || (question_id % 9) AS doc_id, CASE seq %
 e1 AS (SELECT session_id, doc_id, min(seq) AS f, max(seq) AS last_used, max(seq) FILTER (auth AND label <> '') AS sa, min(seq) FILTER (label <> '') AS wa FROM ev GROUP BY ALL),
 er AS (SELECT e1.session_id, e1.doc_id, 'D' || row_number() OVER (PARTITION BY e1.session_id ORDER BY f) AS alias, CASE WHEN coalesce(sa, wa) IS NULL THEN '' ELSE 'label ' || coalesce(sa, wa) END AS label, last_used FROM e1)
 """
+SOURCES = """, fr AS (SELECT session_id, 'S' || (seq % 3) AS alias, min(seq) AS seq, arg_min(doc_id, seq) AS doc_id FROM ev GROUP BY ALL),
+dc AS (SELECT session_id, alias, doc_id, label, CASE last_used % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'draft' END AS status, CASE WHEN doc_id <> 'doc3' THEN 'card of ' || doc_id END AS card FROM er),
+un AS (SELECT n.answer_id, n.number, n.alias, 'fragment' AS kind, f.doc_id, 'chunk ' || seq AS chunk_id, 'parent ' || seq AS parent_id, coalesce(d.label, '') AS label, d.status AS doc_status, CASE WHEN seq % 7 <> 0 THEN 'path ' || seq END AS breadcrumbs, '1.2' AS clause, (seq % 5)::INT AS page_no, 'text ' || seq AS text, 'context ' || seq AS context
+  FROM nm n JOIN fr f ON f.session_id = n.session_id AND f.alias = n.alias LEFT JOIN dc d ON d.session_id = f.session_id AND d.doc_id = f.doc_id WHERE number IS NOT NULL
+UNION ALL SELECT n.answer_id, n.number, n.alias, 'document', d.doc_id, NULL, NULL, d.label, d.status, NULL, NULL, NULL, d.card, NULL FROM nm n JOIN dc d ON d.session_id = n.session_id AND d.alias = n.alias WHERE number IS NOT NULL)
+SELECT *, 'http://cards/' || doc_id AS url, concat('[', number, '] ', CASE WHEN kind = 'document' THEN concat(label, CASE WHEN doc_status IS NOT NULL THEN concat(' (', doc_status, ')') END, ' — ', CASE WHEN text IS NOT NULL THEN 'карточка документа' ELSE 'документ СЭД (карточка не запрашивалась)' END)
+  ELSE concat(coalesce(breadcrumbs, label), CASE WHEN doc_status IS NOT NULL THEN concat(' (', doc_status, ')') END, CASE WHEN page_no <> 0 THEN concat(', стр. ', page_no) END) END, ' — [открыть в СЭД](http://cards/', doc_id, ')') AS line FROM un"""
 TURNS = """,
 tn AS (SELECT q.conversation_id, q.turn, q.output_text AS question, a.output_text AS answer FROM messages q JOIN messages a ON a.conversation_id = q.conversation_id AND a.turn = q.turn + 1 AND a.kind = 'assistant_message' WHERE q.kind = 'user_message')
 """
@@ -513,6 +543,7 @@ UNION ALL SELECT 'span of years', 1, year(max(doc_date)) - year(min(doc_date)) F
     "wn9_aliases": ctes("agent_events") + EV + "SELECT * FROM er",
     "wn10_evicted": ctes("agent_events") + EV + "SELECT session_id, doc_id, alias FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY last_used DESC) AS n FROM er) WHERE n > 6",
     "jn14_citations": ctes("messages", "agent_events") + EV + ", kn AS (SELECT session_id, alias FROM er UNION SELECT session_id, 'S' || (seq % 3) FROM ev), am AS (SELECT id AS answer_id, conversation_id % 150 AS session_id, unnest(list_transform(CASE turn % 4 WHEN 0 THEN ['S1','S3'] WHEN 1 THEN ['S2','D1','S1','S3'] WHEN 2 THEN ['S9','S2','S3','S3'] ELSE ['S3'] END, lambda a, i: struct_pack(a := a, i := i))) AS x FROM messages WHERE kind = 'assistant_message'), f AS (SELECT answer_id, session_id, x.a AS alias, min(x.i) AS pos FROM am GROUP BY ALL), m AS (SELECT f.*, k.alias IS NOT NULL AS known FROM f LEFT JOIN kn k ON k.session_id = f.session_id AND k.alias = f.alias) SELECT answer_id, alias, CASE WHEN known THEN row_number() OVER (PARTITION BY answer_id, known ORDER BY pos) END::INT AS number FROM m",
+    "jn14_sources": ctes("messages", "agent_events") + EV + ", kn AS (SELECT session_id, alias FROM er UNION SELECT session_id, 'S' || (seq % 3) FROM ev), am AS (SELECT id AS answer_id, conversation_id % 150 AS session_id, unnest(list_transform(CASE turn % 4 WHEN 0 THEN ['S1','S3'] WHEN 1 THEN ['S2','D1','S1','S3'] WHEN 2 THEN ['S9','S2','S3','S3'] ELSE ['S3'] END, lambda a, i: struct_pack(a := a, i := i))) AS x FROM messages WHERE kind = 'assistant_message'), f AS (SELECT answer_id, session_id, x.a AS alias, min(x.i) AS pos FROM am GROUP BY ALL), m AS (SELECT f.*, k.alias IS NOT NULL AS known FROM f LEFT JOIN kn k ON k.session_id = f.session_id AND k.alias = f.alias), nm AS (SELECT answer_id, session_id, alias, CASE WHEN known THEN row_number() OVER (PARTITION BY answer_id, known ORDER BY pos) END::INT AS number FROM m)" + SOURCES,
     "jn14_rendered": ctes("messages", "agent_events") + EV + """, kn AS (SELECT session_id, alias FROM er UNION SELECT session_id, 'S' || (seq % 3) FROM ev),
 am AS (SELECT id AS answer_id, conversation_id % 150 AS session_id, turn % 4 AS k, output_text AS t, unnest(list_transform(CASE turn % 4 WHEN 0 THEN ['S1','S3'] WHEN 1 THEN ['S2','D1','S1','S3'] WHEN 2 THEN ['S9','S2','S3','S3'] ELSE ['S3'] END, lambda a, i: struct_pack(a := a, i := i))) AS x FROM messages WHERE kind = 'assistant_message'),
 f AS (SELECT answer_id, session_id, k, t, x.a AS alias, min(x.i) AS pos FROM am GROUP BY ALL),
@@ -540,3 +571,4 @@ FROM chunks c JOIN k ON k.card_id = c.doc_id""",
     "flt9_card_view": ctes("cards", "files") + ", fs AS (SELECT card_id, string_agg(name, '|' ORDER BY pos) FILTER (NOT is_virtual) AS f FROM files GROUP BY card_id) SELECT c.card_id::VARCHAR AS doc_id, 'Approvers|Common' AS included, 'Approval|Directions|Service' AS omitted, 2 AS n_sections, coalesce(fs.f, '') AS files, concat_ws(' ', coalesce(doc_type_title, type_caption, 'Без вида'), '№' || coalesce(full_number, secondary_number), 'от ' || strftime(coalesce(doc_date, creation_date), '%d.%m.%Y')) AS label, coalesce(author, registrator, 'archive') AS author FROM cards c LEFT JOIN fs USING (card_id)",
     "snk6_run": OUTC + _metrics("mx", "true", "0.97::DOUBLE") + " SELECT 'metric' AS what, id, value, reached, NULL::BOOLEAN AS hit, NULL::BOOLEAN AS conflict_ok, NULL::INT AS correctness FROM mx UNION ALL SELECT 'question', id, NULL, NULL, hit, conflict_ok, correctness FROM vv",
 }
+ORACLES["jn14_listed"] = f"WITH bd AS ({ORACLES['jn14_rendered']}), so AS ({ORACLES['jn14_sources']}), li AS (SELECT answer_id, string_agg(line, chr(10) ORDER BY number) AS l FROM so GROUP BY answer_id) SELECT answer_id, md5(concat(body, CASE WHEN l IS NOT NULL THEN concat(chr(10), chr(10), 'Источники:', chr(10), l) END)) AS text_md5 FROM bd LEFT JOIN li USING (answer_id)"

@@ -132,7 +132,7 @@ def sc10_records(spark, d):
 def ag14_report(spark, d):
     rows = _terms(spark, d)
     listed = glossary.numbered(glossary.candidates(rows), rows)
-    return glossary.report(listed, _verdicts(rows), glossary.records(listed, _verdicts(rows)))
+    return glossary.report(listed, _verdicts(rows), glossary.records(listed, _verdicts(rows)), rows)
 
 
 def _glossary(spark, d) -> DataFrame:
@@ -167,9 +167,10 @@ def sc11_similar(spark, d):
 
 
 def sc12_expanded(spark, d):
-    rows = _terms(spark, d)
-    e = F.array(F.struct(F.col("heading").alias("term"), F.col("section_id").alias("definition")))
-    return rows.select("chunk_id", F.md5(glossary.expand_query(F.col("body"), e).cast("binary")).alias("expanded_md5"))
+    """Sections' names with a term and the short form of a definition that is a chunk's body."""
+    rows = standin(spark, d, "chunks")
+    e = F.when(F.col("n") % 5 != 0, F.array(F.struct(F.upper("doc_kind").alias("term"), F.concat("body", F.when(F.col("n") % 3 == 0, F.lit(" и для,")).otherwise(F.lit(". Далее"))).alias("definition")), F.struct(F.col("department").alias("term"), F.lit("язык, или.").alias("definition"))))
+    return rows.select("chunk_id", glossary.expand_query(F.col("parent_id"), e, 40).alias("expanded"))
 
 
 def sc12_restored(spark, d):
@@ -372,7 +373,7 @@ ORACLES = {
     "src3_listing": "SELECT (doc_id % 8)::INT AS part, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes FROM documents GROUP BY ALL",
     "sc9_candidates": TERMS + "SELECT chunk_id, pos, term_key, definition FROM cd",
     "sc10_records": TERMS + "SELECT record_id, term_key, section_id, chunk_id FROM rc",
-    "ag14_report": TERMS + ", sn AS (SELECT DISTINCT section_id FROM nr), sv AS (SELECT coalesce(parsed, false) AS parsed, glossary FROM sn LEFT JOIN vd USING (section_id)) SELECT count(*) AS sections, count(*) FILTER (parsed AND glossary) AS confirmed, count(*) FILTER (parsed AND NOT glossary) AS rejected, count(*) FILTER (NOT parsed) AS unconfirmed, (SELECT count(*) FROM nr) AS candidates, (SELECT count(*) FROM rc) AS records FROM sv",
+    "ag14_report": TERMS + ", sn AS (SELECT DISTINCT section_id FROM nr), sv AS (SELECT coalesce(parsed, false) AS parsed, glossary FROM sn LEFT JOIN vd USING (section_id)) SELECT count(*) AS sections, count(*) FILTER (parsed AND glossary) AS confirmed, count(*) FILTER (parsed AND NOT glossary) AS rejected, count(*) FILTER (NOT parsed) AS unconfirmed, (SELECT count(*) FROM nr) AS candidates, (SELECT count(*) FROM rc) AS records, (SELECT count(DISTINCT doc_id) FROM rc) AS documents FROM sv",
     "wn11_ordered": TERMS + ", o1 AS (SELECT substr(term_key, 1, 2) AS g, record_id, doc_status, doc_label FROM gl QUALIFY row_number() OVER (PARTITION BY substr(term_key, 1, 2), term_key, dk ORDER BY doc_status <> 'active', doc_label, record_id) = 1) SELECT g, record_id, row_number() OVER (PARTITION BY g ORDER BY doc_status <> 'active', doc_label, record_id)::INT AS place FROM o1",
     "tk4_exact": TERMS + f", qw AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS w FROM queries), qt AS (SELECT unnest([concat(' «EN ', w, '» '), concat('en ', w, 's')]) AS term FROM qw), qk AS (SELECT DISTINCT term, trim(regexp_replace(regexp_replace(translate(replace(lower(term), 'ß', 'ss'), 'ё', 'е'), '^{EDGES}|{EDGES}$', '', 'g'), '\\s+', ' ', 'g')) AS k FROM qt), mt AS (SELECT qk.term, gl.* EXCLUDE (term) FROM qk JOIN gl ON k = term_key QUALIFY row_number() OVER (PARTITION BY qk.term ORDER BY record_id) <= 5), od AS (SELECT * FROM mt QUALIFY row_number() OVER (PARTITION BY term, term_key, dk ORDER BY doc_status <> 'active', doc_label, record_id) = 1) SELECT term, term_key, row_number() OVER (PARTITION BY term ORDER BY doc_status <> 'active', doc_label, record_id)::INT AS place FROM od",
     "ud3_parsed": ctes("files") + " SELECT DISTINCT sha256 AS file_sha256, CASE WHEN extension = 'pdf' THEN 'model' ELSE 'native' END AS route, CASE WHEN name LIKE '%7' THEN 'error' ELSE 'item' END AS what FROM files WHERE name NOT LIKE '%1'",
@@ -384,6 +385,10 @@ ORACLES = {
     "st2_ingest": "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents) SELECT 'chunk' AS what, doc_id::VARCHAR AS file_row_id, n::INT AS n, md5(line) AS line_md5, CASE WHEN doc_id % 4 = 1 THEN 'q' ELSE 'p' END AS label, CASE WHEN doc_id % 3 = 0 OR doc_id % 22 = 16 THEN 1 ELSE 0 END::INT AS batch, NULL AS action, NULL AS status, NULL AS reason FROM l WHERE doc_id % 10 <> 7 AND doc_id % 22 <> 5"
     " UNION ALL SELECT 'outcome', doc_id::VARCHAR, NULL, NULL, NULL, CASE WHEN doc_id % 10 = 7 OR doc_id % 11 = 5 OR doc_id % 3 = 0 OR doc_id % 4 = 1 THEN 1 ELSE 0 END::INT, CASE WHEN doc_id % 10 = 7 THEN 'skipped' WHEN doc_id % 11 <> 5 AND doc_id % 3 <> 0 AND doc_id % 4 = 1 THEN 'metadata_only' ELSE 'parse' END, CASE WHEN doc_id % 10 = 7 THEN 'skipped' WHEN doc_id % 22 = 5 THEN 'failed' ELSE 'indexed' END, CASE WHEN doc_id % 10 <> 7 AND doc_id % 22 = 5 THEN 'ValueError: broken file' END FROM documents",
     "st3_latencies": ctes("agent_events") + ", a AS (SELECT question_id, min(epoch_us(ts)) FILTER (kind = 'run_started') AS a, min(epoch_us(ts)) FILTER (kind <> 'run_started') AS b, min(epoch_us(ts)) FILTER (kind = 'answer_delta') AS c FROM agent_events GROUP BY question_id) SELECT question_id, round((b - a) / 1e6::DOUBLE, 6) AS first_signal_s, round((c - a) / 1e6::DOUBLE, 6) AS first_token_s FROM a",
-    "sc12_expanded": ctes("chunks") + ", w AS (SELECT *, regexp_replace(CASE WHEN len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) > 1 THEN list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')[1] || '…' ELSE trim(body) END, '…', '', 'g') AS w FROM chunks) SELECT chunk_id, md5(concat(CASE WHEN n % 4 = 1 THEN concat('1) ', upper(substr(department, 1, 2)), ' ', w, CASE n % 3 WHEN 0 THEN ' — ' WHEN 1 THEN ': ' ELSE ' - ' END) ELSE '' END, body, chr(10), CASE WHEN doc_id % 10 = 0 THEN concat('Раздел ', n % 3, '. Термины и определения') ELSE 'Прочее' END, ' — ', parent_id)) AS expanded_md5 FROM w",
+    "sc12_expanded": ctes("chunks") + f""", a AS (SELECT *, regexp_replace(trim(split_part(concat(body, CASE n % 3 WHEN 0 THEN ' и для,' ELSE '. Далее' END), '. ', 1)), '\\.+$', '') AS f FROM chunks),
+b AS (SELECT *, CASE WHEN length(f) > 40 THEN CASE WHEN contains(substr(f, 1, 40), ' ') THEN regexp_replace(substr(f, 1, 40), ' [^ ]*$', '') ELSE substr(f, 1, 40) END ELSE f END AS s FROM a),
+c AS (SELECT *, {WORDS.format("s")} AS ws FROM b),
+e AS (SELECT *, list_filter(range(1, len(ws) + 1), lambda i: regexp_replace(regexp_replace(lower(ws[i]), '^[ ,;:.–—-]+', ''), '[ ,;:.–—-]+$', '') NOT IN ('и','или','а','но','от','до','для','со','с','в','во','к','ко','на','по','при','из','у','о','об','за','что','как','это','его','её','их')) AS keep FROM c)
+SELECT chunk_id, CASE WHEN n % 5 <> 0 THEN concat(parent_id, ' (', upper(doc_kind), ' — ', regexp_replace(array_to_string(ws[1:coalesce(list_max(keep), 0)], ' '), '[ ,;:.–—-]+$', ''), '; ', department, ' — язык)') ELSE parent_id END AS expanded FROM e""",
     "sc12_restored": ctes("chunks") + ", r AS (SELECT chunk_id, upper(doc_kind) AS k, concat('ПВТР ', translate(body, 'АПВТРапвтр', '')) AS r FROM chunks) SELECT chunk_id, md5(CASE WHEN contains(r, k) THEN r ELSE concat(r, ' ', k) END) AS restored_md5 FROM r",
 }

@@ -69,7 +69,7 @@ def chunks(spark):
 
 
 def test_all_queries_are_tested():
-    here = {"sc11_similar", "sc14_numbers", "sc15_claims", "sc16_facts", "sc26_anonymized", "sc26_leftovers", "sc2_sentences", "sc3_windows", "sc4_tables", "sc5_chunks", "tk1_index_top", "tk4_lookup", "wn5_parents"}
+    here = {"sc11_similar", "sc14_numbers", "sc15_claims", "sc16_facts", "sc26_anonymized", "sc26_leftovers", "sc2_sentences", "sc3_windows", "sc4_tables", "sc5_chunks", "tk1_index_top", "tk4_lookup", "wn13_rendered", "wn5_parents"}
     assert set(plans.QUERIES) - set(plans.ORACLES) == here
 
 
@@ -178,6 +178,56 @@ def test_lookup(spark, rows):
         assert [found[term][i] for i in sorted(found[term])] == shown, term
 
 
+def shown_evidence(documents, fragments, most, context_chars, least):
+    """One question's evidence, built line by line."""
+    once = lambda rows: list({r["alias"]: r for r in sorted(rows, key=lambda r: -r["n"])}.values())[::-1]  # noqa: E731 - the first of each alias, in order
+    short = lambda t, n: t if len(t) <= n else t[:n].rstrip() + "…"
+    if not documents and not fragments:
+        return "(свидетельств нет: инструменты ничего не нашли)"
+    lines, spent = ["Документы (факты карточки цитируй ссылкой на документ, например [D1]):"], 0
+    for r in sorted(once(documents), key=lambda r: r["n"]):
+        mine = [f"[{r['alias']}] {r['label'] or 'документ'} — {r['status']}"]
+        if r["card_text"] and spent < most // 2:
+            mine += ["    " + x for x in r["card_text"].splitlines()[1:]]
+        else:
+            mine[0] += f"; тема: «{r['subject']}»" if r["subject"] else ""
+            mine[0] += (f"; подразделение: {r['department']}" if r["department"] else "") + "; карточка не запрашивалась: автор, подписант, согласующие и срок действия неизвестны"
+            mine += ["    связь: " + x for x in r["relations"][:8]]
+        lines += mine
+        spent += sum(map(len, mine))
+    lines.append("Фрагменты:")
+    spent, parts = sum(map(len, lines)), sorted(once(fragments), key=lambda r: (0 if r["kind"] == "section" else 2 if r["cached"] else 1, r["n"]))
+    told, count = {r["chunk_id"] for r in parts if r["kind"] == "section"}, 0
+    for r in parts:
+        page = f", стр. {r['page_no']}" if r["page_no"] else ""
+        block, context = f"[{r['alias']}] ({r['doc_alias']}, {r['status']}{page}) {r['breadcrumbs']}\n{r['text']}", (r["context"] or "").strip()
+        if r["kind"] == "hit" and context and context != r["text"].strip() and (r["parent_id"] or "") not in told:
+            block += "\n  Контекст раздела: " + short(context, context_chars)
+            told |= {r["parent_id"]} - {None}
+        if len(block) > most - spent and count:
+            if most - spent < least:
+                lines.append("(остальные фрагменты не поместились в бюджет ответа)")
+                break
+            block = short(block.strip(), most - spent)
+        lines.append(block)
+        spent, count = spent + len(block), count + 1
+    return "\n".join(lines)
+
+
+def test_evidence(spark, rows):
+    from corpusflow.plans import ingest
+
+    questions, documents, fragments = (t.collect() for t in ingest._evidence_tables(spark, SF))
+    of = lambda table, q: [r.asDict() for r in table if r["question_id"] == q]
+    q = ingest.EVIDENCE
+    want = {r["question_id"]: shown_evidence(of(documents, r["question_id"]), of(fragments, r["question_id"]), q.max_chars, q.context_chars, q.least) for r in questions}
+    got = {r["question_id"]: r["text"] for r in rows("wn13_rendered")}
+    assert got == want and len(want) > 10
+    text = "\n".join(want.values())
+    marks = ("Контекст раздела", "не поместились", "связь: relation 7", "    second", "…\n", "свидетельств нет")
+    assert [m for m in marks if m not in text] == [] and "relation 8" not in text
+
+
 def test_vector_index(rows):
     """Nine of ten of the nearest rows at least, each with its own score."""
     exact = {(r["query_id"], r["vec_id"]): r["score"] for r in rows("tk1_dense_top")}
