@@ -92,7 +92,7 @@ f AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 EN
 v AS (SELECT *, {fails} AS lev FROM f),
 g AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 b AS (SELECT *, n_words < {q.min_words} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v),
-h AS (SELECT lang, count(*) AS n, {", ".join(f"count(*) FILTER (lev <= {t}) AS k{t}" for t in levels)} FROM b JOIN g USING (doc_id) WHERE NOT base_failed GROUP BY lang),
+h AS (SELECT lang, count(*) AS n, {", ".join(f"count(*) FILTER (lev <= {t}) AS k{t}" for t in levels)} FROM (SELECT doc_id, lang, min(lev) AS lev FROM b JOIN g USING (doc_id) WHERE NOT base_failed GROUP BY doc_id, lang) GROUP BY lang),
 u AS (SELECT lang, {strictest} AS strictest FROM (SELECT *, count(*) OVER () AS s FROM h))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(lev <= u.strictest, false) AS kept FROM b LEFT JOIN u ON u.lang IS NOT DISTINCT FROM b.lang
 """

@@ -3,7 +3,7 @@
 Base rules on length and repetition are fixed; what they reject is no part of the risk. A document
 that passes them fails at level t if any of its ratios exceeds that level's cutoff; levels are listed
 from lenient to strict, so failing sets are nested. In each stratum (language, the null one too) the
-labelled good documents that pass the base are a holdout: with k of n of them failing at a level, the
+labelled good documents that pass the base are a holdout, each counted once: with k of n of them failing at a level, the
 exact binomial tail P(Bin(n, risk) <= k) is the p-value of "more than ``risk`` of the stratum's good
 documents that pass the base fail". Levels are tested in their fixed order and testing stops at the
 first that is not rejected, which needs no correction inside a stratum; across strata the error is
@@ -153,12 +153,14 @@ def cutoff_levels(measured: DataFrame, labels: DataFrame, settings: QualitySetti
 
     ``measured`` has ``doc_id, lang, base_failed, level``. ``strictest`` is the strictest level whose
     risk is controlled, -1 if none is. Labels of one document that disagree count as bad; labels
-    without a document, and null labels, don't count.
+    without a document, and null labels, don't count. A labelled doc_id is one trial in its
+    stratum, however many rows it has, and fails if any of its texts does: rows that repeat are no
+    evidence of their own.
     """
     levels = range(len(settings.symbols_per_word))
     good = labels.where("quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__q")).where("__q = 1")
     passed = measured.where("not base_failed").select("doc_id", "lang", "level")
-    held = passed.join(good, passed["doc_id"] == good["__id"])
+    held = passed.join(good, passed["doc_id"] == good["__id"]).groupBy("doc_id", "lang").agg(F.min("level").alias("level"))  # one trial each
     counted = cut(held.groupBy(F.col("lang").alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("level") <= t).alias(f"k{t}") for t in levels]))
     strata = counted.count()
     error = settings.error / max(1, strata)

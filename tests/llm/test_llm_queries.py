@@ -173,6 +173,21 @@ def test_quality_guarantee_is_on_what_passes_the_base(spark):
     assert all(kept[i] for i in range(200)) and not any(kept[i] for i in kept if 1000 <= i < 3000) and kept[3000]
 
 
+def test_quality_counts_a_labelled_document_once(spark):
+    """Rows that repeat are no evidence, and an id fails if any of its texts does."""
+    good = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    odd = " ".join(f"w{k} |" for k in range(60))
+    once = [(1, good(1), "en"), (2, odd, "en")]
+    schema, labels = "doc_id bigint, text string, lang string", spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    kept = lambda rows, labels: {(r["doc_id"], r["kept"]) for r in quality.assess(spark.createDataFrame(rows, schema), labels).collect()}
+    assert kept(once, labels) == kept([once[0]] * 200 + once[1:], labels) == {(1, True), (2, True)}
+    many = [(i, good(i), "en") for i in range(1, 301)] + [(1000, odd, "en")]
+    known = spark.createDataFrame([(i, 1) for i in range(1, 301)], "doc_id bigint, quality int")
+    assert (1000, False) in kept(many, known)
+    several = many + [(i, odd, "en") for i in range(1, 31)] * 2  # a tenth of the good ids have another text that fails
+    assert (1000, True) in kept(several, known)
+
+
 # ---------------------------------------------------------------- 6 decontamination
 
 UNITS = "|".join(sorted(decontam.UNITS.split("|"), key=len, reverse=True))
