@@ -15,7 +15,7 @@ from ..runtime import shared_folder
 from ..settings import ChunkSettings, MemorySettings
 from ..sources import io
 from ..sources.store import BucketStore
-from ..streaming import ingest, jobs
+from ..streaming import conversations, ingest, jobs
 from .ingest import _uuid
 from .standins import ctes, nested_cards, standin
 
@@ -290,6 +290,66 @@ def _line_parser():
     return parse
 
 
+def _arriving(spark, rows: DataFrame, rounds, name: str):
+    """Streams over a folder that grows by the rows of each round."""
+    path = _folder(spark, name)
+    for when in rounds:
+        rows.where(when).repartition(2).write.mode("append").parquet(path)
+        yield spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _chat_events(spark, d) -> DataFrame:
+    """Writes of messages, elements and ratings: drafts, last words, deletions and what came back after one."""
+    m = standin(spark, d, "messages").select("id", F.col("conversation_id").cast("string").alias("conversation_id"), "parent_id", F.col("output_text").alias("body"), "trace_id", "created_s", "turn")
+    k = F.col("created_s") / 60 % 7
+    seq = lambda n: (F.col("turn") * 10 + n).cast("bigint").alias("seq")
+    write = lambda n, body, gone=False, created=0: m.select("id", "conversation_id", "parent_id", body.alias("body"), "trace_id", (F.col("created_s") + created).alias("created_s"), seq(n), F.lit(gone).alias("gone"), k.alias("k"))
+    messages = write(1, F.lit("draft")).unionByName(write(4, F.col("body"), created=5)).unionByName(write(6, F.lit(None).cast("string"), True).where("k = 3")).unionByName(write(8, F.lit("again")).where("k = 3 and turn % 2 = 0"))
+    part = lambda n, name, gone=False: m.select(F.concat(F.lit(name), F.lit("-"), "id").alias("id"), F.col("id").alias("message_id"), "conversation_id", F.concat(F.lit(f"{n} "), "id").alias("body"), seq(n), F.lit(gone).alias("gone"), k.alias("k"))
+    elements = part(0, "a").unionByName(part(5, "a").where("k = 1")).unionByName(part(7, "b").where("k = 3")).unionByName(part(9, "a", True).where("k = 2"))
+    rate = lambda n, value: m.select(F.col("id").alias("message_id"), "conversation_id", F.lit(value).alias("value"), F.lit(f"note {n}").alias("body"), seq(n), F.lit(False).alias("gone"), k.alias("k"))
+    feedback = rate(2, 1).where("k < 4").unionByName(rate(3, -1).where("k = 0")).unionByName(rate(9, 5).where("k = 3"))
+    return conversations.writes(messages.drop("k"), elements.drop("k"), feedback.drop("k"))
+
+
+def _rounds(*columns: str) -> list:
+    """Each row comes in one of two rounds, whatever its place in time."""
+    late = F.pmod(F.xxhash64(*columns), F.lit(2))
+    return [late == 1, late == 0]
+
+
+def st1_chats(spark, d):
+    """What three streams of writes leave, which come in any order and in two runs: every message, element and rating that stands."""
+    held = BucketStore(spark, _folder(spark, "chats"), StructType.fromDDL(conversations.ROWS), "row_id", 16)
+    state = _folder(spark, "stream")
+    for stream in _arriving(spark, _chat_events(spark, d), _rounds("what", "id", "seq"), "writes"):
+        conversations.chat_stream(stream, held, state).awaitTermination()
+    return held.rows().drop("row_id")
+
+
+def st1_conversations(spark, d):
+    """Conversations that their writes bring into being, with the metadata that is left of updates that come in any order."""
+    m = standin(spark, d, "messages")
+    entry = F.create_map(F.lit("last"), F.col("turn").cast("string"), F.concat(F.lit("k"), (F.col("turn") % 3).cast("string")), F.when(F.col("turn") % 4 != 3, F.col("id")))
+    rows = m.select(F.col("conversation_id").cast("string").alias("conversation_id"), F.col("turn").cast("bigint").alias("seq"), F.col("created_s").alias("at_s"), F.when(F.col("turn") % 5 != 4, entry).alias("metadata"))
+    held = BucketStore(spark, _folder(spark, "conversations"), StructType.fromDDL(conversations.CONVERSATIONS), "conversation_id", 16)
+    state = _folder(spark, "stream")
+    for stream in _arriving(spark, rows, _rounds("conversation_id", "seq"), "updates"):
+        conversations.conversation_stream(stream, held, state).awaitTermination()
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries(conversations.metadata_of()), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return held.rows().select("conversation_id", "updated_s", shown.alias("metadata"))
+
+
+def st3_stream(spark, d):
+    """The same latencies from a stream whose events come in two runs, out of order."""
+    rows = standin(spark, d, "agent_events").select("question_id", "seq", "kind", F.col("ts").cast("timestamp").alias("ts"))
+    held = BucketStore(spark, _folder(spark, "latencies"), StructType.fromDDL(jobs.LATENCIES), "question_id", 16)
+    state = _folder(spark, "stream")
+    for stream in _arriving(spark, rows, _rounds("seq"), "events"):
+        jobs.latency_stream(stream, held, state).awaitTermination()
+    return held.rows().select("question_id", F.round("first_signal_s", 6).alias("first_signal_s"), F.round("first_token_s", 6).alias("first_token_s"))
+
+
 def st2_ingest(spark, d):
     """Every document as a file, first as drafts, some of them broken, and then as it is: what didn't change stays, what did is chunked anew, changed metadata reaches the chunks, what failed is tried again, what is skipped goes."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.lit(1).alias("card_id"), F.col("doc_id").cast("string").alias("row_id"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
@@ -384,6 +444,16 @@ ORACLES = {
     "st1_messages": ctes("messages") + " SELECT id, parent_id, md5(output_text) AS body_md5, created_s, turn * 10 + 1 AS seq FROM messages",
     "st2_ingest": "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents) SELECT 'chunk' AS what, doc_id::VARCHAR AS file_row_id, n::INT AS n, md5(line) AS line_md5, CASE WHEN doc_id % 4 = 1 THEN 'q' ELSE 'p' END AS label, CASE WHEN doc_id % 3 = 0 OR doc_id % 22 = 16 THEN 1 ELSE 0 END::INT AS batch, NULL AS action, NULL AS status, NULL AS reason FROM l WHERE doc_id % 10 <> 7 AND doc_id % 22 <> 5"
     " UNION ALL SELECT 'outcome', doc_id::VARCHAR, NULL, NULL, NULL, CASE WHEN doc_id % 10 = 7 OR doc_id % 11 = 5 OR doc_id % 3 = 0 OR doc_id % 4 = 1 THEN 1 ELSE 0 END::INT, CASE WHEN doc_id % 10 = 7 THEN 'skipped' WHEN doc_id % 11 <> 5 AND doc_id % 3 <> 0 AND doc_id % 4 = 1 THEN 'metadata_only' ELSE 'parse' END, CASE WHEN doc_id % 10 = 7 THEN 'skipped' WHEN doc_id % 22 = 5 THEN 'failed' ELSE 'indexed' END, CASE WHEN doc_id % 10 <> 7 AND doc_id % 22 = 5 THEN 'ValueError: broken file' END FROM documents",
+    "st1_chats": ctes("messages") + """, w AS (SELECT *, conversation_id::VARCHAR AS cid, created_s // 60 % 7 AS k, turn * 10 AS s FROM messages),
+ms AS (SELECT *, k <> 3 OR turn % 2 = 0 AS there, CASE WHEN k = 3 THEN s + 6 ELSE -1 END AS deleted FROM w),
+ch AS (SELECT parent_id, arg_max(trace_id, struct_pack(a := created_s, b := id)) AS t FROM ms WHERE there AND trace_id IS NOT NULL AND parent_id IS NOT NULL GROUP BY parent_id)
+SELECT 'message' AS what, id, id AS message_id, cid AS conversation_id, parent_id, CASE WHEN k = 3 THEN 'again' ELSE output_text END AS body, trace_id, created_s::BIGINT AS created_s, NULL::INT AS value FROM ms WHERE there
+UNION ALL SELECT 'element', 'a-' || id, id, cid, NULL, concat(CASE WHEN k = 1 THEN 5 ELSE 0 END, ' ', id), NULL, NULL, NULL FROM ms WHERE there AND k NOT IN (2, 3)
+UNION ALL SELECT 'element', 'b-' || id, id, cid, NULL, '7 ' || id, NULL, NULL, NULL FROM ms WHERE there AND k = 3
+UNION ALL SELECT 'feedback', id, id, cid, NULL, concat('note ', CASE k WHEN 0 THEN 3 WHEN 3 THEN 9 ELSE 2 END), coalesce(trace_id, ch.t), NULL, CASE k WHEN 0 THEN -1 WHEN 3 THEN 5 ELSE 1 END FROM ms LEFT JOIN ch ON ch.parent_id = ms.id WHERE there AND k < 4""",
+    "st1_conversations": ctes("messages") + """, e AS (SELECT conversation_id, turn, unnest([struct_pack(k := 'last', v := turn::VARCHAR), struct_pack(k := 'k' || (turn % 3), v := CASE WHEN turn % 4 <> 3 THEN id END)]) AS e FROM messages WHERE turn % 5 <> 4),
+l AS (SELECT conversation_id, e.k AS k, arg_max(struct_pack(v := e.v), turn).v AS v FROM e GROUP BY ALL), g AS (SELECT conversation_id, string_agg(k || '=' || v, ',' ORDER BY k || '=' || v) AS t FROM l WHERE v IS NOT NULL GROUP BY conversation_id)
+SELECT conversation_id::VARCHAR AS conversation_id, max(created_s)::BIGINT AS updated_s, coalesce(any_value(g.t), '') AS metadata FROM messages LEFT JOIN g USING (conversation_id) GROUP BY conversation_id""",
     "st3_latencies": ctes("agent_events") + ", a AS (SELECT question_id, min(epoch_us(ts)) FILTER (kind = 'run_started') AS a, min(epoch_us(ts)) FILTER (kind <> 'run_started') AS b, min(epoch_us(ts)) FILTER (kind = 'answer_delta') AS c FROM agent_events GROUP BY question_id) SELECT question_id, round((b - a) / 1e6::DOUBLE, 6) AS first_signal_s, round((c - a) / 1e6::DOUBLE, 6) AS first_token_s FROM a",
     "sc12_expanded": ctes("chunks") + f""", a AS (SELECT *, regexp_replace(trim(split_part(concat(body, CASE n % 3 WHEN 0 THEN ' и для,' ELSE '. Далее' END), '. ', 1)), '\\.+$', '') AS f FROM chunks),
 b AS (SELECT *, CASE WHEN length(f) > 40 THEN CASE WHEN contains(substr(f, 1, 40), ' ') THEN regexp_replace(substr(f, 1, 40), ' [^ ]*$', '') ELSE substr(f, 1, 40) END ELSE f END AS s FROM a),
@@ -392,3 +462,4 @@ e AS (SELECT *, list_filter(range(1, len(ws) + 1), lambda i: regexp_replace(rege
 SELECT chunk_id, CASE WHEN n % 5 <> 0 THEN concat(parent_id, ' (', upper(doc_kind), ' — ', regexp_replace(array_to_string(ws[1:coalesce(list_max(keep), 0)], ' '), '[ ,;:.–—-]+$', ''), '; ', department, ' — язык)') ELSE parent_id END AS expanded FROM e""",
     "sc12_restored": ctes("chunks") + ", r AS (SELECT chunk_id, upper(doc_kind) AS k, concat('ПВТР ', translate(body, 'АПВТРапвтр', '')) AS r FROM chunks) SELECT chunk_id, md5(CASE WHEN contains(r, k) THEN r ELSE concat(r, ' ', k) END) AS restored_md5 FROM r",
 }
+ORACLES["st3_stream"] = ORACLES["st3_latencies"]

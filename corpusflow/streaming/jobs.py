@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..settings import MemorySettings
+from ..sources.store import BucketStore
 from .tables import BatchTable
 
 
@@ -24,11 +25,6 @@ def merge_messages(rows: DataFrame) -> DataFrame:
     return merged.select(*[f"last.{c}" for c in kept], "first.created_s", "first.first_seq")
 
 
-def merge_metadata(old: str, new: str) -> Column:
-    """A map column after an update: a key with null is removed."""
-    return F.map_filter(F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(F.col(new), k)), F.col(new)), lambda _, v: v.isNotNull())
-
-
 def message_table(spark: SparkSession, folder: str, schema: StructType) -> BatchTable:
     """The table of ``(id, seq, .., created_s)`` that writes are merged into."""
     return BatchTable(spark, folder, schema.add("first_seq", schema["seq"].dataType), merge_messages)
@@ -43,11 +39,33 @@ def upsert_stream(source: DataFrame, table: BatchTable, checkpoint: str):
     return source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latencies(events: DataFrame) -> DataFrame:
-    """``question_id, started, first_signal_s, first_token_s`` from events; stateful on a stream (update mode)."""
+def signals(events: DataFrame) -> DataFrame:
+    """``question_id, started, signal, token``: when each question's run, first signal and first token came, in microseconds; stateful on a stream."""
     at = lambda k: F.min(F.when(F.col("kind") == k, F.unix_micros(F.col("ts").cast("timestamp"))))
-    seen = events.groupBy("question_id").agg(at("run_started").alias("a"), F.min(F.when(F.col("kind") != "run_started", F.unix_micros(F.col("ts").cast("timestamp")))).alias("b"), at("answer_delta").alias("c"))
-    return seen.select("question_id", F.col("a").alias("started"), ((F.col("b") - F.col("a")) / 1e6).alias("first_signal_s"), ((F.col("c") - F.col("a")) / 1e6).alias("first_token_s"))
+    signal = F.min(F.when(F.col("kind") != "run_started", F.unix_micros(F.col("ts").cast("timestamp"))))
+    return events.groupBy("question_id").agg(at("run_started").alias("started"), signal.alias("signal"), at("answer_delta").alias("token"))
+
+
+def latencies(events: DataFrame) -> DataFrame:
+    """``question_id, started, first_signal_s, first_token_s`` from events."""
+    seconds = lambda c: (F.col(c) - F.col("started")) / 1e6
+    return signals(events).select("question_id", "started", seconds("signal").alias("first_signal_s"), seconds("token").alias("first_token_s"))
+
+
+LATENCIES = "question_id bigint, started bigint, first_signal_s double, first_token_s double"
+
+
+def latency_stream(events: DataFrame, table: BucketStore, checkpoint: str):
+    """Keeps ``table`` (of ``LATENCIES``) at the latencies of all events that a stream has brought, in whatever order they came.
+
+    The earliest times are kept as the stream's state, so each batch writes the questions that it
+    changes; a batch that is repeated counts once.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        table.apply(batch, batch=number)
+
+    return latencies(events).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def remember(turns: DataFrame, settings: MemorySettings = MemorySettings(), summarize: Callable[[list[str]], str] | None = None) -> DataFrame:
