@@ -4,20 +4,40 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 NAME = r"(?U)\b(\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?\s+\p{Lu}\.\s?\p{Lu}\.|\p{Lu}\.\s?\p{Lu}\.\s?\p{Lu}\p{Ll}+)"
 
 
+def surname_of(name: Column) -> Column:
+    """The longest word of four letters or more, the first of equals; the whole name if there is none."""
+    parts = F.filter(F.split(name, r"(?U)[\s.]+"), lambda w: F.length(w) >= 4)
+    best = F.aggregate(parts, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    return F.when(best == "", name).otherwise(best)
+
+
 def spellings(rows: DataFrame, scope: str, text: str) -> DataFrame:
-    """``scope, name, surname``: distinct spellings of names in a text; the surname is the longest word of four letters or more."""
+    """``scope, name, surname``: distinct spellings of names with initials in a text; surnames in small letters."""
     found = rows.select(scope, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(NAME), F.lit(1)))).alias("name")).distinct()
-    parts = F.filter(F.split("name", r"(?U)[\s.]+"), lambda w: F.length(w) >= 4)
-    best = F.aggregate(parts, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    return found.withColumn("surname", F.lower(best)).where("surname <> ''")
+    return found.withColumn("surname", F.lower(surname_of(F.col("name"))))
+
+
+def field_names(cards: DataFrame, scope: str, fields: tuple[str, ...], system: tuple[str, ...] = ()) -> DataFrame:
+    """``scope, name, surname``: names that stand, parted by commas, in named fields of cards and of the rows of their sections.
+
+    A field counts by what its key has before ``::``. Names of ``system`` accounts don't count.
+    """
+    sections = cards.select(scope, F.explode(F.map_values("sections")).alias("s"))
+    maps = sections.select(scope, F.explode(F.concat(F.array("s.fields"), F.coalesce("s.rows", F.array().cast("array<map<string,string>>")))).alias("m"))
+    entries = maps.select(scope, F.explode("m").alias("k", "v")).where(F.substring_index("k", "::", 1).isin(*fields))
+    names = entries.select(scope, F.explode(F.split("v", ",")).alias("n")).select(scope, F.regexp_replace("n", r"(?U)^\s+|\s+$", "").alias("name")).where("name <> ''").distinct()
+    if system:
+        names = names.where(~F.col("name").isin(*system))
+    return names.withColumn("surname", F.lower(surname_of(F.col("name"))))
 
 
 def numbered_names(found: DataFrame, scope: str, label: str = "Person") -> DataFrame:
@@ -26,20 +46,81 @@ def numbered_names(found: DataFrame, scope: str, label: str = "Person") -> DataF
     return found.join(ranks, [scope, "surname"]).withColumn("alias", F.concat(F.lit(f"{label} "), F.col("__rank").cast("string"))).drop("__rank")
 
 
-def anonymize(rows: DataFrame, scope: str, text: str) -> DataFrame:
-    """``rows`` with every spelling replaced, the longest first."""
-    maps = numbered_names(spellings(rows, scope, text), scope).groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct("name", "alias"))).alias("__names"))
+class Replacer:
+    """Replaces all of a scope's names in one pass of a text by an automaton that is built once.
+
+    Longer names win over shorter ones that overlap them, earlier over later ones of one length.
+    """
+
+    def __init__(self, table: dict[str, str]) -> None:
+        self.machine = ahocorasick.Automaton()
+        for name, alias in table.items():
+            self.machine.add_word(name, (len(name), alias))
+        self.machine.make_automaton()
 
-    @F.pandas_udf("string")
-    def replace(texts: pd.Series, names: pd.Series) -> pd.Series:
+    def __call__(self, text: str) -> str:
+        hits = sorted(((-size, end - size + 1, alias) for end, (size, alias) in self.machine.iter(text)), key=lambda h: h[:2])
+        if not hits:
+            return text
+        taken, spans = bytearray(len(text)), []
+        for size, start, alias in hits:
+            if not any(taken[start : start - size]):
+                taken[start : start - size] = b"\1" * -size
+                spans.append((start, start - size, alias))
+        parts, at = [], 0
+        for start, end, alias in sorted(spans):
+            parts += [text[at:start], alias]
+            at = end
+        return "".join([*parts, text[at:]])
+
+
+def replace_names(rows: DataFrame, scope: str, columns: list[str], names: DataFrame, bare: bool = True) -> DataFrame:
+    """``rows`` with every name of their scope replaced in ``columns`` (texts, or arrays or maps of texts, whose values count).
+
+    ``names`` are ``scope, name, surname``, of one or several sources; with ``bare`` surnames alone are
+    replaced too, as they are spelled in the names. Rows of one scope share its automaton, which a
+    task builds once. Null texts stay null; rows without a scope or a name stay as they are.
+    """
+    told = numbered_names(names.select(scope, "name", "surname").where("name <> ''").distinct(), scope)
+    spelled = told.select(scope, "name", "alias")
+    if bare:
+        alone = told.select(scope, surname_of(F.col("name")).alias("name"), "alias")
+        spelled = spelled.unionByName(alone)
+    one = spelled.groupBy(scope, "name").agg(F.min("alias").alias("alias"))
+    maps = one.groupBy(scope).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "alias")))).alias("__names"))
+    met = rows.join(maps, scope, "left")
+    values = {c: F.map_values(c) if t.startswith("map") else F.col(c) if t.startswith("array") else F.array(c) for c, t in rows.dtypes if c in columns}
+    made = met.withColumn("__made", replaced(F.array(*values.values()), F.col("__names"), F.xxhash64(F.to_json("__names"))))
+    back = {}
+    for place, (name, kind) in enumerate((c, t) for c, t in rows.dtypes if c in columns):
+        new = F.get("__made", place)
+        back[name] = F.when(F.col(name).isNotNull(), F.map_from_arrays(F.map_keys(name), new) if kind.startswith("map") else new if kind.startswith("array") else F.get(new, 0))
+    return made.select(*[back[c].alias(c) if c in back else F.col(c) for c in rows.columns])
+
+
+def replaced(texts: Column, names: Column, key: Column) -> Column:
+    """Arrays of arrays of texts with names replaced; ``key`` tells equal tables of names."""
+
+    @F.pandas_udf("array<array<string>>")
+    def run(lists: pd.Series, tables: pd.Series, keys: pd.Series) -> pd.Series:
+        known: dict[int, Replacer] = {}
         out = []
-        for t, n in zip(texts, names):
-            table = dict(n) if n is not None else {}
-            pattern = "|".join(re.escape(x) for x in sorted(table, key=lambda x: (-len(x), x)))
-            out.append(re.sub(pattern, lambda m, table=table: table[m[0]], t) if t and table else t)
+        for arrays, table, k in zip(lists, tables, keys):
+            if table is None or not len(table):
+                out.append(arrays)
+                continue
+            if k not in known:
+                known[k] = Replacer(dict(table))
+            change = known[k]
+            out.append([None if a is None else [None if t is None else change(t) for t in a] for a in arrays])
         return pd.Series(out, dtype="object")
 
-    return rows.join(maps, scope, "left").withColumn(text, replace(text, "__names")).drop("__names")
+    return run(texts, names, key)
+
+
+def anonymize(rows: DataFrame, scope: str, text: str) -> DataFrame:
+    """``rows`` with every spelling of a name with initials that their scope's texts hold replaced, the longest first."""
+    return replace_names(rows, scope, [text], spellings(rows, scope, text), bare=False)
 
 
 def leftovers(rows: DataFrame, scope: str, text: str, found: DataFrame) -> DataFrame:

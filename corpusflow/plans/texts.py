@@ -180,9 +180,36 @@ def sc12_restored(spark, d):
     return rows.select("chunk_id", F.md5(glossary.keep_abbreviations(F.col("q"), F.col("r")).cast("binary")).alias("restored_md5"))
 
 
+NAME_FIELDS = ("AuthorName", "SignedByName", "UserName")
+PERSONS = ("Арбузова А.А.", "Бородина Мария Ивановна", "Кит Л.Л.", "Van-Dam Peter", "Бород И.И.", "System", "Орлов-Дальний С.С.", "Peter Oak", "Петр П.П.", "Григорьев Ян")
+
+
+def _named_cards(spark, d) -> DataFrame:
+    """Cards of teams that name persons in fields, rows and texts."""
+    c = standin(spark, d, "cards").select("card_id", (F.col("card_id") % 40).alias("team"), "subject", F.col("pos"))
+    person = lambda step: F.element_at(F.array(*map(F.lit, PERSONS)), (F.pmod(F.col("team") + F.floor(F.col("card_id") / 40) % 2 + step, F.lit(len(PERSONS))) + 1).cast("int"))
+    word = lambda step: F.element_at(F.split(person(step), r"[ .]+"), 1)
+    fields = F.create_map(F.lit("AuthorName"), person(0), F.lit("SignedByName::a"), F.concat(person(1), F.lit(" , "), person(2)), F.lit("Subject"), F.concat_ws(" ", "subject", word(0), F.lit("и"), word(3)))
+    rows = F.array(F.create_map(F.lit("UserName"), person(3), F.lit("Note"), F.concat(F.lit("ok: "), person(0))))
+    section = F.struct(F.lit("Common").alias("name"), fields.alias("fields"), rows.alias("rows"))
+    body = F.concat(F.lit("За "), person(0), F.lit(" и Сидоров Т.Т. согласовано, "), word(1), F.lit("у сообщено; Л.Л. Кит, "), person(4))
+    return c.select("card_id", "team", F.create_map(F.lit("Common"), section).alias("sections"), fields.alias("fields"), F.array(body, F.lit(None), word(2)).alias("notes"), F.when(F.col("card_id") % 9 != 0, body).alias("body"))
+
+
+def sc26_cards(spark, d):
+    """Cards whose teams' names, of fields and of texts, are replaced in texts, lists and fields."""
+    cards = _named_cards(spark, d)
+    names = privacy.field_names(cards, "team", NAME_FIELDS, ("System",)).unionByName(privacy.spellings(cards, "team", "body"))
+    made = privacy.replace_names(cards, "team", ["body", "notes", "fields"], names)
+    return made.select("card_id", "body", F.array_join("notes", "|", "-").alias("notes"), F.col("fields")["AuthorName"].alias("author"), F.col("fields")["SignedByName::a"].alias("signed"), F.col("fields")["Subject"].alias("subject"))
+
+
+def _texts_with_names(spark, d) -> DataFrame:
+    return standin(spark, d, "chunks").select("chunk_id", "doc_id", F.concat("body", F.lit(" "), F.initcap(F.substring("body", 1, 6)), F.lit("а И.О. и А.Б. Петров")).alias("body"))
+
+
 def sc26_anonymized(spark, d):
-    c = standin(spark, d, "chunks").select("chunk_id", "doc_id", F.concat("body", F.lit(" "), F.initcap(F.substring("body", 1, 6)), F.lit("а И.О. и А.Б. Петров")).alias("body"))
-    return privacy.anonymize(c, "doc_id", "body").select("chunk_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+    return privacy.anonymize(_texts_with_names(spark, d), "doc_id", "body").select("chunk_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 def sc26_leftovers(spark, d):
@@ -239,12 +266,12 @@ def src2_manifest(spark, d):
 
 
 def src3_listing(spark, d):
-    """The documents' texts as files, listed with their sizes and hashes."""
+    """The documents' texts as files, a hundred in each, listed with their sizes and hashes."""
     path = _folder(spark, "listing")
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.pmod("doc_id", F.lit(8)).cast("int").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    docs.repartition(8, "part").sortWithinPartitions("part").write.partitionBy("part").text(path)
-    listed = io.list_files(spark, path).where("path like '%.txt'")
-    return listed.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("int").alias("part"), "size").groupBy("part").agg(F.sum("size").alias("bytes"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(F.col("doc_id") / 100).cast("int").alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id", "text").select("part", "text").write.partitionBy("part").text(path)
+    listed = io.list_files(spark, path, whole=300_000).where("path like '%.txt'")
+    return listed.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("int").alias("part"), "size", "sha256")
 
 
 def snk5_written(spark, d):
@@ -430,7 +457,7 @@ ORACLES = {
     "ud1_embeddings": ctes("chunks") + " SELECT chunk_id, length(body)::DOUBLE AS d0, (length(body) % 7)::INT AS token FROM chunks",
     "src1_cards": ctes("cards") + " SELECT card_id::VARCHAR AS card_id, type_name, doc_type_title, full_number, state_id, doc_date::VARCHAR AS doc_date, 'Approval|Approvers|Directions|Service' AS omitted FROM cards UNION ALL SELECT 'issue', 'invalid', NULL, NULL, NULL, NULL, NULL",
     "src2_manifest": ctes("cards", "files", "links") + " SELECT 'document' AS what, card_id::VARCHAR AS card_id, full_number AS name FROM cards UNION ALL SELECT 'file', f.card_id::VARCHAR, concat_ws('/', row_id, sha256) FROM files f JOIN cards USING (card_id) UNION ALL SELECT 'edge', from_id::VARCHAR, concat_ws('/', to_id, ref_type) FROM links",
-    "src3_listing": "SELECT (doc_id % 8)::INT AS part, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes FROM documents GROUP BY ALL",
+    "src3_listing": "SELECT (doc_id // 100)::INT AS part, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id, text)) AS sha256 FROM documents GROUP BY ALL",
     "sc9_candidates": TERMS + "SELECT chunk_id, pos, term_key, definition FROM cd",
     "sc10_records": TERMS + "SELECT record_id, term_key, section_id, chunk_id FROM rc",
     "ag14_report": TERMS + ", sn AS (SELECT DISTINCT section_id FROM nr), sv AS (SELECT coalesce(parsed, false) AS parsed, glossary FROM sn LEFT JOIN vd USING (section_id)) SELECT count(*) AS sections, count(*) FILTER (parsed AND glossary) AS confirmed, count(*) FILTER (parsed AND NOT glossary) AS rejected, count(*) FILTER (NOT parsed) AS unconfirmed, (SELECT count(*) FROM nr) AS candidates, (SELECT count(*) FROM rc) AS records, (SELECT count(DISTINCT doc_id) FROM rc) AS documents FROM sv",

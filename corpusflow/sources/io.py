@@ -1,7 +1,14 @@
-"""Reading cards, manifests and files; writing manifests, reviews, reports and versioned tables."""
+"""Reading cards, manifests and files; writing manifests, reviews and reports."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +45,36 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return held.drop("files"), files, spark.read.schema(EDGE).json(f"{path}/edges")
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, size, sha256`` of all files below a folder, read by the executors."""
+def hash_in_pieces(files: DataFrame, piece: int = 8 << 20) -> DataFrame:
+    """``files(path, size)`` with the ``sha256`` of each, read piece by piece, so a file may be larger than memory."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            hashes = []
+            for path in frame["path"]:
+                scheme, _, rest = path.partition(":")
+                store, name = pafs.FileSystem.from_uri(f"{scheme}://{rest}" if scheme == "file" and not rest.startswith("//") else path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(unquote(name) if scheme == "file" else name, compression=None) as source:
+                    while data := source.read(piece):
+                        digest.update(data)
+                hashes.append(digest.hexdigest())
+            yield frame.assign(sha256=hashes)
+
+    return files.select("path", "size").mapInPandas(run, "path string, size bigint, sha256 string")
+
+
+def list_files(spark: SparkSession, folder: str, whole: int = 64 << 20) -> DataFrame:
+    """``path, size, sha256`` of all files below a folder, with paths relative to it.
+
+    Files up to ``whole`` bytes are read and hashed by Spark's reader from whatever store it knows;
+    of larger ones only the names are read, and their bytes are hashed in pieces, a file by a task.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return rows.select(F.regexp_replace(F.col("path"), r"^.*?/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", "").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    small = rows.where(F.col("length") <= whole).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = rows.where(F.col("length") > whole).select("path", F.col("length").alias("size"))
+    inside = F.regexp_replace(F.col("path"), r"^.*?/" + re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
+    return small.unionByName(hash_in_pieces(large)).withColumn("path", inside)
 
 
 def write_review(rows: DataFrame, path: str) -> None:
@@ -59,10 +92,6 @@ def parse_files(files: DataFrame, cache: DataFrame, factory, version: str = "1")
     ``factory`` gives a task its parser: ``parser(path, route) -> list of item dicts``; files are
     known by hash, route and version. A parser's failure is data.
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     item = "file_sha256 string, route string, version string, seq int, depth int, label string, text string, header_level int, marker string, enumerated boolean, page_no int, self_ref string, error string"
     names = [p.split()[0] for p in item.split(", ")]
     todo = files.withColumn("version", F.lit(version)).dropDuplicates(["sha256", "route"]).join(cache.select(F.col("file_sha256").alias("sha256"), "route", "version").distinct(), ["sha256", "route", "version"], "left_anti")
