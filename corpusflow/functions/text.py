@@ -112,23 +112,29 @@ def document_label(kind: Column, number: Column, date: Column) -> Column:
     return F.nullif(parts, F.lit(""))
 
 
+# Citation marks, numbers with times and dates, clock times, and sums of a clock time and minutes
+CITATION = r"\[(?:[SD]\d+|\d+)\]"
+NUMBER_OR_TIME = r"\d+(?:[:.,]\d+)*"
+CLOCK = r"(?<!\d)(\d{1,2})[:.\-](\d{2})(?!\d)"
+CLOCK_SUM = r"(?U)(\d{1,2}):(\d{2})\s*(?:\([^)]*\))?\s*\+\s*(\d{1,3})\s*мин\w*\s*(?:\([^)]*\))?\s*=\s*(\d{1,2}):(\d{2})"
+
+
 def numbers_in(c: Column) -> Column:
     """Distinct numbers, times, dates and sums of a text, sorted; citation marks aren't numbers."""
-    bare = F.regexp_replace(c, r"\[(?:[SD]\d+|\d+)\]", "")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"\d+(?:[:.,]\d+)*"), F.lit(0))))
+    bare = F.regexp_replace(c, CITATION, "")
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(bare, F.lit(NUMBER_OR_TIME), F.lit(0))))
 
 
 def times_in(c: Column) -> Column:
     """Distinct times of a text as ``h:mm``, sorted."""
-    pattern = F.lit(r"(?<!\d)(\d{1,2})[:.\-](\d{2})(?!\d)")
+    pattern = F.lit(CLOCK)
     hours, minutes = F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2))
     return F.array_sort(F.array_distinct(F.zip_with(hours, minutes, lambda h, m: F.concat(h.cast("int").cast("string"), F.lit(":"), m))))
 
 
 def computed_times(c: Column, starts: Column | None = None) -> Column:
     """Results of sums ``hh:mm + n min = hh:mm`` in a text that hold, as ``h:mm``, sorted; only of sums from given starts, if any are given."""
-    note = r"\s*(?:\([^)]*\))?\s*"
-    pattern = F.lit(rf"(?U)(\d{{1,2}}):(\d{{2}}){note}\+\s*(\d{{1,3}})\s*мин\w*{note}=\s*(\d{{1,2}}):(\d{{2}})")
+    pattern = F.lit(CLOCK_SUM)
     parts = F.arrays_zip(*[F.regexp_extract_all(c, pattern, F.lit(i)).alias(f"g{i}") for i in range(1, 6)])
     clock = lambda hours, minutes: F.concat(hours.cast("int").cast("string"), F.lit(":"), minutes)
 

@@ -160,24 +160,57 @@ def corpus_summary(files: DataFrame, documents: DataFrame) -> DataFrame:
     return docs.unionByName(all_).unionByName(each)
 
 
-def listing(rows: DataFrame, patterns: dict[str, tuple[str, ...]], allow: tuple[int, ...] = (), deny: tuple[int, ...] = (), limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The chosen rows of a listing ``(card_id, state_id, pos, ..)`` in order, and one row of counters.
+def causes(rows: DataFrame, by: list[str], order: list[str], patterns: dict[str, tuple[str, ...]], allow: tuple[int, ...] = (), deny: tuple[int, ...] = ()) -> DataFrame:
+    """``rows`` with ``cause``: why a row isn't chosen, or ``kept``.
 
-    Rows without an id and repeats (the first stays) drop out first, then rows that miss a column's
-    patterns, then those of a refused state; a null state is never refused.
+    Rows without an id and repeats (the first in its group stays) drop out first, then rows that miss
+    a column's patterns, then those of a refused state; a null state is never refused.
     """
-    place = F.row_number().over(Window.partitionBy("card_id").orderBy("pos"))
-    ranked = rows.where("card_id is not null").withColumn("n", place)
+    place = F.row_number().over(Window.partitionBy(*by, "card_id").orderBy(*order))
     meets = F.lit(True)
     for column, wanted in patterns.items():
         meets = meets & F.coalesce(F.col(column).cast("string"), F.lit("")).rlike("(?iuU)" + "|".join(f"(?:{w})" for w in wanted))
     state = F.col("state_id").isNull() | ((F.col("state_id").isin(*allow) if allow else F.lit(True)) & (~F.col("state_id").isin(*deny) if deny else F.lit(True)))
-    cause = F.when(F.col("n") > 1, "duplicate").when(~meets, "match").when(~state, "state").otherwise("kept")
-    judged = ranked.withColumn("cause", cause)
-    kept = judged.where("cause = 'kept'").drop("n", "cause")
+    known = rows.where("card_id is not null").withColumn("__n", place)
+    judged = known.withColumn("cause", F.when(F.col("__n") > 1, "duplicate").when(~meets, "match").when(~state, "state").otherwise("kept")).drop("__n")
+    return judged.unionByName(rows.where("card_id is null").withColumn("cause", F.lit("no_id")))
+
+
+def paged_listing(
+    rows: DataFrame, page_limit: int, max_pages: int, max_documents: int, patterns: dict[str, tuple[str, ...]], allow: tuple[int, ...] = (), deny: tuple[int, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """The chosen rows of views that are read page by page, and one row of counters per view.
+
+    ``rows`` are ``(view, page, pos, card_id, state_id, ..)``, pages from 1. Reading a view ends before
+    the first page without rows, after one without a new id or with fewer than ``page_limit`` rows,
+    after the one with which ``max_documents`` are chosen, and after ``max_pages``; the last two cut
+    it off (``truncated``). Pages are decided by their counts; only those that are read are
+    numbered, and of these rows as many as are wanted.
+    """
+    judged = causes(rows, ["view"], ["page", "pos"], patterns, allow, deny)
+    is_ = lambda *names: F.col("cause").isin(*names)
+    pages = judged.groupBy("view", "page").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~is_("no_id", "duplicate")).alias("fresh"), F.count_if(is_("kept")).alias("chosen"))
+    along = Window.partitionBy("view").orderBy("page")
+    counted = pages.withColumns({"at": F.row_number().over(along), "total": F.sum("chosen").over(along.rowsBetween(Window.unboundedPreceding, 0))})
+    full, ends = F.col("total") >= max_documents, (F.col("fresh") == 0) | (F.col("rows") < page_limit)
+    marked = counted.withColumns({"cut": full | ((F.col("page") >= max_pages) & ~ends), "stop": full | ends | (F.col("page") >= max_pages)})
+    before = F.coalesce(F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    read = marked.withColumn("before", before).where((F.col("page") == F.col("at")) & ~F.col("before"))
+    held = judged.join(read.select("view", "page"), ["view", "page"])
+    count = lambda name: F.count_if(is_(name))
+    sums = held.groupBy("view").agg(F.count(F.lit(1)).alias("received"), F.count_if(~is_("no_id", "duplicate")).alias("unique"), count("no_id").alias("without_id"), count("duplicate").alias("duplicates"), count("match").alias("excluded_by_match"), count("state").alias("excluded_by_state"))
+    last = read.groupBy("view").agg(F.max("page").alias("pages"), F.least(F.max("total"), F.lit(max_documents)).alias("selected"), F.bool_or("cut").alias("truncated"))
+    order = Window.partitionBy("view").orderBy("page", "pos")
+    kept = held.where("cause = 'kept'").drop("cause").withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_documents)
+    return kept, last.join(sums, "view")
+
+
+def listing(rows: DataFrame, patterns: dict[str, tuple[str, ...]], allow: tuple[int, ...] = (), deny: tuple[int, ...] = (), limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The chosen rows of a listing ``(card_id, state_id, pos, ..)`` in order, and one row of counters; see ``causes``."""
+    judged = causes(rows, [], ["pos"], patterns, allow, deny)
+    kept = judged.where("cause = 'kept'").drop("cause")
     kept = kept if limit is None else kept.orderBy("pos").limit(limit)
-    count = judged.select("cause").unionByName(rows.where("card_id is null").select(F.lit("no_id").alias("cause")))
-    return kept, count.agg(
+    return kept, judged.agg(
         F.count(F.lit(1)).alias("received"), F.count_if(F.col("cause") == "no_id").alias("without_id"), F.count_if(F.col("cause") == "duplicate").alias("duplicates"),
         F.count_if(F.col("cause") == "match").alias("excluded_by_match"), F.count_if(F.col("cause") == "state").alias("excluded_by_state"), F.count_if(F.col("cause") == "kept").alias("selected"),
     )

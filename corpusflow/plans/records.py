@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions import text
 from ..operators import answers, chats, evaluate, graph, manifest
@@ -176,6 +177,27 @@ def _listing(spark, d):
     return manifest.listing(rows, {"doc_type_title": ("ПРИКАЗ", "записка"), "subject": ("инструкц", "перечн", "пвтр")}, allow=(1, 2, 3, 5, 6, 8, 11, 12, 13, 18), deny=(5,), limit=300)
 
 
+def _views(spark, d):
+    """Cards as sixty views in pages of twelve, some of which repeat a page, lack one or end early."""
+    c = standin(spark, d, "cards").select((F.col("card_id") % 60).alias("view"), "card_id", "state_id", "doc_type_title", "subject", "pos")
+    n = F.row_number().over(Window.partitionBy("view").orderBy("pos")) - 1
+    view, page = F.col("view"), F.col("page")
+    rows = c.withColumn("n", n).withColumn("page", (F.floor(F.col("n") / 12) + 1).cast("int")).where(~((view % 5 == 1) & (page == 3)))
+    again = rows.where((view % 5 == 2) & (page == 1)).withColumn("page", F.lit(2)).unionByName(rows.where(~((view % 5 == 2) & (page == 2))))
+    rows = again.where(~((view % 5 == 3) & (page == 4) & (F.col("n") % 12 > 7))).withColumn("card_id", F.when((F.col("card_id") % 97 != 0), F.col("card_id")))
+    return manifest.paged_listing(rows, 12, 4, 30, {"subject": ("инструкц", "перечн", "пвтр", "договор")}, deny=(5,))
+
+
+def flt3_pages(spark, d):
+    """The rows chosen of each view."""
+    return _views(spark, d)[0].select("view", "n", "page", "card_id")
+
+
+def flt3_page_counters(spark, d):
+    """How each view was read."""
+    return _views(spark, d)[1]
+
+
 def flt3_listing(spark, d):
     return _listing(spark, d)[0].select("card_id", "state_id", "pos")
 
@@ -483,6 +505,17 @@ un AS (SELECT n.answer_id, n.number, n.alias, 'fragment' AS kind, f.doc_id, 'chu
 UNION ALL SELECT n.answer_id, n.number, n.alias, 'document', d.doc_id, NULL, NULL, d.label, d.status, NULL, NULL, NULL, d.card, NULL FROM nm n JOIN dc d ON d.session_id = n.session_id AND d.alias = n.alias WHERE number IS NOT NULL)
 SELECT *, 'http://cards/' || doc_id AS url, concat('[', number, '] ', CASE WHEN kind = 'document' THEN concat(label, CASE WHEN doc_status IS NOT NULL THEN concat(' (', doc_status, ')') END, ' — ', CASE WHEN text IS NOT NULL THEN 'карточка документа' ELSE 'документ СЭД (карточка не запрашивалась)' END)
   ELSE concat(coalesce(breadcrumbs, label), CASE WHEN doc_status IS NOT NULL THEN concat(' (', doc_status, ')') END, CASE WHEN page_no <> 0 THEN concat(', стр. ', page_no) END) END, ' — [открыть в СЭД](http://cards/', doc_id, ')') AS line FROM un"""
+VIEWS = ctes("cards") + """, vr AS (SELECT card_id % 60 AS view, card_id, state_id, subject, pos, row_number() OVER (PARTITION BY card_id % 60 ORDER BY pos) - 1 AS n FROM cards),
+vp AS (SELECT *, (n // 12 + 1)::INT AS page FROM vr WHERE NOT (view % 5 = 1 AND n // 12 = 2)),
+vq AS (SELECT * FROM vp WHERE NOT (view % 5 = 2 AND page = 2) UNION ALL SELECT * REPLACE (2 AS page) FROM vp WHERE view % 5 = 2 AND page = 1),
+vs AS (SELECT * REPLACE (CASE WHEN card_id % 97 <> 0 THEN card_id END AS card_id) FROM vq WHERE NOT (view % 5 = 3 AND page = 4 AND n % 12 > 7)),
+vj AS (SELECT *, CASE WHEN card_id IS NULL THEN 'no_id' WHEN row_number() OVER (PARTITION BY view, card_id ORDER BY page, pos) > 1 THEN 'duplicate' WHEN NOT regexp_matches(lower(coalesce(subject, '')), 'инструкц|перечн|пвтр|договор') THEN 'match' WHEN coalesce(state_id = 5, false) THEN 'state' ELSE 'kept' END AS cause FROM vs),
+vc AS (SELECT view, page, count(*) AS c, count(*) FILTER (cause NOT IN ('no_id', 'duplicate')) AS fresh, count(*) FILTER (cause = 'kept') AS k FROM vj GROUP BY ALL),
+vt AS (SELECT *, row_number() OVER w AS i, sum(k) OVER w AS total FROM vc WINDOW w AS (PARTITION BY view ORDER BY page)),
+vm AS (SELECT *, total >= 30 OR (page >= 4 AND NOT (fresh = 0 OR c < 12)) AS cut, total >= 30 OR fresh = 0 OR c < 12 OR page >= 4 AS stop FROM vt),
+rd AS (SELECT * FROM (SELECT *, coalesce(bool_or(stop) OVER (PARTITION BY view ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM vm) WHERE i = page AND NOT before),
+hd AS (SELECT vj.* FROM vj JOIN rd USING (view, page))
+"""
 TURNS = """,
 tn AS (SELECT q.conversation_id, q.turn, q.output_text AS question, a.output_text AS answer FROM messages q JOIN messages a ON a.conversation_id = q.conversation_id AND a.turn = q.turn + 1 AND a.kind = 'assistant_message' WHERE q.kind = 'user_message')
 """
@@ -516,6 +549,8 @@ ORACLES = {
     "ag2_first_values": ctes("cards") + " SELECT status_id, arg_min(struct_pack(v := department), pos).v AS department FROM cards WHERE status_id IS NOT NULL GROUP BY status_id",
     "ag3_summary": ctes("cards", "files") + FI + "SELECT 'documents' AS what, count(*) AS n, 0::BIGINT AS bytes FROM cards UNION ALL SELECT 'files', count(*), sum(size)::BIGINT FROM fi UNION ALL SELECT '.' || extension, count(*), sum(size)::BIGINT FROM fi GROUP BY extension",
     "ag4_counters": ctes("files") + FI + "SELECT coalesce(skip_reason, 'kept') AS reason, extension, count(*) AS n FROM fi GROUP BY ALL",
+    "flt3_pages": VIEWS + "SELECT view, k AS n, page, card_id FROM (SELECT *, row_number() OVER (PARTITION BY view ORDER BY page, pos)::INT AS k FROM hd WHERE cause = 'kept') WHERE k <= 30",
+    "flt3_page_counters": VIEWS + "SELECT rd.view, max(rd.page) AS pages, least(max(rd.total), 30)::BIGINT AS selected, bool_or(rd.cut) AS truncated, any_value(h.received) AS received, any_value(h.uniq) AS unique, any_value(h.without_id) AS without_id, any_value(h.duplicates) AS duplicates, any_value(h.m) AS excluded_by_match, any_value(h.s) AS excluded_by_state FROM rd JOIN (SELECT view, count(*) AS received, count(*) FILTER (cause NOT IN ('no_id', 'duplicate')) AS uniq, count(*) FILTER (cause = 'no_id') AS without_id, count(*) FILTER (cause = 'duplicate') AS duplicates, count(*) FILTER (cause = 'match') AS m, count(*) FILTER (cause = 'state') AS s FROM hd GROUP BY view) h USING (view) GROUP BY rd.view",
     "flt3_listing": LS + "SELECT card_id, state_id, pos FROM lj WHERE cause = 'kept' ORDER BY pos LIMIT 300",
     "flt3_counters": LS + "SELECT count(*) AS received, count(*) FILTER (cause='no_id') AS without_id, count(*) FILTER (cause='duplicate') AS duplicates, count(*) FILTER (cause='match') AS excluded_by_match, count(*) FILTER (cause='state') AS excluded_by_state, count(*) FILTER (cause='kept') AS selected FROM lj",
     "ag8_checks": ctes("cards", "files") + META + FI + ", r AS (SELECT 'downloaded' AS name, count(*) FILTER (skip_reason = 'error') AS n, 'FAIL' AS lv FROM fi UNION ALL SELECT 'open', count(*) FILTER (NOT smoke_ok), 'FAIL' FROM fi UNION ALL SELECT 'complete', count(*) FILTER (doc_number IS NULL OR doc_date IS NULL), 'WARN' FROM md UNION ALL SELECT 'unique', 0, 'FAIL' UNION ALL SELECT 'excluded', count(*), 'FAIL' FROM md WHERE card_id % 1000 = 1 UNION ALL SELECT 'fetched', count(*), CASE WHEN count(*) FILTER (card_id % 1800 = 7) > 0 THEN 'FAIL' ELSE 'WARN' END FROM md WHERE card_id % 900 = 5), s AS (SELECT name, CASE WHEN n > 0 THEN lv ELSE 'PASS' END AS status, n FROM r) SELECT * FROM s UNION ALL SELECT 'overall', CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END, sum(n)::BIGINT FROM s",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -52,10 +52,10 @@ def hash_in_pieces(files: DataFrame, piece: int = 8 << 20) -> DataFrame:
         for frame in frames:
             hashes = []
             for path in frame["path"]:
-                scheme, _, rest = path.partition(":")
-                store, name = pafs.FileSystem.from_uri(f"{scheme}://{rest}" if scheme == "file" and not rest.startswith("//") else path)
+                # Spark shows paths as they are; a URI wants them quoted
+                store, name = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", quote(path, safe=":/@")))
                 digest = hashlib.sha256()
-                with store.open_input_stream(unquote(name) if scheme == "file" else name, compression=None) as source:
+                with store.open_input_stream(name, compression=None) as source:
                     while data := source.read(piece):
                         digest.update(data)
                 hashes.append(digest.hexdigest())
@@ -69,6 +69,7 @@ def list_files(spark: SparkSession, folder: str, whole: int = 64 << 20) -> DataF
 
     Files up to ``whole`` bytes are read and hashed by Spark's reader from whatever store it knows;
     of larger ones only the names are read, and their bytes are hashed in pieces, a file by a task.
+    Empty files have no split for Spark's reader and are not listed.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     small = rows.where(F.col("length") <= whole).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

@@ -1,8 +1,11 @@
 """Cases of single operators, and plain-Python twins of helpers."""
 
 import difflib
+import hashlib
 import itertools
+import os
 import random
+import tempfile
 import uuid
 
 import pytest
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import ids, text
 from corpusflow.operators import answers, chunking, evaluate, glossary, graph, privacy, search, termjoin
+from corpusflow.sources import io
 from corpusflow.settings import ChunkSettings, GlossarySettings, WalkSettings
 
 
@@ -296,3 +300,21 @@ def test_pluggable_counter(spark):
     rows = spark.createDataFrame([("First one here. Second one is longer. " + "x" * 30 + " yy",)], "t string").withColumn("room", F.lit(20))
     got = chunking.with_windows(rows, "t", "room", 0, F.length).first()["windows"]
     assert "".join(got).replace(" ", "") == rows.first()["t"].replace(" ", "") and all(len(w) <= 20 for w in got if " " in w)
+
+
+def test_files_of_any_size_are_hashed(spark):
+    """Three gigabytes, and names that need quoting."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    os.makedirs(f"{folder}/sub dir")
+    with open(f"{folder}/large.bin", "wb") as f:
+        f.truncate(3 << 30)
+    for name, data in (("a+b c%.txt", b"x" * 5000), ("sub dir/\u00e9.txt", b"y" * 10)):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(data)
+    zeros, digest = bytes(1 << 24), hashlib.sha256()
+    for _ in range(3 << 6):
+        digest.update(zeros)
+    want = {("large.bin", 3 << 30, digest.hexdigest()), ("a+b c%.txt", 5000, hashlib.sha256(b"x" * 5000).hexdigest()), ("sub dir/\u00e9.txt", 10, hashlib.sha256(b"y" * 10).hexdigest())}
+    for whole in (100, 64 << 20):  # by pieces all but the small ones, and the large one alone
+        assert {(r["path"], r["size"], r["sha256"]) for r in io.list_files(spark, folder, whole).collect()} == want
+    os.truncate(f"{folder}/large.bin", 0)
