@@ -388,15 +388,15 @@ def train(docs: DataFrame, settings: ScanSettings = ScanSettings()) -> Field:
             for text in batch["text"]:
                 for chain, before, follow, kind, tags in silver(text or ""):
                     if len(chain) <= longest:
-                        flat = "\x00".join([kind, follow, " ".join(before), *(t for _, _, t in chain)])
-                        out.append(("".join(map(str, tags)), flat, hashlib.md5(flat.encode("utf-8", "replace")).hexdigest()))
-            yield pd.DataFrame(out, columns=["tags", "flat", "h"])
+                        parts = [kind, follow, " ".join(before), *(t for _, _, t in chain)]  # any character may stand in them
+                        out.append(("".join(map(str, tags)), parts, hashlib.md5("\x00".join(parts).encode("utf-8", "replace")).hexdigest()))
+            yield pd.DataFrame(out, columns=["tags", "parts", "h"])
 
-    found = picked.mapInPandas(tag, "tags string, flat string, h string").groupBy("h").agg(F.min("tags").alias("tags"), F.min("flat").alias("flat"))
+    found = picked.mapInPandas(tag, "tags string, parts array<string>, h string").groupBy("h").agg(F.min(F.struct("tags", "parts")).alias("r")).select("h", "r.*")
     rows = found.orderBy("h").limit(settings.sample_runs).collect()
     examples = []
     for row in rows:
-        kind, follow, before, *tokens = row["flat"].split("\x00")
+        kind, follow, before, *tokens = row["parts"]
         examples.append(([(0, 0, t) for t in tokens], before.split(" ") if before else [], follow, kind, [int(c) for c in row["tags"]]))
     return fit(examples + made(settings.made_runs, settings.seed), settings)
 

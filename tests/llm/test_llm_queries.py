@@ -71,6 +71,15 @@ def test_secrets_query(spark):
     assert len(with_base) > 5 and np.mean([r["n_tagged"] > 0 for r in with_base]) >= 0.9  # the field knows them too
 
 
+def test_texts_with_nul_characters_are_tagged_token_by_token(spark, monkeypatch):
+    text = "see \x00 token: \x00a1b2c3d4e5f6a7b8c9\x00 x_9\x00, and password = hunter2\x00more words"
+    docs = spark.createDataFrame([(i, f"{text} n{i}") for i in range(20)], "doc_id bigint, text string")
+    seen = []
+    monkeypatch.setattr(secretscan, "fit", lambda examples, settings: seen.extend(examples))
+    secretscan.train(docs)
+    assert any("\x00" in t for chain, *_ in seen for _, _, t in chain) and all(len(chain) == len(tags) for chain, _, _, _, tags in seen)
+
+
 def test_the_field_decodes_a_whole_text():
     """Tagging all tokens of a text as one chain, plain words too, gives the spans that the runs give."""
     model = secretscan.fit(secretscan.made(400, 5), secretscan.ScanSettings(epochs=4))
