@@ -203,10 +203,10 @@ UNITS = "|".join(sorted(decontam.UNITS.split("|"), key=len, reverse=True))
 
 
 def brute_tokens(text):
-    """``(word, type, value)`` of each token: type d, u, n, o (an opening) or None."""
+    """``(word, type)`` of each token: type d, u, n, o (an opening) or None."""
     out, last = [], None
     for m in regex.finditer(r"[\p{L}\p{N}]+", text):
-        w, before = m.group(), text[: m.start()]
+        w, before = m.group(), text[max(m.start() - 2, 0) : m.start()]
         number_before = last is not None and last[1][-1:].isnumeric() and text[last[0] : m.start()] in ("", " ")
         if regex.fullmatch(r"\p{N}+", w) and not before.endswith("_") and text[m.end() : m.end() + 1] != "_":
             kind = "d"
@@ -221,18 +221,34 @@ def brute_tokens(text):
     return out
 
 
+def brute_sentences(text):
+    """All runs of neighbouring sentences, lines and brackets, as lists of lists of words."""
+    units = [regex.findall(r"[\p{L}\p{N}]+", u.lower()) for u in regex.split(r"[.!?:;…]+(?![\p{L}\p{N}])|[\r\n()\[\]\"«»“”„]+", text)]
+    units = [u for u in units if u]
+    return [units[i:j] for i in range(len(units)) for j in range(i + 1, min(i + 4, len(units) + 1))]
+
+
+def one_to_one(pairs):
+    return bool(pairs) and len({b for b, _ in pairs}) == len(set(pairs))
+
+
 def brute_leaks(items, text, width=8, least=4):
     """Items that leak into a text, by trying every place of every item against every place of the text."""
-    doc, found = brute_tokens(text), set()
-    for item, body in items.items():
-        own = brute_tokens(body or "")
-        size = width if len(own) >= width else len(own)
+    doc, found, sentences = brute_tokens(text), set(), brute_sentences(text)
+    for item, own in items.items():
+        size = min(width, len(own[0]))
+        own, own_sentences = own
         if size < least:
+            if size > 1 and own_sentences in sentences:
+                found.add(item)
             continue
         places = collections.defaultdict(list)
         for a in range(len(own) - size + 1):
+            x = own[a : a + size]
             for b in range(len(doc) - size + 1):
-                x, y = own[a : a + size], doc[b : b + size]
+                if not all(p[0] == q[0] or (p[1] and q[1]) for p, q in zip(x, doc[b : b + size])):
+                    continue
+                y = doc[b : b + size]
                 if [w for w, _ in x] == [w for w, _ in y]:
                     places[b - a].append((2, [], False))
                 for names_x, names_y in itertools.product((False, True), repeat=2):
@@ -244,33 +260,65 @@ def brute_leaks(items, text, width=8, least=4):
                         if len(slots) <= size / 2:
                             places[b - a].append((0, slots, any((p[1] == "o" and names_x) or (q[1] == "o" and names_y) for p, q in zip(x, y))))
         for hits in places.values():
-            one = lambda pairs: bool(pairs) and len({b for b, _ in pairs}) == len(pairs)
             every, firm = {p for _, s, _ in hits for p in s}, {p for _, s, o in hits if not o for p in s}
-            if any(not s for _, s, _ in hits) or one(every) or one(firm):
+            if any(not s for _, s, _ in hits) or one_to_one(every) or one_to_one(firm):
                 found.add(item)
+        typed = [k if k and k != "o" else w for w, k in own]
+        if all(sum(k in ("d", "u", "n") for _, k in own[a : a + size]) > size / 2 for a in range(len(own) - size + 1)):
+            for b in range(len(doc) - len(own) + 1):
+                y = doc[b : b + len(own)]
+                if [k if k and k != "o" else w for w, k in y] == typed:
+                    same = sum(p[0] == q[0] and p[1] != "d" for p, q in zip(own, y))
+                    if 2 * same >= len(own) and one_to_one([(p[0], q[0]) for p, q in zip(own, y) if p[1] and p[1] != "o"]):
+                        found.add(item)
     return found
 
 
+ASKED = [
+    "12 km 35 kg 47 m 81 cm 3 g 4 oz 6 lb 9 mph", "1 2 3 4 5 6 7 8 9 10", "Is 7 prime?", "Yes. No way", "no", "Wie weit fährt Anna in 3 Stunden mit 80 km und Anna in 5 Stunden?",
+    "Tom has 12 apples and Tom buys 12 pears for 30 cents each", "Tom has 15 apples and Tom buys 15 pears for 31 cents each", "Ann has 15 apples and Tom buys 16 pears for 31 cents each",
+]
+
+
 def test_leaks_query(spark, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
-    picked = dict(itertools.islice(items.items(), 16))
+    picked = dict(itertools.islice(items.items(), 40)) | {1000 + i: t for i, t in enumerate(ASKED)}
     got = {r["doc_id"]: r for r in queries.op6_leaks(spark, SF).collect()}
     assert got.keys() == texts.keys()
     bench = spark.createDataFrame(list(picked.items()), "item_id bigint, text string")
-    some = {i: t for i, t in texts.items() if t and len(t) < 900}
+    some = {i: t for i, t in texts.items() if t and len(t) < 1500}
     rng = random.Random(5)
     made = {}
-    for n, (i, body) in enumerate(itertools.islice(picked.items(), 12)):  # copies, changed numbers, changed names, mixtures
+    chosen = list(itertools.islice(picked.items(), 25)) + [(1000 + i, t) for i, t in enumerate(ASKED)]
+    for n, (i, body) in enumerate(chosen):  # copies, changed numbers, changed names, mixtures
         number = lambda m: str(rng.randint(2, 99))
-        made[10_000 + n] = f"before. {body} after"
+        made[10_000 + n] = f"before. {body}\nafter"
         made[20_000 + n] = "So " + re.sub(r"\d+", number, body) + f" And {body}"
         made[30_000 + n] = "well " + re.sub(r"(?<=[a-z] )[A-Z][a-z]+", lambda m: rng.choice(["Zoe", "Ulf"]), re.sub(r"\d+", number, body))
+        made[40_000 + n] = "well, " + re.sub(r"\d+", lambda m: str(int(m.group()) + 50), body) + " or so"
     docs = spark.createDataFrame(list({**some, **made}.items()), "doc_id bigint, text string")
-    found = {r["doc_id"]: (r["item_id"], r["n_items"]) for r in decontam.mark_leaks(docs, bench).collect()}
-    for i, text in {**some, **made}.items():
-        want = brute_leaks(picked, text)
-        assert found[i] == (min(want, default=None), len(want)), text[:200]
-    assert all(found[i][0] is not None for i in made if i < 20_000)
+    tokens = {i: (brute_tokens(t), [regex.findall(r"[\p{L}\p{N}]+", u.lower()) for u in regex.split(r"[.!?]+", t) if u.strip()]) for i, t in picked.items()}
+    wanted = {i: brute_leaks(tokens, text) for i, text in {**some, **made}.items()}
+    for limit in (2_000_000, 0):
+        found = {r["doc_id"]: (r["item_id"], r["n_items"]) for r in decontam.mark_leaks(docs, bench, decontam.DecontamSettings(broadcast_windows=limit)).collect()}
+        for i, want in wanted.items():
+            assert found[i] == (min(want, default=None), len(want)), made.get(i, i)
+    assert all(found[i][0] is not None for i in made if i < 20_000 and picked[chosen[i - 10_000][0]] != "no")
+    assert found[40_025][0] == 1000 and found[40_026][0] is None  # numbers beside units, and numbers alone
+
+
+def test_shared_windows_meet_as_groups(spark):
+    """A phrase of all items meets each text once; repeated rows and items of one template add nothing."""
+    phrase, ask = "the very same old phrase of eight words", "Tom has {} apples and Tom buys {} pears for {} cents each"
+    items = [f"{phrase} x{i}a x{i}b" for i in range(300)] + [ask.format(i, i + 1, i + 2) for i in range(0, 900, 3)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = [(i, f"z{i} {phrase} q{i}") for i in range(300)] + [(i, f"z{i} " + ask.format(i + 2000, i + 3000, i + 4000)) for i in range(300, 600)]
+    docs = spark.createDataFrame(rows + rows[:5] * 20, "doc_id bigint, text string")
+    settings = decontam.DecontamSettings()
+    places = decontam._places(docs, decontam.benchmark_windows(bench, settings), settings)
+    assert places.groupBy("__id").count().agg({"count": "max"}).first()[0] == 1
+    got = {(r["doc_id"] < 300, r["item_id"], r["n_items"], r["kind"]) for r in decontam.mark_leaks(docs, bench).collect()}
+    assert got == {(True, 0, 300, "verbatim"), (False, 300, 300, "parameters")}
 
 
 # ---------------------------------------------------------------- 7 language

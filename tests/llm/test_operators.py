@@ -273,7 +273,7 @@ def test_leaks_dense_short_and_opening(spark):
         "13 km 36 kg 48 m 82 cm 91 g 16 mm", "No doubt. Bob keeps two dogs at home.", "so Bob keeps two dogs at home", "she keeps two dogs at home",
     ])
     copies = {0: (0, 1, "verbatim"), 1: (1, 1, "verbatim"), 2: (1, 1, "verbatim"), 3: (1, 1, "verbatim")}
-    assert got == copies | {4: (None, 0, None), 5: (2, 1, "parameters"), 6: (2, 1, "parameters"), 7: (None, 0, None)}
+    assert got == copies | {4: (0, 1, "parameters"), 5: (2, 1, "parameters"), 6: (2, 1, "parameters"), 7: (None, 0, None)}
 
 
 # ---------------------------------------------------------------- 7 language
