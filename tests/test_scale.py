@@ -47,3 +47,9 @@ def test_edges_of_large_keys(spark, tmp_path):
             best[a, b] = min(best.get((a, b), way), way, key=lambda w: w[0])
     want = {(a, b, *w[1], a not in cards or b not in cards) for (a, b), w in best.items()}
     assert {tuple(r) for r in plans.QUERIES["jn4_edges"](spark, folder).collect()} == want
+
+
+def test_pages_of_equal_cursors(spark, tmp_path):
+    """Of a user's conversations whose last seconds are alike modulo 1000 the smallest is the cursor."""
+    talks = "SELECT (5 * t.i)::BIGINT AS conv_id, n.i::BIGINT AS turn, 'user' AS role, 'x' AS text FROM range(400) t(i), range(2) n(i) ORDER BY ALL"
+    assert same_rows(spark, made(tmp_path, conversations=talks), "wn12_pages")
