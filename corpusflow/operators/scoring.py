@@ -96,18 +96,21 @@ class SparseScorer:
         self.known, self.start, self.count = np.unique(token[order], return_index=True, return_counts=True)
         self.owner, self.worth, self.width = row[order], weight[order], len(vectors)
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        flat, sizes = column.flatten(), list_sizes(column)
-        number = lambda f, kind: flat.field(f).to_numpy(zero_copy_only=False).astype(kind)
-        row, token, weight = np.repeat(np.arange(len(column)), sizes), number("token", np.int64), number("weight", np.float64)
+    def products(self, row: np.ndarray, token: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``row, question, product`` of each token that a row shares with a question, by row and token."""
         place = np.minimum(np.searchsorted(self.known, token), max(0, len(self.known) - 1))
         met = self.known[place] == token if len(self.known) else np.zeros(len(token), bool)
         row, place, weight = pooled(row[met], place[met], weight[met])
         lengths = self.count[place]
         which = np.repeat(np.arange(len(place)), lengths)
         at = np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + self.start[place][which]
-        products = np.bincount(row[which] * self.width + self.owner[at], weight[which] * self.worth[at], len(column) * self.width)
-        return np.round(products.reshape(len(column), self.width), 6)
+        return row[which], self.owner[at], weight[which] * self.worth[at]
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        flat, sizes = column.flatten(), list_sizes(column)
+        number = lambda f, kind: flat.field(f).to_numpy(zero_copy_only=False).astype(kind)
+        row, owner, product = self.products(np.repeat(np.arange(len(column)), sizes), number("token", np.int64), number("weight", np.float64))
+        return np.round(np.bincount(row * self.width + owner, product, len(column) * self.width).reshape(len(column), self.width), 6)
 
 
 class FilterMasks:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import corpusflow.plans as plans
+from corpusflow.operators import postings
 from corpusflow.plans.standins import standin
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +54,24 @@ def test_pages_of_equal_cursors(spark, tmp_path):
     """Of a user's conversations whose last seconds are alike modulo 1000 the smallest is the cursor."""
     talks = "SELECT (5 * t.i)::BIGINT AS conv_id, n.i::BIGINT AS turn, 'user' AS role, 'x' AS text FROM range(400) t(i), range(2) n(i) ORDER BY ALL"
     assert same_rows(spark, made(tmp_path, conversations=talks), "wn12_pages")
+
+
+def shuffled(spark, work):
+    """Records that ``work`` writes to shuffles."""
+    store, call = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in call(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    before = max(stages(), default=-1)
+    work()
+    return sum(n for stage, n in stages().items() if stage > before)
+
+
+def test_index_moves_chunks_not_postings(spark, tmp_path):
+    """Chunks are shuffled twice, and neither postings nor pairs of question and range are."""
+    chunks = spark.range(4000).selectExpr("cast(id as string) chunk_id", "transform(sequence(1, 20), i -> struct(cast((id * i) % 97 as int) token, 1.5D + i % 3 weight)) sparse")
+    asked = spark.range(40).selectExpr("id query_id", "transform(sequence(1, 20), i -> struct(cast((id + i * i) % 97 as int) token, 1.0D weight)) sparse")
+
+    def work():
+        postings.build(chunks, f"{tmp_path}/index")
+        postings.search(f"{tmp_path}/index", asked, 5).count()
+
+    assert shuffled(spark, work) < 30_000  # 8,000 chunks, 40 questions and the best of each task; 349,000 before
