@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..runtime import written
 from ..settings import FileRules
 
 ROLES = ("main", "appendix", "supplement")
@@ -35,13 +36,14 @@ def _candidate_rank(rules: FileRules) -> Column:
     return rank
 
 
-def file_roles(files: DataFrame, cards: DataFrame, rules: FileRules = FileRules()) -> DataFrame:
-    """``card_id, row_id, role, skip_reason`` of every file, before contents are compared.
+def file_roles(files: DataFrame, cards: DataFrame, rules: FileRules = FileRules(), whole: bool = False) -> DataFrame:
+    """``card_id, row_id, role, skip_reason`` of every file, before contents are compared; ``whole`` adds what ``content_owners`` asks for.
 
     One file of a card is main: the first rule that any file meets, then its place. The card's
     files meet in one window; the main file's extension decides about pdf copies.
     """
-    slim = files.select("card_id", "row_id", "pos", "extension", "category", "name").join(cards.select("card_id", "type_name"), "card_id", "left")
+    more, place = (["sha256"], [F.col("pos").alias("card_pos"), F.lit(True).alias("has_card")]) if whole else ([], [])
+    slim = files.select("card_id", "row_id", "pos", "extension", "category", "name", *more).join(cards.select("card_id", "type_name", *place), "card_id", "left")
     marked = slim.withColumn("skip", _skip(rules)).withColumn("cand", F.when(F.col("skip").isNull(), _candidate_rank(rules)))
     order = Window.partitionBy("card_id").orderBy(F.col("cand").asc_nulls_last(), "pos", "row_id")
     first = marked.withColumn("n", F.row_number().over(order)).withColumn("is_main", (F.col("n") == 1) & F.col("cand").isNotNull())
@@ -53,7 +55,8 @@ def file_roles(files: DataFrame, cards: DataFrame, rules: FileRules = FileRules(
     welcome = F.coalesce(F.col("type_name").isin(*rules.supplement_types), F.lit(False))
     reason = F.coalesce("skip", F.when(F.col("is_main"), F.lit(None)).when(copy, F.lit("pdf copy")).when(extra & ~welcome, F.lit("supplement of another type")))
     role = F.when(F.col("is_main"), F.lit("main")).when(extra, F.lit("supplement")).otherwise(F.lit("appendix"))
-    return seen.withColumn("skip_reason", reason).select("card_id", "row_id", F.when(F.col("skip_reason").isNull(), role).alias("role"), "skip_reason")
+    facts = ["pos", *more, "card_pos", "has_card"] if whole else []
+    return seen.withColumn("skip_reason", reason).select("card_id", "row_id", F.when(F.col("skip_reason").isNull(), role).alias("role"), "skip_reason", *facts)
 
 
 def content_owners(planned: DataFrame, files: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,21 +65,24 @@ def content_owners(planned: DataFrame, files: DataFrame, cards: DataFrame) -> tu
     The owner of a content is the file of the best role, then the first in record and file
     order; the others are skipped. ``copies`` counts them on the owner. The second table has
     ``card_id, row_id`` of the owner, ``rank, card_pos, pos, copy_row_id`` to sort its copies by, and
-    ``also_in``, the copy's card, which may be the owner's own. Owners are found by a minimum, so
-    a content of very many files fills no task.
+    ``also_in``, the copy's card, which may be the owner's own. The files are written
+    down once, owners are found by a minimum, and a file meets its content's owner once. Where ``planned`` comes whole from ``file_roles``, no file is looked up again.
     """
-    keys = planned.where("role is not null").join(files.select("card_id", "row_id", "pos", "sha256"), ["card_id", "row_id"])
-    keys = keys.join(cards.select("card_id", F.col("pos").alias("card_pos")), "card_id").where("sha256 is not null")
+    if "has_card" not in planned.columns:
+        planned = planned.join(files.select("card_id", "row_id", "pos", "sha256"), ["card_id", "row_id"], "left")
+        planned = planned.join(cards.select("card_id", F.col("pos").alias("card_pos"), F.lit(True).alias("has_card")), "card_id", "left")
+    taken = F.col("role").isNotNull() & F.col("sha256").isNotNull() & F.coalesce("has_card", F.lit(False))
+    # files of no content have a key of their own, as nulls would fill one task
+    content = F.when(taken, F.concat(F.lit("+"), "sha256")).otherwise(F.concat(F.lit("-"), "row_id"))
+    keyed = written(planned.select("card_id", "row_id", "role", "skip_reason", "pos", "card_pos", content.alias("content")))
     rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int")
-    keys = keys.select("sha256", F.struct(rank.alias("rank"), "card_pos", "pos", "row_id", "card_id").alias("k"))
-    owners = keys.groupBy("sha256").agg(F.min("k").alias("owner"), (F.count(F.lit(1)) - 1).alias("copies"))
-    lost = keys.join(owners.where("copies > 0"), "sha256").where("k <> owner")
-    copies = lost.select("owner.card_id", "owner.row_id", "k.rank", "k.card_pos", "k.pos", F.col("k.row_id").alias("copy_row_id"), F.col("k.card_id").alias("also_in"))
-    gone = copies.select(F.col("also_in").alias("card_id"), F.col("copy_row_id").alias("row_id"), F.lit(True).alias("copy"))
-    kept = owners.where("copies > 0").select("owner.card_id", "owner.row_id", "copies")
-    out = planned.join(gone, ["card_id", "row_id"], "left").join(kept, ["card_id", "row_id"], "left")
-    role, reason = F.when(F.col("copy").isNull(), F.col("role")), F.when(F.col("copy"), F.lit("copy")).otherwise(F.col("skip_reason"))
-    return out.select("card_id", "row_id", role.alias("role"), reason.alias("skip_reason"), F.coalesce("copies", F.lit(0)).alias("copies")), copies
+    k, some = F.struct(rank.alias("rank"), "card_pos", "pos", "row_id", "card_id"), F.startswith("content", F.lit("+"))
+    owners = keyed.where(some).groupBy("content").agg(F.min(k).alias("owner"), (F.count(F.lit(1)) - 1).alias("copies")).where("copies > 0")
+    lost = keyed.where(some).join(owners, "content").where(k != F.col("owner"))
+    copies = lost.select("owner.card_id", "owner.row_id", rank.alias("rank"), "card_pos", "pos", F.col("row_id").alias("copy_row_id"), F.col("card_id").alias("also_in"))
+    out, copy = keyed.join(owners, "content", "left"), F.coalesce(k != F.col("owner"), F.lit(False))
+    role, reason = F.when(~copy, F.col("role")), F.when(copy, F.lit("copy")).otherwise(F.col("skip_reason"))
+    return out.select("card_id", "row_id", role.alias("role"), reason.alias("skip_reason"), F.when(~copy, F.col("copies")).alias("copies")).fillna(0, ["copies"]), copies
 
 
 def mark_duplicates(files: DataFrame, cards: DataFrame) -> DataFrame:

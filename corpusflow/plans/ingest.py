@@ -244,7 +244,7 @@ def wn1_file_roles(spark, d):
 
 def _owned(spark, d):
     f, c = standin(spark, d, "files"), standin(spark, d, "cards")
-    return files.content_owners(files.file_roles(f, c), f, c)
+    return files.content_owners(files.file_roles(f, c, whole=True), f, c)
 
 
 def wn2_content_owners(spark, d):

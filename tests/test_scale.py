@@ -5,10 +5,12 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpusflow.plans as plans
-from corpusflow.operators import postings
+from corpusflow.operators import files, postings
 from corpusflow.plans.standins import standin
+from corpusflow.runtime import cut
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables on this machine")
@@ -75,3 +77,14 @@ def test_index_moves_chunks_not_postings(spark, tmp_path):
         postings.search(f"{tmp_path}/index", asked, 5).count()
 
     assert shuffled(spark, work) < 30_000  # 8,000 chunks, 40 questions and the best of each task; 349,000 before
+
+
+def test_owners_move_a_file_twice(spark):
+    """A file is shuffled for its card and for its content, and not to be looked up again."""
+    rows = spark.range(6000).selectExpr("id div 6 card_id", "cast(id as string) row_id", "cast(id % 6 as int) pos", "'docx' extension", "cast(null as string) category", "'f' name", "concat('h', id % 500) sha256")
+    cards = rows.select("card_id", F.col("card_id").alias("pos"), F.lit("Order").alias("type_name")).distinct()
+    rows, cards = cut(rows), cut(cards)
+    got = []
+    moved = shuffled(spark, lambda: got.extend(files.content_owners(files.file_roles(rows, cards, whole=True), rows, cards)[0].collect()))
+    assert len(got) == 6000 and sum(r["copies"] for r in got) == sum(r["skip_reason"] == "copy" for r in got) == 5500
+    assert moved < 16_000  # 12,000 and 2,000 candidates for owners
