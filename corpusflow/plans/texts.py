@@ -244,13 +244,13 @@ def ud3_parsed(spark, d):
 def src1_cards(spark, d):
     """Cards written as JSON beside one that is broken, read with the wanted sections and flattened; the broken one is an issue."""
     path = _folder(spark, "cards")
-    nested_cards(spark, d).write.json(path)
+    nested_cards(spark, d).write.json(path, compression="gzip")
     spark.createDataFrame([('{"id": [broken',)], "value string").coalesce(1).write.text(f"{path}/broken")
     good, bad = io.read_cards(spark, path, ("COMMON",), many=True)
-    flat = manifest.from_sections(good).select("card_id", "type_name", "doc_type_title", "full_number", "state_id", F.col("doc_date").cast("string").alias("doc_date"))
-    omitted = good.select(F.col("id").alias("card_id"), F.array_join(F.sort_array("omitted"), "|").alias("omitted"))
+    omitted = F.array_join(F.sort_array("omitted"), "|").alias("omitted")
+    flat = manifest.from_sections(good, keep=("omitted",)).select("card_id", "type_name", "doc_type_title", "full_number", "state_id", F.col("doc_date").cast("string").alias("doc_date"), omitted)
     issues = bad.select(F.lit("issue").alias("card_id"), F.col("kind").alias("type_name"))
-    return flat.join(omitted, "card_id").unionByName(issues, allowMissingColumns=True)
+    return flat.unionByName(issues, allowMissingColumns=True)
 
 
 def src2_manifest(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpusflow.plans as plans
 from corpusflow.operators import files, postings
+from corpusflow.plans import texts
 from corpusflow.plans.standins import standin
 from corpusflow.runtime import cut
 
@@ -88,3 +89,11 @@ def test_owners_move_a_file_twice(spark):
     moved = shuffled(spark, lambda: got.extend(files.content_owners(files.file_roles(rows, cards, whole=True), rows, cards)[0].collect()))
     assert len(got) == 6000 and sum(r["copies"] for r in got) == sum(r["skip_reason"] == "copy" for r in got) == 5500
     assert moved < 16_000  # 12,000 and 2,000 candidates for owners
+
+
+@pytest.mark.parametrize("name", ["src1_cards"])
+def test_json_is_written_compressed(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(texts, "_folder", lambda spark, what: f"{tmp_path}/{what}")
+    assert plans.QUERIES[name](spark, SF).count()
+    parts = [f for f in glob.glob(f"{tmp_path}/*/**/part-*", recursive=True) if ".txt" not in f]
+    assert parts and all(f.endswith(".json.gz") for f in parts)
