@@ -259,8 +259,8 @@ def src2_manifest(spark, d):
     f = standin(spark, d, "files").groupBy("card_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "row_id", "name", "sha256"))), lambda x: F.struct(x["row_id"].alias("row_id"), x["name"].alias("name"), x["sha256"].alias("sha256"), F.lit(True).alias("downloaded"))).alias("files"))
     docs = standin(spark, d, "cards").join(f, "card_id", "left").select(F.col("card_id").cast("string").alias("card_id"), F.col("doc_type_title").alias("doc_kind"), F.col("full_number").alias("number"), F.coalesce("files", F.array().cast(dict(f.dtypes)["files"])).alias("files"))
     edges = standin(spark, d, "links").select(F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"), F.col("ref_type").alias("relation_type"), "reverse_type", F.lit("outgoing").alias("source"))
-    docs.write.json(f"{path}/documents")
-    edges.write.json(f"{path}/edges")
+    docs.write.json(f"{path}/documents", compression="gzip")
+    edges.write.json(f"{path}/edges", compression="gzip")
     documents, held, links = io.read_manifest(spark, path)
     return documents.select(F.lit("document").alias("what"), "card_id", F.col("number").alias("name")).unionByName(held.select(F.lit("file").alias("what"), "card_id", F.concat_ws("/", "row_id", "sha256").alias("name"))).unionByName(links.select(F.lit("edge").alias("what"), F.col("from_id").alias("card_id"), F.concat_ws("/", "to_id", "relation_type").alias("name")))
 

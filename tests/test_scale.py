@@ -91,7 +91,7 @@ def test_owners_move_a_file_twice(spark):
     assert moved < 16_000  # 12,000 and 2,000 candidates for owners
 
 
-@pytest.mark.parametrize("name", ["src1_cards"])
+@pytest.mark.parametrize("name", ["src1_cards", "src2_manifest"])
 def test_json_is_written_compressed(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(texts, "_folder", lambda spark, what: f"{tmp_path}/{what}")
     assert plans.QUERIES[name](spark, SF).count()
