@@ -69,7 +69,8 @@ def content_owners(planned: DataFrame, files: DataFrame, cards: DataFrame) -> tu
     down once, owners are found by a minimum, and a file meets its content's owner once. Where ``planned`` comes whole from ``file_roles``, no file is looked up again.
     """
     if "has_card" not in planned.columns:
-        planned = planned.join(files.select("card_id", "row_id", "pos", "sha256"), ["card_id", "row_id"], "left")
+        facts = files.groupBy("card_id", "row_id").agg(F.min("pos").alias("pos"), F.min_by("sha256", "pos").alias("sha256"))
+        planned = planned.join(facts, ["card_id", "row_id"], "left")
         planned = planned.join(cards.select("card_id", F.col("pos").alias("card_pos"), F.lit(True).alias("has_card")), "card_id", "left")
     taken = F.col("role").isNotNull() & F.col("sha256").isNotNull() & F.coalesce("has_card", F.lit(False))
     # files of no content have a key of their own, as nulls would fill one task
