@@ -59,10 +59,10 @@ def test_pages_of_equal_cursors(spark, tmp_path):
     assert same_rows(spark, made(tmp_path, conversations=talks), "wn12_pages")
 
 
-def shuffled(spark, work):
-    """Records that ``work`` writes to shuffles."""
+def shuffled(spark, work, what="shuffleWriteRecords"):
+    """Records (or bytes) that ``work`` writes to shuffles."""
     store, call = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava
-    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in call(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    stages = lambda: {s.stageId(): getattr(s, what)() for s in call(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
     before = max(stages(), default=-1)
     work()
     return sum(n for stage, n in stages().items() if stage > before)
@@ -97,3 +97,10 @@ def test_json_is_written_compressed(spark, tmp_path, monkeypatch, name):
     assert plans.QUERIES[name](spark, SF).count()
     parts = [f for f in glob.glob(f"{tmp_path}/*/**/part-*", recursive=True) if ".txt" not in f]
     assert parts and all(f.endswith(".json.gz") for f in parts)
+
+
+def test_files_are_numbered_before_their_texts_are_made(spark):
+    """A line is shuffled as the numbers that it is, not with the hash and the names made of it."""
+    rows = standin(spark, SF, "files").select("card_id", "row_id", "pos", "sha256", "name")
+    moved = shuffled(spark, lambda: rows.write.format("noop").mode("overwrite").save(), "shuffleWriteBytes")
+    assert moved < 40 * rows.count()  # 77 before
