@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..runtime import cut
 from ..sources.store import BucketStore
-from .ingest import ROCKS
 
-ROW = ("what", "id", "message_id", "conversation_id", "parent_id", "body", "trace_id", "created_s", "value")
 ROWS = "row_id string, what string, id string, message_id string, conversation_id string, parent_id string, body string, trace_id string, created_s bigint, value int"
+VALUES = ("conversation_id", "parent_id", "body", "trace_id", "value")
+PARTS = "message_id string, what string, id string, seq bigint, gone boolean, deleted bigint, first bigint, conversation_id string, parent_id string, body string, trace_id string, value int, created_s bigint"
 CONVERSATIONS = "conversation_id string, updated_s bigint, held map<string,struct<seq:bigint,value:string>>"
 
 
@@ -33,62 +30,57 @@ def writes(messages: DataFrame, elements: DataFrame, feedback: DataFrame) -> Dat
     return join(join(own, child), join(elements.withColumn("what", F.lit("element")), rated))
 
 
-class MessageProcessor(StatefulProcessor):
-    """What a message has: its last write and when it was first written, its elements, its rating, and traces of its children.
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """``PARTS`` of the writes that are told apart by ``batch``: of each part of a message its last write and what is known of all.
 
-    The last write by ``seq`` counts, whenever it comes. A deleted message takes along the elements and
-    the rating written before its deletion. Elements and ratings that come before their message wait
-    for it.
+    The last write by ``seq`` counts, whenever it comes, of equal ones that of the later batch.
+    ``deleted`` is the last deletion, ``first`` the first write, which tells ``created_s``.
     """
+    last, first = F.struct("seq", "batch", "gone", *VALUES), F.struct("first", "batch", "created_s")
+    held = parts.groupBy("message_id", "what", "id").agg(F.max(last).alias("last"), F.min(first).alias("early"), F.max("deleted").alias("deleted"))
+    return held.select("message_id", "what", "id", "last.seq", "last.gone", "deleted", "early.first", *[f"last.{c}" for c in VALUES], "early.created_s")
+
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parts = handle.getMapState("parts", "what string, id string", "seq bigint, gone boolean, deleted bigint, first bigint, conversation_id string, parent_id string, body string, trace_id string, created_s bigint, value int")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - names of the interface
-        held = {tuple(k): list(v) for k, v in self.parts.iterator()}
-        for frame in rows:
-            for w in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                w |= {c: None if w[c] is None else int(w[c]) for c in ("seq", "created_s", "value")}  # a column with nulls comes as doubles
-                name = (w["what"], w["id"])
-                old, gone = held.get(name), bool(w["gone"])
-                deleted = max(old[2] if old else -1, w["seq"] if gone else -1)
-                first, created = (w["seq"], w["created_s"]) if old is None or w["seq"] < old[3] else (old[3], old[8])
-                if old is None or w["seq"] >= old[0]:
-                    held[name] = [w["seq"], gone, deleted, first, w["conversation_id"], w["parent_id"], w["body"], w["trace_id"], created, w["value"]]
-                else:
-                    held[name] = [*old[:2], deleted, first, *old[4:8], created, old[9]]
-                self.parts.updateValue(name, tuple(held[name]))
-        message = held.get(("message", key[0]))
-        there = message is not None and not message[1]
-        told = max(((c[8] if c[8] is not None else -1, n[1], c[7]) for n, c in held.items() if n[0] == "child" and not c[1] and c[7] is not None), default=(0, "", None))
-        made = []
-        for (what, id_), v in held.items():
-            if what == "child":
-                continue
-            stays = there and not v[1] and (what == "message" or v[0] > message[2])
-            trace = (message[7] or told[2]) if what == "feedback" and message else v[7]
-            made.append([f"{what}:{id_}", what, id_, key[0], v[4], v[5], v[6], trace, v[8] if what == "message" else None, v[9], stays])
-        yield pd.DataFrame(made, columns=["row_id", *ROW, "there"]).astype({"created_s": "Int64", "value": "Int32"})
-
-    def close(self) -> None:
-        pass
+def standing(parts: DataFrame) -> DataFrame:
+    """``ROWS`` with ``there``, of all parts of messages: what stands of them.
+
+    A deleted message takes along the elements and the rating written before its deletion. Elements
+    and ratings without their message wait for it. A rating has the trace of its message, else that
+    of the message's latest child.
+    """
+    is_ = lambda what: F.col("what") == what
+    own = F.max(F.when(is_("message"), F.struct(F.col("gone"), F.col("deleted"), F.col("trace_id")))).alias("own")
+    told = F.max(F.when(is_("child") & ~F.col("gone") & F.col("trace_id").isNotNull(), F.struct(F.coalesce("created_s", F.lit(-1)), F.col("id"), F.col("trace_id").alias("trace_id")))).alias("told")
+    met = parts.where(~is_("child")).join(parts.groupBy("message_id").agg(own, told), "message_id")
+    stays = F.coalesce(~F.col("own.gone"), F.lit(False)) & ~F.col("gone") & (is_("message") | (F.col("seq") > F.col("own.deleted")))
+    trace = F.when(is_("feedback") & F.col("own").isNotNull(), F.coalesce(F.nullif(F.col("own.trace_id"), F.lit("")), F.col("told.trace_id"))).otherwise(F.col("trace_id"))
+    return met.select(
+        F.concat_ws(":", "what", "id").alias("row_id"), "what", "id", "message_id", "conversation_id", "parent_id", "body", trace.alias("trace_id"),
+        F.when(is_("message"), F.col("created_s")).alias("created_s"), "value", F.coalesce(stays, F.lit(False)).alias("there"),
+    )
 
 
 def chat_stream(events: DataFrame, rows: BucketStore, checkpoint: str):
     """Merges all ``writes`` that a stream has now into ``rows``: one row for each message, element and rating that stands.
 
-    The state is per message, so a conversation with a third of all writes is divided. A rating has
-    the trace of its message, else that of the message's latest child. A batch counts once.
+    What is known of messages lies in a store of its own beside ``rows``, by message, so a conversation
+    with a third of all writes is divided; of it a batch reads and rewrites the buckets of its
+    messages. Merging a batch again changes nothing, and a store takes each batch once.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    names = ["what", "id", "conversation_id", "seq", "gone", "parent_id", "body", "trace_id", "created_s", "value"]
-    merged = events.select("message_id", *names).groupBy("message_id").transformWithStateInPandas(MessageProcessor(), ROWS + ", there boolean", "Update", "None")
+    spark = events.sparkSession
+    known = BucketStore(spark, f"{rows.folder}/parts", StructType.fromDDL(PARTS), "message_id", rows.buckets)
 
     def take(batch: DataFrame, number: int) -> None:
-        made = cut(batch)
+        new = cut(merged_parts(batch.select("message_id", "what", "id", "seq", F.coalesce("gone", F.lit(False)).alias("gone"), F.when(F.col("gone"), F.col("seq")).otherwise(-1).alias("deleted"), F.col("seq").alias("first"), *VALUES, "created_s", F.lit(1).alias("batch"))))
+        keys = new.select("message_id").distinct()
+        if known.versions():
+            old = known.rows(buckets=known.touched(keys)).join(keys, "message_id", "left_semi")
+            new = cut(merged_parts(new.withColumn("batch", F.lit(1)).unionByName(old.withColumn("batch", F.lit(0)))))
+        known.apply(new, batch=number)
+        made = cut(standing(new))
         rows.apply(made.where("there").drop("there"), made.where("not there").select("row_id"), batch=number)
 
-    return merged.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def conversation_stream(events: DataFrame, table: BucketStore, checkpoint: str):

@@ -6,12 +6,15 @@ import os
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import corpusflow.plans as plans
 from corpusflow.operators import files, postings
 from corpusflow.plans import texts
 from corpusflow.plans.standins import standin
 from corpusflow.runtime import cut
+from corpusflow.sources.store import BucketStore
+from corpusflow.streaming import conversations
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables on this machine")
@@ -104,3 +107,22 @@ def test_files_are_numbered_before_their_texts_are_made(spark):
     rows = standin(spark, SF, "files").select("card_id", "row_id", "pos", "sha256", "name")
     moved = shuffled(spark, lambda: rows.write.format("noop").mode("overwrite").save(), "shuffleWriteBytes")
     assert moved < 40 * rows.count()  # 77 before
+
+
+def test_chats_are_merged_without_a_call_for_each_message(spark, tmp_path):
+    """Messages are merged by Spark and not by Python key by key, and what stands doesn't depend on the batches that writes come in."""
+    made = lambda rows, *more: rows.selectExpr("cast(id as string) id", "'c' conversation_id", "cast(null as string) trace_id", "id created_s", *more)
+    m = made(spark.range(300), "cast(id + 1 as string) parent_id", "'first' body", "1L seq", "false gone")
+    m = m.unionByName(made(spark.range(0, 300, 3), "cast(null as string) parent_id", "'last' body", "5L seq", "id % 2 = 0 gone"))
+    e = spark.range(300).selectExpr("concat('e', id) id", "cast(id as string) message_id", "'c' conversation_id", "'x' body", "4L seq", "false gone")
+    f = spark.range(300).selectExpr("cast(id as string) message_id", "'c' conversation_id", "1 value", "'note' body", "6L seq", "false gone")
+    events, found = conversations.writes(m, e, f), []
+    for rounds in ([F.lit(True)], [F.col("seq") > 4, F.col("seq") <= 4]):
+        place = f"{tmp_path}/{len(rounds)}"
+        held = BucketStore(spark, f"{place}/chats", StructType.fromDDL(conversations.ROWS), "row_id", 4)
+        for when in rounds:
+            events.where(when).write.mode("append").parquet(f"{place}/in")
+            conversations.chat_stream(spark.readStream.schema(events.schema).parquet(f"{place}/in"), held, f"{place}/state").awaitTermination()
+        assert not os.path.isdir(f"{place}/state/state")  # of each message, before
+        found.append(sorted(map(str, held.rows().collect())))
+    assert found[0] == found[1] and len(found[0]) == 250 * 3  # of the fifty that were deleted after their elements only the ratings came later, without a message
