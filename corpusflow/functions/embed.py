@@ -24,11 +24,16 @@ def coded_words(text: Column) -> Column:
 
 
 def dense_vector(coded: Column, dims: int) -> Column:
-    """Words counted by ``code % dims``, scaled to length 1; zeros without words."""
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(coded, lambda w: w["code"] % dims == d)).cast("double"))
+    """Words counted by ``code % dims``, scaled to length 1; zeros without words.
+
+    Words, counts and length are bound by lambdas, so that each is computed once a row, whatever the
+    optimizer copies; the words of a place are counted by what removing them leaves.
+    """
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    counts = lambda places: F.array(*[(F.size(places) - F.size(F.array_remove(places, d))).cast("double") for d in range(dims)])
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    scaled = lambda v: F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(x))
-    return F.element_at(F.transform(F.array(counts), scaled), 1)
+    scaled = lambda v: once(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)))
+    return once(once(F.transform(coded, lambda w: w["code"] % dims), counts), scaled)
 
 
 def sparse_vector(coded: Column) -> Column:

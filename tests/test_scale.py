@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 import corpusflow.plans as plans
+from corpusflow.functions import embed
 from corpusflow.operators import files, postings
 from corpusflow.plans import texts
 from corpusflow.plans.standins import standin
@@ -126,3 +127,12 @@ def test_chats_are_merged_without_a_call_for_each_message(spark, tmp_path):
         assert not os.path.isdir(f"{place}/state/state")  # of each message, before
         found.append(sorted(map(str, held.rows().collect())))
     assert found[0] == found[1] and len(found[0]) == 250 * 3  # of the fifty that were deleted after their elements only the ratings came later, without a message
+
+
+def test_words_are_coded_once_for_all_places_of_a_vector(spark):
+    """No lambda of a vector's places goes over the words again, and counts are those of the codes."""
+    frame = plans.QUERIES["sc23_dense"](spark, SF)
+    assert "filter(" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    coded = spark.createDataFrame([([(5, 1), (13, 2), (8, 1), (0, 1)],), ([],)], "coded array<struct<code:int,length:int>>")
+    got = [r[0] for r in coded.select(embed.dense_vector(F.col("coded"), 8)).collect()]
+    assert got[1] == [0.0] * 8 and got[0] == [x / 8**0.5 for x in (2.0, 0, 0, 0, 0, 2.0, 0, 0)]
