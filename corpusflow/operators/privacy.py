@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import ahocorasick
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..runtime import cut
+
 NAME = r"(?U)\b(\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?\s+\p{Lu}\.\s?\p{Lu}\.|\p{Lu}\.\s?\p{Lu}\.\s?\p{Lu}\p{Ll}+)"
 
 
@@ -81,16 +84,16 @@ def replace_names(rows: DataFrame, scope: str, columns: list[str], names: DataFr
     replaced too, as they are spelled in the names. Rows of one scope share its automaton, which a
     task builds once. Null texts stay null; rows without a scope or a name stay as they are.
     """
-    told = numbered_names(names.select(scope, "name", "surname").where("name <> ''").distinct(), scope)
+    told = numbered_names(cut(names.select(scope, "name", "surname").where("name <> ''").distinct()), scope)  # found once, as they are used twice
     spelled = told.select(scope, "name", "alias")
     if bare:
         alone = told.select(scope, surname_of(F.col("name")).alias("name"), "alias")
         spelled = spelled.unionByName(alone)
     one = spelled.groupBy(scope, "name").agg(F.min("alias").alias("alias"))
-    maps = one.groupBy(scope).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "alias")))).alias("__names"))
+    maps = one.groupBy(scope).agg(F.to_json(F.sort_array(F.collect_list(F.struct("name", "alias")))).alias("__names"))
     met = rows.join(maps, scope, "left")
     values = {c: F.map_values(c) if t.startswith("map") else F.col(c) if t.startswith("array") else F.array(c) for c, t in rows.dtypes if c in columns}
-    made = met.withColumn("__made", replaced(F.array(*values.values()), F.col("__names"), F.xxhash64(F.to_json("__names"))))
+    made = met.withColumn("__made", replaced(F.array(*values.values()), F.col("__names")))
     back = {}
     for place, (name, kind) in enumerate((c, t) for c, t in rows.dtypes if c in columns):
         new = F.get("__made", place)
@@ -98,24 +101,19 @@ def replace_names(rows: DataFrame, scope: str, columns: list[str], names: DataFr
     return made.select(*[back[c].alias(c) if c in back else F.col(c) for c in rows.columns])
 
 
-def replaced(texts: Column, names: Column, key: Column) -> Column:
-    """Arrays of arrays of texts with names replaced; ``key`` tells equal tables of names."""
+def replaced(texts: Column, names: Column) -> Column:
+    """Arrays of arrays of texts with names replaced; ``names`` are tables of ``name, alias`` as JSON, each read once in a batch."""
 
     @F.pandas_udf("array<array<string>>")
-    def run(lists: pd.Series, tables: pd.Series, keys: pd.Series) -> pd.Series:
-        known: dict[int, Replacer] = {}
+    def run(lists: pd.Series, tables: pd.Series) -> pd.Series:
+        known = {t: Replacer({n["name"]: n["alias"] for n in json.loads(t)}) for t in tables.dropna().unique()}
         out = []
-        for arrays, table, k in zip(lists, tables, keys):
-            if table is None or not len(table):
-                out.append(arrays)
-                continue
-            if k not in known:
-                known[k] = Replacer(dict(table))
-            change = known[k]
-            out.append([None if a is None else [None if t is None else change(t) for t in a] for a in arrays])
+        for arrays, table in zip(lists, tables):
+            change = known.get(table)
+            out.append(arrays if change is None else [None if a is None else [None if t is None else change(t) for t in a] for a in arrays])
         return pd.Series(out, dtype="object")
 
-    return run(texts, names, key)
+    return run(texts, names)
 
 
 def anonymize(rows: DataFrame, scope: str, text: str) -> DataFrame:

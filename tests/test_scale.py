@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 import corpusflow.plans as plans
 from corpusflow.functions import embed
-from corpusflow.operators import files, postings
+from corpusflow.operators import files, postings, privacy
 from corpusflow.plans import texts
 from corpusflow.plans.standins import standin
 from corpusflow.runtime import cut
@@ -136,3 +136,17 @@ def test_words_are_coded_once_for_all_places_of_a_vector(spark):
     coded = spark.createDataFrame([([(5, 1), (13, 2), (8, 1), (0, 1)],), ([],)], "coded array<struct<code:int,length:int>>")
     got = [r[0] for r in coded.select(embed.dense_vector(F.col("coded"), 8)).collect()]
     assert got[1] == [0.0] * 8 and got[0] == [x / 8**0.5 for x in (2.0, 0, 0, 0, 0, 2.0, 0, 0)]
+
+
+def test_names_are_found_once(spark):
+    """Names of all rows are found once, however often they are used, and each row gets those of its scope."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def name(n):
+        asked.add(1)
+        return f"Petrov{'x' * (n % 3)} A.A."
+
+    rows = spark.range(60).selectExpr("id", "id % 2 scope", "concat('ask Petrov', repeat('x', cast(id % 3 as int)), ' A.A.') body")
+    names = rows.select("scope", F.udf(name).asNondeterministic()("id").alias("name")).withColumn("surname", F.lower(privacy.surname_of(F.col("name"))))
+    got = {r["id"]: r["body"] for r in privacy.replace_names(rows, "scope", ["body"], names).collect()}
+    assert got == {n: f"ask Person {n % 3 + 1}" for n in range(60)} and asked.value == 60
