@@ -4,13 +4,14 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 import corpusflow.plans as plans
 from corpusflow.functions import embed
-from corpusflow.operators import files, postings, privacy
+from corpusflow.operators import files, postings, privacy, termjoin
 from corpusflow.plans import texts
 from corpusflow.plans.standins import standin
 from corpusflow.runtime import cut
@@ -150,3 +151,38 @@ def test_names_are_found_once(spark):
     names = rows.select("scope", F.udf(name).asNondeterministic()("id").alias("name")).withColumn("surname", F.lower(privacy.surname_of(F.col("name"))))
     got = {r["id"]: r["body"] for r in privacy.replace_names(rows, "scope", ["body"], names).collect()}
     assert got == {n: f"ask Person {n % 3 + 1}" for n in range(60)} and asked.value == 60
+
+
+def test_sets_of_letters_are_made_by_many_tasks(spark):
+    """Few lists of tokens become many sets, by more than one task, and each set once."""
+    keys = spark.range(400).select(F.concat(F.lit("en "), F.substring(F.md5(F.col("id").cast("string")), 1, 12)).alias("key"))
+    sets = cut(termjoin.letter_keys(termjoin.token_lists(keys), 0.75))
+    assert sets.select(F.spark_partition_id()).distinct().count() > 1
+    assert sets.count() == sets.select("key", "meet").distinct().count()
+
+
+def test_pairs_that_share_too_few_letters_are_dropped_where_they_meet(spark):
+    """Of keys that meet none that reaches the ratio is lost by their marks, and most others are dropped."""
+    keys = spark.range(300).select(F.concat(F.lit("en "), F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 8), "0123456789", "ghijklmnop")).alias("key"))
+    sets = cut(termjoin.letter_keys(termjoin.token_lists(keys), 0.75))
+    met = {tuple(r) for r in sets.select("key", "meet").join(sets.select(F.col("key").alias("other"), "meet"), "meet").select("key", "other").distinct().collect()}
+    left = {tuple(r) for r in termjoin.close_letters(sets, keys, keys, 0.75 - 1e-9).distinct().collect()}
+    shared = lambda a, b: sum(min(a.count(c), b.count(c)) for c in set(a))
+    assert {(a, b) for a, b in met if 2 * shared(a, b) >= 0.75 * (len(a) + len(b))} <= left <= met
+    assert len(left) < len(met) / 2
+
+
+def test_common_letters_are_the_longest_common_subsequence():
+    texts = ["", "a", "abcab", "b\0ca", "\0", "ab" * 32, "ba" * 31 + "c", "жab ж", "x" * 65, "ab" * 40]
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    pairs = [(a, b) for a in texts for b in texts]
+    got = termjoin.common_letters(*(pd.Series(side) for side in zip(*pairs)))
+    assert [int(n) for n in got] == [longest(a, b) if max(len(a), len(b)) <= 64 else min(len(a), len(b)) for a, b in pairs]
