@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 import corpusflow.plans as plans
 from corpusflow.functions import embed
-from corpusflow.operators import files, postings, privacy, termjoin
+from corpusflow.operators import files, glossary, postings, privacy, termjoin
 from corpusflow.plans import texts
 from corpusflow.plans.standins import standin
 from corpusflow.runtime import cut
@@ -186,3 +186,11 @@ def test_common_letters_are_the_longest_common_subsequence():
     pairs = [(a, b) for a in texts for b in texts]
     got = termjoin.common_letters(*(pd.Series(side) for side in zip(*pairs)))
     assert [int(n) for n in got] == [longest(a, b) if max(len(a), len(b)) <= 64 else min(len(a), len(b)) for a, b in pairs]
+
+
+def test_records_of_one_key_are_cut_before_they_meet_terms(spark):
+    """Of a key with a thousand records its first ones are moved, for each of the terms that find it."""
+    held = spark.range(1000).select(F.format_string("r%04d", F.col("id")).alias("record_id"), F.lit("EN Word").alias("term"), F.lit("en word").alias("term_key"), F.concat(F.lit("meaning "), "id").alias("definition"), F.lit("active").alias("doc_status"), F.lit("doc").alias("doc_label"))
+    assert sorted(r["record_id"] for r in glossary.first_records(held).collect()) == [f"r{n:04d}" for n in range(5)]
+    terms = spark.createDataFrame([("en word",), ("en words",)], "term string")
+    assert sorted((r["term"], r["record_id"]) for r in glossary.lookup(terms, held).collect()) == [(t, f"r{n:04d}") for t in ("en word", "en words") for n in range(5)]
