@@ -115,11 +115,15 @@ def draft_numbers(sizes: Column, clauses: Column, marks: Column, least: int) ->
 
 
 def by_words(text: Column, limit: Column, counter: Counter) -> Column:
-    """A text longer than the limit, cut between words into parts that fit however long its words are."""
-    w, blank = words(text), counter(F.lit(" "))
-    step = F.greatest(F.lit(1), F.floor((limit + blank) / F.greatest(F.lit(1), F.array_max(F.transform(w, counter)) + blank)).cast("int"))
-    parts = F.transform(F.sequence(F.lit(0), F.size(w) - 1, step), lambda i: F.array_join(F.slice(w, i + 1, step), " "))
-    return F.when(counter(text) <= limit, F.array(text)).otherwise(parts)
+    """A text longer than the limit, cut between words into parts that fit however long its words are.
+
+    Words and step are bound as variables: what an inner function takes from outside is made anew for each part.
+    """
+    blank = counter(F.lit(" "))
+    step = lambda w: F.greatest(F.lit(1), F.floor((limit + blank) / F.greatest(F.lit(1), F.array_max(F.transform(w, counter)) + blank)).cast("int"))
+    bound = F.transform(F.array(words(text)), lambda w: F.struct(w.alias("words"), step(w).alias("step")))
+    cut_up = lambda b: F.transform(F.sequence(F.lit(0), F.size(b["words"]) - 1, b["step"]), lambda i: F.array_join(F.slice(b["words"], i + 1, b["step"]), " "))
+    return F.when(counter(text) <= limit, F.array(text)).otherwise(F.flatten(F.transform(bound, cut_up)))
 
 
 def with_windows(rows: DataFrame, text: str, limit: str, overlap: int, counter: Counter = word_count) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import time
 
 import duckdb
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql.types import StructType
 
 import corpusflow.plans as plans
 from corpusflow.functions import embed
-from corpusflow.operators import files, glossary, postings, privacy, termjoin
+from corpusflow.operators import chunking, files, glossary, postings, privacy, termjoin
 from corpusflow.plans import texts
 from corpusflow.plans.standins import standin
 from corpusflow.runtime import cut
@@ -194,3 +195,12 @@ def test_records_of_one_key_are_cut_before_they_meet_terms(spark):
     assert sorted(r["record_id"] for r in glossary.first_records(held).collect()) == [f"r{n:04d}" for n in range(5)]
     terms = spark.createDataFrame([("en word",), ("en words",)], "term string")
     assert sorted((r["term"], r["record_id"]) for r in glossary.lookup(terms, held).collect()) == [(t, f"r{n:04d}") for t in ("en word", "en words") for n in range(5)]
+
+
+def test_long_sentences_are_cut_in_one_pass(spark):
+    """A sentence of sixty thousand words is split once, not for each of its parts."""
+    rows = spark.range(1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("text"), F.lit(60).alias("limit"))
+    rows, started = cut(rows), time.perf_counter()
+    got = chunking.with_windows(rows, "text", "limit", 0).select("windows").first()[0]
+    assert time.perf_counter() - started < 15
+    assert len(got) == 1000 and " ".join(got) == rows.first()["text"] and got[0].count(" ") == 59
