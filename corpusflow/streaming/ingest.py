@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,10 +30,10 @@ class FileProcessor(StatefulProcessor):
         self.known = handle.getValueState("file", "sha256 string, fingerprint string, status string")
         self.parser = self.factory()
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - names of the interface
-        given = [r for frame in rows for r in frame.astype(object).where(frame.notna(), None).to_dict("records")]
-        row = max(given, key=lambda r: (r["sha256"] or "", r["fingerprint"] or ""))
-        sha, mark, status = self.known.get() if self.known.exists() else (None, None, None)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803 - names of the interface
+        row = max((r.asDict() for r in rows), key=lambda r: (r["sha256"] or "", r["fingerprint"] or ""))
+        held = self.known.get()
+        sha, mark, status = held or (None, None, None)
         had, reason, items = status == "indexed", None, []
         if row["role"] is None:
             action, now = "skipped", "skipped"
@@ -47,11 +46,13 @@ class FileProcessor(StatefulProcessor):
             except Exception as problem:  # noqa: BLE001 - one file must not fail the batch
                 now, reason = "failed", f"{type(problem).__name__}: {problem}"
         if now == "failed" and had:  # it keeps what it had, and is parsed again when it comes again
-            self.known.update((None, mark, "indexed"))
+            known = (None, mark, "indexed")
         else:
-            self.known.update((row["sha256"], row["fingerprint"], now))
+            known = (row["sha256"], row["fingerprint"], now)
+        if held is None or tuple(held) != known:
+            self.known.update(known)
         if action != "unchanged":
-            yield pd.DataFrame([[*key, action, now, reason, had, *[row[p] for p in self.payload], items]], columns=[*KEY, "action", "status", "reason", "had", *self.payload, "items"])
+            yield Row(**dict(zip(KEY, key)), action=action, status=now, reason=reason, had=had, **{p: row[p] for p in self.payload}, items=items)
 
     def close(self) -> None:
         pass
@@ -74,7 +75,7 @@ def ingest_stream(files: DataFrame, chunks: BucketStore, outcomes: BucketStore,
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kinds = dict(files.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in KEY) + ", action string, status string, reason string, had boolean, " + "".join(f"{c} {kinds[c]}, " for c in payload) + "items array<string>"
-    decided = files.groupBy(*KEY).transformWithStateInPandas(FileProcessor(factory, payload), schema, "Update", "None")
+    decided = files.groupBy(*KEY).transformWithState(FileProcessor(factory, payload), schema, "Update", "None")
 
     def take(batch: DataFrame, number: int) -> None:
         rows = cut(batch.withColumnRenamed("row_id", "file_row_id"))  # files are parsed once

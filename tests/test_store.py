@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusflow.sources.store import BucketStore
-from corpusflow.streaming.ingest import ingest_stream
+from corpusflow.streaming.ingest import FileProcessor, ingest_stream
 
 ROWS = "file_row_id string, n int, body string"
 
@@ -109,3 +109,27 @@ def test_ingest_keeps_what_fails_and_repeats_a_batch(spark, folder):
 
 def held_items(store):
     return sorted((r["file_row_id"], r["n"], r["item"], r["label"]) for r in store.rows().collect())
+
+
+def test_files_are_decided_by_rows_and_states_written_only_when_they_change():
+    """A file is decided without a frame made for it, and one that is as it was writes no state."""
+    from pyspark.sql import Row
+
+    class Value:
+        held, written = None, 0
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held, self.written = value, self.written + 1
+
+    known = Value()
+    made = FileProcessor(lambda: lambda row: row["text"].split("\n"), ("label",))
+    made.init(type("Handle", (), {"getValueState": lambda self, name, schema: known})())
+    file = Row(card_id=1, row_id="a", role="main", sha256="x", fingerprint="p", label="p", text="one\ntwo")
+    feed = lambda **changed: [r.asDict() for r in made.handleInputRows((1, "a"), iter([Row(**(file.asDict() | changed))]), None)]
+    assert feed() == [{"card_id": 1, "row_id": "a", "action": "parse", "status": "indexed", "reason": None, "had": False, "label": "p", "items": ["one", "two"]}]
+    assert feed() == [] and known.written == 1
+    assert [r["action"] for r in feed(fingerprint="q", label=None)] == ["metadata_only"] and known.held == ("x", "q", "indexed") and known.written == 2
+    assert [r["action"] for r in feed(role=None)] == ["skipped"] and known.held == ("x", "p", "skipped")
