@@ -12,9 +12,9 @@ from pyspark.sql.types import StructType
 
 import corpusflow.plans as plans
 from corpusflow.functions import embed
-from corpusflow.operators import chunking, files, glossary, postings, privacy, termjoin
+from corpusflow.operators import chunking, files, glossary, manifest, postings, privacy, termjoin
 from corpusflow.plans import texts
-from corpusflow.plans.standins import standin
+from corpusflow.plans.standins import nested_cards, standin
 from corpusflow.runtime import cut
 from corpusflow.sources.store import BucketStore
 from corpusflow.streaming import conversations
@@ -204,3 +204,19 @@ def test_long_sentences_are_cut_in_one_pass(spark):
     got = chunking.with_windows(rows, "text", "limit", 0).select("windows").first()[0]
     assert time.perf_counter() - started < 15
     assert len(got) == 1000 and " ".join(got) == rows.first()["text"] and got[0].count(" ") == 59
+
+
+def test_sections_are_made_once_for_all_fields_of_a_card(spark):
+    """However many fields are read out of a card's sections, these are put together once."""
+    plan = manifest.document_fields(nested_cards(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map(Common") == 1
+
+
+def test_a_view_of_cards_does_not_join_cards_to_themselves(spark):
+    """The fields of a card's summary are read beside its sections, with the rows that a join would give."""
+    cards = nested_cards(spark, SF)
+    one, two = (manifest.card_view(cards, ["common", "APPROVERS"], *given) for given in ([], [manifest.document_fields(cards)]))
+    scans = [v._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") for v in (one, two)]
+    assert scans == [1, 2]
+    shown = lambda v: sorted(str(r) for r in v.select("doc_id", "included", "omitted", "files", "summary", F.map_keys("sections").alias("k")).collect())
+    assert shown(one) == shown(two)
