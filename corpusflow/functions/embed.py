@@ -55,9 +55,14 @@ def pooled_maps(terms: DataFrame, key: str) -> DataFrame:
     return best.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "weight")))).alias("sparse"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def cosine(a: Column, b: Column, squares: tuple[Column, Column] | None = None) -> Column:
+    """Cosine of two vectors; where each meets many others, their ``squares`` (``dot`` with themselves) are made once, before they meet."""
+    of_a, of_b = squares or (dot(a, a), dot(b, b))
+    return dot(a, b) / F.sqrt(of_a * of_b)
 
 
 def overlap_score(query: Column, text: Column) -> Column:

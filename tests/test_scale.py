@@ -220,3 +220,9 @@ def test_a_view_of_cards_does_not_join_cards_to_themselves(spark):
     assert scans == [1, 2]
     shown = lambda v: sorted(str(r) for r in v.select("doc_id", "included", "omitted", "files", "summary", F.map_keys("sections").alias("k")).collect())
     assert shown(one) == shown(two)
+
+
+def test_squares_of_vectors_are_made_before_they_meet(spark):
+    """A pair of vectors costs one product, not three."""
+    plan = plans.QUERIES["sc25_cosine"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join")[0].count("zip_with(") == 1 and plan.count("zip_with(") == 3
