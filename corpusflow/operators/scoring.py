@@ -10,6 +10,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 FACETS = (("statuses", "doc_status"), ("kinds", "doc_kind"), ("departments", "department"), ("doc_ids", "doc_id"))
+PIECE = 1 << 18  # tokens, and products of them, that a task holds at once
+
+
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows whose sizes sum to ``most`` or less; a larger row is a run of its own."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
 
 
 class Best:
@@ -25,15 +35,21 @@ class Best:
         """Keys and their scores, ``keys x questions`` (all, or those of ``which``); only what can still be among the best is held."""
         k, floor = self.k, self.floor if which is None else self.floor[which]
         low = np.maximum(floor, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]) if len(scores) > k else floor
-        row, question = np.nonzero((scores >= low) & (scores > self.least))
-        self.held.append((question if which is None else which[question], keys.take(pa.array(row)), scores[row, question]))
-        self.size += len(row)
-        if self.size > 4 * k * len(self.floor):
-            rows = self.rows()
-            self.held, self.size = [(rows["q"].to_numpy(), pa.array(rows["key"], keys.type), rows["score"].to_numpy())], len(rows)
-            full = rows.groupby("q")["score"].agg(["size", "min"])
-            full = full[full["size"] == k]
-            self.floor[full.index.to_numpy()] = full["min"].to_numpy()
+        inside, most = (scores >= low) & (scores > self.least), 4 * k * len(self.floor)
+        for at, to in runs(np.count_nonzero(inside, axis=1), most):  # equal scores can be far more than the best
+            row, question = np.nonzero(inside[at:to])
+            row += at
+            self.held.append((question if which is None else which[question], keys.take(pa.array(row)), scores[row, question]))
+            self.size += len(row)
+            if self.size > most:
+                self.shorten(keys.type)
+
+    def shorten(self, kind: pa.DataType) -> None:
+        rows = self.rows()
+        self.held, self.size = [(rows["q"].to_numpy(), pa.array(rows["key"], kind), rows["score"].to_numpy())], len(rows)
+        full = rows.groupby("q")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
 
     def rows(self) -> pd.DataFrame:
         """``q, key, score``."""
@@ -70,7 +86,8 @@ class DenseScorer:
         self.unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return np.round(unit_rows(column, self.unit.shape[1]) @ self.unit.T, 6)
+        found = unit_rows(column, self.unit.shape[1]) @ self.unit.T
+        return np.round(found, 6, out=found)
 
 
 def pooled(row: np.ndarray, token: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,21 +113,33 @@ class SparseScorer:
         self.known, self.start, self.count = np.unique(token[order], return_index=True, return_counts=True)
         self.owner, self.worth, self.width = row[order], weight[order], len(vectors)
 
-    def products(self, row: np.ndarray, token: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``row, question, product`` of each token that a row shares with a question, by row and token."""
-        place = np.minimum(np.searchsorted(self.known, token), max(0, len(self.known) - 1))
-        met = self.known[place] == token if len(self.known) else np.zeros(len(token), bool)
-        row, place, weight = pooled(row[met], place[met], weight[met])
-        lengths = self.count[place]
-        which = np.repeat(np.arange(len(place)), lengths)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + self.start[place][which]
-        return row[which], self.owner[at], weight[which] * self.worth[at]
+    def products(self, sizes: np.ndarray, token: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """``at, to, row, question, product`` of the rows from ``at`` to ``to``: each token that a row shares with a question, by row and token.
+
+        ``sizes`` are the rows' numbers of tokens. Rows are taken a few at a time, so that their
+        tokens and products stay within ``PIECE`` however long they are; a row's come together.
+        """
+        ends = np.cumsum(np.append(0, sizes))
+        for first, last in runs(sizes, PIECE):
+            inside = slice(ends[first], ends[last])
+            held, mine = np.repeat(np.arange(first, last), sizes[first:last]), token[inside].astype(np.int64)
+            place = np.minimum(np.searchsorted(self.known, mine), max(0, len(self.known) - 1))
+            met = self.known[place] == mine if len(self.known) else np.zeros(len(mine), bool)
+            held, place, worth = pooled(held[met], place[met], weight[inside][met].astype(np.float64))
+            lengths = self.count[place]
+            for a, b in runs(np.bincount(held - first, lengths, last - first), PIECE):
+                part = slice(*np.searchsorted(held, (first + a, first + b)))
+                count = lengths[part]
+                which = np.repeat(np.arange(len(count)), count)
+                at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count - self.start[place[part]], count)
+                yield first + a, first + b, held[part][which], self.owner[at], worth[part][which] * self.worth[at]
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        flat, sizes = column.flatten(), list_sizes(column)
-        number = lambda f, kind: flat.field(f).to_numpy(zero_copy_only=False).astype(kind)
-        row, owner, product = self.products(np.repeat(np.arange(len(column)), sizes), number("token", np.int64), number("weight", np.float64))
-        return np.round(np.bincount(row * self.width + owner, product, len(column) * self.width).reshape(len(column), self.width), 6)
+        flat, found = column.flatten(), np.zeros((len(column), self.width))
+        number = lambda f: flat.field(f).to_numpy(zero_copy_only=False)
+        for at, to, row, owner, product in self.products(list_sizes(column), number("token"), number("weight")):
+            found[at:to] = np.bincount((row - at) * self.width + owner, product, (to - at) * self.width).reshape(to - at, self.width)
+        return np.round(found, 6, out=found)
 
 
 class FilterMasks:

@@ -3,16 +3,19 @@
 import glob
 import os
 import time
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 import corpusflow.plans as plans
 from corpusflow.functions import embed
-from corpusflow.operators import chunking, files, glossary, manifest, postings, privacy, termjoin
+from corpusflow.operators import chunking, files, glossary, manifest, postings, privacy, scoring, termjoin
 from corpusflow.plans import texts
 from corpusflow.plans.standins import nested_cards, standin
 from corpusflow.runtime import cut
@@ -226,3 +229,38 @@ def test_squares_of_vectors_are_made_before_they_meet(spark):
     """A pair of vectors costs one product, not three."""
     plan = plans.QUERIES["sc25_cosine"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.split("Join")[0].count("zip_with(") == 1 and plan.count("zip_with(") == 3
+
+
+def most_held(work):
+    """MB that Python held at most, and what came of it."""
+    tracemalloc.start()
+    try:
+        found = work()
+        return tracemalloc.get_traced_memory()[1] / 1e6, found
+    finally:
+        tracemalloc.stop()
+
+
+def test_products_of_long_chunks_are_made_a_few_at_a_time():
+    """What a block's products take doesn't grow with the length of its chunks, and the scores are those of all products."""
+    rng = np.random.default_rng(3)
+    draw = lambda rows, n: [list(zip(rng.integers(0, 600, n).tolist(), rng.integers(10, 30, n).tolist())) for _ in range(rows)]
+    asked, chunks = draw(200, 40), [*draw(600, 900), [], *draw(3, 2), None]
+    scorer = scoring.SparseScorer([[{"token": t, "weight": w / 10} for t, w in v] for v in asked])
+    column = pa.array([v and [{"token": t, "weight": w / 10} for t, w in v] for v in chunks], pa.list_(pa.struct({"token": pa.int32(), "weight": pa.float64()})))
+    mb, got = most_held(lambda: scorer.scores(column))
+    sides = []
+    for rows in (asked, chunks):
+        sides.append(np.zeros((len(rows), 600)))
+        for n, v in enumerate(rows):
+            for t, w in v or []:
+                sides[-1][n, t] = max(sides[-1][n, t], w / 10)
+    assert np.allclose(got, sides[1] @ sides[0].T, atol=1e-5) and mb < 100
+
+
+def test_equal_scores_are_held_a_few_at_a_time():
+    """Of forty thousand equal chunks the smallest keys are the best, whatever their order, and few are held with their keys."""
+    keys = [f"{i * 7919 % 40_000:05d}" for i in range(40_000)]
+    best = scoring.Best(50, 5, -np.inf)
+    mb, _ = most_held(lambda: best.add(pa.array(keys), np.ones((40_000, 50))))
+    assert {(r.q, r.key) for r in best.rows().itertuples()} == {(q, f"{n:05d}") for q in range(50) for n in range(5)} and mb < 100
