@@ -225,6 +225,18 @@ def test_a_view_of_cards_does_not_join_cards_to_themselves(spark):
     assert shown(one) == shown(two)
 
 
+def test_relations_of_a_card_are_not_held_together(spark):
+    """A card's relations are hashed as they pass, in more than one batch, in the order that lists of them have."""
+    line = F.concat_ws(":", "direction", "doc_id", F.coalesce("relation", F.lit("-")))
+    rows = spark.range(32_000).selectExpr("if(id % 16 < 13, 0, id % 7) card_id", "if(id % 3 = 0, 'incoming', 'outgoing') direction", "(id * 7919) % 32000 pos", "id doc_id", "if(id % 5 > 0, concat('ж', id % 5), null) relation", "cast(null as string) doc_type")
+    cards = spark.range(9).selectExpr("cast(id as string) id", "'T' type_name", "'c' type_caption", "'x' created_by_name", "1 version", "'' modified", "map('Common', struct(map('a', 'b') as fields, array(map('a', 'b')) as rows)) sections")
+    told = F.array_join(F.transform("relations", lambda r: F.concat_ws(":", r["direction"], r["doc_id"], F.coalesce(r["relation"], F.lit("-")))), ",")
+    want = {r["doc_id"]: r["m"] for r in manifest.document_fields(cards, rows).where(F.size("relations") > 0).select("doc_id", F.md5(told.cast("binary")).alias("m")).collect()}
+    got = [(str(r["card_id"]), r["relations_md5"]) for r in manifest.relations_md5(rows, line).collect()]
+    assert len(got) == 7 and dict(got) == want
+    assert "collect_list" not in plans.QUERIES["prj1_document"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_squares_of_vectors_are_made_before_they_meet(spark):
     """A pair of vectors costs one product, not three."""
     plan = plans.QUERIES["sc25_cosine"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
