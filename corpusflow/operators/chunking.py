@@ -26,6 +26,7 @@ CONTENTS = r"(?U)(?:\t|\.{3,}|…)\s*\d{1,3}\s*$"
 ATTRIBUTION = r"(?iuU)^\s*к\s"
 BLANKS = r"[ \t\u00a0]+"
 SKIPPED = ("page_header", "page_footer", "footnote", "picture", "formula", "document_index")
+HEADINGS = ("section_header", "title")
 NO_COLUMN = "колонка "
 
 Counter = Callable[[Column], Column]  # tokens of a text; built of Spark's functions, as it is used inside arrays too
@@ -176,11 +177,24 @@ def table_windows(rows: DataFrame, key: list[str], text: str, limit: str, overla
 # ---------------------------------------------------------------- from items to pieces
 
 
-def visible_items(items: DataFrame) -> DataFrame:
-    """``items`` without what lies inside tables and skipped parts: deeper items up to the next of at most their depth."""
+def layout_of(items: DataFrame) -> tuple[list[int], list[int], bool]:
+    """Depths of tables and skipped parts, levels that headings may have, and whether there are tables; as many as layouts nest.
+
+    A heading without a level lies one below the last that has one, or on the top.
+    """
+    blocks = F.col("label").isin("table", *SKIPPED)
+    level = heading_level(F.col("label").isin(*HEADINGS))
+    found = items.agg(
+        F.collect_set(F.when(blocks, F.coalesce("depth", F.lit(0)))).alias("depths"), F.collect_set(F.when(level > 0, level)).alias("levels"), F.bool_or(F.col("label") == "table").alias("tables")
+    ).first()
+    given = {1, *found["levels"]}
+    return sorted(found["depths"]), sorted(given | {n + 1 for n in given}), bool(found["tables"])
+
+
+def visible_items(items: DataFrame, depths: list[int]) -> DataFrame:
+    """``items`` without what lies inside tables and skipped parts, which have these depths: deeper items up to the next of at most their depth."""
     blocks = F.col("label").isin("table", *SKIPPED)
     deep = items.withColumn("depth", F.coalesce("depth", F.lit(0)))
-    depths = [r["depth"] for r in deep.where(blocks).select("depth").distinct().collect()]  # as many as layouts nest
     before = Window.partitionBy("file_sha256").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     hidden = F.lit(False)
     for d in depths:
@@ -189,24 +203,28 @@ def visible_items(items: DataFrame) -> DataFrame:
     return deep.withColumn("hidden", hidden).where("not hidden").drop("hidden")
 
 
+def heading_level(heading: Column) -> Column:
+    """The level of an item that is a heading: its marks, else its own level; 0 of others."""
+    marks = F.regexp_extract(F.coalesce("text", F.lit("")), r"^\s*(#+)\s*", 1)
+    return F.when(heading, F.when(marks != "", F.length(marks)).when(F.coalesce("header_level", F.lit(0)) == 0, 1).otherwise(F.col("header_level"))).otherwise(0)
+
+
 def after_number(c: Column) -> Column:
     return strip(F.regexp_replace(c, AFTER_NUMBER, ""))
 
 
-def read_pieces(items: DataFrame, s: ChunkSettings) -> DataFrame:
+def read_pieces(items: DataFrame, depths: list[int], s: ChunkSettings) -> DataFrame:
     """``file_sha256, seq, kind, text, ref, page_no, level, number, listed``: headers, paragraphs and tables.
 
     Contents lines and skipped parts drop out; a paragraph that is a number only joins the next
     one that has none. Short paragraphs with a whole number are headers without a level.
     """
     label, raw = F.col("label"), F.coalesce("text", F.lit(""))
-    kind = F.when(label == "table", "table").when(label.isin("section_header", "title"), "header").otherwise("paragraph")
-    shown = visible_items(items).where(~label.isin(*SKIPPED) & (strip(raw) != "") & ((label == "table") | ~raw.rlike(CONTENTS)))
-    marks = F.regexp_extract(raw, r"^\s*(#+)\s*", 1)
+    kind = F.when(label == "table", "table").when(label.isin(*HEADINGS), "header").otherwise("paragraph")
+    shown = visible_items(items, depths).where(~label.isin(*SKIPPED) & (strip(raw) != "") & ((label == "table") | ~raw.rlike(CONTENTS)))
     plain = strip(F.regexp_replace(F.when(kind == "header", F.regexp_replace(raw, r"^\s*#+\s*", "")).otherwise(raw), BLANKS, " "))
-    level = F.when(kind == "header", F.when(marks != "", F.length(marks)).when(F.coalesce("header_level", F.lit(0)) == 0, 1).otherwise(F.col("header_level"))).otherwise(0)
     rows = shown.select(
-        "file_sha256", "seq", kind.alias("kind"), F.when(kind == "table", strip(raw)).otherwise(plain).alias("text"), F.coalesce("self_ref", F.lit("")).alias("ref"), "page_no", level.alias("level"),
+        "file_sha256", "seq", kind.alias("kind"), F.when(kind == "table", strip(raw)).otherwise(plain).alias("text"), F.coalesce("self_ref", F.lit("")).alias("ref"), "page_no", heading_level(kind == "header").alias("level"),
         F.when((label == "list_item") & F.coalesce("enumerated", F.lit(False)), F.col("marker")).alias("marker"), (label == "list_item").alias("listed"),
     )
     own, marked = clause_number(F.col("text")), bare_number(F.col("marker"))
@@ -214,7 +232,8 @@ def read_pieces(items: DataFrame, s: ChunkSettings) -> DataFrame:
     rows = rows.withColumn("text", F.when((F.col("kind") == "paragraph") & F.col("marked").isNotNull() & F.col("own").isNull(), F.concat(strip(F.col("marker")), F.lit(" "), "text")).otherwise(F.col("text")))
     rows = rows.withColumn("number", F.when(F.col("kind") == "header", header_number(F.col("text"))).when(F.col("kind") == "paragraph", F.coalesce("marked", "own")))
     rows = rows.withColumn("lone", F.when((F.col("kind") == "paragraph") & F.col("number").isNull(), bare_number(F.col("text"))))
-    waiting = F.lag("lone").over(Window.partitionBy("file_sha256", "kind").orderBy("seq"))
+    before = Window.partitionBy("file_sha256").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    waiting = F.last(F.when(F.col("kind") == "paragraph", F.struct("lone")), ignorenulls=True).over(before)["lone"]
     joins = F.col("number").isNull() & F.col("waiting").isNotNull() & F.col("lone").isNull()
     rows = rows.withColumn("waiting", F.when(F.col("kind") == "paragraph", waiting)).withColumn("joins", joins).where("lone is null")
     rows = rows.withColumn("text", F.when(F.col("joins"), F.concat("waiting", F.lit(". "), "text")).otherwise(F.col("text"))).withColumn("number", F.when(F.col("joins"), F.col("waiting")).otherwise(F.col("number")))
@@ -276,7 +295,7 @@ def crumb(text: Column, number: Column, s: ChunkSettings) -> Column:
     return F.when(number.isNull(), short(text)).when(number.contains("."), clause).otherwise(short(F.concat(F.lit(f"{s.section_word} "), text)))
 
 
-def placed_pieces(pieces: DataFrame, s: ChunkSettings) -> DataFrame:
+def placed_pieces(pieces: DataFrame, levels: list[int], s: ChunkSettings) -> DataFrame:
     """Paragraphs and tables with their ``section`` (the path of headings above them), ``heading``, ``inside`` an appendix, and ``run``.
 
     A heading closes all others of its level or below. One without a level lies under the last
@@ -290,12 +309,10 @@ def placed_pieces(pieces: DataFrame, s: ChunkSettings) -> DataFrame:
     rows = rows.withColumn("level", F.when(header, F.coalesce("real", F.coalesce(above, F.lit(0)) + 1)))
     structural = F.max(header | ((F.col("kind") == "paragraph") & F.col("number").isNotNull())).over(Window.partitionBy("file_sha256"))
     rows = rows.withColumn("structural", structural).withColumn("crumb", F.when(header, crumb(F.col("text"), F.col("number"), s)))
-    rows = cut(rows)
-    levels = sorted(r["level"] for r in rows.where("level is not null").select("level").distinct().collect())  # as many as headings nest
     here = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     open_ = [F.last(F.when(F.col("level") <= n, F.struct("level", "crumb", "text", "appendix")), ignorenulls=True).over(here) for n in levels]
     shape = "array<struct<level:int,crumb:string,text:string,appendix:boolean>>"
-    stack = F.filter(F.array(*[F.when(o["level"] == n, o) for o, n in zip(open_, levels)]).cast(shape), lambda h: h.isNotNull()) if levels else F.array().cast(shape)
+    stack = F.filter(F.array(*[F.when(o["level"] == n, o) for o, n in zip(open_, levels)]).cast(shape), lambda h: h.isNotNull())
     breaks = header | ((F.col("kind") == "table") & F.col("structural"))
     rows = rows.withColumn("stack", stack).withColumn("run", F.sum(breaks.cast("int")).over(here)).where("kind <> 'header'")
     whole = F.when(F.col("title").isNull(), F.array().cast("array<string>")).otherwise(F.array(crumb(F.col("title"), F.lit(None).cast("string"), s)))
@@ -310,7 +327,7 @@ def placed_pieces(pieces: DataFrame, s: ChunkSettings) -> DataFrame:
 # ---------------------------------------------------------------- chunks and parents
 
 
-def drafts_of(placed: DataFrame, s: ChunkSettings, counter: Counter) -> DataFrame:
+def drafts_of(placed: DataFrame, tables: bool, s: ChunkSettings, counter: Counter) -> DataFrame:
     """``file_sha256, seq, kind, structural, section, heading, clause, page_no, body, refs``: what is cut into chunks.
 
     Neighbouring paragraphs of a clause are merged while short, lists stay with what opens them,
@@ -326,80 +343,103 @@ def drafts_of(placed: DataFrame, s: ChunkSettings, counter: Counter) -> DataFram
     numbered = runs.select("*", each_of("size").alias("sizes"), each_of("clause").alias("clauses"), each_of("mark").alias("marks"))
     own = draft_numbers(F.col("sizes"), F.col("clauses"), F.col("marks"), s.min_tokens)
     numbered = numbered.withColumn("own", own).withColumn("own", F.when(F.col("structural"), F.col("own")).otherwise(F.transform("own", lambda _: F.lit(0))))
-    each = numbered.select("file_sha256", "structural", "run", "section", "heading", F.explode(F.arrays_zip("rows", "own")).alias("r"))
-    held = each.groupBy("file_sha256", "structural", "run", "r.own").agg(F.sort_array(F.collect_list("r.rows")).alias("rows"), F.first("section").alias("section"), F.first("heading").alias("heading"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: (i == 0) | (F.get("own", i) != F.get("own", i - 1)))
+    parts = F.transform("starts", lambda at, k: F.slice("rows", at + 1, F.coalesce(F.get("starts", k + 1), F.size("rows")) - at))
+    held = numbered.withColumn("starts", starts).select("file_sha256", "structural", "section", "heading", F.explode(parts).alias("rows"))
     merged = held.select(
         "file_sha256", F.get("rows", 0)["seq"].alias("seq"), F.lit("text").alias("kind"), "structural", "section", "heading", F.when(F.col("structural"), F.get("rows", 0)["clause"]).alias("clause"),
         F.get("rows", 0)["page_no"].alias("page_no"), F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("body"), F.flatten(F.transform("rows", lambda r: r["refs"])).alias("refs"),
     )
-    tables = placed.where("kind = 'table'").select("file_sha256", "seq", "kind", "structural", "section", "heading", F.lit(None).cast("string").alias("clause"), "page_no", F.col("text").alias("body"), "refs")
-    return merged.unionByName(tables)
+    if not tables:
+        return merged
+    apart = placed.where("kind = 'table'").select("file_sha256", "seq", "kind", "structural", "section", "heading", F.lit(None).cast("string").alias("clause"), "page_no", F.col("text").alias("body"), "refs")
+    return merged.unionByName(apart)
 
 
-def chunk_items(items: DataFrame, settings: ChunkSettings = ChunkSettings(), counter: Counter = word_count, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def chunk_items(items: DataFrame, settings: ChunkSettings = ChunkSettings(), counter: Counter = word_count, roots: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Chunks and parent sections of ``items(file_sha256, seq, depth, label, text, ..)``.
 
     ``roots(file_sha256, root)`` puts a path before all sections of a file. Parents have the ids
-    of their chunks as ``item_refs``.
+    of their chunks as ``item_refs``. Both are made from the items each time they are read; who reads
+    both gives ``hold`` (``runtime.cut``, say), which gets the one table that they are made of.
     """
     s = settings
-    drafts = drafts_of(placed_pieces(open_appendices(without_titles(read_pieces(items, s)), s), s), s, counter)
-    if roots is not None:
-        drafts = drafts.join(roots.select("file_sha256", "root"), "file_sha256", "left")
-    else:
-        drafts = drafts.withColumn("root", F.array().cast("array<string>"))
+    depths, levels, tables = layout_of(items)
+    drafts = drafts_of(placed_pieces(open_appendices(without_titles(read_pieces(items, depths, s)), s), levels, s), tables, s, counter)
     none = F.array().cast("array<string>")
-    path = F.concat(F.coalesce("root", none), "section")
-    crumbs = F.when(F.col("clause").isNull(), path).otherwise(F.concat(path, F.array(F.concat(F.lit(f"{s.clause_word} "), "clause"))))
-    key = F.when(F.col("structural"), F.array_join("section", s.separator)).otherwise("")
-    rows = drafts.withColumn("path", path).withColumn("breadcrumbs", crumbs).withColumn("section_key", key).withColumn("prefix", F.array_join("breadcrumbs", s.separator))
-    rows = cut(rows.withColumn("budget", F.greatest(F.lit(s.max_tokens) - counter(F.col("prefix")), F.lit(s.overlap_tokens + 1))))
-    facts = ["file_sha256", "seq", "kind", "structural", "path", "breadcrumbs", "section_key", "heading", "clause", "page_no", "refs", "prefix"]
-    texts = with_windows(rows.where("kind = 'text'"), "body", "budget", s.overlap_tokens, counter).select(*facts, F.posexplode("windows").alias("i", "body")).withColumn("place", F.array(F.lit(0), "i")).drop("i")
-    parts = table_windows(rows.where("kind = 'table'"), facts, "body", "budget", s.overlap_tokens, counter).withColumnRenamed("part", "body")
+    drafts = drafts.withColumn("root", none) if roots is None else drafts.join(roots.select("file_sha256", "root"), "file_sha256", "left").withColumn("root", F.coalesce("root", none))
+    path = F.concat("root", "section")
+    crumbs = lambda path: F.when(F.col("clause").isNull(), path).otherwise(F.concat(path, F.array(F.concat(F.lit(f"{s.clause_word} "), "clause"))))
+    rows = drafts.withColumn("budget", F.greatest(F.lit(s.max_tokens) - counter(F.array_join(crumbs(path), s.separator)), F.lit(s.overlap_tokens + 1)))
+    rows = cut(rows) if tables else rows  # which are read in several ways
+    facts = ["file_sha256", "seq", "kind", "structural", "root", "section", "heading", "clause", "page_no", "refs"]
+    made = with_windows(rows.where("kind = 'text'"), "body", "budget", s.overlap_tokens, counter).select(*facts, F.posexplode("windows").alias("i", "body")).withColumn("place", F.array(F.lit(0), "i")).drop("i")
+    if tables:
+        made = made.unionByName(table_windows(rows.where("kind = 'table'"), facts, "body", "budget", s.overlap_tokens, counter).withColumnRenamed("part", "body"))
     order = Window.partitionBy("file_sha256").orderBy(F.when(F.col("structural") | (F.col("kind") == "text"), 0).otherwise(1), "seq", "place")
-    made = texts.unionByName(parts).withColumn("ordinal", F.row_number().over(order) - 1)
-    text = F.when(F.col("prefix") == "", F.col("body")).otherwise(F.concat("prefix", F.lit("\n"), "body"))
-    chunks = made.select(
+    made = made.withColumn("ordinal", F.row_number().over(order) - 1)
+    # what follows from these is made after they are moved
+    key = F.when(F.col("structural"), F.array_join("section", s.separator)).otherwise("")
+    slim = made.select(
         "file_sha256", ids.chunk_id(F.col("file_sha256"), F.col("ordinal")).alias("chunk_id"), "ordinal", "kind", F.when(F.col("structural"), "structural").otherwise("fixed").alias("strategy"),
-        "breadcrumbs", "path", "section_key", "heading", "clause", "body", text.alias("text"), counter(text).alias("tokens"), "page_no", F.col("refs").alias("item_refs"),
+        path.alias("path"), key.alias("section_key"), "heading", "clause", "body", "page_no", F.col("refs").alias("item_refs"),
     )
-    return parents_of(cut(chunks), s, counter)
+    packed = packed_chunks(slim, s, counter)
+    packed = packed if hold is None else hold(packed)
+    prefix = F.array_join("breadcrumbs", s.separator)
+    text = F.when(prefix == "", F.col("body")).otherwise(F.concat(prefix, F.lit("\n"), "body"))
+    chunks = children_in(packed).withColumn("breadcrumbs", crumbs(F.col("path"))).withColumn("text", text).withColumn("tokens", counter(F.col("text")))
+    columns = ["file_sha256", "ordinal", "chunk_id", "kind", "strategy", "breadcrumbs", "section_key", "heading", "clause", "body", "text", "tokens", "page_no", "item_refs", "parent_id"]
+    return chunks.select(*columns), parents_in(packed, s, counter)
 
 
 def parents_of(chunks: DataFrame, settings: ChunkSettings = ChunkSettings(), counter: Counter = word_count) -> tuple[DataFrame, DataFrame]:
     """``chunks`` with ``parent_id``, and the parents: neighbours under one path, packed whole up to the token limit.
 
-    Only sizes of a run meet to be packed; ``part`` of ``parts`` counts a path's parents in the whole file.
+    ``part`` of ``parts`` counts a path's parents in the whole file.
     """
-    s = settings
+    packed = packed_chunks(chunks, settings, counter)
+    return children_in(packed).drop("path"), parents_in(packed, settings, counter)
+
+
+def packed_chunks(chunks: DataFrame, s: ChunkSettings, counter: Counter) -> DataFrame:
+    """``file_sha256, path, rows``: a row per parent, with its chunks. Neighbours under one path meet; they needn't be moved where their file's chunks lie together."""
     by = Window.partitionBy("file_sha256").orderBy("ordinal")
     changes = ~F.coalesce(F.lag("path").over(by) == F.col("path"), F.lit(False))
-    rows = chunks.select("file_sha256", "ordinal", "path", changes.cast("int").alias("new"), counter(F.col("body")).alias("size"))
-    rows = rows.withColumn("run", F.sum("new").over(by))
-    runs = rows.groupBy("file_sha256", "run").agg(F.first("path").alias("path"), F.sort_array(F.collect_list(F.struct("ordinal", "size"))).alias("rows"))
+    rows = chunks.withColumn("new", changes.cast("int")).withColumn("run", F.sum("new").over(by))
+    held = F.struct("ordinal", *[c for c in chunks.columns if c not in ("file_sha256", "path", "ordinal")])
+    runs = rows.groupBy("file_sha256", "run").agg(F.first("path").alias("path"), F.sort_array(F.collect_list(held)).alias("rows"))
     room = F.lit(s.parent_max_tokens) - counter(F.array_join("path", s.separator))
-    packed = runs.withColumn("room", room).withColumn("sizes", F.transform("rows", lambda r: r["size"])).withColumn("spans", spans(F.col("sizes"), F.col("room")))
-    each = packed.select("file_sha256", "path", "rows", F.explode("spans").alias("span"))
-    each = each.select("file_sha256", "path", F.slice(F.transform("rows", lambda r: r["ordinal"]), F.get("span", 0) + 1, F.get("span", 1)).alias("ordinals"))
-    first = F.get("ordinals", 0)
+    packed = runs.withColumn("room", room).withColumn("sizes", F.transform("rows", lambda r: counter(r["body"]))).withColumn("spans", spans(F.col("sizes"), F.col("room")))
+    return packed.select("file_sha256", "path", F.explode(F.transform("spans", lambda p: F.slice("rows", p[0] + 1, p[1]))).alias("rows"))
+
+
+def numbered_parents(rows: DataFrame) -> DataFrame:
+    """``rows(file_sha256, path, first, ..)`` of parents with ``n``, ``part``, ``parts`` and ``parent_id``."""
     same = Window.partitionBy("file_sha256", "path")
-    each = each.withColumn("n", F.row_number().over(Window.partitionBy("file_sha256").orderBy(first)) - 1)
+    each = rows.withColumn("n", F.row_number().over(Window.partitionBy("file_sha256").orderBy("first")) - 1)
     each = each.withColumn("part", F.row_number().over(same.orderBy("n"))).withColumn("parts", F.count(F.lit(1)).over(same).cast("int"))
-    owners = cut(each.withColumn("parent_id", ids.parent_id(F.col("file_sha256"), F.col("n"))))
-    members = owners.select("file_sha256", "parent_id", F.explode("ordinals").alias("ordinal"))
-    children = chunks.join(members, ["file_sha256", "ordinal"], "left")
-    held = children.groupBy("file_sha256", "parent_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "chunk_id", "body", "page_no", "heading", "section_key"))).alias("rows"))
-    body = F.array_join(F.transform("rows", lambda r: r["body"]), "\n\n")
-    prefix = F.array_join("path", s.separator)
-    text = F.when(prefix == "", body).otherwise(F.concat(prefix, F.lit("\n"), body))
-    lead = F.get("rows", 0)
-    parents = owners.join(held, ["file_sha256", "parent_id"]).select(
+    return each.withColumn("parent_id", ids.parent_id(F.col("file_sha256"), F.col("n"))).drop("first")
+
+
+def children_in(packed: DataFrame) -> DataFrame:
+    """Chunks with their ``parent_id`` and ``path``."""
+    owners = numbered_parents(packed.withColumn("first", F.get("rows", 0)["ordinal"]))
+    return owners.select("file_sha256", "path", "parent_id", F.inline("rows"))
+
+
+def parents_in(packed: DataFrame, s: ChunkSettings, counter: Counter) -> DataFrame:
+    """The parents, whose tokens are counted before they are numbered, which moves them."""
+    prefix, lead = F.array_join("path", s.separator), F.get("rows", 0)
+    text = F.when(prefix == "", F.col("body")).otherwise(F.concat(prefix, F.lit("\n"), "body"))
+    told = packed.select(
+        "file_sha256", "path", lead["ordinal"].alias("first"), lead["section_key"].alias("section_key"), lead["heading"].alias("heading"), lead["page_no"].alias("page_no"),
+        F.array_join(F.transform("rows", lambda r: r["body"]), "\n\n").alias("body"), F.transform("rows", lambda r: r["chunk_id"]).alias("item_refs"),
+    )
+    return numbered_parents(told.withColumn("tokens", counter(text))).select(
         "file_sha256", F.col("parent_id").alias("chunk_id"), F.col("n").alias("ordinal"), F.lit("section").alias("kind"), F.lit("parent").alias("strategy"), F.col("path").alias("breadcrumbs"),
-        lead["section_key"].alias("section_key"), lead["heading"].alias("heading"), body.alias("body"), text.alias("text"), counter(text).alias("tokens"), lead["page_no"].alias("page_no"),
-        F.transform("rows", lambda r: r["chunk_id"]).alias("item_refs"), "part", "parts",
+        "section_key", "heading", "body", text.alias("text"), "tokens", "page_no", "item_refs", "part", "parts",
     )
-    return children.drop("path"), parents
 
 
 # ---------------------------------------------------------------- built-in parts

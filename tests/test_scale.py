@@ -209,6 +209,28 @@ def test_long_sentences_are_cut_in_one_pass(spark):
     assert len(got) == 1000 and " ".join(got) == rows.first()["text"] and got[0].count(" ") == 59
 
 
+def test_texts_are_moved_twice_to_be_chunked_and_not_stored(spark, monkeypatch):
+    """Items without tables are shuffled once by file and once as chunks, parents without their texts, and nothing is written to the checkpoint folder."""
+    monkeypatch.delattr(chunking, "cut")
+    word = F.concat_ws(" ", *[F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{n}"))), 1, 12) for n in range(40)])
+    items = spark.range(4000).select(
+        F.concat(F.lit("f"), (F.col("id") % 40).cast("string")).alias("file_sha256"), F.floor(F.col("id") / 40).cast("int").alias("seq"), F.lit(1).alias("depth"), F.when(F.col("id") % 9 == 0, "section_header").otherwise("text").alias("label"), word.alias("text"),
+        F.lit(1).alias("header_level"), F.lit(None).cast("string").alias("marker"), F.lit(False).alias("enumerated"), F.lit(1).alias("page_no"), F.lit("#").alias("self_ref"),
+    )
+    got = []
+    moved = shuffled(spark, lambda: got.extend(chunking.chunk_items(items, texts.SHORT)[1].select("file_sha256", "ordinal", "tokens", F.size("item_refs").alias("n")).collect()), "shuffleWriteBytes")
+    assert len({r["file_sha256"] for r in got}) == 40 and sum(r["n"] for r in got) > 3000
+    assert moved < 3 * 4000 * 40 * 13  # of letters and blanks; 7.8 times as much before
+
+
+def test_chunks_and_parents_are_those_of_a_held_table(spark):
+    """Chunks and parents are the same whether what both are made of is held or not, and it is given to be held once."""
+    given = []
+    hold = lambda frame: given.append(cut(frame)) or given[0]
+    one, two = ([sorted(map(str, f.collect())) for f in chunking.chunk_items(texts._items(spark, SF), texts.SHORT, hold=h)] for h in (None, hold))
+    assert one == two and len(given) == 1 and given[0].count() == len(one[1])
+
+
 def test_sections_are_made_once_for_all_fields_of_a_card(spark):
     """However many fields are read out of a card's sections, these are put together once."""
     plan = manifest.document_fields(nested_cards(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
