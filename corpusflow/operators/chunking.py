@@ -63,6 +63,25 @@ def spans(sizes: Column, limit: Column, overlap: Column | int = 0) -> Column:
     return cut_up.asNondeterministic()(sizes, limit, F.lit(overlap) if isinstance(overlap, int) else overlap)
 
 
+def pack_starts(sizes: Column, room: Column) -> Column:
+    """First places of the windows of ``spans`` without overlap, by Spark alone, after which a file's rows still lie together."""
+    start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("total"))
+
+    def step(held: Column, i: Column) -> Column:
+        size = F.get(sizes, i).cast("bigint")
+        full = (i > held["at"]) & (held["total"] + size > room)
+        return F.struct(
+            F.when(full, F.concat(held["starts"], F.array(i))).otherwise(held["starts"]).alias("starts"), F.when(full, i).otherwise(held["at"]).alias("at"), (F.when(full, F.lit(0).cast("bigint")).otherwise(held["total"]) + size).alias("total")
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1), start, step, lambda held: held["starts"])
+
+
+def slices(rows: str, starts: str) -> Column:
+    """An array's neighbours from each start to the next."""
+    return F.transform(F.col(starts), lambda at, k: F.slice(F.col(rows), at + 1, F.coalesce(F.get(starts, k + 1), F.size(rows)) - at))
+
+
 def row_spans(sizes: Column, room: Column) -> Column:
     """Like ``spans`` without overlap, where a place that is larger than the room is alone even beside smaller ones."""
 
@@ -344,8 +363,7 @@ def drafts_of(placed: DataFrame, tables: bool, s: ChunkSettings, counter: Counte
     own = draft_numbers(F.col("sizes"), F.col("clauses"), F.col("marks"), s.min_tokens)
     numbered = numbered.withColumn("own", own).withColumn("own", F.when(F.col("structural"), F.col("own")).otherwise(F.transform("own", lambda _: F.lit(0))))
     starts = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: (i == 0) | (F.get("own", i) != F.get("own", i - 1)))
-    parts = F.transform("starts", lambda at, k: F.slice("rows", at + 1, F.coalesce(F.get("starts", k + 1), F.size("rows")) - at))
-    held = numbered.withColumn("starts", starts).select("file_sha256", "structural", "section", "heading", F.explode(parts).alias("rows"))
+    held = numbered.withColumn("starts", starts).select("file_sha256", "structural", "section", "heading", F.explode(slices("rows", "starts")).alias("rows"))
     merged = held.select(
         "file_sha256", F.get("rows", 0)["seq"].alias("seq"), F.lit("text").alias("kind"), "structural", "section", "heading", F.when(F.col("structural"), F.get("rows", 0)["clause"]).alias("clause"),
         F.get("rows", 0)["page_no"].alias("page_no"), F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("body"), F.flatten(F.transform("rows", lambda r: r["refs"])).alias("refs"),
@@ -378,7 +396,7 @@ def chunk_items(items: DataFrame, settings: ChunkSettings = ChunkSettings(), cou
         made = made.unionByName(table_windows(rows.where("kind = 'table'"), facts, "body", "budget", s.overlap_tokens, counter).withColumnRenamed("part", "body"))
     order = Window.partitionBy("file_sha256").orderBy(F.when(F.col("structural") | (F.col("kind") == "text"), 0).otherwise(1), "seq", "place")
     made = made.withColumn("ordinal", F.row_number().over(order) - 1)
-    # what follows from these is made after they are moved
+    # what follows from these columns is made after they are moved
     key = F.when(F.col("structural"), F.array_join("section", s.separator)).otherwise("")
     slim = made.select(
         "file_sha256", ids.chunk_id(F.col("file_sha256"), F.col("ordinal")).alias("chunk_id"), "ordinal", "kind", F.when(F.col("structural"), "structural").otherwise("fixed").alias("strategy"),
@@ -403,15 +421,15 @@ def parents_of(chunks: DataFrame, settings: ChunkSettings = ChunkSettings(), cou
 
 
 def packed_chunks(chunks: DataFrame, s: ChunkSettings, counter: Counter) -> DataFrame:
-    """``file_sha256, path, rows``: a row per parent, with its chunks. Neighbours under one path meet; they needn't be moved where their file's chunks lie together."""
+    """``file_sha256, path, rows``: a row per parent, with its chunks. Neighbours under one path meet, and aren't moved where their file's chunks lie together."""
     by = Window.partitionBy("file_sha256").orderBy("ordinal")
     changes = ~F.coalesce(F.lag("path").over(by) == F.col("path"), F.lit(False))
     rows = chunks.withColumn("new", changes.cast("int")).withColumn("run", F.sum("new").over(by))
     held = F.struct("ordinal", *[c for c in chunks.columns if c not in ("file_sha256", "path", "ordinal")])
     runs = rows.groupBy("file_sha256", "run").agg(F.first("path").alias("path"), F.sort_array(F.collect_list(held)).alias("rows"))
     room = F.lit(s.parent_max_tokens) - counter(F.array_join("path", s.separator))
-    packed = runs.withColumn("room", room).withColumn("sizes", F.transform("rows", lambda r: counter(r["body"]))).withColumn("spans", spans(F.col("sizes"), F.col("room")))
-    return packed.select("file_sha256", "path", F.explode(F.transform("spans", lambda p: F.slice("rows", p[0] + 1, p[1]))).alias("rows"))
+    packed = runs.withColumn("room", room).withColumn("sizes", F.transform("rows", lambda r: counter(r["body"]))).withColumn("starts", pack_starts(F.col("sizes"), F.col("room")))
+    return packed.select("file_sha256", "path", F.explode(slices("rows", "starts")).alias("rows"))
 
 
 def numbered_parents(rows: DataFrame) -> DataFrame:
@@ -429,7 +447,7 @@ def children_in(packed: DataFrame) -> DataFrame:
 
 
 def parents_in(packed: DataFrame, s: ChunkSettings, counter: Counter) -> DataFrame:
-    """The parents, whose tokens are counted before they are numbered, which moves them."""
+    """The parents, whose tokens are counted before they are numbered: then texts that aren't read needn't be sorted."""
     prefix, lead = F.array_join("path", s.separator), F.get("rows", 0)
     text = F.when(prefix == "", F.col("body")).otherwise(F.concat(prefix, F.lit("\n"), "body"))
     told = packed.select(

@@ -210,7 +210,7 @@ def test_long_sentences_are_cut_in_one_pass(spark):
 
 
 def test_texts_are_moved_twice_to_be_chunked_and_not_stored(spark, monkeypatch):
-    """Items without tables are shuffled once by file and once as chunks, parents without their texts, and nothing is written to the checkpoint folder."""
+    """Items without tables are shuffled once by file and once as chunks, parents not at all, and nothing is written to the checkpoint folder."""
     monkeypatch.delattr(chunking, "cut")
     word = F.concat_ws(" ", *[F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{n}"))), 1, 12) for n in range(40)])
     items = spark.range(4000).select(
@@ -223,6 +223,15 @@ def test_texts_are_moved_twice_to_be_chunked_and_not_stored(spark, monkeypatch):
     assert moved < 3 * 4000 * 40 * 13  # of letters and blanks; 7.8 times as much before
 
 
+def test_packs_are_windows_without_overlap(spark):
+    """Parents are packed by Spark as by the helper on arrays, with sizes of nothing and beyond the room."""
+    rng = np.random.default_rng(5)
+    rows = [(rng.integers(0, 9, n).tolist(), room) for n in (1, 2, 7, 60) for room in (-1, 0, 3, 8, 40, 500)]
+    table = spark.createDataFrame(rows, "sizes array<int>, room int")
+    for r in table.select("sizes", chunking.pack_starts(F.col("sizes"), F.col("room")).alias("starts"), chunking.spans(F.col("sizes"), F.col("room")).alias("spans")).collect():
+        assert r["starts"] == [at for at, _ in r["spans"]] and sum(n for _, n in r["spans"]) == len(r["sizes"])
+
+
 def test_chunks_and_parents_are_those_of_a_held_table(spark):
     """Chunks and parents are the same whether what both are made of is held or not, and it is given to be held once."""
     given = []
