@@ -391,7 +391,8 @@ def chunk_items(items: DataFrame, settings: ChunkSettings = ChunkSettings(), cou
     rows = drafts.withColumn("budget", F.greatest(F.lit(s.max_tokens) - counter(F.array_join(crumbs(path), s.separator)), F.lit(s.overlap_tokens + 1)))
     rows = cut(rows) if tables else rows  # which are read in several ways
     facts = ["file_sha256", "seq", "kind", "structural", "root", "section", "heading", "clause", "page_no", "refs"]
-    made = with_windows(rows.where("kind = 'text'"), "body", "budget", s.overlap_tokens, counter).select(*facts, F.posexplode("windows").alias("i", "body")).withColumn("place", F.array(F.lit(0), "i")).drop("i")
+    made = with_windows(rows.where("kind = 'text'"), "body", "budget", s.overlap_tokens, counter).select(*facts, F.posexplode("windows").alias("i", "body"))
+    made = made.withColumn("refs", F.when(F.col("i") == 0, F.col("refs"))).withColumn("place", F.array(F.lit(0), "i")).drop("i")  # a draft's refs go with its first window
     if tables:
         made = made.unionByName(table_windows(rows.where("kind = 'table'"), facts, "body", "budget", s.overlap_tokens, counter).withColumnRenamed("part", "body"))
     order = Window.partitionBy("file_sha256").orderBy(F.when(F.col("structural") | (F.col("kind") == "text"), 0).otherwise(1), "seq", "place")
@@ -406,7 +407,8 @@ def chunk_items(items: DataFrame, settings: ChunkSettings = ChunkSettings(), cou
     packed = packed if hold is None else hold(packed)
     prefix = F.array_join("breadcrumbs", s.separator)
     text = F.when(prefix == "", F.col("body")).otherwise(F.concat(prefix, F.lit("\n"), "body"))
-    chunks = children_in(packed).withColumn("breadcrumbs", crumbs(F.col("path"))).withColumn("text", text).withColumn("tokens", counter(F.col("text")))
+    along = Window.partitionBy("file_sha256").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chunks = children_in(packed).withColumn("item_refs", F.last("item_refs", ignorenulls=True).over(along)).withColumn("breadcrumbs", crumbs(F.col("path"))).withColumn("text", text).withColumn("tokens", counter(F.col("text")))
     columns = ["file_sha256", "ordinal", "chunk_id", "kind", "strategy", "breadcrumbs", "section_key", "heading", "clause", "body", "text", "tokens", "page_no", "item_refs", "parent_id"]
     return chunks.select(*columns), parents_in(packed, s, counter)
 

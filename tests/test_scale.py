@@ -223,6 +223,18 @@ def test_texts_are_moved_twice_to_be_chunked_and_not_stored(spark, monkeypatch):
     assert moved < 3 * 4000 * 40 * 13  # of letters and blanks; 7.8 times as much before
 
 
+def test_refs_of_a_long_text_are_carried_once(spark):
+    """However many chunks a text without structure becomes, its items' refs are moved with the first one, and all have them."""
+    items = spark.range(3000).select(
+        F.lit("f").alias("file_sha256"), F.col("id").cast("int").alias("seq"), F.lit(1).alias("depth"), F.lit("text").alias("label"), F.array_join(F.array_repeat(F.lit("word"), 12), " ").alias("text"),
+        F.lit(1).alias("header_level"), F.lit(None).cast("string").alias("marker"), F.lit(False).alias("enumerated"), F.lit(1).alias("page_no"), F.md5(F.col("id").cast("string")).alias("self_ref"),
+    )
+    got = []
+    moved = shuffled(spark, lambda: got.extend(chunking.chunk_items(items, texts.SHORT)[0].select("ordinal", F.size("item_refs").alias("n")).collect()), "shuffleWriteBytes")
+    assert len(got) >= 600 and {r["n"] for r in got} == {3000}
+    assert moved < 2_000_000  # of 3,000 refs of 32 letters, and not for each of 600 chunks
+
+
 def test_packs_are_windows_without_overlap(spark):
     """Parents are packed by Spark as by the helper on arrays, with sizes of nothing and beyond the room."""
     rng = np.random.default_rng(5)
